@@ -46,9 +46,11 @@ query(
 
 def bin_sql(columns: list[str], column: str, bins: int, source: str) -> str:
     shares = ", ".join(repr(i / bins) for i in range(bins + 1))
-    return f"""with e as (select list_sort(list_distinct(quantile_cont({column}::double, [{shares}]))) as edges from {source})
-    select {", ".join(columns)}, case when {column} is not null and len(edges) > 1
-        then len(list_filter(edges[2:len(edges) - 1], x -> x < {column})) end as made from {source}, e"""
+    return f"""with edges as (select distinct e from
+        (select unnest(quantile_cont({column}::double, [{shares}])) as e from {source}) where e is not null),
+    cuts as (select e from edges where e > (select min(e) from edges) and e < (select max(e) from edges))
+    select {", ".join(columns)}, case when {column} is not null and (select count(*) from edges) > 1
+        then (select count(*) from cuts where e < {column}) end as made from {source}"""
 
 
 query("f7_bin", bin_sql(LINE, "l_extendedprice", 10, "lineitem"))(made("lineitem", LINE, "bin:l_extendedprice,10", None))
