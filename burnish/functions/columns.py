@@ -130,16 +130,11 @@ def wall_micros(stamp: Column) -> Column:
     return F.unix_date(stamp.cast("date")).cast("long") * DAY_MICROS + seconds * 1_000_000 + micros
 
 
-def yeo_johnson(value: Column, power: float) -> Column:
-    """Yeo-Johnson transform of one exponent (Yeo and Johnson, 2000)."""
-    number = value.cast("double")
-    if abs(power) < 1e-12:
-        upper = F.log1p(number)
-    else:
-        upper = (F.pow(number + 1, F.lit(power)) - 1) / F.lit(power)
-    mirrored = 2 - power
-    if abs(mirrored) < 1e-12:
-        lower = -F.log1p(-number)
-    else:
-        lower = -(F.pow(1 - number, F.lit(mirrored)) - 1) / F.lit(mirrored)
-    return F.when(number >= 0, upper).when(number < 0, lower)
+def yeo_johnson(value: Column, power: Column) -> Column:
+    """Yeo-Johnson transform (Yeo and Johnson, 2000); its exponent may be a column too."""
+    return F.when(value >= 0, _box_cox(value, power)).when(value < 0, -_box_cox(-value, 2 - power))
+
+
+def _box_cox(value: Column, power: Column) -> Column:
+    """((1 + value)^power - 1) / power, and its limit log(1 + value) at zero."""
+    return F.when(F.abs(power) < 1e-12, F.log1p(value)).otherwise(F.try_divide(F.pow(value + 1, power) - 1, power))

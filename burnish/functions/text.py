@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Runs of two or more word characters.
-TOKEN = r"([\p{L}\p{N}_]{2,})"
+NO_WORD = r"[^\p{L}\p{N}_]+"
+SHORTEST_TOKEN = 2
 
 
 def word_count(text: Column) -> Column:
@@ -37,9 +37,6 @@ def hash_bucket(text: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("long")
 
 
-def tokens(text: Column, stop_words: list[str]) -> Column:
-    """Lower-case tokens of the text without stop words; a missing text has none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
-    if not stop_words:
-        return found
-    return F.filter(found, lambda word: ~word.isin(*stop_words))
+def tokens(text: Column) -> Column:
+    """Lower-case runs of word characters. Runs of one character, which are no tokens, are still among them."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD)

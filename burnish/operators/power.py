@@ -9,53 +9,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.columns import c, yeo_johnson
-from burnish.operators.quantiles import one_row
 
 ROUNDS = 7
 HALF_WIDTH = 10  # grid points on each side of the middle
 FIRST_STEP = 0.5
+LARGEST = 100  # beyond this the grid moves no further
 
 
-def fit_powers(df: DataFrame, columns: Sequence[str], rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
-    """{column: {power, mean, std}}. Every round is one aggregate over only these columns, for all of them.
+def fit_power(df: DataFrame, name: str, rounds: int = ROUNDS) -> dict[str, float]:
+    """{power, mean, std} of one column. Every round is one aggregate over only this column.
 
     The likelihood has one peak, so the best of 21 grid points encloses it between its neighbours, and the next
     round looks there with a tenth of the step. A best point on the rim moves the grid instead of shrinking it.
     """
-    if not columns:
-        return {}
-    middle = dict.fromkeys(columns, 0.0)
-    step = dict.fromkeys(columns, FIRST_STEP)
-    left = dict.fromkeys(columns, rounds)
-    while any(left.values()):
-        open_columns = [n for n in columns if left[n]]
-        grid = {n: [middle[n] + i * step[n] for i in range(-HALF_WIDTH, HALF_WIDTH + 1)] for n in open_columns}
-        aggs = {}
-        for n in open_columns:
-            value = c(n).cast("double")
-            aggs[n, "rows"] = F.count(value)
-            aggs[n, "logs"] = F.sum(F.signum(value) * F.log1p(F.abs(value)))
-            for power in grid[n]:
-                aggs[n, power] = F.var_pop(yeo_johnson(value, power))
-        values = one_row(df, aggs)
-        for n in open_columns:
-            rows, logs = values[n, "rows"], values[n, "logs"]
-            scores = [_likelihood(rows, logs, power, values[n, power]) for power in grid[n]]
-            best = max(range(len(scores)), key=scores.__getitem__)
-            if scores[best] == -math.inf:
-                middle[n], left[n] = 1.0, 0
-                continue
-            middle[n] = grid[n][best]
-            on_rim = best in (0, len(scores) - 1) and abs(middle[n]) < 100
-            if not on_rim:
-                step[n] /= 10
-                left[n] -= 1
-    aggs = {}
-    for n in columns:
-        aggs[n, "mean"] = F.mean(yeo_johnson(c(n), middle[n]))
-        aggs[n, "std"] = F.stddev_pop(yeo_johnson(c(n), middle[n]))
-    values = one_row(df, aggs)
-    return {n: {"power": middle[n], "mean": values[n, "mean"], "std": values[n, "std"]} for n in columns}
+    values = df.select(c(name).cast("double").alias("x")).where(F.col("x").isNotNull())
+    rows, logs = values.agg(F.count("*"), F.sum(F.signum("x") * F.log1p(F.abs("x")))).first()
+    middle, step = 0.0, FIRST_STEP
+    while rounds and rows:
+        grid = [middle + i * step for i in range(-HALF_WIDTH, HALF_WIDTH + 1)]
+        scores = _scores(values, grid, rows, logs)
+        best = max(grid, key=lambda power: scores.get(power, -math.inf))
+        if scores.get(best, -math.inf) == -math.inf:
+            middle = 1.0
+            break
+        middle = best
+        if best not in (grid[0], grid[-1]) or abs(best) > LARGEST:
+            step /= 10
+            rounds -= 1
+    fitted = yeo_johnson(F.col("x"), F.lit(middle))
+    mean, std = values.agg(F.mean(fitted), F.stddev_pop(fitted)).first()
+    return {"power": middle, "mean": mean, "std": std}
+
+
+def _scores(values: DataFrame, grid: Sequence[float], rows: int, logs: float) -> dict[float, float]:
+    """Likelihood of each exponent. Each task sums its rows per exponent, so one row per exponent and task is sent.
+
+    The exponents are data, not code, so all rounds share one compiled stage.
+    """
+    tried = values.select("x", F.explode(F.lit(list(grid))).alias("power"))
+    spread = tried.groupBy("power").agg(F.var_pop(yeo_johnson(F.col("x"), F.col("power"))).alias("variance"))
+    return {r["power"]: _likelihood(rows, logs, r["power"], r["variance"]) for r in spread.collect()}
 
 
 def _likelihood(rows: int, logs: float | None, power: float, variance: float | None) -> float:

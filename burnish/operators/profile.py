@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
@@ -132,33 +133,52 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return long_form(df, list(bounds), metrics).where(F.col("outliers") > 0)
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over the rows that have both values; NULL without spread, where ``corr`` divides by zero."""
-    both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(both_x) * F.stddev_pop(both_y))
-
-
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col1, col2, correlation): absolute Pearson of every pair, over the rows where both have a value.
 
-    All pairs of a pass share one scan; wide tables take several passes so that one aggregate stays small.
+    A first pass finds the means and which columns have gaps, a second one sums products of the centered values.
+    Two columns without gaps share their sums of squares with all other pairs, so a pair costs one sum then and six
+    otherwise. Plain sums stay inside generated code, which ``corr`` of many pairs does not, and a column without
+    spread gives NULL where ``corr`` divides by zero.
     """
     names = list(columns or numeric_columns(df))
     pairs = list(combinations(names, 2))
-    if not pairs:
-        return local_frame(df.sparkSession, [], "col1 string, col2 string, correlation double")
-    passes = []
+    first = {("n", n): F.count(c(n)) for n in names} | {("mean", n): F.mean(c(n).cast("double")) for n in names}
+    facts = one_row(df, {"rows": F.count("*"), **first}) if pairs else {}
+    centered = {n: c(n).cast("double") - F.lit(facts["mean", n]).cast("double") for n in names} if pairs else {}
+    full = {n for n in names if facts and facts["n", n] == facts["rows"]}
+    rows = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        entries = [
-            F.struct(
-                F.lit(a).alias("col1"),
-                F.lit(b).alias("col2"),
-                F.abs(pearson(c(a).cast("double"), c(b).cast("double"))).alias("correlation"),
-            )
-            for a, b in pairs[start : start + PAIRS_PER_PASS]
-        ]
-        passes.append(df.agg(F.array(*entries).alias("e")).select(F.inline("e")))
-    return reduce(DataFrame.unionByName, passes)
+        some = pairs[start : start + PAIRS_PER_PASS]
+        values = one_row(df, {k: v for a, b in some for k, v in _pair_sums(a, b, centered, full).items()})
+        for a, b in some:
+            rows.append((a, b, _absolute_pearson(*[values[k] for k in _pair_sums(a, b, centered, full)])))
+    return local_frame(df.sparkSession, rows, "col1 string, col2 string, correlation double")
+
+
+def _pair_sums(a: str, b: str, centered: Mapping[str, Column], full: set[str]) -> dict[tuple, Column]:
+    """Sums over the rows that have both values: count, x, y, xx, yy, xy. Equal keys stand for equal sums."""
+    x, y = centered[a], centered[b]
+    both_x = x if b in full else F.when(y.isNotNull(), x)
+    both_y = y if a in full else F.when(x.isNotNull(), y)
+    x_key, y_key = (a, None if b in full else b), (b, None if a in full else a)
+    return {
+        ("count", x_key): F.count(both_x),
+        ("sum", x_key): F.sum(both_x),
+        ("sum", y_key): F.sum(both_y),
+        ("square", x_key): F.sum(both_x * both_x),
+        ("square", y_key): F.sum(both_y * both_y),
+        ("product", a, b): F.sum(x * y),
+    }
+
+
+def _absolute_pearson(n: int, x: float, y: float, xx: float, yy: float, xy: float) -> float | None:
+    if not n or n < 2:
+        return None
+    spread = (xx - x * x / n) * (yy - y * y / n)
+    if not math.isfinite(spread) or spread <= 0:
+        return None
+    return min(1.0, abs(xy - x * y / n) / math.sqrt(spread))
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None, above: float = HIGH_CORRELATION) -> DataFrame:

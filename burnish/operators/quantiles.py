@@ -10,10 +10,12 @@ fast the interval shrinks; the counts make the answer exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.columns import c
@@ -21,6 +23,7 @@ from burnish.functions.columns import c
 DIRECT_DISTINCT = 50_000  # distinct values that one ``percentile`` buffer may hold
 GATHER_ROWS = 50_000  # rows that one gathered interval may hold
 SKETCH_SIZE = 8_000  # its rank error is about 0.0005
+PARALLEL_JOBS = 4
 REACH = 0.001  # how far around a rank, as a share of the rows, the pivots lie
 
 
@@ -89,7 +92,13 @@ def exact_quantiles(
                 ranks[name, rank] = Interval(name, None, None, 0, rows[name])
                 pivots[name, rank] = sizes[f"pivots|{name}"][2 * i : 2 * i + 2]
     out = {(n, p): None for n, ps in wanted.items() for p in ps}
-    found = _search(df, ranks, pivots, gather_rows, {n: wanted[n] for n in direct}, out)
+    # Two kinds of aggregate over different columns: apart, each scans its own columns and keeps its own fast path.
+    jobs = [
+        lambda: _direct(df, {n: wanted[n] for n in direct}),
+        lambda: _search(df, ranks, pivots, gather_rows),
+    ]
+    quick, found = parallel(df.sparkSession, jobs) if direct and searched else [job() for job in jobs]
+    out.update(quick)
     for name in searched:
         for p in wanted[name]:
             out[name, p] = _interpolate(rows[name], p, found, name)
@@ -104,6 +113,14 @@ def one_row(df: DataFrame, aggs: Mapping[str, Column]) -> dict[str, object]:
     return dict(zip(aggs, row))
 
 
+def parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
+    """Run independent small-result jobs side by side, so that a cluster is not idle between them."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(PARALLEL_JOBS) as pool:
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
+
+
 def _ranks(rows: int, p: float) -> tuple[int, ...]:
     position = (rows - 1) * p
     return tuple(dict.fromkeys((math.floor(position), math.ceil(position))))
@@ -122,33 +139,31 @@ def _around(interval: Interval, rank: int) -> tuple[float, float]:
     return _sides((rank - interval.below + 0.5) / interval.inside)
 
 
-def _search(df: DataFrame, ranks: dict, pivots: dict, gather_rows: int, direct: Mapping, out: dict) -> dict:
-    """Narrow every rank to a value. ``direct`` columns ride along in the first counting job."""
+def _direct(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], float]:
+    """Quantiles of columns with few distinct values."""
+    aggs = {n: F.percentile(c(n).cast("double"), F.array(*[F.lit(p) for p in ps])) for n, ps in wanted.items()}
+    values = one_row(df, aggs)
+    return {(n, p): v for n, ps in wanted.items() for p, v in zip(ps, values[n])}
+
+
+def _search(df: DataFrame, ranks: Mapping, pivots: Mapping, gather_rows: int) -> dict:
+    """Narrow every rank to a value."""
     ranks = dict(ranks)
-    first = True
     while True:
         open_ranks = {k: v for k, v in ranks.items() if isinstance(v, Interval) and v.inside > gather_rows}
-        if not open_ranks and not (first and direct):
-            break
-        if open_ranks and not first:
-            pivots = _sketch(df, open_ranks)
+        if not open_ranks:
+            return _gather(df, ranks)
+        pivots = pivots or _sketch(df, open_ranks)
         counts: dict[tuple[str, float, str], Column] = {}
         for key in open_ranks:
             value = c(key[0]).cast("double")
             for pivot in pivots[key]:
                 counts[key[0], pivot, "under"] = F.count_if(value < F.lit(pivot))
                 counts[key[0], pivot, "upto"] = F.count_if(value <= F.lit(pivot))
-        if first:
-            for name, ps in direct.items():
-                counts[name, 0.0, "direct"] = F.percentile(c(name).cast("double"), F.array(*[F.lit(p) for p in ps]))
         counted = one_row(df, counts)
-        if first:
-            for name, ps in direct.items():
-                out.update({(name, p): v for p, v in zip(ps, counted[name, 0.0, "direct"])})
         for key, interval in open_ranks.items():
             ranks[key] = _narrow(interval, key[1], pivots[key], counted)
-        first = False
-    return _gather(df, ranks)
+        pivots = {}
 
 
 def _sketch(df: DataFrame, open_ranks: Mapping[tuple[str, int], Interval]) -> dict:

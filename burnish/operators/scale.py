@@ -80,7 +80,7 @@ def _scaled(found: Found, name: str, method: str) -> Column:
         return log1p_floor(value)
     if method == "power_yeo":
         fitted = found.powers[name]
-        return _shifted(yeo_johnson(value, fitted["power"]), fitted["mean"], fitted["std"])
+        return _shifted(yeo_johnson(value, F.lit(fitted["power"])), fitted["mean"], fitted["std"])
     if method == "standard":
         return _shifted(value, found.aggs[f"mean|{name}"], found.aggs[f"std_pop|{name}"])
     if method == "minmax":

@@ -8,20 +8,16 @@ that follows a change of the row set, starts a new round. So the meaning is that
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.columns import c
-from burnish.operators.power import fit_powers
-from burnish.operators.quantiles import exact_quantiles, one_row, size_aggs
+from burnish.operators.power import fit_power
+from burnish.operators.quantiles import exact_quantiles, one_row, parallel, size_aggs
 from burnish.operators.values import Categories, CategoryNeed, fetch_categories, local_frame
 
-PARALLEL_FITS = 4
-
 
 @dataclass(frozen=True)
 class Needs:
@@ -112,29 +108,28 @@ def fit(df: DataFrame, needs: Sequence[Needs]) -> Found:
         categories.update({n.key: n for n in need.categories})
         modes.update(dict.fromkeys(need.modes))
         powers.update(dict.fromkeys(need.powers))
+
+    def numbers() -> tuple[dict, dict]:
+        values = one_row(df, {**aggs, **size_aggs(quantiles)})
+        return {k: values[k] for k in aggs}, exact_quantiles(df, quantiles, values)
+
     jobs: list[Callable[[], object]] = [
+        numbers,
         *[lambda need=need: fetch_categories(df, need) for need in categories.values()],
         *[lambda name=name: mode_of(df, name) for name in modes],
+        *[lambda name=name: fit_power(df, name) for name in powers],
     ]
-    results = parallel(df.sparkSession, jobs)
-    values = one_row(df, {**aggs, **size_aggs(quantiles)})
+    (plain, cuts), *results = parallel(df.sparkSession, jobs)
+    rest = iter(results)
     return Found(
-        aggs={k: values[k] for k in aggs},
-        quantiles=exact_quantiles(df, quantiles, values),
-        categories=dict(zip(categories, results)),
-        modes=dict(zip(modes, results[len(categories) :])),
-        powers=fit_powers(df, list(powers)),
+        aggs=plain,
+        quantiles=cuts,
+        categories={key: next(rest) for key in categories},
+        modes={name: next(rest) for name in modes},
+        powers={name: next(rest) for name in powers},
     )
 
 
-def parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
-    """Run independent small-result jobs side by side, so that a cluster is not idle between them."""
-    if len(jobs) < 2:
-        return [job() for job in jobs]
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
-
-
 def mode_of(df: DataFrame, name: str) -> object:
     """The most frequent value, the smallest one on ties; None without values."""
     counted = df.where(c(name).isNotNull()).groupBy(c(name).alias("v")).agg(F.count("*").alias("n"))

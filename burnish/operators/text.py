@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.columns import c, flag
-from burnish.functions.text import cleaned, first_number, hash_bucket, piece_count, tokens, word_count
+from burnish.functions.text import SHORTEST_TOKEN, cleaned, first_number, hash_bucket, piece_count, tokens, word_count
 from burnish.operators.quantiles import one_row
 from burnish.operators.steps import Found, Note, Outcome, Step, run
 from burnish.operators.values import MAX_CATEGORIES
@@ -89,7 +89,7 @@ def _terms_step(name: str, word: str, n: int, stop_words: Sequence[str] | None,
         late.append(Note("text", name, "done", ", ".join(prefix + t for t in vocabulary[:5])))
         if not vocabulary:
             return df.drop(name)
-        weighted = with_weights(df, name, vocabulary, word == "tfidf", stop_words)
+        weighted = with_weights(df, name, vocabulary, word == "tfidf")
         kept = [c(x) for x in df.columns if x != name]
         return weighted.select(*kept, *[F.col(COUNTS)[i].alias(prefix + t) for i, t in enumerate(vocabulary)])
 
@@ -104,19 +104,18 @@ def top_terms(df: DataFrame, name: str, n: int, stop_words: Sequence[str] | None
     """The n most frequent terms, in term order. Counts are summed per task before the shuffle."""
     if n > MAX_CATEGORIES:
         raise ValueError(f"at most {MAX_CATEGORIES} terms become columns: {n}")
-    words = df.select(F.explode(tokens(c(name).cast("string"), stop_list(stop_words))).alias("term"))
+    words = df.select(F.explode(tokens(c(name).cast("string"))).alias("term"))
+    words = words.where((F.length("term") >= SHORTEST_TOKEN) & ~F.col("term").isin(*stop_list(stop_words)))
     top = words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
     return sorted(r["term"] for r in top.collect())
 
 
-def with_weights(
-    df: DataFrame, name: str, vocabulary: Sequence[str], idf: bool, stop_words: Sequence[str] | None = None
-) -> DataFrame:
+def with_weights(df: DataFrame, name: str, vocabulary: Sequence[str], idf: bool) -> DataFrame:
     """Add the array of term weights per row. A row is weighted by itself, so nothing is shuffled and no id is needed.
 
     With ``idf``: count times ln((1 + N) / (1 + df)) + 1, scaled to unit length over the vocabulary.
     """
-    counted = _count_terms(df, name, vocabulary, stop_words)
+    counted = _count_terms(df, name, vocabulary)
     if not idf:
         whole = F.transform(F.col(COUNTS), lambda x: x.cast("long"))
         return counted.withColumn(COUNTS, whole)
@@ -131,8 +130,9 @@ def with_weights(
     return weighted.withColumn(COUNTS, scaled).drop("__length")
 
 
-def _count_terms(df: DataFrame, name: str, vocabulary: Sequence[str], stop_words: Sequence[str] | None) -> DataFrame:
-    listed = df.withColumn(TERMS, tokens(c(name).cast("string"), stop_list(stop_words)))
+def _count_terms(df: DataFrame, name: str, vocabulary: Sequence[str]) -> DataFrame:
+    """Add the array of counts per row. Stop words and single characters are not in the vocabulary."""
+    listed = df.withColumn(TERMS, tokens(c(name).cast("string")))
     model = CountVectorizerModel.from_vocabulary(list(vocabulary), inputCol=TERMS, outputCol="__vector")
     counted = model.transform(listed).withColumn(COUNTS, vector_to_array("__vector"))
     return counted.drop(TERMS, "__vector")
@@ -146,6 +146,6 @@ def term_weights(
     kept = [c(k) for k in keep]
     if not vocabulary:
         return df.select(*kept, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
-    weighted = with_weights(df.select(*kept, c(name)), name, vocabulary, idf, stop_words)
+    weighted = with_weights(df.select(*kept, c(name)), name, vocabulary, idf)
     pairs = F.arrays_zip(F.lit(list(vocabulary)).alias("term"), F.col(COUNTS).alias("weight"))
     return weighted.select(*kept, F.inline(pairs)).toDF(*keep, "term", "weight").where(F.col("weight") > 0)
