@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import c, is_numeric, numeric_columns, parse_timestamp, percent, text_columns
-from burnish.operators.quantiles import exact_quantiles, one_row
+from burnish.operators.quantiles import exact_quantiles, one_row, parallel
 from burnish.operators.values import cell_counts, local_frame, top_values
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -91,10 +91,15 @@ def sample_rows(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
     return df.orderBy(c(order_by)).limit(n)
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, count, mean, std, min, q1, median, q3, max) of the numeric columns, to four places."""
+def describe_numeric(
+    df: DataFrame, columns: Sequence[str] | None = None, quartile: Mapping[tuple[str, float], float] | None = None
+) -> DataFrame:
+    """(column, count, mean, std, min, q1, median, q3, max) of the numeric columns, to four places.
+
+    Quartiles already known may be handed in.
+    """
     names = list(columns or numeric_columns(df))
-    quartile = exact_quantiles(df, {n: QUARTILES for n in names})
+    quartile = quartile or exact_quantiles(df, {n: QUARTILES for n in names})
     metrics: dict[str, tuple] = {
         "count": (lambda n: F.count(c(n)), "long"),
         "mean": (lambda n: F.round(F.mean(c(n)), 4), "double"),
@@ -107,9 +112,11 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return long_form(df, names, metrics)
 
 
-def outlier_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+def outlier_bounds(
+    df: DataFrame, columns: Sequence[str], quartile: Mapping[tuple[str, float], float] | None = None
+) -> dict[str, tuple[float, float]]:
     """{column: (low, high)} of 1.5 interquartile ranges; columns without spread are left out."""
-    quartile = exact_quantiles(df, {n: (0.25, 0.75) for n in columns})
+    quartile = quartile or exact_quantiles(df, {n: (0.25, 0.75) for n in columns})
     out = {}
     for n in columns:
         q1, q3 = quartile[n, 0.25], quartile[n, 0.75]
@@ -123,9 +130,11 @@ def outside(name: str, bounds: tuple[float, float]) -> Column:
     return (value < F.lit(bounds[0])) | (value > F.lit(bounds[1]))
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def outlier_counts(
+    df: DataFrame, columns: Sequence[str] | None = None, quartile: Mapping[tuple[str, float], float] | None = None
+) -> DataFrame:
     """(column, outliers, outlier_pct) of the numeric columns that have any."""
-    bounds = outlier_bounds(df, list(columns or numeric_columns(df)))
+    bounds = outlier_bounds(df, list(columns or numeric_columns(df)), quartile)
     metrics = {
         "outliers": (lambda n: F.count_if(outside(n, bounds[n])), "long"),
         "outlier_pct": (lambda n: percent(F.count_if(outside(n, bounds[n])), F.count("*")), "double"),
@@ -289,20 +298,38 @@ def drop_suggestions(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, order_by: str | None = None) -> dict[str, DataFrame]:
-    """The whole profile as named small tables, each lazy."""
-    out = {
-        "shape": shape(df),
-        "missing": null_percents(df),
-        "distinct": distinct_counts(df),
-        "numeric": describe_numeric(df),
-        "outliers": outlier_counts(df),
-        "correlations": high_correlations(df),
-        "categories": top_categories(df) if text_columns(df) else None,
-        "lengths": average_lengths(df),
-        "constant": constant_columns(df),
-        "duplicates": duplicate_count(df),
-        "dates": date_candidates(df),
-    }
-    if order_by:
-        out["sample"] = sample_rows(df, order_by)
-    return {name: table for name, table in out.items() if table is not None}
+    """The whole profile as named small tables.
+
+    What several parts need (quartiles, distinct counts) is found once. The jobs do not depend on each other and run
+    side by side; only results of one row per column, or a few per column, reach the driver.
+    """
+    numbers = numeric_columns(df)
+    texts = text_columns(df)
+
+    def numeric() -> dict[str, DataFrame]:
+        quartile = exact_quantiles(df, {n: QUARTILES for n in numbers})
+        return {
+            "numeric": _held(describe_numeric(df, numbers, quartile)),
+            "outliers": _held(outlier_counts(df, numbers, quartile)),
+        }
+
+    def distinct() -> dict[str, DataFrame]:
+        held = _held(distinct_counts(df))
+        return {"distinct": held, "constant": held.where(F.col("distinct") <= 1)}
+
+    jobs = [
+        numeric if numbers else dict,
+        distinct,
+        lambda: {"duplicates": _held(duplicate_count(df))},
+        lambda: {"correlations": high_correlations(df)},
+        lambda: {"shape": _held(shape(df)), "missing": _held(null_percents(df))},
+        lambda: {"categories": _held(top_categories(df)), "lengths": _held(average_lengths(df))} if texts else {},
+        lambda: {"dates": _held(date_candidates(df))},
+        lambda: {"sample": sample_rows(df, order_by)} if order_by else {},
+    ]
+    return {name: part for parts in parallel(df.sparkSession, jobs) for name, part in parts.items()}
+
+
+def _held(part: DataFrame) -> DataFrame:
+    """A small table as the values it has now."""
+    return local_frame(part.sparkSession, part.collect(), part.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from burnish.functions.columns import c, flag
 from burnish.functions.text import SHORTEST_TOKEN, cleaned, first_number, hash_bucket, piece_count, tokens, word_count
-from burnish.operators.quantiles import one_row
+from burnish.operators.quantiles import parallel
 from burnish.operators.steps import Found, Note, Outcome, Step, run
 from burnish.operators.values import MAX_CATEGORIES
 
@@ -86,12 +87,12 @@ def _terms_step(name: str, word: str, n: int, stop_words: Sequence[str] | None,
     def transform(df: DataFrame, found: Found) -> DataFrame:
         vocabulary = top_terms(df, name, n, stop_words)
         prefix = f"{name}_tfidf_" if word == "tfidf" else f"{name}_count_"
-        late.append(Note("text", name, "done", ", ".join(prefix + t for t in vocabulary[:5])))
-        if not vocabulary:
+        late.append(Note("text", name, "done", ", ".join(prefix + t for t in vocabulary.terms[:5])))
+        if not vocabulary.terms:
             return df.drop(name)
         weighted = with_weights(df, name, vocabulary, word == "tfidf")
         kept = [c(x) for x in df.columns if x != name]
-        return weighted.select(*kept, *[F.col(COUNTS)[i].alias(prefix + t) for i, t in enumerate(vocabulary)])
+        return weighted.select(*kept, *[F.col(COUNTS)[i].alias(prefix + t) for i, t in enumerate(vocabulary.terms)])
 
     return Step(fit_reads=one, reads=one, writes=one, transform=transform, opens_columns=True)
 
@@ -100,33 +101,47 @@ def stop_list(stop_words: Sequence[str] | None) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
 
 
-def top_terms(df: DataFrame, name: str, n: int, stop_words: Sequence[str] | None = None) -> list[str]:
-    """The n most frequent terms, in term order. Counts are summed per task before the shuffle."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """The chosen terms in term order, the rows that hold each, and the rows of the table."""
+
+    terms: tuple[str, ...]
+    rows_with: tuple[int, ...]
+    rows: int
+
+    def idf(self) -> list[float]:
+        return [math.log((1 + self.rows) / (1 + n)) + 1 for n in self.rows_with]
+
+
+def top_terms(df: DataFrame, name: str, n: int, stop_words: Sequence[str] | None = None) -> Vocabulary:
+    """The n most frequent terms. One pass counts uses and rows per term, summed per task before the shuffle."""
     if n > MAX_CATEGORIES:
         raise ValueError(f"at most {MAX_CATEGORIES} terms become columns: {n}")
-    words = df.select(F.explode(tokens(c(name).cast("string"))).alias("term"))
+    listed = df.select(tokens(c(name).cast("string")).alias("all"))
+    twice = listed.select(F.posexplode(F.array("all", F.array_distinct("all"))).alias("once", "some"))
+    words = twice.select("once", F.explode("some").alias("term"))
     words = words.where((F.length("term") >= SHORTEST_TOKEN) & ~F.col("term").isin(*stop_list(stop_words)))
-    top = words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
-    return sorted(r["term"] for r in top.collect())
+    counted = words.groupBy("term").agg(
+        F.count_if(F.col("once") == 0).alias("uses"), F.count_if(F.col("once") == 1).alias("rows")
+    )
+    top = counted.orderBy(F.desc("uses"), "term").limit(n)
+    found, rows = parallel(df.sparkSession, [top.collect, df.count])
+    found = sorted(found, key=lambda r: r["term"])
+    return Vocabulary(tuple(r["term"] for r in found), tuple(r["rows"] for r in found), rows)
 
 
-def with_weights(df: DataFrame, name: str, vocabulary: Sequence[str], idf: bool) -> DataFrame:
+def with_weights(df: DataFrame, name: str, vocabulary: Vocabulary, idf: bool) -> DataFrame:
     """Add the array of term weights per row. A row is weighted by itself, so nothing is shuffled and no id is needed.
 
     With ``idf``: count times ln((1 + N) / (1 + df)) + 1, scaled to unit length over the vocabulary.
     """
-    counted = _count_terms(df, name, vocabulary)
+    counted = _count_terms(df, name, vocabulary.terms)
     if not idf:
-        whole = F.transform(F.col(COUNTS), lambda x: x.cast("long"))
-        return counted.withColumn(COUNTS, whole)
-    seen = {str(i): F.count_if(F.col(COUNTS)[i] > 0) for i in range(len(vocabulary))}
-    values = one_row(counted, {"rows": F.count("*"), **seen})
-    weights = [math.log((1 + values["rows"]) / (1 + values[str(i)])) + 1 for i in range(len(vocabulary))]
-    raw = F.zip_with(F.col(COUNTS), F.lit(weights), lambda x, w: x * w)
-    weighted = counted.withColumn(COUNTS, raw)
-    length = F.sqrt(F.aggregate(F.col(COUNTS), F.lit(0.0), lambda total, x: total + x * x))
+        return counted.withColumn(COUNTS, F.transform(COUNTS, lambda x: x.cast("long")))
+    weighted = counted.withColumn(COUNTS, F.zip_with(COUNTS, F.lit(vocabulary.idf()), lambda x, w: x * w))
+    length = F.sqrt(F.aggregate(COUNTS, F.lit(0.0), lambda total, x: total + x * x))
     weighted = weighted.withColumn("__length", length)
-    scaled = F.transform(F.col(COUNTS), lambda x: F.when(F.col("__length") > 0, x / F.col("__length")).otherwise(0.0))
+    scaled = F.transform(COUNTS, lambda x: F.when(F.col("__length") > 0, x / F.col("__length")).otherwise(0.0))
     return weighted.withColumn(COUNTS, scaled).drop("__length")
 
 
@@ -144,8 +159,8 @@ def term_weights(
     """Long form: the kept columns, term and weight, for the terms that a row has."""
     vocabulary = top_terms(df, name, n, stop_words)
     kept = [c(k) for k in keep]
-    if not vocabulary:
+    if not vocabulary.terms:
         return df.select(*kept, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
     weighted = with_weights(df.select(*kept, c(name)), name, vocabulary, idf)
-    pairs = F.arrays_zip(F.lit(list(vocabulary)).alias("term"), F.col(COUNTS).alias("weight"))
+    pairs = F.arrays_zip(F.lit(list(vocabulary.terms)).alias("term"), F.col(COUNTS).alias("weight"))
     return weighted.select(*kept, F.inline(pairs)).toDF(*keep, "term", "weight").where(F.col("weight") > 0)

@@ -74,7 +74,7 @@ PLAN_SQL = f"""with {RAW_SQL},
 
 @query("g1_end_to_end", PLAN_SQL)
 def end_to_end(spark, sf_dir):
-    return rounded(prepare(raw_orders(spark, sf_dir), Plan.from_dict(PLAN)).df, MEASURES)
+    return rounded(prepare(raw_orders(spark, sf_dir), Plan.from_dict(PLAN), materialize=True).df, MEASURES)
 
 
 @query(
