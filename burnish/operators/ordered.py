@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import NUMERIC, TEMPORAL, c, type_of, wall_micros
+from burnish.operators.quantiles import sketched_quantiles
 
 FILLS = ("ffill", "bfill", "interpolate")
 RANGE_ROWS = 2_000_000
 SMALL_RANGE_ROWS = 1_000  # below this a range is not worth a task
-MAX_RANGES = 20_000
+MAX_RANGES = 10_000
+MIN_SKETCH, MAX_SKETCH = 2_000, 65_535  # sketch sizes for choosing the edges; the larger the more even the ranges
 KEY, RANGE, PLACE, START = "__key", "__range", "__place", "__start"
 
 
@@ -48,7 +50,8 @@ def with_ranges(df: DataFrame, order_by: str, ranges: int | None = None) -> Data
     inner: list[float] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        inner = keyed.agg(F.percentile_approx(KEY, shares, max(10_000, 20 * ranges))).first()[0] or []
+        size = min(MAX_SKETCH, max(MIN_SKETCH, 8 * ranges))
+        inner = sketched_quantiles(keyed.select(KEY), {KEY: F.col(KEY)}, {KEY: shares}, size)[KEY] or []
     edges = sorted({e for e in inner if math.isfinite(e)})
     if not edges:
         return keyed.withColumn(RANGE, F.lit(0)).drop(KEY)

@@ -21,6 +21,7 @@ OUTLIER_REACH = 1.5
 HIGH_CORRELATION = 0.9
 DROP_CORRELATION = 0.95
 TOP_VALUES = 10
+MAX_REPEATED = 1_000_000  # hashes of repeated rows that may be broadcast: 8 MB
 
 
 def long_form(df: DataFrame, columns: Sequence[str], metrics: Mapping[str, tuple]) -> DataFrame:
@@ -215,8 +216,21 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(duplicates): rows after the first one of each key."""
-    groups = duplicate_groups(df, columns or df.columns)
+    """(duplicates): rows after the first one of each key.
+
+    First only 64-bit hashes of the keys are grouped, which is a small part of the data. Rows whose hash occurs once
+    have no copy. The others are compared by their real values; if their hashes are too many to broadcast, all rows
+    are grouped by value instead.
+    """
+    names = list(columns or df.columns)
+    hashed = df.withColumn("__hash", F.xxhash64(*[c(n) for n in names]))
+    repeated = hashed.groupBy("__hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("__hash")
+    found = repeated.limit(MAX_REPEATED + 1).toPandas()["__hash"]
+    rows = df
+    if len(found) <= MAX_REPEATED:
+        suspects = local_frame(df.sparkSession, [(int(h),) for h in found], "__hash long")
+        rows = hashed.join(F.broadcast(suspects), "__hash", "left_semi")
+    groups = duplicate_groups(rows, names)
     return groups.agg(F.coalesce(F.sum(F.col("__rows") - 1), F.lit(0)).alias("duplicates"))
 
 

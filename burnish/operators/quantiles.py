@@ -1,10 +1,10 @@
 """Exact quantiles with linear interpolation, for any number of rows.
 
-``percentile`` keeps a map of all distinct values in one buffer, which fits a column of few distinct values at any
-row count but not a wide one. A column with many distinct values is therefore narrowed instead: a small sketch
-proposes two pivots around each wanted rank, one aggregate counts exactly how many rows lie below them, and this
-repeats inside the interval until so few rows are left that one buffer may hold them. The sketch decides only how
-fast the interval shrinks; the counts make the answer exact.
+``percentile`` keeps a map of all distinct values in one buffer. A column of few distinct values is first counted per
+value, by a shuffle, and only the counts reach that buffer. A column with many is narrowed instead: a sketch proposes
+two pivots around each wanted rank, one aggregate counts exactly how many rows lie below them, and this repeats inside
+the interval until so few rows are left that one buffer may hold them. The sketch decides only how fast the interval
+shrinks; the counts make the answer exact.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from burnish.functions.columns import c
 
 DIRECT_DISTINCT = 50_000  # distinct values that one ``percentile`` buffer may hold
-GATHER_ROWS = 50_000  # rows that one gathered interval may hold
-SKETCH_SIZE = 8_000  # its rank error is about 0.0005
+GATHER_ROWS = 200_000  # rows that one gathered interval may hold
+SKETCH_SIZE = 4_000  # its rank error is about 0.001
+REACH = 0.002  # how far around a rank, as a share of the rows, the pivots lie
+MERGE_GROUPS = 256  # tasks that merge sketches before the last one does
 PARALLEL_JOBS = 4
-REACH = 0.001  # how far around a rank, as a share of the rows, the pivots lie
 
 
 @dataclass(frozen=True)
@@ -47,26 +48,15 @@ class Interval:
 
 
 def size_aggs(wanted: Mapping[str, Sequence[float]]) -> dict[str, Column]:
-    """What the first pass has to know of each column; the caller may add it to an aggregate of its own."""
+    """What has to be known of each column first; the caller may add it to an aggregate of its own."""
     out = {}
-    for name, ps in wanted.items():
+    for name in wanted:
         value = c(name).cast("double")
         out[f"rows|{name}"] = F.count(value)
         out[f"distinct|{name}"] = F.approx_count_distinct(value)
-        out[f"pivots|{name}"] = _sketched(value, [side for p in ps for side in _sides(p)])
     return out
 
 
-def _sides(share: float) -> tuple[float, float]:
-    return max(0.0, share - REACH), min(1.0, share + REACH)
-
-
-def _sketched(value: Column, shares: Sequence[float]) -> Column:
-    """Approximate quantiles; NULL where there is no value."""
-    sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
-    return F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(s) for s in shares])))
-
-
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
@@ -85,17 +75,15 @@ def exact_quantiles(
     searched = [n for n in wanted if rows[n] and n not in direct]
 
     ranks: dict[tuple[str, int], Interval | float] = {}
-    pivots: dict[tuple[str, int], Sequence[float]] = {}
     for name in searched:
-        for i, p in enumerate(wanted[name]):
+        for p in wanted[name]:
             for rank in _ranks(rows[name], p):
                 ranks[name, rank] = Interval(name, None, None, 0, rows[name])
-                pivots[name, rank] = sizes[f"pivots|{name}"][2 * i : 2 * i + 2]
     out = {(n, p): None for n, ps in wanted.items() for p in ps}
     # Two kinds of aggregate over different columns: apart, each scans its own columns and keeps its own fast path.
     jobs = [
         lambda: _direct(df, {n: wanted[n] for n in direct}),
-        lambda: _search(df, ranks, pivots, gather_rows),
+        lambda: _search(df, ranks, gather_rows),
     ]
     quick, found = parallel(df.sparkSession, jobs) if direct and searched else [job() for job in jobs]
     out.update(quick)
@@ -134,26 +122,26 @@ def _interpolate(rows: int, p: float, found: Mapping, name: str) -> float:
     return (math.ceil(position) - position) * low + (position - math.floor(position)) * high
 
 
-def _around(interval: Interval, rank: int) -> tuple[float, float]:
-    """Two probabilities around the rank, as shares of the rows inside the interval."""
-    return _sides((rank - interval.below + 0.5) / interval.inside)
-
-
 def _direct(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], float]:
-    """Quantiles of columns with few distinct values."""
-    aggs = {n: F.percentile(c(n).cast("double"), F.array(*[F.lit(p) for p in ps])) for n, ps in wanted.items()}
-    values = one_row(df, aggs)
-    return {(n, p): v for n, ps in wanted.items() for p, v in zip(ps, values[n])}
+    """Quantiles of columns with few distinct values, from the rows per value."""
+    if not wanted:
+        return {}
+    shares = list(dict.fromkeys(p for ps in wanted.values() for p in ps))
+    cells = df.select(*[c(n).cast("double").alias(n) for n in wanted]).unpivot([], [c(n) for n in wanted], "column", "value")
+    counted = cells.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+    cuts = F.percentile("value", F.array(*[F.lit(p) for p in shares]), F.col("n")).alias("cuts")
+    found = {r["column"]: dict(zip(shares, r["cuts"])) for r in counted.groupBy("column").agg(cuts).collect()}
+    return {(n, p): found[n][p] for n, ps in wanted.items() for p in ps}
 
 
-def _search(df: DataFrame, ranks: Mapping, pivots: Mapping, gather_rows: int) -> dict:
+def _search(df: DataFrame, ranks: Mapping, gather_rows: int) -> dict:
     """Narrow every rank to a value."""
     ranks = dict(ranks)
     while True:
         open_ranks = {k: v for k, v in ranks.items() if isinstance(v, Interval) and v.inside > gather_rows}
         if not open_ranks:
             return _gather(df, ranks)
-        pivots = pivots or _sketch(df, open_ranks)
+        pivots = _pivots(df, open_ranks)
         counts: dict[tuple[str, float, str], Column] = {}
         for key in open_ranks:
             value = c(key[0]).cast("double")
@@ -163,25 +151,41 @@ def _search(df: DataFrame, ranks: Mapping, pivots: Mapping, gather_rows: int) ->
         counted = one_row(df, counts)
         for key, interval in open_ranks.items():
             ranks[key] = _narrow(interval, key[1], pivots[key], counted)
-        pivots = {}
 
 
-def _sketch(df: DataFrame, open_ranks: Mapping[tuple[str, int], Interval]) -> dict:
-    """New pivots inside the intervals; ranks that share an interval share its sketch."""
-    aggs = {}
+def _pivots(df: DataFrame, open_ranks: Mapping[tuple[str, int], Interval]) -> dict:
+    """Two values around each rank, out of its interval; ranks that share an interval share its sketch."""
+    values, shares = {}, {}
     for interval in dict.fromkeys(open_ranks.values()):
-        shares = [s for key, held in open_ranks.items() if held == interval for s in _around(interval, key[1])]
         value = c(interval.column).cast("double")
-        aggs[interval] = _sketched(F.when(interval.holds(value), value), shares)
-    values = one_row(df, aggs)
+        values[interval] = F.when(interval.holds(value), value)
+        held = [key for key, other in open_ranks.items() if other == interval]
+        middles = [(rank - interval.below + 0.5) / interval.inside for _, rank in held]
+        shares[interval] = [side for m in middles for side in (max(0.0, m - REACH), min(1.0, m + REACH))]
+    found = sketched_quantiles(df, values, shares)
     out = {}
-    for interval in aggs:
-        mine = [key for key, held in open_ranks.items() if held == interval]
-        for i, key in enumerate(mine):
-            out[key] = values[interval][2 * i : 2 * i + 2]
+    for interval in values:
+        held = [key for key, other in open_ranks.items() if other == interval]
+        out.update({key: found[interval][2 * i : 2 * i + 2] for i, key in enumerate(held)})
     return out
 
 
+def sketched_quantiles(
+    df: DataFrame, values: Mapping[object, Column], shares: Mapping[object, Sequence[float]], size: int = SKETCH_SIZE
+) -> dict[object, list[float]]:
+    """Approximate quantiles of expressions. Sketches of all tasks would be too much for one task to merge, so they
+    are merged in groups first."""
+    names = {key: f"s{i}" for i, key in enumerate(values)}
+    group = (F.spark_partition_id() % MERGE_GROUPS).alias("group")
+    parts = df.groupBy(group).agg(
+        *[F.kll_sketch_agg_double(v, F.lit(size)).alias(names[k]) for k, v in values.items()],
+        *[F.count(v).alias("n" + names[k]) for k, v in values.items()],
+    )
+    merged = {k: F.kll_merge_agg_double(F.when(F.col("n" + n) > 0, F.col(n))) for k, n in names.items()}
+    some = {k: F.sum("n" + n) > 0 for k, n in names.items()}
+    return one_row(parts, {k: F.when(some[k], F.kll_sketch_get_quantile_double(merged[k], F.lit(list(shares[k])))) for k in values})
+
+
 def _narrow(interval: Interval, rank: int, pivots: Sequence[float], counted: Mapping) -> Interval | float:
     """The part of the interval that holds the rank; a pivot that is the answer ends the search.
 
