@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from burnish.functions.columns import c, is_numeric, numeric_columns
 from burnish.operators.columns import split_names
 from burnish.operators.profile import constant_columns, duplicate_count
-from burnish.operators.quantiles import one_row
+from burnish.operators.quantiles import one_row, parallel
 from burnish.operators.values import local_frame
 
 CHECKS = (
@@ -60,7 +60,9 @@ def run_checks(df: DataFrame, checks: Mapping[str, object]) -> list[Check]:
         aggs["rows"] = F.count("*")
     if "no_infinite" in wanted:
         aggs.update({f"infinite|{n}": _infinite(n) for n in numeric_columns(df)})
-    values = one_row(df, aggs)
+    jobs = [lambda: one_row(df, aggs), lambda: duplicate_count(df).first()[0] if "no_duplicates" in wanted else None]
+    values, duplicates = parallel(df.sparkSession, jobs)
+    values = {**values, "duplicates": duplicates}
     return [_check(df, name, value, values, target) for name, value in wanted.items()]
 
 
@@ -82,8 +84,7 @@ def _check(df: DataFrame, name: str, wanted: object, values: Mapping, target: ob
         bad = {n: p for n, p in percents.items() if p > float(wanted)}
         return Check(name, not bad, _listed(bad))
     if name == "no_duplicates":
-        duplicates = duplicate_count(df).first()[0]
-        return Check(name, duplicates == 0, f"duplicates={duplicates}")
+        return Check(name, values["duplicates"] == 0, f"duplicates={values['duplicates']}")
     if name == "min_rows":
         return Check(name, values["rows"] >= int(wanted), f"expected={wanted}, actual={values['rows']}")
     if name == "expected_columns":
@@ -136,10 +137,13 @@ def degenerate_features(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def quality_gate(before: DataFrame, after: DataFrame, checks: Mapping[str, object]) -> DataFrame:
     """(verdict, failed, issues): PASS only if every critical check passes."""
-    results = run_checks(after, checks)
-    loss = row_loss(before, after).first()
+    jobs = [
+        lambda: run_checks(after, checks),
+        lambda: row_loss(before, after).first(),
+        lambda: sorted(r["column"] for r in degenerate_features(before, after).collect()),
+    ]
+    results, loss, flat = parallel(after.sparkSession, jobs)
     results.append(Check("row_loss", loss["passed"], f"lost_pct={loss['lost_pct']}"))
-    flat = sorted(r["column"] for r in degenerate_features(before, after).collect())
     results.append(Check("degenerate_features", not flat, ", ".join(flat)))
     failed = [r for r in results if not r.passed]
     verdict = "FAIL" if any(r.name in CRITICAL for r in failed) else "PASS"
