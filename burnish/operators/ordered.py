@@ -8,6 +8,7 @@ aggregate per range and joined to the rows. The table of ranges has at most ``MA
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.ml.feature import Bucketizer
@@ -52,6 +53,7 @@ def with_ranges(df: DataFrame, order_by: str, ranges: int | None = None) -> Data
         shares = [i / ranges for i in range(1, ranges)]
         size = min(MAX_SKETCH, max(MIN_SKETCH, 8 * ranges))
         inner = sketched_quantiles(keyed.select(KEY), {KEY: F.col(KEY)}, {KEY: shares}, size)[KEY] or []
+        _refuse_hot_key(keyed, inner, order_by, ranges)
     edges = sorted({e for e in inner if math.isfinite(e)})
     if not edges:
         return keyed.withColumn(RANGE, F.lit(0)).drop(KEY)
@@ -60,6 +62,18 @@ def with_ranges(df: DataFrame, order_by: str, ranges: int | None = None) -> Data
     return cutter.transform(keyed).withColumn(RANGE, F.col(RANGE).cast("int")).drop(KEY)
 
 
+def _refuse_hot_key(keyed: DataFrame, edges: list[float], order_by: str, ranges: int) -> None:
+    """Many rows of one key have no order among them, and no range could be cut between them."""
+    counted = Counter(edges)
+    repeated = sorted(e for e, n in counted.items() if n > 2)
+    if not repeated:
+        return
+    same = keyed.where(F.col(KEY).isin(*repeated)).groupBy(KEY).count().agg(F.max("count")).first()[0]
+    rows = keyed.count()
+    if same > max(2, 2 * rows / ranges):
+        raise ValueError(f"order_by must tell rows apart: {same} of {rows} rows share one value of {order_by}")
+
+
 def ordered_fill(df: DataFrame, fills: Mapping[str, str], order_by: str, ranges: int | None = None) -> DataFrame:
     """Fill several columns in one pass over the order: one shuffle by range, then sorts within the ranges."""
     for how in fills.values():

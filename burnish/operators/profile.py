@@ -21,6 +21,7 @@ OUTLIER_REACH = 1.5
 HIGH_CORRELATION = 0.9
 DROP_CORRELATION = 0.95
 TOP_VALUES = 10
+KEPT_TEXT = 32  # characters; an md5 digest has as many
 MAX_REPEATED = 1_000_000  # hashes of repeated rows that may be broadcast: 8 MB
 
 
@@ -76,12 +77,20 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approxi
     names = list(columns or df.columns)
     if approximate:
         return long_form(df, names, {"distinct": (lambda n: F.approx_count_distinct(c(n)), "long")})
-    counted = cell_counts(df, names).groupBy("column").agg(F.count("*").alias("distinct"))
+    short = df.select(*[_short(df, n).alias(n) for n in names])
+    counted = cell_counts(short, names).groupBy("column").agg(F.count("*").alias("distinct"))
     listed = local_frame(df.sparkSession, [(n,) for n in names], "column string")
     joined = listed.join(counted, "column", "left")
     return joined.select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
+def _short(df: DataFrame, name: str) -> Column:
+    """A long text as its digest, so that counting texts does not move them. Digests are longer than any kept text."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return c(name)
+    return F.when(F.length(c(name)) <= KEPT_TEXT, c(name)).otherwise(F.concat(F.lit("#"), F.md5(c(name).cast("binary"))))
+
+
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with at most one value."""
     return distinct_counts(df).where(F.col("distinct") <= 1)

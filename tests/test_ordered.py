@@ -53,6 +53,12 @@ def test_order_of_text_is_refused(spark):
         ordered_fill(df, {"v": "ffill"}, "id")
 
 
+def test_a_key_shared_by_a_third_of_the_rows_is_refused(spark):
+    df = spark.range(9_000).selectExpr("case when id % 3 = 0 then 500 else id end as id", "cast(null as double) as v")
+    with pytest.raises(ValueError, match="tell rows apart"):
+        ordered_fill(df, {"v": "ffill"}, "id", 10)
+
+
 def test_no_task_sorts_the_whole_table(spark, plan_of):
     df = spark.range(5_000).selectExpr("id", "case when id % 3 = 0 then id end as v")
     text = plan_of(ordered_fill(df, {"v": "ffill"}, "id", 8))

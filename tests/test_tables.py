@@ -80,6 +80,11 @@ def test_distinct_counts_are_summed_before_the_shuffle(spark, plan_of):
     assert "Expand" in text and "partial_count" in text
 
 
+def test_long_texts_are_counted_by_digest(spark):
+    df = spark.range(60).selectExpr("concat(repeat('x', 100), id % 7) as long", "concat('k', id % 5) as short")
+    assert {n: r["distinct"] for n, r in by_column(p.distinct_counts(df)).items()} == {"long": 7, "short": 5}
+
+
 def checks(df, **wanted):
     return {r["check_name"]: (r["passed"], r["detail"]) for r in validate(df, wanted).collect()}
 
