@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from burnish.functions.columns import c, flag
 from burnish.functions.text import SHORTEST_TOKEN, cleaned, first_number, hash_bucket, piece_count, tokens, word_count
-from burnish.operators.quantiles import parallel
 from burnish.operators.steps import Found, Note, Outcome, Step, run
 from burnish.operators.values import MAX_CATEGORIES
 
@@ -22,6 +21,7 @@ METHODS = (
     "clean_and_keep", "hash", "drop",
 )
 TERMS, COUNTS = "__terms", "__counts"
+SPREAD_ROWS = 2_000  # fewer rows are not worth a shuffle
 
 
 def text_features(df: DataFrame, configs: Mapping[str, str], stop_words: Sequence[str] | None = None) -> Outcome:
@@ -103,11 +103,12 @@ def stop_list(stop_words: Sequence[str] | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The chosen terms in term order, the rows that hold each, and the rows of the table."""
+    """The chosen terms in term order, the rows that hold each, the rows of the table, and how to spread them."""
 
     terms: tuple[str, ...]
     rows_with: tuple[int, ...]
     rows: int
+    spread_over: int | None = None
 
     def idf(self) -> list[float]:
         return [math.log((1 + self.rows) / (1 + n)) + 1 for n in self.rows_with]
@@ -117,17 +118,32 @@ def top_terms(df: DataFrame, name: str, n: int, stop_words: Sequence[str] | None
     """The n most frequent terms. One pass counts uses and rows per term, summed per task before the shuffle."""
     if n > MAX_CATEGORIES:
         raise ValueError(f"at most {MAX_CATEGORIES} terms become columns: {n}")
-    listed = df.select(tokens(c(name).cast("string")).alias("all"))
+    rows, spread_over = _layout(df)
+    listed = _spread(df.select(c(name)), spread_over).select(tokens(c(name).cast("string")).alias("all"))
     twice = listed.select(F.posexplode(F.array("all", F.array_distinct("all"))).alias("once", "some"))
     words = twice.select("once", F.explode("some").alias("term"))
     words = words.where((F.length("term") >= SHORTEST_TOKEN) & ~F.col("term").isin(*stop_list(stop_words)))
     counted = words.groupBy("term").agg(
         F.count_if(F.col("once") == 0).alias("uses"), F.count_if(F.col("once") == 1).alias("rows")
     )
-    top = counted.orderBy(F.desc("uses"), "term").limit(n)
-    found, rows = parallel(df.sparkSession, [top.collect, df.count])
-    found = sorted(found, key=lambda r: r["term"])
-    return Vocabulary(tuple(r["term"] for r in found), tuple(r["rows"] for r in found), rows)
+    found = sorted(counted.orderBy(F.desc("uses"), "term").limit(n).collect(), key=lambda r: r["term"])
+    return Vocabulary(tuple(r["term"] for r in found), tuple(r["rows"] for r in found), rows, spread_over)
+
+
+def _layout(df: DataFrame) -> tuple[int, int | None]:
+    """Rows of the table, and over how many tasks to spread them if they lie in fewer than half as many as could run.
+
+    Cutting text into words is bound by the processor. A source that cannot be split, such as one large compressed
+    file, would leave most of the cluster idle; a source of many splits is left as it is.
+    """
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    parts, rows = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return rows, cores if parts * 2 <= cores and rows >= SPREAD_ROWS else None
+
+
+def _spread(df: DataFrame, over: int | None) -> DataFrame:
+    return df.repartition(over) if over else df
 
 
 def with_weights(df: DataFrame, name: str, vocabulary: Vocabulary, idf: bool) -> DataFrame:
@@ -135,7 +151,7 @@ def with_weights(df: DataFrame, name: str, vocabulary: Vocabulary, idf: bool) ->
 
     With ``idf``: count times ln((1 + N) / (1 + df)) + 1, scaled to unit length over the vocabulary.
     """
-    counted = _count_terms(df, name, vocabulary.terms)
+    counted = _count_terms(_spread(df, vocabulary.spread_over), name, vocabulary.terms)
     if not idf:
         return counted.withColumn(COUNTS, F.transform(COUNTS, lambda x: x.cast("long")))
     weighted = counted.withColumn(COUNTS, F.zip_with(COUNTS, F.lit(vocabulary.idf()), lambda x, w: x * w))
