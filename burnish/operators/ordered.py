@@ -38,14 +38,16 @@ def order_value(df: DataFrame, order_by: str) -> Column:
         value = wall_micros(c(order_by).cast("timestamp_ntz")).cast("double")
     else:
         raise ValueError(f"order_by must be a number, date or timestamp: {order_by}")
-    return F.coalesce(value, F.lit(float("-inf")))
+    return value
 
 
 def with_ranges(df: DataFrame, order_by: str, ranges: int | None = None) -> DataFrame:
     """Add the range number of each row. The edges are fixed here, so a repeated task assigns the same range."""
     keyed = df.withColumn(KEY, order_value(df, order_by))
+    rows, filled = keyed.agg(F.count("*"), F.count(KEY)).first()
+    if filled < rows:
+        raise ValueError(f"order_by must be filled in every row: {rows - filled} values of {order_by} are missing")
     if ranges is None:
-        rows = df.count()
         workers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(MAX_RANGES, max(math.ceil(rows / RANGE_ROWS), min(workers, math.ceil(rows / SMALL_RANGE_ROWS))))
     inner: list[float] = []
@@ -53,7 +55,7 @@ def with_ranges(df: DataFrame, order_by: str, ranges: int | None = None) -> Data
         shares = [i / ranges for i in range(1, ranges)]
         size = min(MAX_SKETCH, max(MIN_SKETCH, 8 * ranges))
         inner = sketched_quantiles(keyed.select(KEY), {KEY: F.col(KEY)}, {KEY: shares}, size)[KEY] or []
-        _refuse_hot_key(keyed, inner, order_by, ranges)
+        _refuse_hot_key(keyed, inner, order_by, rows, ranges)
     edges = sorted({e for e in inner if math.isfinite(e)})
     if not edges:
         return keyed.withColumn(RANGE, F.lit(0)).drop(KEY)
@@ -62,46 +64,63 @@ def with_ranges(df: DataFrame, order_by: str, ranges: int | None = None) -> Data
     return cutter.transform(keyed).withColumn(RANGE, F.col(RANGE).cast("int")).drop(KEY)
 
 
-def _refuse_hot_key(keyed: DataFrame, edges: list[float], order_by: str, ranges: int) -> None:
+def _refuse_hot_key(keyed: DataFrame, edges: list[float], order_by: str, rows: int, ranges: int) -> None:
     """Many rows of one key have no order among them, and no range could be cut between them."""
     counted = Counter(edges)
     repeated = sorted(e for e, n in counted.items() if n > 2)
     if not repeated:
         return
     same = keyed.where(F.col(KEY).isin(*repeated)).groupBy(KEY).count().agg(F.max("count")).first()[0]
-    rows = keyed.count()
     if same > max(2, 2 * rows / ranges):
         raise ValueError(f"order_by must tell rows apart: {same} of {rows} rows share one value of {order_by}")
 
 
 def ordered_fill(df: DataFrame, fills: Mapping[str, str], order_by: str, ranges: int | None = None) -> DataFrame:
-    """Fill several columns in one pass over the order: one shuffle by range, then sorts within the ranges."""
+    """Fill several columns in one pass over the order: one shuffle by range, then sorts within the ranges.
+
+    The key has to be filled and to tell rows apart.
+    """
     for how in fills.values():
         if how not in FILLS:
             raise ValueError(f"unknown ordered fill: {how}")
     placed = "interpolate" in fills.values()
     ranged = with_ranges(df, order_by, ranges)
     key = c(order_by)
-    up = Window.partitionBy(RANGE).orderBy(key.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(RANGE).orderBy(key.desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.join(F.broadcast(_handed_over(ranged, fills, F.struct(key))), RANGE)
-    if placed:
-        rows = rows.withColumn(PLACE, F.col(START) + F.row_number().over(up))
+    up = Window.partitionBy(RANGE).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(RANGE).orderBy(key.desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+    # Within the ranges; what comes from other ranges is joined afterwards, so that it is not shuffled.
+    rows = ranged.withColumn(PLACE, F.row_number().over(up)) if placed else ranged
+    inside: dict[str, Column] = {}
+    for i, (name, how) in enumerate(fills.items()):
+        value = c(name)
+        if how == "interpolate":
+            value = F.when(c(name).isNotNull(), _point(F.col(PLACE), c(name)))
+        if how != "bfill":
+            inside[f"__earlier{i}"] = F.last(value, True).over(up)
+        if how != "ffill":
+            inside[f"__later{i}"] = F.last(value, True).over(down)
+    rows = rows.withColumns(inside).join(F.broadcast(_handed_over(ranged, fills, key)), RANGE, "left")
+
     filled: dict[str, Column] = {}
     for i, (name, how) in enumerate(fills.items()):
         if how == "ffill":
-            filled[name] = F.coalesce(F.last(c(name), True).over(up), F.col(f"__before{i}"))
+            filled[name] = F.coalesce(F.col(f"__earlier{i}"), F.col(f"__before{i}"))
         elif how == "bfill":
-            filled[name] = F.coalesce(F.last(c(name), True).over(down), F.col(f"__after{i}"))
+            filled[name] = F.coalesce(F.col(f"__later{i}"), F.col(f"__after{i}"))
         else:
-            point = F.when(c(name).isNotNull(), _point(F.col(PLACE), c(name)))
-            earlier = F.coalesce(F.last(point, True).over(up), F.col(f"__before{i}"))
-            later = F.coalesce(F.last(point, True).over(down), F.col(f"__after{i}"))
+            earlier = F.coalesce(_moved(f"__earlier{i}"), F.col(f"__before{i}"))
+            later = F.coalesce(_moved(f"__later{i}"), F.col(f"__after{i}"))
             rows = rows.withColumns({f"__earlier{i}": earlier, f"__later{i}": later})
-            filled[name] = _on_line(F.col(PLACE), F.col(f"__earlier{i}"), F.col(f"__later{i}"))
+            filled[name] = _on_line(F.col(START) + F.col(PLACE), F.col(f"__earlier{i}"), F.col(f"__later{i}"))
     return rows.select(*[filled[n].alias(n) if n in filled else c(n) for n in df.columns])
 
 
+def _moved(point: str) -> Column:
+    """A point of its range as a point of the whole table."""
+    return F.when(F.col(point).isNotNull(), _point(F.col(START) + F.col(point)["place"], F.col(point)["value"]))
+
+
 def _point(place: Column, value: Column) -> Column:
     return F.struct(place.cast("long").alias("place"), value.cast("double").alias("value"))
 
@@ -128,7 +147,7 @@ def _handed_over(ranged: DataFrame, fills: Mapping[str, str], key: Column) -> Da
             *[F.min(present[n]).alias(f"__low{i}") for i, n in lines],
             *[F.max(present[n]).alias(f"__high{i}") for i, n in lines],
         )
-        ranged = ranged.join(F.broadcast(ends), RANGE)
+        ranged = ranged.join(F.broadcast(ends), RANGE, "left")
     aggs = [F.count("*").alias("__rows")]
     for i, (name, how) in fillings:
         first, last = F.min_by(c(name), present[name]), F.max_by(c(name), present[name])
@@ -142,12 +161,7 @@ def _handed_over(ranged: DataFrame, fills: Mapping[str, str], key: Column) -> Da
     after = Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn(START, F.coalesce(F.sum("__rows").over(before), F.lit(0)))
     for i, _ in lines:
-        edges = edges.withColumns(
-            {
-                side: F.when(F.col(side).isNotNull(), _point(F.col(START) + F.col(side)["place"], F.col(side)["value"]))
-                for side in (f"__first{i}", f"__last{i}")
-            }
-        )
+        edges = edges.withColumns({side: _moved(side) for side in (f"__first{i}", f"__last{i}")})
     return edges.select(
         RANGE,
         START,

@@ -16,22 +16,26 @@ SETTINGS = {
 }
 
 
-def checkpoint_root(spark: SparkSession) -> str:
+def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: the one the session names, or a temporary one where it names none."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="burnish-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table that later work reads more than once, so that losing an executor does not recompute it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    """Write a table that later work reads more than once, and read it back.
+
+    Losing an executor then costs reading a file again, not computing the table again, and as the file is columnar
+    each later pass reads only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

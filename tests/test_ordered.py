@@ -59,6 +59,17 @@ def test_a_key_shared_by_a_third_of_the_rows_is_refused(spark):
         ordered_fill(df, {"v": "ffill"}, "id", 10)
 
 
+def test_a_missing_key_is_refused(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, None)], "id int, v double")
+    with pytest.raises(ValueError, match="filled"):
+        ordered_fill(df, {"v": "ffill"}, "id")
+
+
+def test_edges_of_ranges_are_hashed_not_sorted(spark, plan_of):
+    df = spark.range(5_000).selectExpr("id", "case when id % 3 = 0 then cast(id as double) end as v")
+    assert "SortAggregate" not in plan_of(ordered_fill(df, {"v": "interpolate"}, "id", 8))
+
+
 def test_no_task_sorts_the_whole_table(spark, plan_of):
     df = spark.range(5_000).selectExpr("id", "case when id % 3 = 0 then id end as v")
     text = plan_of(ordered_fill(df, {"v": "ffill"}, "id", 8))
