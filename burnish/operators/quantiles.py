@@ -47,20 +47,9 @@ class Interval:
         return test
 
 
-def size_aggs(wanted: Mapping[str, Sequence[float]]) -> dict[str, Column]:
-    """What has to be known of each column first; the caller may add it to an aggregate of its own."""
-    out = {}
-    for name in wanted:
-        value = c(name).cast("double")
-        out[f"rows|{name}"] = F.count(value)
-        out[f"distinct|{name}"] = F.approx_count_distinct(value)
-    return out
-
-
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    sizes: Mapping[str, object] | None = None,
     direct_distinct: int = DIRECT_DISTINCT,
     gather_rows: int = GATHER_ROWS,
 ) -> dict[tuple[str, float], float | None]:
@@ -68,31 +57,79 @@ def exact_quantiles(
     wanted = {name: tuple(dict.fromkeys(ps)) for name, ps in wanted.items() if ps}
     if not wanted:
         return {}
-    if sizes is None:
-        sizes = one_row(df, size_aggs(wanted))
-    rows = {name: sizes[f"rows|{name}"] for name in wanted}
-    direct = [n for n in wanted if rows[n] and sizes[f"distinct|{n}"] <= direct_distinct]
-    searched = [n for n in wanted if rows[n] and n not in direct]
+    measured = _measure(df, wanted)
+    direct = [n for n, m in measured.items() if m.rows and m.distinct <= direct_distinct]
+    searched = [n for n, m in measured.items() if m.rows and n not in direct]
 
     ranks: dict[tuple[str, int], Interval | float] = {}
+    pivots: dict[tuple[str, int], Sequence[float]] = {}
     for name in searched:
+        rows = measured[name].rows
         for p in wanted[name]:
-            for rank in _ranks(rows[name], p):
-                ranks[name, rank] = Interval(name, None, None, 0, rows[name])
+            for rank in _ranks(rows, p):
+                ranks[name, rank] = Interval(name, None, None, 0, rows)
+                pivots[name, rank] = measured[name].around[p]
     out = {(n, p): None for n, ps in wanted.items() for p in ps}
     # Two kinds of aggregate over different columns: apart, each scans its own columns and keeps its own fast path.
     jobs = [
         lambda: _direct(df, {n: wanted[n] for n in direct}),
-        lambda: _search(df, ranks, gather_rows),
+        lambda: _search(df, ranks, pivots, gather_rows),
     ]
     quick, found = parallel(df.sparkSession, jobs) if direct and searched else [job() for job in jobs]
     out.update(quick)
     for name in searched:
         for p in wanted[name]:
-            out[name, p] = _interpolate(rows[name], p, found, name)
+            out[name, p] = _interpolate(measured[name].rows, p, found, name)
     return out
 
 
+@dataclass(frozen=True)
+class Measured:
+    """Rows with a value, about how many distinct values, and two values around each wanted quantile."""
+
+    rows: int
+    distinct: float
+    around: Mapping[float, Sequence[float]]
+
+
+def _measure(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, Measured]:
+    """The first pass, which decides the way for each column and gives the first pivots."""
+    value = {n: c(n).cast("double") for n in wanted}
+    some = {n: F.when(value[n].isNotNull(), F.xxhash64(value[n])) for n in wanted}
+    parts = df.groupBy(_merge_group()).agg(
+        *[F.count(value[n]).alias(f"rows{i}") for i, n in enumerate(wanted)],
+        *[F.hll_sketch_agg(some[n]).alias(f"hll{i}") for i, n in enumerate(wanted)],
+        *[F.kll_sketch_agg_double(value[n], F.lit(SKETCH_SIZE)).alias(f"kll{i}") for i, n in enumerate(wanted)],
+    )
+    aggs = {}
+    for i, (n, ps) in enumerate(wanted.items()):
+        aggs[n, "rows"] = F.coalesce(F.sum(f"rows{i}"), F.lit(0))
+        aggs[n, "distinct"] = F.hll_sketch_estimate(F.hll_union_agg(f"hll{i}"))
+        aggs[n, "around"] = _merged_quantiles(f"kll{i}", f"rows{i}", [side for p in ps for side in _sides(p)])
+    found = one_row(parts, aggs)
+    out = {}
+    for n, ps in wanted.items():
+        around = found[n, "around"] or [None] * (2 * len(ps))
+        pairs = {p: around[2 * i : 2 * i + 2] for i, p in enumerate(ps)}
+        out[n] = Measured(found[n, "rows"], found[n, "distinct"] or 0, pairs)
+    return out
+
+
+def _sides(share: float) -> tuple[float, float]:
+    return max(0.0, share - REACH), min(1.0, share + REACH)
+
+
+def _merge_group() -> Column:
+    """Sketches of all tasks would be too much for one task to merge, so they are merged in groups of tasks first."""
+    return (F.spark_partition_id() % MERGE_GROUPS).alias("group")
+
+
+def _merged_quantiles(sketch: str, rows: str, shares: Sequence[float]) -> Column:
+    """Quantiles of the groups' sketches together; NULL where no group has a row."""
+    merged = F.kll_merge_agg_double(F.when(F.col(rows) > 0, F.col(sketch)))
+    return F.when(F.sum(rows) > 0, F.kll_sketch_get_quantile_double(merged, F.lit(list(shares))))
+
+
 def one_row(df: DataFrame, aggs: Mapping[str, Column]) -> dict[str, object]:
     """One aggregate job; the result by name."""
     if not aggs:
@@ -134,14 +171,14 @@ def _direct(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[tuple[
     return {(n, p): found[n][p] for n, ps in wanted.items() for p in ps}
 
 
-def _search(df: DataFrame, ranks: Mapping, gather_rows: int) -> dict:
-    """Narrow every rank to a value."""
+def _search(df: DataFrame, ranks: Mapping, pivots: Mapping, gather_rows: int) -> dict:
+    """Narrow every rank to a value, starting with the given pivots."""
     ranks = dict(ranks)
     while True:
         open_ranks = {k: v for k, v in ranks.items() if isinstance(v, Interval) and v.inside > gather_rows}
         if not open_ranks:
             return _gather(df, ranks)
-        pivots = _pivots(df, open_ranks)
+        pivots = pivots or _pivots(df, open_ranks)
         counts: dict[tuple[str, float, str], Column] = {}
         for key in open_ranks:
             value = c(key[0]).cast("double")
@@ -151,6 +188,7 @@ def _search(df: DataFrame, ranks: Mapping, gather_rows: int) -> dict:
         counted = one_row(df, counts)
         for key, interval in open_ranks.items():
             ranks[key] = _narrow(interval, key[1], pivots[key], counted)
+        pivots = {}
 
 
 def _pivots(df: DataFrame, open_ranks: Mapping[tuple[str, int], Interval]) -> dict:
@@ -161,7 +199,7 @@ def _pivots(df: DataFrame, open_ranks: Mapping[tuple[str, int], Interval]) -> di
         values[interval] = F.when(interval.holds(value), value)
         held = [key for key, other in open_ranks.items() if other == interval]
         middles = [(rank - interval.below + 0.5) / interval.inside for _, rank in held]
-        shares[interval] = [side for m in middles for side in (max(0.0, m - REACH), min(1.0, m + REACH))]
+        shares[interval] = [side for m in middles for side in _sides(m)]
     found = sketched_quantiles(df, values, shares)
     out = {}
     for interval in values:
@@ -173,17 +211,12 @@ def _pivots(df: DataFrame, open_ranks: Mapping[tuple[str, int], Interval]) -> di
 def sketched_quantiles(
     df: DataFrame, values: Mapping[object, Column], shares: Mapping[object, Sequence[float]], size: int = SKETCH_SIZE
 ) -> dict[object, list[float]]:
-    """Approximate quantiles of expressions. Sketches of all tasks would be too much for one task to merge, so they
-    are merged in groups first."""
-    names = {key: f"s{i}" for i, key in enumerate(values)}
-    group = (F.spark_partition_id() % MERGE_GROUPS).alias("group")
-    parts = df.groupBy(group).agg(
-        *[F.kll_sketch_agg_double(v, F.lit(size)).alias(names[k]) for k, v in values.items()],
-        *[F.count(v).alias("n" + names[k]) for k, v in values.items()],
+    """Approximate quantiles of expressions."""
+    parts = df.groupBy(_merge_group()).agg(
+        *[F.kll_sketch_agg_double(v, F.lit(size)).alias(f"kll{i}") for i, v in enumerate(values.values())],
+        *[F.count(v).alias(f"rows{i}") for i, v in enumerate(values.values())],
     )
-    merged = {k: F.kll_merge_agg_double(F.when(F.col("n" + n) > 0, F.col(n))) for k, n in names.items()}
-    some = {k: F.sum("n" + n) > 0 for k, n in names.items()}
-    return one_row(parts, {k: F.when(some[k], F.kll_sketch_get_quantile_double(merged[k], F.lit(list(shares[k])))) for k in values})
+    return one_row(parts, {k: _merged_quantiles(f"kll{i}", f"rows{i}", shares[k]) for i, k in enumerate(values)})
 
 
 def _narrow(interval: Interval, rank: int, pivots: Sequence[float], counted: Mapping) -> Interval | float:

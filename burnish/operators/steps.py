@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from burnish.functions.columns import c
 from burnish.operators.power import fit_power
-from burnish.operators.quantiles import exact_quantiles, one_row, parallel, size_aggs
+from burnish.operators.quantiles import exact_quantiles, one_row, parallel
 from burnish.operators.values import Categories, CategoryNeed, fetch_categories, local_frame
 
 
@@ -109,17 +109,14 @@ def fit(df: DataFrame, needs: Sequence[Needs]) -> Found:
         modes.update(dict.fromkeys(need.modes))
         powers.update(dict.fromkeys(need.powers))
 
-    def numbers() -> tuple[dict, dict]:
-        values = one_row(df, {**aggs, **size_aggs(quantiles)})
-        return {k: values[k] for k in aggs}, exact_quantiles(df, quantiles, values)
-
     jobs: list[Callable[[], object]] = [
-        numbers,
+        lambda: one_row(df, aggs),
+        lambda: exact_quantiles(df, quantiles),
         *[lambda need=need: fetch_categories(df, need) for need in categories.values()],
         *[lambda name=name: mode_of(df, name) for name in modes],
         *[lambda name=name: fit_power(df, name) for name in powers],
     ]
-    (plain, cuts), *results = parallel(df.sparkSession, jobs)
+    plain, cuts, *results = parallel(df.sparkSession, jobs)
     rest = iter(results)
     return Found(
         aggs=plain,
