@@ -91,7 +91,7 @@ def _need(df: DataFrame, name: str, word: str, arg: str, order_by: str | None, l
         return CategoryNeed(name, {TARGET: F.mean(c(arg).cast("double"))}, limit)
     if word == "binary":
         return CategoryNeed(name, {"__first": F.min(order_value(df, order_by))}, 2)
-    return CategoryNeed(name, {}, limit)
+    return CategoryNeed(name, {}, limit, as_text=word == "label")
 
 
 def _fitted_step(name: str, word: str, arg: str, order_by: str | None, limit: int, late: list[Note]) -> Step:
@@ -129,7 +129,7 @@ def _fitted_step(name: str, word: str, arg: str, order_by: str | None, limit: in
 
 def _mapping(word: str, categories: Categories) -> dict[object, object]:
     if word == "label":
-        return {value: i for i, value in enumerate(sorted({_text(r[VALUE]) for r in categories.rows}))}
+        return {value: i for i, value in enumerate(sorted(r[VALUE] for r in categories.rows))}
     if word == "frequency":
         by_count = sorted(categories.rows, key=lambda r: (-r[ROWS], r[VALUE]))
         return {r[VALUE]: r[ROWS] / categories.total for r in by_count}

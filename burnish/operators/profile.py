@@ -74,7 +74,7 @@ def null_percents(df: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """(column, distinct): distinct values, NULL not counted."""
-    names = list(columns or df.columns)
+    names = list(df.columns if columns is None else columns)
     if approximate:
         return long_form(df, names, {"distinct": (lambda n: F.approx_count_distinct(c(n)), "long")})
     short = df.select(*[_short(df, n).alias(n) for n in names])
@@ -108,8 +108,8 @@ def describe_numeric(
 
     Quartiles already known may be handed in.
     """
-    names = list(columns or numeric_columns(df))
-    quartile = quartile or exact_quantiles(df, {n: QUARTILES for n in names})
+    names = list(numeric_columns(df) if columns is None else columns)
+    quartile = quartile if quartile is not None else exact_quantiles(df, {n: QUARTILES for n in names})
     metrics: dict[str, tuple] = {
         "count": (lambda n: F.count(c(n)), "long"),
         "mean": (lambda n: F.round(F.mean(c(n)), 4), "double"),
@@ -126,7 +126,7 @@ def outlier_bounds(
     df: DataFrame, columns: Sequence[str], quartile: Mapping[tuple[str, float], float] | None = None
 ) -> dict[str, tuple[float, float]]:
     """{column: (low, high)} of 1.5 interquartile ranges; columns without spread are left out."""
-    quartile = quartile or exact_quantiles(df, {n: (0.25, 0.75) for n in columns})
+    quartile = quartile if quartile is not None else exact_quantiles(df, {n: (0.25, 0.75) for n in columns})
     out = {}
     for n in columns:
         q1, q3 = quartile[n, 0.25], quartile[n, 0.75]
@@ -144,7 +144,8 @@ def outlier_counts(
     df: DataFrame, columns: Sequence[str] | None = None, quartile: Mapping[tuple[str, float], float] | None = None
 ) -> DataFrame:
     """(column, outliers, outlier_pct) of the numeric columns that have any."""
-    bounds = outlier_bounds(df, list(columns or numeric_columns(df)), quartile)
+    names = list(numeric_columns(df) if columns is None else columns)
+    bounds = outlier_bounds(df, names, quartile)
     metrics = {
         "outliers": (lambda n: F.count_if(outside(n, bounds[n])), "long"),
         "outlier_pct": (lambda n: percent(F.count_if(outside(n, bounds[n])), F.count("*")), "double"),
@@ -160,7 +161,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     otherwise. Plain sums stay inside generated code, which ``corr`` of many pairs does not, and a column without
     spread gives NULL where ``corr`` divides by zero.
     """
-    names = list(columns or numeric_columns(df))
+    names = list(numeric_columns(df) if columns is None else columns)
     pairs = list(combinations(names, 2))
     first = {("n", n): F.count(c(n)) for n in names} | {("mean", n): F.mean(c(n).cast("double")) for n in names}
     facts = one_row(df, {"rows": F.count("*"), **first}) if pairs else {}
@@ -231,7 +232,7 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     have no copy. The others are compared by their real values; if their hashes are too many to broadcast, all rows
     are grouped by value instead.
     """
-    names = list(columns or df.columns)
+    names = list(df.columns if columns is None else columns)
     hashed = df.withColumn("__hash", F.xxhash64(*[c(n) for n in names]))
     repeated = hashed.groupBy("__hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("__hash")
     found = repeated.limit(MAX_REPEATED + 1).toPandas()["__hash"]

@@ -49,6 +49,8 @@ def cell_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     by_type: dict[str, list[str]] = {}
     for name in columns:
         by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(name)
+    if not by_type:
+        return local_frame(df.sparkSession, [], "column string, value string, n long")
     parts = []
     for names in by_type.values():
         cells = df.select(*[c(n) for n in names]).unpivot([], [c(n) for n in names], "column", "value")
@@ -80,24 +82,26 @@ class CategoryNeed:
     column: str
     extras: Mapping[str, Column] = field(default_factory=dict, hash=False)
     limit: int = MAX_CATEGORIES
+    as_text: bool = False
 
     @property
     def key(self) -> tuple:
-        return self.column, tuple(self.extras), self.limit
+        return self.column, tuple(self.extras), self.limit, self.as_text
 
 
-def grouped_values(df: DataFrame, name: str, extras: Mapping[str, Column]) -> DataFrame:
+def grouped_values(df: DataFrame, name: str, extras: Mapping[str, Column], as_text: bool = False) -> DataFrame:
     """One row per non-missing value of the column."""
+    value = c(name).cast("string") if as_text else c(name)
     return (
         df.where(c(name).isNotNull())
-        .groupBy(c(name).alias(VALUE))
+        .groupBy(value.alias(VALUE))
         .agg(F.count("*").alias(ROWS), *[value.alias(alias) for alias, value in extras.items()])
     )
 
 
 def fetch_categories(df: DataFrame, need: CategoryNeed) -> Categories:
     """Bring the values to the driver if there are at most ``limit``; never more than one beyond it."""
-    found = grouped_values(df, need.column, need.extras).limit(need.limit + 1).collect()
+    found = grouped_values(df, need.column, need.extras, need.as_text).limit(need.limit + 1).collect()
     if len(found) > need.limit:
         return Categories(too_many=True)
     return Categories(tuple(r.asDict() for r in found))

@@ -56,6 +56,13 @@ def test_more_values_than_are_hot_and_a_third_of_the_rows_in_one(spark, rows, me
     np.testing.assert_allclose(out["k"].astype("float64"), expected.astype("float64"))
 
 
+def test_labels_of_numbers_follow_their_text(spark, rows):
+    df = spark.createDataFrame([(1, 1e20), (2, 2.0), (3, 10.0), (4, None), (5, 2.0)], "id int, v double")
+    for limit in (10, 1):
+        out = rows(encode(df, {"v": "label"}, max_categories=limit).df)["v"]
+        np.testing.assert_equal(out.astype("float64").tolist(), [0, 2, 1, np.nan, 2])
+
+
 def test_onehot_of_too_many_values_raises(spark):
     with pytest.raises(ValueError, match="more than 2"):
         encode(shirts(spark), {"size": "onehot"}, max_categories=2)

@@ -80,6 +80,14 @@ def test_distinct_counts_are_summed_before_the_shuffle(spark, plan_of):
     assert "Expand" in text and "partial_count" in text
 
 
+def test_profile_without_texts_or_numbers(spark):
+    numbers = burnish.profile(spark.range(5).selectExpr("id", "id * 2 as v"))
+    assert "categories" not in numbers and numbers["dates"].count() == 0
+    assert p.cardinality(spark.range(5)).count() == 0
+    texts = burnish.profile(spark.range(5).selectExpr("cast(id as string) as t"))
+    assert "numeric" not in texts and texts["correlations"].count() == 0
+
+
 def test_long_texts_are_counted_by_digest(spark):
     df = spark.range(60).selectExpr("concat(repeat('x', 100), id % 7) as long", "concat('k', id % 5) as short")
     assert {n: r["distinct"] for n, r in by_column(p.distinct_counts(df)).items()} == {"long": 7, "short": 5}
