@@ -171,7 +171,7 @@ def _encode_many(df: DataFrame, name: str, word: str, arg: str) -> DataFrame:
         return large_lookup(df, name, table, TARGET)
     if word == "label":
         df = df.withColumn(name, c(name).cast("string"))
-        table = cut(number_sorted(cut(grouped_values(df, name, {})), VALUE, "__code"))
+        table = number_sorted(grouped_values(df, name, {}), VALUE, "__code")
         return large_lookup(df, name, table, "__code")
     table = cut(grouped_values(df, name, {}))
     total = table.agg(F.sum(ROWS)).first()[0]

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import c
+from burnish.session import cut
 
 MAX_CATEGORIES = 1_000  # distinct values that may come to the driver and be broadcast
-HOT_VALUES = 1_000  # most frequent values that a large lookup serves without a shuffle
-CODE_BUCKETS = 256  # ranges into which a large dictionary is cut to number it
+HOT_VALUES = 20_000  # most frequent values that a large lookup serves without a shuffle
 VALUE, ROWS = "__value", "__rows"
 
 
@@ -123,7 +123,8 @@ def large_lookup(df: DataFrame, name: str, table: DataFrame, mapped: str) -> Dat
     rows is broadcast to them. Only the other rows are joined by a shuffle, and none of their values can hold more
     than one part in ``HOT_VALUES`` of the data.
     """
-    hot = F.broadcast(table.orderBy(F.desc(ROWS), F.asc(VALUE)).limit(HOT_VALUES).select(VALUE, F.col(mapped).alias("__mapped"), F.lit(True).alias("__hot")))
+    hot = table.orderBy(F.desc(ROWS), F.asc(VALUE)).limit(HOT_VALUES)
+    hot = F.broadcast(hot.select(VALUE, F.col(mapped).alias("__mapped"), F.lit(True).alias("__hot")))
     near = df.join(hot, c(name) == F.col(VALUE), "left").where(F.col("__hot") | c(name).isNull())
     rest = df.where(c(name).isNotNull()).join(hot, c(name) == F.col(VALUE), "left_anti")
     far = rest.join(table.select(VALUE, F.col(mapped).alias("__mapped")), c(name) == F.col(VALUE), "left")
@@ -134,17 +135,21 @@ def large_lookup(df: DataFrame, name: str, table: DataFrame, mapped: str) -> Dat
 def number_sorted(table: DataFrame, key: str, code: str) -> DataFrame:
     """Give each distinct text of the table its place in sorted order, from 0, without sorting it in one task.
 
-    A sample of the texts, chosen by hash and so the same in every run, cuts the order into ranges. Each range is
-    numbered by itself and starts after the rows of the ranges before it.
+    One range shuffle sorts the table. The written result holds each row's part and its place there, and a part
+    starts after the rows of the parts before it: one number per part.
     """
-    sample = table.orderBy(F.xxhash64(key), key).limit(CODE_BUCKETS - 1).select(key).collect()
-    edges = F.lit(sorted(r[0] for r in sample))
-    ranged = table.withColumn("__range", F.size(F.filter(edges, lambda edge: edge <= F.col(key))))
-    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    spark = table.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = table.repartitionByRange(parts, key).sortWithinPartitions(key)
+    placed = cut(ordered.withColumn("__place", F.monotonically_increasing_id()))
+    # monotonically_increasing_id() is the number of the part times 2^33, plus the place of the row in it.
+    part, within = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit(2**33 - 1))
+    placed = placed.withColumn("__part", part)
+    sizes = placed.groupBy("__part").count().orderBy("__part").collect()
     starts, seen = [], 0
-    for i in range(CODE_BUCKETS):
-        starts.append(seen)
-        seen += sizes.get(i, 0)
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
-    start = F.element_at(F.lit(starts), F.col("__range") + 1)
-    return ranged.withColumn(code, (start + within).cast("long")).drop("__range")
+    for r in sizes:
+        starts.append((r["__part"], seen))
+        seen += r["count"]
+    first = local_frame(spark, starts, "__part long, __start long")
+    numbered = placed.join(F.broadcast(first), "__part")
+    return numbered.withColumn(code, F.col("__start") + within).drop("__part", "__start", "__place")

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from burnish import encode
-from burnish.operators.values import HOT_VALUES, cell_counts, top_values
+from burnish.operators.values import cell_counts, number_sorted, top_values
 
 
 def shirts(spark):
@@ -42,8 +42,9 @@ def test_many_values_give_the_same_codes(spark, rows, method):
 
 
 @pytest.mark.parametrize("method", ["label", "frequency", "target:v"])
-def test_more_values_than_are_hot_and_a_third_of_the_rows_in_one(spark, rows, method):
-    values = 3 * HOT_VALUES
+def test_more_values_than_are_hot_and_a_third_of_the_rows_in_one(spark, rows, monkeypatch, method):
+    monkeypatch.setattr("burnish.operators.values.HOT_VALUES", 500)
+    values = 1_500
     key = f"case when id % 3 = 0 then 'k7' when id % 11 = 0 then null else concat('k', id % {values}) end"
     df = spark.range(4 * values).selectExpr("id", f"{key} as k", "cast(id % 13 as double) as v")
     out = rows(encode(df, {"k": method}, max_categories=100).df)
@@ -63,6 +64,12 @@ def test_labels_of_numbers_follow_their_text(spark, rows):
         np.testing.assert_equal(out.astype("float64").tolist(), [0, 2, 1, np.nan, 2])
 
 
+def test_numbering_uses_one_range_shuffle(spark):
+    df = spark.range(3_000).selectExpr("concat('v', id * 7919 % 3001) as v").distinct()
+    numbered = number_sorted(df, "v", "code").toPandas().sort_values("v")
+    assert numbered["code"].tolist() == list(range(3_000))
+
+
 def test_onehot_of_too_many_values_raises(spark):
     with pytest.raises(ValueError, match="more than 2"):
         encode(shirts(spark), {"size": "onehot"}, max_categories=2)
