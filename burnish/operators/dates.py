@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.functions.columns import as_timestamp, c, wall_micros
+from burnish.functions.columns import as_timestamp, wall_micros
 from burnish.functions.dates import CALENDAR, whole_days_since
 from burnish.operators.columns import split_names
 from burnish.operators.profile import long_form

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.columns import c, is_numeric, numeric_columns, parse_timestamp, percent, text_columns
+from burnish.functions.columns import c, numeric_columns, parse_timestamp, percent, text_columns
 from burnish.operators.quantiles import exact_quantiles, one_row, parallel
 from burnish.operators.values import cell_counts, local_frame, top_values
 

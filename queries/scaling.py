@@ -139,9 +139,11 @@ query(
     "o5_winsorize",
     clipped_sql("a", "b", "(select quantile_cont(value, 0.05) as a, quantile_cont(value, 0.95) as b from {t})"),
 )(treated("winsorize"))
-query("o6_log_transform", f"select {EVENT}, {r('ln(1 + greatest(value, 0))')} as value from $events_gaps where value is not null union all select {EVENT}, null from $events_gaps where value is null")(
-    treated("log_transform")
-)
+query(
+    "o6_log_transform",
+    f"""select {EVENT}, {r("ln(1 + greatest(value, 0))")} as value from $events_gaps where value is not null
+    union all select {EVENT}, null from $events_gaps where value is null""",
+)(treated("log_transform"))
 
 
 def outside_sql(source: str) -> str:
