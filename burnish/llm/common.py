@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space that separates words, as a Java pattern: the blank, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +55,15 @@ def bytes_of(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """The number of words of a text; 0 for a missing one."""
-    # Each run of white space becomes one blank, and one blank is put at either end: words are one fewer than blanks.
-    spaced = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), SPACES, " ")
-    return (F.length(spaced) - F.length(F.translate(spaced, " ", "")) - 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the one given that ``df`` does not have."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int = 40) -> DataFrame:

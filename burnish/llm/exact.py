@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import SPACES, bytes_of, keep
+from burnish.llm.common import SPACES, keep, unused
 
 #: A prime below 2**31, so that products of residues fit 64 bits, and the two bases of the polynomial.
 PRIME = 2**31 - 1
@@ -125,11 +125,11 @@ def exact_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str
 
 def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df`` without exact copies, with their columns. See ``exact_duplicates`` for which row stays."""
-    marked = keep(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = exact_duplicates(marked, "_row", text_column)
-    # The row with the smallest id stays: ids decide, then the row's own number.
-    groups = found.join(marked.select(F.col("_row").alias("doc_id"), F.col(id_column).alias("_id")), "doc_id")
-    best = groups.groupBy("keep_id").agg(
-        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id")).alias("first")
-    )
-    return marked.join(best.select(F.col("first.doc_id").alias("_row")), "_row", "left_semi").drop("_row")
+    row = unused(df, "_row")
+    marked = keep(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = keep(exact_duplicates(marked, row, text_column).select(F.col("doc_id").alias("row"), "keep_id"), "copies")
+    # Within a group the row with the smallest id stays; of rows with the same id, the first.
+    ids = marked.select(F.col(row).alias("row"), F.col(id_column).alias("id"))
+    groups = found.join(ids, "row").groupBy("keep_id")
+    best = groups.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return marked.join(best.select(F.col("first.row").alias(row)), row, "left_semi").select(*df.columns)

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from burnish.llm.bpe import decode_documents, encode_documents
 from burnish.llm.common import read
 from burnish.llm.exact import exact_duplicates
+from burnish.llm.mixing import mix
+from burnish.llm.records import read_records, write_records
+from burnish.llm.shards import shard_rows
 
 Run = Callable[[SparkSession, str], DataFrame]
 _RUNS: dict[str, Run] = {}
@@ -43,3 +49,34 @@ def oracle() -> dict[str, str]:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents")).drop("row_no")
+
+
+@query("op2_sharding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_rows(read(spark, sf_dir, "documents"), shards=16)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mix(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op7_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return decode_documents(encoded, path).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_token_records")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = write_records(read(spark, sf_dir, "documents"), path, end_id=2)
+    return read_records(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
