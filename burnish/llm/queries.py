@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.llm.bpe import decode_documents, encode_documents
+from burnish.llm.chat import maximal_conversations
 from burnish.llm.common import read
+from burnish.llm.embeddings import near_vectors
 from burnish.llm.exact import exact_duplicates
+from burnish.llm.jaccard import jaccard_components
 from burnish.llm.mixing import mix
+from burnish.llm.quality import score_quality
 from burnish.llm.records import read_records, write_records
 from burnish.llm.shards import shard_rows
 
@@ -80,3 +84,41 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = write_records(read(spark, sf_dir, "documents"), path, end_id=2)
     return read_records(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_embedding_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), 0.98).drop("row_no")
+
+
+@query(
+    "op5_chat_formatting",
+    """
+    with placed as (
+        select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) as place
+        from conversations),
+    whole as (
+        select conv_id, count(*) as n_turns, list({'r': role, 't': text} order by place) as turns,
+            string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by place) as text
+        from placed group by conv_id),
+    grouped as (
+        select min(conv_id) as conv_id, n_turns, count(*) as n_copies, turns, text from whole
+        group by n_turns, turns, text)
+    select conv_id, n_turns, n_copies, 0 as part, text from grouped a
+    where not exists (
+        select 1 from whole b where b.n_turns > a.n_turns and list_slice(b.turns, 1, a.n_turns) = a.turns)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_conversations(read(spark, sf_dir, "conversations"))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(documents, read(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"), width=4, share=85).drop("row_no")
