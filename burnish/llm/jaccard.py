@@ -223,7 +223,7 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bit_filter(df: DataFrame, column: str) -> np.ndarray:
     """A bit for each value's hash place, FILTER_BITS of them whatever the size of ``df``."""
     at = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = df.select(F.floor(at / 32).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit"))
+    words = df.select(at.alias("at")).selectExpr("cast(at div 32 as int) as word", "shiftleft(1L, cast(at % 32 as int)) as bit")
     # At most FILTER_BITS / 32 rows.
     table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 32, np.int64)
