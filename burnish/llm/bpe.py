@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words whose ids a Python worker remembers; when there are more it starts afresh. This bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 NEVER = 2**40
+#: Bytes by which the lengths to try are looked up, and the longest word whose pairs are searched without a queue.
+START = 3
+PLAIN = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,7 +62,11 @@ class ByteBpe:
         texts = sorted(number, key=number.get)
         own = self._own()
         self.tokens = {as_bytes(x): k for k, x in enumerate(texts) if own[k]}
-        self.longest = max(map(len, self.tokens))
+        # The longest token that starts with given bytes, so that few lengths have to be tried.
+        self.longest: dict[bytes, int] = {}
+        for token in self.tokens:
+            start = token[:START]
+            self.longest[start] = max(self.longest.get(start, 0), len(token))
         self.bytes_by_id = {int(self.ids[k]): as_bytes(x) for k, x in enumerate(texts)}
         self.bytes_by_id |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile(PATTERN)
@@ -103,21 +112,29 @@ class ByteBpe:
 
     def propose(self, word: bytes) -> list[int]:
         """The longest token at each place."""
-        out, at, tokens = [], 0, self.tokens
+        out, at, tokens, longest = [], 0, self.tokens, self.longest
         while at < len(word):
-            for end in range(min(len(word), at + self.longest), at, -1):
-                found = tokens.get(word[at:end])
-                if found is not None:
-                    out.append(found)
-                    at = end
-                    break
+            end = at + longest.get(word[at : at + START], START - 1)
+            while (piece := word[at:end]) not in tokens:
+                end -= 1
+            out.append(tokens[piece])
+            at += len(piece)
         return out
 
     def exact(self, word: bytes) -> list[int]:
         """Merge by merge: always the first merge in order, the leftmost of its kind first."""
-        import heapq
-
-        token = list(word)
+        token, get = list(word), self.merge.get
+        if len(token) <= PLAIN:
+            made = [get(pair, NEVER) for pair in zip(token, token[1:])]
+            while made and (first := min(made)) < NEVER:
+                i = made.index(first)
+                token[i : i + 2] = [first]
+                del made[i]
+                if i:
+                    made[i - 1] = get((token[i - 1], first), NEVER)
+                if i < len(made):
+                    made[i] = get((first, token[i + 1]), NEVER)
+            return token
         after = [*range(1, len(token)), -1]
         before = list(range(-1, len(token) - 1))
         queue = [(m, i) for i in range(len(token) - 1) if (m := self.merge.get((token[i], token[i + 1])))]
@@ -142,14 +159,15 @@ class ByteBpe:
         data = [w.encode() for w in words]
         proposed = [self.propose(w) for w in data]
         lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(lengths.sum()))
         ends = np.cumsum(lengths)
         inner = np.ones(len(flat), bool)
         inner[ends - 1] = False  # the last token of a word has no neighbour
         at = np.flatnonzero(inner)
         pairs, back = np.unique(flat[at] << 32 | flat[at + 1], return_inverse=True)
         fails = at[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]]
-        out = [p.tobytes() for p in np.split(self.ids[flat].astype("<u4"), ends[:-1])]
+        whole, cuts = self.ids[flat].astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        out = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
         for k in np.unique(np.searchsorted(ends, fails, side="right")):
             out[k] = self.ids[self.exact(data[k])].astype("<u4").tobytes()
         return out
