@@ -12,15 +12,33 @@ from pyspark.sql import functions as F
 
 from burnish.llm.common import components, keep
 
-#: Vectors drawn as reference points (the whole fit of the index, at any size of the table), how many of the nearest
-#: ones describe a vector, and how many of those two vectors must share to be compared.
+#: Vectors drawn for the fit of the index, at any size of the table, and reference points chosen among them.
+DRAWN = 2_048
 PIVOTS = 256
-NEAREST = 6
+#: How many of the nearest reference points describe a vector, and how many of those two vectors must share to be
+#: compared.
+NEAREST = 7
 SHARED = 3
 #: Vectors of one list that are compared at once. Longer lists are cut into blocks, compared pair by pair of blocks.
 BLOCK = 256
 
 
+def far_apart(units: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` of the given unit vectors, each as far as can be from those before it.
+
+    Drawn at random, a dense group of vectors would hold many pivots, and which of them are nearest would change with
+    the slightest difference; far apart, it holds one or none.
+    """
+    chosen, near = [0], units @ units[0]
+    while len(chosen) < min(count, len(units)):
+        at = int(np.argmin(near))
+        if near[at] > 1 - 1e-9:
+            break
+        chosen.append(at)
+        near = np.maximum(near, units @ units[at])
+    return units[chosen]
+
+
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """The numbers of the nearest pivots of each vector, nearest first. Equal distances go to the smaller number."""
     near = vectors @ pivots.T
@@ -168,8 +186,8 @@ def near_vectors(
 
     Equal vectors of a label are compared as one. Each distinct vector is described by its NEAREST nearest of PIVOTS
     reference points, and two vectors are compared when they share SHARED of them: there is an inverted list for each
-    set of SHARED pivots. Reference points are the PIVOTS distinct vectors with the smallest hashes; every vector is
-    indexed. Every pair found is tested exactly. Lists of any length are compared whole, block by block.
+    set of SHARED pivots. Reference points are chosen, far from each other, among the DRAWN distinct vectors with the
+    smallest hashes; every vector is indexed. Every pair found is tested exactly. Lists of any length are compared whole, block by block.
 
     Missing, empty or zero vectors, vectors with missing or non-finite components, and rows without a label link with
     nothing; so do vectors of different length. Rows without an id link like others and have no component id smaller
@@ -195,13 +213,15 @@ def near_vectors(
         ),
         "distinct",
     )
-    drawn = [r["vector"] for r in same.select("vector").orderBy(F.xxhash64("vector", F.lit(11)), "vector").limit(PIVOTS).collect()]
+    order = F.xxhash64("vector", F.lit(11))
+    # DRAWN rows at most.
+    drawn = [r["vector"] for r in same.select("vector").orderBy(order, "vector").limit(DRAWN).collect()]
     if not drawn:
         none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), "row_no")
         return none.withColumn("kept", F.lit(True))
     longest = max(map(len, drawn))
-    pivots = np.array([_fitted(x, longest) for x in drawn], np.float64)
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    units = np.array([_fitted(x, longest) for x in drawn], np.float64)
+    pivots = far_apart(units / np.linalg.norm(units, axis=1, keepdims=True), PIVOTS)
     nearest = min(NEAREST, len(pivots))
     shared = min(SHARED, nearest)
     index = keep(

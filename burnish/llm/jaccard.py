@@ -11,10 +11,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import components, keep
+from burnish.llm.common import components, keep, unused
 
 #: Shingles that are known to be frequent, the most frequent first. They are only put last in the order in which lists
 #: are looked at, so the bound changes speed, not results.
@@ -22,6 +23,8 @@ FREQUENT = 2**18
 #: Shingles that are counted or listed together in a task, and words whose hash a worker remembers.
 TOGETHER = 3_000_000
 REMEMBERED = 300_000
+#: Tokens that one bucket counts.
+COUNTED = 2_000_000
 #: Documents that are searched for, and searched through, in one cell.
 BLOCK = 512
 #: Bits of the filter that tells which documents may have candidates. A fixed size: 4 MB.
@@ -43,10 +46,9 @@ def shingles(text: str, width: int) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     if len(_known) > REMEMBERED:
         _known.clear()
-    for word in set(words):
-        if word not in _known:
-            _known[word] = xxhash.xxh64_intdigest(word)
-    hashes = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    for word in set(words).difference(_known):
+        _known[word] = xxhash.xxh64_intdigest(word)
+    hashes = np.array([_known[w] for w in words], np.uint64)
     out = np.zeros(len(words) - width + 1, np.uint64)
     for k in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
@@ -82,9 +84,6 @@ def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return int((high[at] == low).sum()) >= needed(len(low), len(high), share)
 
 
-DOCUMENTS = "row long, n_shingles long, class long, frequent boolean"
-
-
 def _documents(width: int):
     """A row for each document with its set's size and class, and rows for shingles that several sets of a task have."""
 
@@ -93,16 +92,18 @@ def _documents(width: int):
         seen: set[int] = set()
         size = 0
 
-        def counted() -> pa.RecordBatch:
+        def counted(kind: pa.DataType) -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             several = counts > 1
             n = int(several.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.array(counts[several]), pa.array(signed(tokens[several])), pa.array(np.ones(n, bool))],
-                names=["row", "n_shingles", "class", "frequent"],
+                [pa.nulls(n, kind), pa.array(counts[several]), pa.array(signed(tokens[several])), pa.array(np.ones(n, bool))],
+                names=["id", "n_shingles", "class", "frequent"],
             )
 
+        kind = pa.int64()
         for batch in batches:
+            kind = batch.schema.field(0).type
             sizes, classes = [], []
             for cell in batch.column(1):
                 tokens = shingles(cell.as_py() or "", width)
@@ -114,56 +115,95 @@ def _documents(width: int):
                     held.append(tokens)
                     size += len(tokens)
                 if size > TOGETHER:
-                    yield counted()
+                    yield counted(kind)
                     held, size = [], 0
                     seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(np.zeros(len(sizes), bool))],
-                names=["row", "n_shingles", "class", "frequent"],
+                names=["id", "n_shingles", "class", "frequent"],
             )
         if held:
-            yield counted()
+            yield counted(kind)
 
     return run
 
 
-POSTINGS = "token long, place int, class long, leader long"
+def packed(*arrays: np.ndarray) -> bytes:
+    head = np.array([a.nbytes for a in arrays], "<u4").tobytes()
+    return zstandard.ZstdCompressor(1).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def unpacked(data: bytes, kinds: str) -> list[np.ndarray]:
+    names = kinds.split()
+    data = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 4 * len(names), []
+    for size, kind in zip(np.frombuffer(data, "<u4", len(names)).tolist(), names):
+        out.append(np.frombuffer(data[at : at + size], kind))
+        at += size
+    return out
+
+
+#: Rows between the steps: where they go, what they hold, and the packed numbers.
+STEP = "at long, kind string, data binary"
+#: Gaps between sorted tokens, whose they are, and of each class its name, size and number of tokens not known as
+#: frequent.
+TOKENS = "u8 u4 i8 u4 u4"
+#: Of each entry its class, the class's size and number of tokens as above, the token and how many classes have it.
+SEVERAL = "i8 u4 u4 u8 u4"
+#: Entries of lists, and ties.
+ENTRIES, TIES = "u8 u4 i8", "i8 i8"
+
+
+def step_row(at: int, kind: str, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([at], pa.int64()), pa.array([kind]), pa.array([data], pa.binary())], names=["at", "kind", "data"]
+    )
 
 
-def _postings(width: int, share: int, frequent):
-    """The short lists' entries: (token, class and how many of the class's tokens are rarer).
+def _spread(width: int, share: int, frequent, buckets: int):
+    """Sends every token that is not known as frequent to the bucket that counts it; a bucket is a range of tokens.
 
-    Of several entries of a token in a task only the first goes on; the others are tied to it by a row with a leader.
+    Known frequent tokens come last in the order of a class. Where its short lists reach that far, their entries are
+    made here: of several entries of a token in a task the first goes on, and the others are tied to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            lengths = [len(t) for t, _ in held]
-            tokens = np.concatenate([t for t, _ in held])
-            classes = np.repeat(np.array([c for _, c in held], np.int64), lengths)
-            place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = np.array([h[0] for h in held], np.int64)
+            sizes = np.array([h[1] for h in held], "<u4")
+            rest = np.array([len(h[2]) for h in held], "<u4")
+            tokens = np.concatenate([h[2] for h in held])
+            owner = np.repeat(np.arange(len(held)), rest)
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            bucket = (tokens >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(tokens)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    there, number = np.unique(owner[a:b], return_inverse=True)
+                    gaps = np.diff(tokens[a:b], prepend=np.uint64(0))
+                    data = packed(gaps, number.astype("<u4"), names[there], sizes[there], rest[there])
+                    yield step_row(int(bucket[a]), "tokens", data)
+            late = [h[3] for h in held]
+            if not sum(map(len, late)):
+                return
+            tokens = np.concatenate(late)
+            classes = np.repeat(names, [len(x) for x in late])
+            place = np.concatenate([r + np.arange(len(x), dtype=np.uint32) for r, x in zip(rest, late)])
             order = np.lexsort((classes, place, tokens))
-            tokens, classes, place = tokens[order], classes[order], place[order]
+            tokens, classes, place = tokens[order], classes[order], place[order].astype("<u4")
             first = np.ones(len(tokens), bool)
             first[1:] = tokens[1:] != tokens[:-1]
             leader = classes[first][np.cumsum(first) - 1]
-            tied = ~first & (leader != classes)
-            pairs = np.unique(np.column_stack([classes[tied], leader[tied]]), axis=0)
-            n, m = int(first.sum()), len(pairs)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([signed(tokens[first]), pairs[:, 0]])),
-                    pa.array(np.concatenate([place[first], np.zeros(m, np.int32)])),
-                    pa.array(np.concatenate([classes[first], pairs[:, 0]])),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pairs[:, 1], pa.int64())]),
-                ],
-                names=["token", "place", "class", "leader"],
-            )
+            pairs = np.unique(np.column_stack([classes[~first], leader[~first]]), axis=0)
+            at = int(names[0] % buckets)
+            yield step_row(at, "entries", packed(tokens[first], place[first], classes[first]))
+            yield step_row(at, "ties", packed(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])))
 
         for batch in batches:
             for cell in batch.column(0):
@@ -176,15 +216,104 @@ def _postings(width: int, share: int, frequent):
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     often = np.where(known[at] == tokens, counts[at], 0)
-                rare = np.lexsort((tokens, often))[: short_lists(len(tokens), share)]
-                held.append((tokens[rare], own))
-                size += len(rare)
-                if size > TOGETHER // 4:
-                    yield flush()
+                rest, late = tokens[often == 0], tokens[:0]
+                reach = short_lists(len(tokens), share) - len(rest)
+                if reach > 0:
+                    late, often = tokens[often > 0], often[often > 0]
+                    late = late[np.lexsort((late, often))[:reach]]
+                held.append((own, len(tokens), rest, late))
+                size += len(rest) + len(late)
+                if size > TOGETHER:
+                    yield from flush()
                     held, size = [], 0
                     seen.clear()
         if held:
-            yield flush()
+            yield from flush()
+
+    return run
+
+
+def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list[bytes]]]]:
+    """The rows of a step, which come sorted, by where they went: their data by kind."""
+    rows = (r for batch in batches for k in range(len(batch)) for r in batch.slice(k, 1).to_pylist())
+    for at, group in groupby(rows, key=lambda r: r["at"]):
+        out = defaultdict(list)
+        for r in group:
+            out[r["kind"]].append(r["data"])
+        yield at, out
+
+
+def _several(groups: int):
+    """Counts the tokens of a bucket, and sends those that several classes have to the groups of their classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, told in by_place(batches):
+            for kind in ("entries", "ties"):
+                for data in told[kind]:
+                    yield step_row(at % groups, kind, data)
+            parts = []
+            for data in told["tokens"]:
+                gaps, number, names, sizes, rest = unpacked(data, TOKENS)
+                parts.append((np.cumsum(gaps, dtype=np.uint64), names[number], sizes[number], rest[number]))
+            if not parts:
+                continue
+            tokens, names, sizes, rest = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((names, tokens))
+            tokens, names, sizes, rest = tokens[order], names[order], sizes[order], rest[order]
+            new = np.ones(len(tokens), bool)
+            new[1:] = tokens[1:] != tokens[:-1]
+            once = new.copy()
+            once[1:] |= names[1:] != names[:-1]  # copies of a class in other tasks count once
+            tokens, names, sizes, rest, new = tokens[once], names[once], sizes[once], rest[once], new[once]
+            count = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
+            rows = np.flatnonzero(count > 1)
+            group = names[rows] % groups
+            order = np.argsort(group, kind="stable")
+            rows, group = rows[order], group[order]
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(rows)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    r = rows[a:b]
+                    yield step_row(int(group[a]), "several", packed(names[r], sizes[r], rest[r], tokens[r], count[r].astype("<u4")))
+
+    return run
+
+
+POSTINGS = "token long, place int, class long, leader long"
+
+
+def _entered(share: int):
+    """Puts the tokens of each class in order, those that no other class has first, and enters the short lists."""
+
+    def rows(tokens: np.ndarray, place: np.ndarray, names: np.ndarray, leader: np.ndarray | None) -> pa.RecordBatch:
+        told = pa.nulls(len(names), pa.int64()) if leader is None else pa.array(leader)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(tokens)), pa.array(place.astype(np.int32)), pa.array(names), told],
+            names=["token", "place", "class", "leader"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, told in by_place(batches):
+            for data in told["entries"]:
+                yield rows(*unpacked(data, ENTRIES), None)
+            for data in told["ties"]:
+                names, leader = unpacked(data, TIES)
+                yield rows(names.view(np.uint64), np.zeros(len(names)), names, leader)
+            if not told["several"]:
+                continue
+            names, sizes, rest, tokens, count = (
+                np.concatenate(x) for x in zip(*(unpacked(d, SEVERAL) for d in told["several"]))
+            )
+            order = np.lexsort((tokens, count, names))
+            names, sizes, rest, tokens = names[order], sizes[order].astype(np.int64), rest[order].astype(np.int64), tokens[order]
+            new = np.ones(len(names), bool)
+            new[1:] = names[1:] != names[:-1]
+            start = np.flatnonzero(new)[np.cumsum(new) - 1]
+            shared = np.diff(np.append(np.flatnonzero(new), len(names)))[np.cumsum(new) - 1]
+            place = rest - shared + np.arange(len(names)) - start
+            short = sizes - -(-share * sizes // 100) + 1
+            at = place < short
+            yield rows(tokens[at], place[at], names[at], None)
 
     return run
 
@@ -338,35 +467,38 @@ def jaccard_components(
 ) -> DataFrame:
     """Documents whose sets of ``width``-word shingles have 100 * intersection >= share * union are linked.
 
-    One row per row of ``df``: the id, n_shingles, component_id (the smallest id that links reach, itself included) and
-    ``row_no``, which tells rows of one id apart.
+    One row per row of ``df``: the id, n_shingles, and component_id, the smallest id that links reach, itself included.
 
     A missing or empty text, or one of white space, has no shingles and is linked with nothing; a text with fewer
     words than ``width`` has one shingle. Rows with equal sets are linked. Rows without an id link like others; a
     component of such rows has no id. An empty table gives an empty result. Other columns are not looked at.
 
     1. Rows with the same set form a class, and only classes go on.
-    2. Each class enters its rarest lists, as many as T-occurrence needs: two similar sets meet in at least one.
-       The entries of a list are tied to one of them, so a list of any length gives a chain, never its pairs, and in
-       each task only one entry a token is sent on. Ties put all that may be similar into one candidate group.
+    2. Tokens are counted over all classes, and each class enters its rarest lists, as many as T-occurrence needs: two
+       similar sets meet in at least one. Tokens that no other class has fill most of these places, and lists of one
+       are not made. The entries of a list are tied to one of them, so a list of any length gives as many ties, never
+       its pairs. Ties put all that may be similar into one candidate group. Tokens that are frequent in a single task
+       are known beforehand; in each task only one entry for them is sent on.
     3. Of each group the set that most lists chose is compared with all others.
     4. What is not similar to it is searched for in the whole group, in cells of bounded size, by DivideSkip.
     Links of 3 and 4 give the components.
     """
     spark = df.sparkSession
-    texts = df.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")
-    )
-    both = texts.select("row", "text", "id")
-    told = keep(both.select("row", "text").mapInArrow(_documents(width), DOCUMENTS), "classes")
-    ids = keep(texts.select("row", "id"), "ids")
+    texts = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    told = texts.mapInArrow(_documents(width), f"id {kind}, n_shingles long, class long, frequent boolean")
+    told = keep(told, "classes")
     often = told.where("frequent").groupBy("class").agg(F.sum("n_shingles").alias("n"))
     # FREQUENT rows at most.
     top = often.orderBy(F.desc("n"), "class").limit(FREQUENT).toPandas()
     tokens = top["class"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], top["n"].to_numpy(np.int64)[order]))
-    entries = texts.select("text").mapInArrow(_postings(width, share, frequent), POSTINGS)
+    total = told.where("not frequent").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // COUNTED))
+    entries = texts.select("text").mapInArrow(_spread(width, share, frequent, buckets), STEP)
+    for step, schema in ((_several(buckets), STEP), (_entered(share), POSTINGS)):
+        entries = entries.repartition("at").sortWithinPartitions("at").mapInArrow(step, schema)
     entries = entries.repartition("token").sortWithinPartitions("token", "place", "class")
     ties = keep(entries.mapInArrow(_tied, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")), "ties")
     groups = components(ties)
@@ -412,14 +544,31 @@ def jaccard_components(
     cells = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "query", "class")
     more = cells.select("component", "i", "j", "query", "class", "tokens").mapInArrow(_searched(share), "a long, b long")
     found = components(keep(links.unionByName(more), "links"))
-    rows = told.where("not frequent").select("row", "n_shingles", "class").join(ids, "row")
+    rows = told.where("not frequent").select("id", "n_shingles", "class")
     rows = rows.join(found.select(F.col("id").alias("class"), F.col("component_id").alias("component")), "class", "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component", "class"))
-    rows = keep(rows.select("id", "row", "n_shingles", alone.alias("component")), "rows")
+    rows = keep(rows.select("id", "n_shingles", alone.alias("component")), "rows")
     least = keep(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least")), "least")
     return rows.join(least, "component", "left").select(
         F.col("id").alias("doc_id"),
         "n_shingles",
         F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
-        F.col("row").alias("row_no"),
     )
+
+
+def near_dedup(
+    df: DataFrame, width: int = 5, share: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``df`` without near-duplicates, with their columns: of each component the row with the smallest id.
+
+    See ``jaccard_components`` for what is linked. Rows without an id stay only where no row of their component has
+    one; of rows with the same id one stays. Texts without words are all kept.
+    """
+    row = unused(df, "_row")
+    marked = keep(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(marked, width, share, row, text_column)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    named = found.join(marked.select(F.col(row).alias("row"), F.col(id_column).alias("id")), "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    best = keep(named.groupBy("component").agg(first).select(F.col("first.row").alias(row)), "best")
+    return marked.join(best, row, "left_semi").select(*df.columns)

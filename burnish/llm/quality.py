@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.llm.common import keep
@@ -204,22 +204,15 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def score_quality(
+def fitted_score(
     df: DataFrame,
     labels: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
     label_column: str = "quality",
     label_id_column: str = "doc_id",
-) -> DataFrame:
-    """Score every row: the columns of ``df`` and ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
-
-    Word vectors come from all texts. The network is fitted on at most LABELLED documents with a label, drawn by the
-    hash of their id from those that are not held out; nothing but the text enters a score. A document with several
-    labels takes the more frequent one, 1 on a tie; a missing label is none. A missing text is empty, and empty texts
-    get a score too. Without labels every score is one half. Repeated rows get equal scores. An empty table gives an
-    empty result. Columns of ``df`` named like the new ones are replaced.
-    """
+) -> Column:
+    """The score of each row of ``df``, 0 to 1, as a column; see ``score_quality``."""
     spark = df.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(df, text_column))
     marks = labels.select(F.col(label_id_column).alias("id"), F.col(label_column).cast("double").alias("label"))
@@ -253,5 +246,25 @@ def score_quality(
             out += network.value.score(np.array(rows, np.float64)).tolist()
         return pa.array(out, pa.float64())
 
-    scored = df.withColumns({"held_out": is_held_out(F.col(id_column)), "score": score(F.col(text_column).cast("string"))})
+    return score(F.col(text_column).cast("string"))
+
+
+def score_quality(
+    df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
+    """Score every row: the columns of ``df`` and ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
+
+    Word vectors come from all texts. The network is fitted on at most LABELLED documents with a label, drawn by the
+    hash of their id from those that are not held out; nothing but the text enters a score. A document with several
+    labels takes the more frequent one, 1 on a tie; a missing label is none. A missing text is empty, and empty texts
+    get a score too. Without labels every score is one half. Repeated rows get equal scores. An empty table gives an
+    empty result. Columns of ``df`` named like the new ones are replaced.
+    """
+    score = fitted_score(df, labels, id_column, text_column, **options)
+    scored = df.withColumns({"held_out": is_held_out(F.col(id_column)), "score": score})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` whose score is at least one half, with their columns. See ``score_quality``."""
+    return df.where(fitted_score(df, labels, **options) >= 0.5)

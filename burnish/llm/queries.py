@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from burnish.llm.jaccard import jaccard_components
 from burnish.llm.mixing import mix
 from burnish.llm.quality import score_quality
 from burnish.llm.records import read_records, write_records
+from burnish.llm.repeats import remove_repeats
 from burnish.llm.shards import shard_rows
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -121,4 +123,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"), width=4, share=85).drop("row_no")
+    return jaccard_components(read(spark, sf_dir, "documents"), width=4, share=85)
+
+
+@query("op3_repeated_bytes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(read(spark, sf_dir, "documents"), 50)
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
