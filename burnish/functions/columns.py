@@ -18,14 +18,20 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# The shape of a date text and the Spark pattern that reads it.
+# The shape of a date text and the Spark pattern that reads it. A clock time and an offset from UTC are
+# cut off before and added afterwards.
 DATE_SHAPES = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$", "yyyy-MM-dd HH:mm:ss[.SSSSSS]"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
 )
+MONTH_FIRST = ((r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}$", "M/d/yyyy"),)
+DAY_FIRST = ((r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}$", "d/M/yyyy"),)
+CLOCK_SHAPE = r"[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)? ?(Z|[+-]\d{2}:?\d{2})?$"
 
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY_SHAPE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
@@ -108,10 +114,35 @@ def parse_flag(value: Column) -> Column:
     return F.when(word.isin("true", "1", "yes", "1.0"), True).when(word.isin("false", "0", "no", "0.0"), False)
 
 
-def parse_timestamp(text: Column) -> Column:
-    """Text to timestamp without time zone. The shape is tested first, so that a bad text costs no exception."""
-    tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))) for shape, fmt in DATE_SHAPES]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+def parse_timestamp(text: Column, day_first: bool = False) -> Column:
+    """Text to timestamp without time zone. The shape is tested first, so that a bad text costs no exception.
+
+    A date may be followed by hours and minutes, seconds, up to nine digits of a fraction (six are kept), and ``Z`` or
+    an offset; a time with either is given in UTC. ``day_first`` reads 1/2/2023 as the first of February.
+    """
+    text = F.trim(text)
+    clock = text.rlike(CLOCK_SHAPE)
+    day = F.when(clock, F.regexp_replace(text, CLOCK_SHAPE, "")).otherwise(text)
+    # Month names in any case.
+    day = F.initcap(day)
+    slashed = F.regexp_replace(day, "-", "/")
+    tries = [F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(fmt))) for shape, fmt in DATE_SHAPES]
+    for shape, fmt in DAY_FIRST if day_first else MONTH_FIRST:
+        tries.append(F.when(day.rlike(shape), F.try_to_timestamp(slashed, F.lit(fmt))))
+    date = F.coalesce(*tries).cast("timestamp_ntz")
+
+    def part(group: int) -> Column:
+        return F.coalesce(F.regexp_extract(text, CLOCK_SHAPE, group).try_cast("int"), F.lit(0))
+
+    hour, minute, second = part(1), part(2), part(3)
+    fraction = F.rpad(F.regexp_extract(text, CLOCK_SHAPE, 4), 6, "0").try_cast("long")
+    micros = (hour.cast("long") * 3600 + minute * 60 + second) * 1_000_000 + F.coalesce(fraction, F.lit(0))
+    offset = F.regexp_replace(F.regexp_extract(text, CLOCK_SHAPE, 5), "[Z:]", "")
+    ahead = F.coalesce(F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int"), F.lit(0))
+    micros = micros - F.when(offset.startswith("-"), -ahead).otherwise(ahead).cast("long") * 60_000_000
+    moved = date + F.make_dt_interval(secs=(micros / 1_000_000).cast("decimal(18,6)"))
+    told = (hour < 24) & (minute < 60) & (second < 60)
+    return F.when(~clock, date).when(told, moved)
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:

@@ -6,54 +6,49 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from burnish.functions.columns import c
-from burnish.operators.ordered import order_value
+from burnish.operators.ordered import order_keys
 from burnish.operators.steps import Found, Needs, Note, Outcome, Step, run
 from burnish.operators.values import (
-    MAX_CATEGORIES,
     ROWS,
     VALUE,
     Categories,
     CategoryNeed,
     grouped_values,
-    large_lookup,
     local_frame,
+    looked_up,
     number_sorted,
-    small_lookup,
 )
-from burnish.session import cut
 
 METHODS = ("label", "onehot", "frequency", "binary", "ordinal", "target")
-TARGET = "__target"
-MAPPINGS_SHOWN = 5
+CODE = "__code"
 
 
-def encode(
-    df: DataFrame, encodings: Mapping[str, str], order_by: str | None = None, max_categories: int = MAX_CATEGORIES
-) -> Outcome:
+def encode(df: DataFrame, encodings: Mapping[str, str], order_by: str | Sequence[str] | None = None) -> Outcome:
     """Encode columns by label, onehot, frequency, ordinal:<v1,v2,...>, binary or target:<column>.
 
-    Up to ``max_categories`` values the mapping is a small broadcast table; beyond it label, frequency and target
-    work from a distributed table instead, and onehot raises, since its columns would be too many. ``binary``
-    needs ``order_by``: the value seen second becomes 1.
+    Label, frequency and target take their codes from a distributed table with one row per value, however many there
+    are; it is in ``mappings`` of the outcome. ``onehot`` makes a column for each value but the first; for columns of very many
+    values ``onehot_long`` gives the same as rows. ``binary`` needs ``order_by``: the value seen second becomes 1.
     """
     late: list[Note] = []
-    steps, notes = encode_steps(df, df.columns, encodings, order_by, max_categories, late)
+    mappings: dict[str, DataFrame] = {}
+    steps, notes = encode_steps(df, df.columns, encodings, order_by, late, mappings)
     out = run(df, steps)
-    return Outcome(out, tuple([*notes, *late]))
+    return Outcome(out, tuple([*notes, *late]), mappings)
 
 
 def encode_steps(
     df: DataFrame,
     names: Sequence[str],
     encodings: Mapping[str, str],
-    order_by: str | None = None,
-    max_categories: int = MAX_CATEGORIES,
+    order_by: str | Sequence[str] | None = None,
     late: list[Note] | None = None,
+    mappings: dict[str, DataFrame] | None = None,
 ) -> tuple[list[Step], list[Note]]:
     late = late if late is not None else []
+    mappings = mappings if mappings is not None else {}
     steps, notes = [], []
     for name, method in encodings.items():
         word, _, arg = method.partition(":")
@@ -67,118 +62,111 @@ def encode_steps(
             notes.append(Note("encode", name, "skipped", f"target column '{arg}' not found"))
         elif word == "binary" and not order_by:
             raise ValueError(f"binary encoding of {name} needs order_by: which value comes first depends on it")
-        elif word == "ordinal":
-            steps.append(_ordinal_step(name, arg, late))
+        elif word in ("onehot", "binary"):
+            steps.append(_fitted_step(name, word, order_by, late, mappings))
         else:
-            steps.append(_fitted_step(name, word, arg, order_by, max_categories, late))
+            steps.append(_looked_up_step(name, word, arg, late, mappings))
     return steps, notes
 
 
-def _ordinal_step(name: str, arg: str, late: list[Note]) -> Step:
-    one = frozenset({name})
-    codes = {value.strip(): i for i, value in enumerate(arg.split(","))}
+def _looked_up_step(name: str, word: str, arg: str, late: list[Note], mappings: dict[str, DataFrame]) -> Step:
+    reads = frozenset({name, arg} if word == "target" else {name})
 
     def transform(df: DataFrame, found: Found) -> DataFrame:
-        late.append(Note("encode", name, "done", _shown("ordinal", codes)))
-        as_text = df.withColumn(name, c(name).cast("string"))
-        return small_lookup(as_text, name, codes, T.LongType())
+        if word in ("label", "ordinal"):
+            df = df.withColumn(name, c(name).cast("string"))
+        table = dictionary(df, name, word, arg)
+        mappings[name] = table.select(F.col(VALUE).cast("string").alias("value"), F.col(CODE).cast("double").alias("code"))
+        late.append(Note("encode", name, "done", word))
+        return looked_up(df, name, table, CODE)
 
-    return Step(fit_reads=one, reads=one, writes=one, transform=transform)
+    # Codes may be written while the step is applied, so it has to see what earlier steps have changed.
+    return Step(fit_reads=reads, reads=reads, writes=frozenset({name}), needs=lambda df: Needs(), transform=transform)
 
 
-def _need(df: DataFrame, name: str, word: str, arg: str, order_by: str | None, limit: int) -> CategoryNeed:
+def dictionary(df: DataFrame, name: str, word: str, arg: str = "") -> DataFrame:
+    """(value, code) of a column: one row per value that is not missing."""
+    if word == "ordinal":
+        codes = [(value.strip(), i) for i, value in enumerate(arg.split(","))]
+        return local_frame(df.sparkSession, list(dict(codes).items()), f"{VALUE} string, {CODE} long")
     if word == "target":
-        return CategoryNeed(name, {TARGET: F.mean(c(arg).cast("double"))}, limit)
-    if word == "binary":
-        return CategoryNeed(name, {"__first": F.min(order_value(df, order_by))}, 2)
-    return CategoryNeed(name, {}, limit, as_text=word == "label")
+        return grouped_values(df, name, {CODE: F.mean(c(arg).cast("double"))})
+    table = grouped_values(df, name, {})
+    if word == "label":
+        return number_sorted(table, VALUE, CODE)
+    total = table.agg(F.sum(ROWS).alias("__total"))  # one row
+    return table.crossJoin(F.broadcast(total)).withColumn(CODE, F.col(ROWS) / F.col("__total"))
 
 
-def _fitted_step(name: str, word: str, arg: str, order_by: str | None, limit: int, late: list[Note]) -> Step:
-    one = frozenset({name})
-    reads = one | ({arg} if word == "target" else set()) | ({order_by} if word == "binary" else set())
+def _need(name: str, word: str, order_by: str | Sequence[str] | None) -> CategoryNeed:
+    if word == "binary":
+        return CategoryNeed(name, {"__first": F.min(F.struct(*[c(n) for n in order_keys(order_by)]))}, 2)
+    return CategoryNeed(name)
+
 
-    def needs(df: DataFrame) -> Needs:
-        return Needs(categories=(_need(df, name, word, arg, order_by, limit),))
+def _fitted_step(
+    name: str, word: str, order_by: str | Sequence[str] | None, late: list[Note], mappings: dict[str, DataFrame]
+) -> Step:
+    reads = frozenset({name, *(order_keys(order_by) if word == "binary" else [])})
+    need = _need(name, word, order_by)
 
     def transform(df: DataFrame, found: Found) -> DataFrame:
-        need = _need(df, name, word, arg, order_by, limit)
-        categories = found.categories[need.key]
-        if word == "onehot":
-            return _onehot(df, name, categories, limit, late)
-        if word == "binary":
-            return _binary(df, name, categories, late)
-        if categories.too_many:
-            late.append(Note("encode", name, "done", f"{word}: more than {limit} values"))
-            return _encode_many(df, name, word, arg)
-        mapping = _mapping(word, categories)
-        late.append(Note("encode", name, "done", _shown(word, mapping)))
-        if word == "label":
-            df = df.withColumn(name, c(name).cast("string"))
-        return small_lookup(df, name, mapping, T.LongType() if word == "label" else T.DoubleType())
+        act = _onehot if word == "onehot" else _binary
+        return act(df, name, found.categories[need.key], late, mappings)
 
     return Step(
-        fit_reads=frozenset(reads),
-        reads=frozenset(reads),
-        writes=one,
-        needs=needs,
+        fit_reads=reads,
+        reads=reads,
+        writes=frozenset({name}),
+        needs=lambda df: Needs(categories=(need,)),
         transform=transform,
         opens_columns=word == "onehot",
     )
 
 
-def _mapping(word: str, categories: Categories) -> dict[object, object]:
-    if word == "label":
-        return {value: i for i, value in enumerate(sorted(r[VALUE] for r in categories.rows))}
-    if word == "frequency":
-        by_count = sorted(categories.rows, key=lambda r: (-r[ROWS], r[VALUE]))
-        return {r[VALUE]: r[ROWS] / categories.total for r in by_count}
-    return {r[VALUE]: r[TARGET] for r in sorted(categories.rows, key=lambda r: r[VALUE])}
-
-
 def _text(value: object) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def _shown(word: str, mapping: Mapping) -> str:
-    first = ", ".join(f"{k}={v}" for k, v in list(mapping.items())[:MAPPINGS_SHOWN])
-    return f"{word}: {len(mapping)} values: {first}"
-
-
-def _onehot(df: DataFrame, name: str, categories: Categories, limit: int, late: list[Note]) -> DataFrame:
-    if categories.too_many:
-        raise ValueError(f"onehot of {name}: more than {limit} values; raise max_categories or choose another encoding")
+def _onehot(df: DataFrame, name: str, categories: Categories, late: list[Note], mappings: dict) -> DataFrame:
     values = sorted(r[VALUE] for r in categories.rows)[1:]
     columns = {f"{name}_{_text(v)}": F.coalesce((c(name) == F.lit(v)).cast("int"), F.lit(0)) for v in values}
     late.append(Note("encode", name, "done", f"onehot: {', '.join(columns)}"))
     return df.withColumns(columns).drop(name) if columns else df.drop(name)
 
 
-def _binary(df: DataFrame, name: str, categories: Categories, late: list[Note]) -> DataFrame:
+def onehot_long(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """The ones of a one-hot encoding as rows: the key columns and the name of the column that would hold the 1.
+
+    As in the wide form, the smallest value, and missing ones, have no column. This works for any number of values.
+    """
+    first = grouped_values(df, name, {}).agg(F.min(VALUE).alias("__first"))  # one row
+    rows = df.select(*[c(n) for n in keys], c(name).alias("__cell")).crossJoin(F.broadcast(first))
+    column = F.concat(F.lit(f"{name}_"), F.col("__cell").cast("string")).alias("column")
+    return rows.where(F.col("__cell") > F.col("__first")).select(*[c(n) for n in keys], column)
+
+
+def _binary(df: DataFrame, name: str, categories: Categories, late: list[Note], mappings: dict) -> DataFrame:
     if categories.too_many or len(categories.rows) != 2:
         count = "more than 2" if categories.too_many else len(categories.rows)
         late.append(Note("encode", name, "skipped", f"not binary: {count} values"))
         return df
-    zero, one = sorted(categories.rows, key=lambda r: r["__first"])
-    late.append(Note("encode", name, "done", f"binary: {zero[VALUE]}=0, {one[VALUE]}=1"))
+    zero, one = sorted(categories.rows, key=lambda r: tuple(r["__first"]))
+    late.append(Note("encode", name, "done", "binary"))
+    coded = [(_text(zero[VALUE]), 0.0), (_text(one[VALUE]), 1.0)]
+    mappings[name] = local_frame(df.sparkSession, coded, "value string, code double")
     return df.withColumn(name, F.coalesce((c(name) == F.lit(one[VALUE])).cast("int"), F.lit(0)))
 
 
-def _encode_many(df: DataFrame, name: str, word: str, arg: str) -> DataFrame:
-    """Encodings from a table of values too large for the driver. It is written once and then read by the lookups."""
-    if word == "target":
-        table = cut(grouped_values(df, name, {TARGET: F.mean(c(arg).cast("double"))}))
-        return large_lookup(df, name, table, TARGET)
-    if word == "label":
-        df = df.withColumn(name, c(name).cast("string"))
-        table = number_sorted(grouped_values(df, name, {}), VALUE, "__code")
-        return large_lookup(df, name, table, "__code")
-    table = cut(grouped_values(df, name, {}))
-    total = table.agg(F.sum(ROWS)).first()[0]
-    return large_lookup(df, name, table.withColumn("__share", F.col(ROWS) / F.lit(total)), "__share")
-
-
 def encoding_report(spark: SparkSession, outcome: Outcome) -> DataFrame:
-    """(column, status, detail): classes, new columns, first mappings, or why a column was skipped."""
-    rows = [(n.column, n.status, n.detail) for n in outcome.notes if n.step == "encode"]
-    return local_frame(spark, rows, "column string, status string, detail string")
+    """(column, status, detail, value, code): a row for each value of an encoded column, whole at any number of values;
+    for a column without codes, one row that tells its new columns or why it was skipped."""
+    notes = [n for n in outcome.notes if n.step == "encode"]
+    plain = [(n.column, n.status, n.detail) for n in notes if n.status != "done" or n.column not in outcome.mappings]
+    out = local_frame(spark, plain, "column string, status string, detail string")
+    out = out.withColumns({"value": F.lit(None).cast("string"), "code": F.lit(None).cast("double")})
+    for n in notes:
+        if n.status == "done" and n.column in outcome.mappings:
+            told = {"column": F.lit(n.column), "status": F.lit(n.status), "detail": F.lit(n.detail)}
+            out = out.unionByName(outcome.mappings[n.column].withColumns(told))
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import c, is_numeric, type_of
-from burnish.operators.ordered import ordered_fill
+from burnish.operators.ordered import order_keys, ordered_fill
 from burnish.operators.profile import null_counts
 from burnish.operators.steps import Found, Needs, Note, Outcome, Step, run
 
@@ -19,7 +19,7 @@ NOTHING = ("keep", "none")
 
 
 def fill_missing(
-    df: DataFrame, strategies: Mapping[str, str], order_by: str | None = None, ranges: int | None = None
+    df: DataFrame, strategies: Mapping[str, str], order_by: str | Sequence[str] | None = None, ranges: int | None = None
 ) -> Outcome:
     """Treat missing values column by column, in the given order.
 
@@ -34,7 +34,7 @@ def missing_steps(
     df: DataFrame,
     names: Sequence[str],
     strategies: Mapping[str, str],
-    order_by: str | None = None,
+    order_by: str | Sequence[str] | None = None,
     ranges: int | None = None,
 ) -> tuple[list[Step], list[Note]]:
     steps: list[Step] = []
@@ -68,9 +68,9 @@ def missing_steps(
     return steps, notes
 
 
-def _ordered_step(fills: dict[str, str], order_by: str, ranges: int | None) -> Step:
+def _ordered_step(fills: dict[str, str], order_by: str | Sequence[str], ranges: int | None) -> Step:
     return Step(
-        fit_reads=frozenset({*fills, order_by}),
+        fit_reads=frozenset({*fills, *order_keys(order_by)}),
         writes=frozenset(fills),
         needs=lambda df: Needs(),
         transform=lambda df, found: ordered_fill(df, fills, order_by, ranges),

@@ -1,93 +1,74 @@
 """Fills that follow the row order, without sorting the table in one task.
 
-The order key is cut into ranges of about equal row counts. Each range is sorted and filled by itself; what crosses
-a range border (the last value before it, the first one after it, the number of rows before it) is found by one small
-aggregate per range and joined to the rows. The table of ranges has at most ``MAX_RANGES`` rows.
+One range shuffle deals the rows by their order key, and the result is written once with the number of each row's range.
+Each range is sorted and filled by itself; what crosses a range border (the last value before it, the first one after
+it, the number of rows before it) is found by one small aggregate per range and joined to the rows. There are as many
+ranges as Spark makes of the shuffle, so their size is that of any other partition.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from burnish.functions.columns import NUMERIC, TEMPORAL, c, type_of, wall_micros
-from burnish.operators.quantiles import sketched_quantiles
+from burnish.functions.columns import c
+from burnish.session import cut
 
 FILLS = ("ffill", "bfill", "interpolate")
-RANGE_ROWS = 2_000_000
-SMALL_RANGE_ROWS = 1_000  # below this a range is not worth a task
-MAX_RANGES = 10_000
-MIN_SKETCH, MAX_SKETCH = 2_000, 65_535  # sketch sizes for choosing the edges; the larger the more even the ranges
-KEY, RANGE, PLACE, START = "__key", "__range", "__place", "__start"
-
-
-def order_value(df: DataFrame, order_by: str) -> Column:
-    """The order key as a double that never runs against the order, for choosing ranges only."""
-    kind = type_of(df, order_by)
-    if isinstance(kind, NUMERIC):
-        value = c(order_by).cast("double")
-    elif isinstance(kind, T.TimestampType):
-        value = F.unix_micros(c(order_by)).cast("double")
-    elif isinstance(kind, TEMPORAL):
-        value = wall_micros(c(order_by).cast("timestamp_ntz")).cast("double")
-    else:
-        raise ValueError(f"order_by must be a number, date or timestamp: {order_by}")
-    return value
-
-
-def with_ranges(df: DataFrame, order_by: str, ranges: int | None = None) -> DataFrame:
-    """Add the range number of each row. The edges are fixed here, so a repeated task assigns the same range."""
-    keyed = df.withColumn(KEY, order_value(df, order_by))
-    rows, filled = keyed.agg(F.count("*"), F.count(KEY)).first()
-    if filled < rows:
-        raise ValueError(f"order_by must be filled in every row: {rows - filled} values of {order_by} are missing")
-    if ranges is None:
-        workers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = min(MAX_RANGES, max(math.ceil(rows / RANGE_ROWS), min(workers, math.ceil(rows / SMALL_RANGE_ROWS))))
-    inner: list[float] = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        size = min(MAX_SKETCH, max(MIN_SKETCH, 8 * ranges))
-        inner = sketched_quantiles(keyed.select(KEY), {KEY: F.col(KEY)}, {KEY: shares}, size)[KEY] or []
-        _refuse_hot_key(keyed, inner, order_by, rows, ranges)
-    edges = sorted({e for e in inner if math.isfinite(e)})
-    if not edges:
-        return keyed.withColumn(RANGE, F.lit(0)).drop(KEY)
-    splits = [-math.inf, *edges, math.inf]
-    cutter = Bucketizer(splits=splits, inputCol=KEY, outputCol=RANGE, handleInvalid="keep")
-    return cutter.transform(keyed).withColumn(RANGE, F.col(RANGE).cast("int")).drop(KEY)
-
-
-def _refuse_hot_key(keyed: DataFrame, edges: list[float], order_by: str, rows: int, ranges: int) -> None:
-    """Many rows of one key have no order among them, and no range could be cut between them."""
-    counted = Counter(edges)
-    repeated = sorted(e for e, n in counted.items() if n > 2)
-    if not repeated:
-        return
-    same = keyed.where(F.col(KEY).isin(*repeated)).groupBy(KEY).count().agg(F.max("count")).first()[0]
-    if same > max(2, 2 * rows / ranges):
-        raise ValueError(f"order_by must tell rows apart: {same} of {rows} rows share one value of {order_by}")
-
-
-def ordered_fill(df: DataFrame, fills: Mapping[str, str], order_by: str, ranges: int | None = None) -> DataFrame:
+RANGE, PLACE, START = "__range", "__place", "__start"
+
+
+def order_keys(order_by: str | Sequence[str]) -> list[str]:
+    return [order_by] if isinstance(order_by, str) else list(order_by)
+
+
+def with_ranges(df: DataFrame, order_by: str | Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Add the range number of each row, and refuse an order that has gaps or ties.
+
+    Rows of equal keys always fall into one range. The numbers are written with the rows, so a repeated task sees the
+    same ranges. Ties are counted over all rows, whatever the number of rows or ranges.
+    """
+    keys = [c(n) for n in order_keys(order_by)]
+    dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    ranged = cut(dealt.withColumn(RANGE, F.spark_partition_id()))
+    gap = F.lit(False)
+    for key in keys:
+        gap = gap | key.isNull()
+    groups = ranged.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(gap).alias("__gap"))
+    facts = groups.agg(
+        F.sum(F.when(F.col("__gap"), F.col("__n"))).alias("gaps"),
+        F.sum("__n").alias("rows"),
+        F.max(F.when(~F.col("__gap"), F.col("__n"))).alias("most"),
+    ).first()
+    if facts["gaps"]:
+        raise ValueError(f"order_by must be filled in every row: {facts['gaps']} values of {order_by} are missing")
+    if (facts["most"] or 0) > 1:
+        raise ValueError(
+            f"order_by must tell rows apart: {facts['most']} of {facts['rows']} rows share one value of {order_by};"
+            " name further columns to break the tie"
+        )
+    return ranged
+
+
+def ordered_fill(
+    df: DataFrame, fills: Mapping[str, str], order_by: str | Sequence[str], ranges: int | None = None
+) -> DataFrame:
     """Fill several columns in one pass over the order: one shuffle by range, then sorts within the ranges.
 
-    The key has to be filled and to tell rows apart.
+    ``order_by`` is a column of any type that can be sorted, or several, the first one first. Together they have to be
+    filled and to tell rows apart.
     """
     for how in fills.values():
         if how not in FILLS:
             raise ValueError(f"unknown ordered fill: {how}")
     placed = "interpolate" in fills.values()
     ranged = with_ranges(df, order_by, ranges)
-    key = c(order_by)
-    up = Window.partitionBy(RANGE).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(RANGE).orderBy(key.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    keys = [c(n) for n in order_keys(order_by)]
+    key = keys[0] if len(keys) == 1 else F.struct(*keys)
+    up = Window.partitionBy(RANGE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(RANGE).orderBy(*[k.desc() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
 
     # Within the ranges; what comes from other ranges is joined afterwards, so that it is not shuffled.
     rows = ranged.withColumn(PLACE, F.row_number().over(up)) if placed else ranged

@@ -22,7 +22,7 @@ HIGH_CORRELATION = 0.9
 DROP_CORRELATION = 0.95
 TOP_VALUES = 10
 KEPT_TEXT = 32  # characters; an md5 digest has as many
-MAX_REPEATED = 1_000_000  # hashes of repeated rows that may be broadcast: 8 MB
+SALTS = 16  # tasks over which the rows of one repeated key are spread
 
 
 def long_form(df: DataFrame, columns: Sequence[str], metrics: Mapping[str, tuple]) -> DataFrame:
@@ -229,18 +229,16 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """(duplicates): rows after the first one of each key.
 
     First only 64-bit hashes of the keys are grouped, which is a small part of the data. Rows whose hash occurs once
-    have no copy. The others are compared by their real values; if their hashes are too many to broadcast, all rows
-    are grouped by value instead.
+    have no copy; the others are compared by their real values. Rows meet the repeated hashes in SALTS parts each, so
+    that a key that very many rows share is spread over tasks, and is summed per task before it meets itself.
     """
     names = list(df.columns if columns is None else columns)
     hashed = df.withColumn("__hash", F.xxhash64(*[c(n) for n in names]))
-    repeated = hashed.groupBy("__hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("__hash")
-    found = repeated.limit(MAX_REPEATED + 1).toPandas()["__hash"]
-    rows = df
-    if len(found) <= MAX_REPEATED:
-        suspects = local_frame(df.sparkSession, [(int(h),) for h in found], "__hash long")
-        rows = hashed.join(F.broadcast(suspects), "__hash", "left_semi")
-    groups = duplicate_groups(rows, names)
+    repeated = hashed.groupBy("__hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    repeated = repeated.select("__hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salted = hashed.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    suspects = salted.join(repeated, ["__hash", "__salt"], "left_semi")
+    groups = duplicate_groups(suspects, names)
     return groups.agg(F.coalesce(F.sum(F.col("__rows") - 1), F.lit(0)).alias("duplicates"))
 
 

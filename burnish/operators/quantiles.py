@@ -4,7 +4,7 @@
 value, by a shuffle, and only the counts reach that buffer. A column with many is narrowed instead: a sketch proposes
 two pivots around each wanted rank, one aggregate counts exactly how many rows lie below them, and this repeats inside
 the interval until so few rows are left that one buffer may hold them. The sketch decides only how fast the interval
-shrinks; the counts make the answer exact.
+shrinks; the counts make the answer exact. The rows left are counted per interval and value by a shuffle.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burnish.functions.columns import c
 
 DIRECT_DISTINCT = 50_000  # distinct values that one ``percentile`` buffer may hold
-GATHER_ROWS = 200_000  # rows that one gathered interval may hold
+GATHER_ROWS = 50_000  # rows that may be left in an interval when its ranks are read off
 SKETCH_SIZE = 4_000  # its rank error is about 0.001
 REACH = 0.002  # how far around a rank, as a share of the rows, the pivots lie
 MERGE_GROUPS = 256  # tasks that merge sketches before the last one does
@@ -237,13 +238,34 @@ def _narrow(interval: Interval, rank: int, pivots: Sequence[float], counted: Map
 
 
 def _gather(df: DataFrame, ranks: Mapping) -> dict:
-    """Sort the few rows left in each interval, whose size has been counted, and read off the ranks."""
-    aggs = {}
-    for key, interval in ranks.items():
-        if isinstance(interval, Interval):
-            value = c(key[0]).cast("double")
-            inside = F.sort_array(F.collect_list(F.when(interval.holds(value), value)))
-            aggs[key] = F.element_at(inside, F.lit(key[1] - interval.below + 1))
-    values = one_row(df, aggs)
-    return {key: values.get(key, held) for key, held in ranks.items()}
+    """Read off the ranks among the few rows left in each interval, whose size has been counted.
 
+    Intervals of one column do not overlap, so a row is in one of them at most. Rows are counted per interval and
+    value, and each interval is summed by itself: no task holds more than one interval at a time.
+    """
+    held = {key: interval for key, interval in ranks.items() if isinstance(interval, Interval)}
+    if not held:
+        return dict(ranks)
+    number = {interval: i for i, interval in enumerate(dict.fromkeys(held.values()))}
+    cells = []
+    for name in dict.fromkeys(interval.column for interval in number):
+        value, which = c(name).cast("double"), F.lit(None).cast("int")
+        for interval, i in number.items():
+            if interval.column == name:
+                which = F.when(interval.holds(value), F.lit(i)).otherwise(which)
+        cells.append(F.when(which.isNotNull(), F.struct(which.alias("interval"), value.alias("value"))))
+    rows = df.select(F.inline(F.array_compact(F.array(*cells))))
+    counted = rows.groupBy("interval", "value").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("interval").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = counted.withColumn("upto", F.sum("n").over(upto))
+    places = [(number[interval], key[1] - interval.below + 1) for key, interval in held.items()]
+    wanted = local_rows(df.sparkSession, places)
+    hit = counted.join(F.broadcast(wanted), "interval").where("upto >= place and upto - n < place")
+    found = {(r["interval"], r["place"]): r["value"] for r in hit.select("interval", "place", "value").collect()}
+    values = {key: found[number[interval], key[1] - interval.below + 1] for key, interval in held.items()}
+    return {key: values.get(key, kept) for key, kept in ranks.items()}
+
+
+def local_rows(spark: SparkSession, places: Sequence[tuple[int, int]]) -> DataFrame:
+    arrays = [pa.array([p[k] for p in places], kind) for k, kind in enumerate((pa.int32(), pa.int64()))]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=["interval", "place"]))

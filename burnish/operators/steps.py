@@ -69,6 +69,7 @@ class Outcome:
 
     df: DataFrame
     notes: tuple[Note, ...] = ()
+    mappings: Mapping[str, DataFrame] = field(default_factory=dict)  # by encoded column: (value, code)
 
     def notes_frame(self) -> DataFrame:
         return notes_frame(self.df.sparkSession, self.notes)

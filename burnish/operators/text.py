@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from burnish.functions.columns import c, flag
 from burnish.functions.text import SHORTEST_TOKEN, cleaned, first_number, hash_bucket, piece_count, tokens, word_count
 from burnish.operators.steps import Found, Note, Outcome, Step, run
-from burnish.operators.values import MAX_CATEGORIES
 
 METHODS = (
     "length_and_words", "count_delimiter", "tfidf", "countvec", "contains", "extract_numbers",
@@ -116,8 +115,6 @@ class Vocabulary:
 
 def top_terms(df: DataFrame, name: str, n: int, stop_words: Sequence[str] | None = None) -> Vocabulary:
     """The n most frequent terms. One pass counts uses and rows per term, summed per task before the shuffle."""
-    if n > MAX_CATEGORIES:
-        raise ValueError(f"at most {MAX_CATEGORIES} terms become columns: {n}")
     rows, spread_over = _layout(df)
     listed = _spread(df.select(c(name)), spread_over).select(tokens(c(name).cast("string")).alias("all"))
     twice = listed.select(F.posexplode(F.array("all", F.array_distinct("all"))).alias("once", "some"))

@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 from burnish.functions.columns import c
 from burnish.session import cut
 
-MAX_CATEGORIES = 1_000  # distinct values that may come to the driver and be broadcast
-HOT_VALUES = 20_000  # most frequent values that a large lookup serves without a shuffle
+SALTS = 8  # tasks over which the rows of one value, or of none, are spread when they are joined
 VALUE, ROWS = "__value", "__rows"
 
 
@@ -67,26 +66,23 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Categories:
-    """Distinct values of one column with their row counts and extra aggregates, or ``too_many``."""
+    """Distinct values of one column with their row counts and extra aggregates, or ``too_many`` of them."""
 
     rows: tuple[Mapping[str, object], ...] = ()
     too_many: bool = False
 
-    @property
-    def total(self) -> int:
-        return sum(r[ROWS] for r in self.rows)
-
 
 @dataclass(frozen=True)
 class CategoryNeed:
+    """Values that come to the driver because the result has a column, or a literal, for each of them."""
+
     column: str
     extras: Mapping[str, Column] = field(default_factory=dict, hash=False)
-    limit: int = MAX_CATEGORIES
-    as_text: bool = False
+    limit: int | None = None
 
     @property
     def key(self) -> tuple:
-        return self.column, tuple(self.extras), self.limit, self.as_text
+        return self.column, tuple(self.extras), self.limit
 
 
 def grouped_values(df: DataFrame, name: str, extras: Mapping[str, Column], as_text: bool = False) -> DataFrame:
@@ -100,47 +96,35 @@ def grouped_values(df: DataFrame, name: str, extras: Mapping[str, Column], as_te
 
 
 def fetch_categories(df: DataFrame, need: CategoryNeed) -> Categories:
-    """Bring the values to the driver if there are at most ``limit``; never more than one beyond it."""
-    found = grouped_values(df, need.column, need.extras, need.as_text).limit(need.limit + 1).collect()
-    if len(found) > need.limit:
-        return Categories(too_many=True)
-    return Categories(tuple(r.asDict() for r in found))
-
-
-def small_lookup(df: DataFrame, name: str, mapping: Mapping[object, object], data_type: T.DataType) -> DataFrame:
-    """Replace the column by its mapped value. The mapping came through ``fetch_categories``, so it is bounded."""
-    key_type = df.schema[name].dataType
-    schema = T.StructType([T.StructField(VALUE, key_type), T.StructField("__mapped", data_type)])
-    table = local_frame(df.sparkSession, list(mapping.items()), schema)
-    joined = df.join(F.broadcast(table), c(name) == F.col(VALUE), "left")
-    return joined.select(*[F.col("__mapped").alias(n) if n == name else c(n) for n in df.columns])
+    """Bring the values to the driver; with a limit, only if there are at most that many."""
+    found = grouped_values(df, need.column, need.extras)
+    if need.limit is None:
+        return Categories(tuple(r.asDict() for r in found.collect()))
+    rows = found.limit(need.limit + 1).collect()
+    return Categories(too_many=True) if len(rows) > need.limit else Categories(tuple(r.asDict() for r in rows))
 
 
-def large_lookup(df: DataFrame, name: str, table: DataFrame, mapped: str) -> DataFrame:
-    """Replace the column by ``table.<mapped>``, for a table of any size with one row per value and its row count.
+def looked_up(df: DataFrame, name: str, table: DataFrame, mapped: str) -> DataFrame:
+    """Replace the column by ``table.<mapped>``, for a table of any size with one row per value.
 
-    Rows of the most frequent values, and rows without a value, never shuffle: a table of at most ``HOT_VALUES``
-    rows is broadcast to them. Only the other rows are joined by a shuffle, and none of their values can hold more
-    than one part in ``HOT_VALUES`` of the data.
+    One left join that reads ``df`` once. Rows are dealt by value and salt, and each value of the table stands in all
+    salts, so rows that share one value, or have none, are spread. A small table is broadcast by Spark itself.
     """
-    hot = table.orderBy(F.desc(ROWS), F.asc(VALUE)).limit(HOT_VALUES)
-    hot = F.broadcast(hot.select(VALUE, F.col(mapped).alias("__mapped"), F.lit(True).alias("__hot")))
-    near = df.join(hot, c(name) == F.col(VALUE), "left").where(F.col("__hot") | c(name).isNull())
-    rest = df.where(c(name).isNotNull()).join(hot, c(name) == F.col(VALUE), "left_anti")
-    far = rest.join(table.select(VALUE, F.col(mapped).alias("__mapped")), c(name) == F.col(VALUE), "left")
-    out = [F.col("__mapped").alias(n) if n == name else c(n) for n in df.columns]
-    return near.select(*out).unionByName(far.select(*out))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    table = table.select(VALUE, F.col(mapped).alias("__mapped"), salts)
+    salted = df.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    joined = salted.join(table, (c(name) == F.col(VALUE)) & (salted["__salt"] == table["__salt"]), "left")
+    return joined.select(*[F.col("__mapped").alias(n) if n == name else c(n) for n in df.columns])
 
 
 def number_sorted(table: DataFrame, key: str, code: str) -> DataFrame:
     """Give each distinct text of the table its place in sorted order, from 0, without sorting it in one task.
 
-    One range shuffle sorts the table. The written result holds each row's part and its place there, and a part
+    One range shuffle sorts the table, in as many parts as Spark makes of it. The written result holds each row's part and its place there, and a part
     starts after the rows of the parts before it: one number per part.
     """
     spark = table.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = table.repartitionByRange(parts, key).sortWithinPartitions(key)
+    ordered = table.repartitionByRange(key).sortWithinPartitions(key)
     placed = cut(ordered.withColumn("__place", F.monotonically_increasing_id()))
     # monotonically_increasing_id() is the number of the part times 2^33, plus the place of the row in it.
     part, within = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit(2**33 - 1))

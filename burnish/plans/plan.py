@@ -41,7 +41,6 @@ class Plan:
     order: Sequence[str] = STEPS
     order_by: str | None = None
     stop_words: Sequence[str] | None = None
-    max_categories: int = 1_000
 
     @classmethod
     def from_dict(cls, config: Mapping[str, object]) -> Plan:

@@ -98,7 +98,7 @@ def _steps(df: DataFrame, names: list[str], plan: Plan, kind: str, late: list[No
     if kind == "outliers":
         return outlier_steps(df, names, plan.outliers)
     if kind == "encode":
-        return encode_steps(df, names, plan.encode, plan.order_by, plan.max_categories, late)
+        return encode_steps(df, names, plan.encode, plan.order_by, late)
     if kind == "features":
         return feature_steps(df, names, plan.features)
     exclude = [*plan.scale_exclude, *([plan.target] if plan.target else [])]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +19,26 @@ SETTINGS = {
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: the one the session names, or a temporary one where it names none."""
+    """The folder that the driver and all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Only where all executors live in the driver's own process does a temporary folder do; elsewhere each executor
+    would write to a disk of its own, and rows would be lost, so a session without a named folder is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="burnish-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """One temporary folder for the life of a local process; it goes with the process."""
+    made = tempfile.TemporaryDirectory(prefix="burnish-")
+    atexit.register(made.cleanup)
+    return made.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

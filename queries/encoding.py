@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from burnish.operators.encode import encode, encoding_report
+from burnish.operators.encode import encode, encoding_report, onehot_long
 from queries.registry import query, r, rounded, table, view
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -35,7 +35,7 @@ query(
     + " select c_custkey, code as c_name from customer left join codes on v = c_name",
 )
 def label_many(spark, sf_dir):
-    return encode(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), {"c_name": "label"}, max_categories=50).df
+    return encode(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), {"c_name": "label"}).df
 
 
 query(
@@ -60,7 +60,7 @@ query(
 )
 def frequency_many(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return rounded(encode(orders, {"o_custkey": "frequency"}, max_categories=50).df, ["o_custkey"], 9)
+    return rounded(encode(orders, {"o_custkey": "frequency"}).df, ["o_custkey"], 9)
 
 
 query(
@@ -101,22 +101,48 @@ query(
 )
 def target_many(spark, sf_dir):
     gaps = view(spark, sf_dir, "orders_gaps").select("o_orderkey", "o_custkey", "o_totalprice")
-    out = encode(gaps, {"o_custkey": "target:o_totalprice"}, max_categories=50).df
+    out = encode(gaps, {"o_custkey": "target:o_totalprice"}).df
     return rounded(out.drop("o_totalprice"), ["o_custkey"], 7)
 
 
 @query(
+    "e2_onehot_long",
+    """select o_orderkey, 'o_orderpriority_' || o_orderpriority as "column" from $orders_gaps
+    where o_orderpriority > (select min(o_orderpriority) from $orders_gaps)""",
+)
+def long(spark, sf_dir):
+    return onehot_long(view(spark, sf_dir, "orders_gaps"), "o_orderpriority", ["o_orderkey"])
+
+
+REPORTED = """select '{c}' as "column", 'done' as status, '{m}' as detail, v::varchar as value, code::double as code from ({s})"""
+
+query(
     "e7_encoding_report",
-    """with v as (select distinct o_orderpriority as v from $orders_gaps where o_orderpriority is not null)
-    select 'o_orderpriority' as "column", 'done' as status,
-        'label: ' || count(*) || ' values: ' || string_agg(v || '=' || code, ', ' order by v) as detail
-        from (select v, row_number() over (order by v) - 1 as code from v) where code < 5
-    union all select 'o_orderstatus', 'skipped',
-        'not binary: ' || case when count(distinct o_orderstatus) > 2 then 'more than 2'
-            else count(distinct o_orderstatus)::varchar end || ' values' from orders
-    union all select 'no_such_column', 'skipped', 'column not found'""",
+    " union all ".join(
+        [
+            REPORTED.format(c=name, m="label", s=f"""select v, row_number() over (order by v) - 1 as code
+                from (select distinct {name} as v from {source} where {name} is not null)""")
+            for name, source in (("o_orderpriority", "$orders_gaps"),)
+        ]
+        + [
+            REPORTED.format(c="o_custkey", m="frequency", s="""select o_custkey as v,
+                round(count(*) / (sum(count(*)) over ()), 9) as code from orders group by 1"""),
+            """select 'o_orderstatus', 'skipped', 'not binary: ' || case when count(distinct o_orderstatus) > 2 then 'more than 2'
+                else count(distinct o_orderstatus)::varchar end || ' values', null, null from orders""",
+            "select 'no_such_column', 'skipped', 'column not found', null, null",
+        ]
+    ),
+)(
+    lambda spark, sf_dir: rounded(
+        encoding_report(
+            spark,
+            encode(
+                view(spark, sf_dir, "orders_gaps"),
+                {"o_orderpriority": "label", "o_custkey": "frequency", "o_orderstatus": "binary", "no_such_column": "label"},
+                order_by="o_orderkey",
+            ),
+        ),
+        ["code"],
+        9,
+    )
 )
-def report(spark, sf_dir):
-    gaps = view(spark, sf_dir, "orders_gaps")
-    methods = {"o_orderpriority": "label", "o_orderstatus": "binary", "no_such_column": "label"}
-    return encoding_report(spark, encode(gaps, methods, order_by="o_orderkey"))

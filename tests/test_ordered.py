@@ -47,16 +47,22 @@ def test_text_in_time_order(spark):
     assert got.tolist() == ["a", "a", "a"]
 
 
-def test_order_of_text_is_refused(spark):
-    df = spark.createDataFrame([("a", 1.0)], "id string, v double")
-    with pytest.raises(ValueError, match="order_by"):
-        ordered_fill(df, {"v": "ffill"}, "id")
-
-
-def test_a_key_shared_by_a_third_of_the_rows_is_refused(spark):
-    df = spark.range(9_000).selectExpr("case when id % 3 = 0 then 500 else id end as id", "cast(null as double) as v")
-    with pytest.raises(ValueError, match="tell rows apart"):
-        ordered_fill(df, {"v": "ffill"}, "id", 10)
+def test_order_of_text_and_of_several_columns(spark):
+    data = [("a", 2, None), ("b", 1, None), ("a", 1, 5.0), ("b", 2, 7.0), ("A", 9, None)]
+    df = spark.createDataFrame(data, "k string, n int, v double").repartition(3)
+    got = ordered_fill(df, {"v": "ffill"}, ["k", "n"], 3).orderBy("k", "n").toPandas()["v"]
+    assert got.fillna(-1).tolist() == [-1, 5, 5, 5, 7]
+    line = ordered_fill(df, {"v": "interpolate"}, ["k", "n"], 2).orderBy("k", "n").toPandas()["v"]
+    assert line[1:].tolist() == [5, 17 / 3, 19 / 3, 7]
+
+
+@pytest.mark.parametrize("rows", [30, 9_000])
+@pytest.mark.parametrize("ranges", [None, 1, 10])
+def test_ties_are_refused_at_any_size(spark, rows, ranges):
+    df = spark.range(rows).selectExpr("case when id = 3 then 4 else id end as id", "id as n", "cast(null as double) as v")
+    with pytest.raises(ValueError, match="tell rows apart: 2 of"):
+        ordered_fill(df, {"v": "ffill"}, "id", ranges)
+    assert ordered_fill(df, {"v": "ffill"}, ["id", "n"], ranges).count() == rows
 
 
 def test_a_missing_key_is_refused(spark):
