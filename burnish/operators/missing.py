@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.columns import c, is_numeric, type_of
+from burnish.functions.columns import FLOATING, TEMPORAL, c, is_numeric, type_of
 from burnish.operators.ordered import order_keys, ordered_fill
 from burnish.operators.profile import null_counts
 from burnish.operators.steps import Found, Needs, Note, Outcome, Step, run
@@ -65,9 +65,23 @@ def missing_steps(
             steps.append(_step(name, word, arg))
         notes.append(Note("missing", name, "done", strategy))
     settle_ordered()
+    # NaN is a missing value whatever brought the table here.
+    done = [n for n in notes if n.status == "done" and n.column in df.columns]
+    floats = [n.column for n in done if isinstance(type_of(df, n.column), FLOATING)]
+    if floats:
+        steps.insert(0, _spelled_missing(floats))
     return steps, notes
 
 
+def _spelled_missing(names: Sequence[str]) -> Step:
+    every = frozenset(names)
+    return Step(
+        reads=every,
+        writes=every,
+        project=lambda df, found: {n: F.when(~F.isnan(c(n)), c(n)) for n in names if n in df.columns},
+    )
+
+
 def _ordered_step(fills: dict[str, str], order_by: str | Sequence[str], ranges: int | None) -> Step:
     return Step(
         fit_reads=frozenset({*fills, *order_keys(order_by)}),
@@ -98,6 +112,8 @@ def _step(name: str, word: str, arg: str) -> Step:
 def _with_literal(df: DataFrame, name: str, value: str) -> Column:
     """A fixed value in the column's own type; a fraction turns a whole-number column into double."""
     kind = type_of(df, name)
+    if isinstance(kind, TEMPORAL) and value == "0":
+        raise ValueError(f"fill_zero has no meaning for a date: {name}; use fill_custom with a date")
     if isinstance(kind, T.IntegralType) and not value.lstrip("+-").isdigit():
         kind = T.DoubleType()
     return F.coalesce(c(name).cast(kind), F.lit(value).cast(kind))

@@ -176,4 +176,6 @@ def term_weights(
         return df.select(*kept, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
     weighted = with_weights(df.select(*kept, c(name)), name, vocabulary, idf)
     pairs = F.arrays_zip(F.lit(list(vocabulary.terms)).alias("term"), F.col(COUNTS).alias("weight"))
-    return weighted.select(*kept, F.inline(pairs)).toDF(*keep, "term", "weight").where(F.col("weight") > 0)
+    # A row has few of the terms: the others never become rows.
+    pairs = F.filter(pairs, lambda x: x["weight"] > 0)
+    return weighted.select(*kept, F.inline(pairs)).toDF(*keep, "term", "weight")

@@ -55,6 +55,43 @@ def along(direction: str) -> str:
 
 query("m5_fill_bfill", along("bfill"))(filled({"value": "fill_bfill"}, "event_id", "events_gaps"))
 query("m6_fill_ffill", along("ffill"))(filled({"value": "fill_ffill"}, "event_id", "events_gaps"))
+query(
+    "m1_fill_mean_nan",
+    f"""with n as (select event_id, case when event_id % 7 = 0 or event_id % 5 < 2 then null else value end as value from events)
+    select event_id, {r("coalesce(value, (select avg(value) from n))", 6)} as value from n""",
+)(
+    lambda spark, sf_dir: rounded(
+        fill_missing(
+            table(spark, sf_dir, "events", nan_as_null=False).selectExpr(
+                "event_id",
+                "case when event_id % 7 = 0 then double('NaN') when event_id % 5 < 2 then null else value end as value",
+            ),
+            {"value": "fill_mean"},
+        ).df,
+        ["value"],
+    )
+)
+query(
+    "m6_fill_ffill_two_keys",
+    """select event_id, user_id, last_value(value ignore nulls) over (order by user_id, event_id
+        rows between unbounded preceding and current row) as value from $events_gaps""",
+)(
+    lambda spark, sf_dir: fill_missing(
+        view(spark, sf_dir, "events_gaps").select("event_id", "user_id", "value"), {"value": "fill_ffill"}, ["user_id", "event_id"]
+    ).df
+)
+query(
+    "m5_fill_bfill_text_key",
+    """select c_name, last_value(acct ignore nulls) over (order by c_name desc
+        rows between unbounded preceding and current row) as acct
+    from (select c_name, case when c_custkey % 3 = 0 then null else c_acctbal end as acct from customer)""",
+)(
+    lambda spark, sf_dir: fill_missing(
+        table(spark, sf_dir, "customer").selectExpr("c_name", "case when c_custkey % 3 = 0 then null else c_acctbal end as acct"),
+        {"acct": "fill_bfill"},
+        "c_name",
+    ).df
+)
 query("m7_drop_rows", "select * from $orders_gaps where o_orderpriority is not null")(
     filled({"o_orderpriority": "drop_rows"})
 )
@@ -173,6 +210,37 @@ def as_datetime(spark, sf_dir):
     return repair_types(dates, {"date_text": "datetime"}).df
 
 
+SHAPES = """select o_orderkey, substr(cast(o_orderdate as string), 1, 10) as d, case o_orderkey % 9
+    when 0 then substr(cast(o_orderdate as string), 1, 10) || 'T03:04:05Z'
+    when 1 then substr(cast(o_orderdate as string), 1, 10) || ' 3:04'
+    when 2 then replace(substr(cast(o_orderdate as string), 1, 10), '-', '')
+    when 3 then substr(cast(o_orderdate as string), 1, 10) || 'T03:04:05.123456789+02:00'
+    when 4 then substr(cast(o_orderdate as string), 6, 2) || '/' || substr(cast(o_orderdate as string), 9, 2) || '/'
+        || substr(cast(o_orderdate as string), 1, 4)
+    when 5 then substr(cast(o_orderdate as string), 9, 2) || ' FEB ' || substr(cast(o_orderdate as string), 1, 4)
+    when 6 then 'March ' || substr(cast(o_orderdate as string), 9, 1) || ', ' || substr(cast(o_orderdate as string), 1, 4)
+    when 7 then substr(cast(o_orderdate as string), 1, 10) || ' 23:59:59-0530'
+    else '2023-13-45 or so' end as date_text from {orders}"""
+
+
+@query(
+    "t5_datetime_shapes",
+    f"""select o_orderkey, case o_orderkey % 9
+        when 0 then cast(d as timestamp) + interval 3 hour + interval 4 minute + interval 5 second
+        when 1 then cast(d as timestamp) + interval 3 hour + interval 4 minute
+        when 2 then cast(d as timestamp)
+        when 3 then cast(d as timestamp) + interval 1 hour + interval 4 minute + interval 5123456 microsecond
+        when 4 then cast(d as timestamp)
+        when 5 then try_strptime(substr(d, 9, 2) || ' 02 ' || substr(d, 1, 4), '%d %m %Y')
+        when 6 then try_strptime(substr(d, 9, 1) || ' 03 ' || substr(d, 1, 4), '%d %m %Y')
+        when 7 then cast(d as timestamp) + interval 29 hour + interval 29 minute + interval 59 second
+        end as date_text from ({SHAPES.format(orders="orders")})""",
+)
+def many_shapes(spark, sf_dir):
+    dates = spark.sql(SHAPES, orders=table(spark, sf_dir, "orders")).select("o_orderkey", "date_text")
+    return repair_types(dates, {"date_text": "datetime"}).df
+
+
 query(
     "t6_auto",
     "select c_custkey, cast(nation_text as bigint) as nation_text, acct_text from $customer_dirty",

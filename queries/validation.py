@@ -48,7 +48,9 @@ query(
 )(checked("lineitem", min_rows=1_000_000_000))
 query(
     "v5_expected_columns",
-    "select 'expected_columns' as check_name, count(*) < 0 as passed, 'p_colour, p_weight' as detail from part",
+    """select 'expected_columns' as check_name, count(*) = 0 as passed, coalesce(string_agg(n, ', ' order by n), '') as detail
+    from (values ('p_partkey'), ('p_weight'), ('p_name'), ('p_colour')) w(n)
+    where n not in (select column_name from (describe part))""",
 )(checked("part", expected_columns="p_partkey, p_weight, p_name, p_colour"))
 query(
     "v6_no_infinite",
@@ -62,7 +64,9 @@ query(
 )(checked("orders_gaps", target_column="o_orderpriority"))
 query(
     "v8_numeric_only",
-    """select 'numeric_only' as check_name, count(*) < 0 as passed, 'o_orderdate, o_orderstatus' as detail from $orders_gaps
+    """select 'numeric_only' as check_name, count(*) = 0 as passed, coalesce(string_agg(n, ', ' order by n), '') as detail
+    from (select column_name as n, column_type as t from (describe select * from $orders_gaps))
+    where t not in ('BIGINT', 'INTEGER', 'DOUBLE') and n <> 'o_orderpriority'
     union all select 'target_column', count(*) filter (where o_orderpriority is null) = 0,
         'nulls=' || count(*) filter (where o_orderpriority is null) from $orders_gaps""",
 )(checked("orders_gaps", numeric_only=True, target_column="o_orderpriority"))
@@ -70,8 +74,13 @@ query(
 
 @query(
     "v9_summary",
-    """select false as all_passed, count(*) as "rows", 6 as "columns",
-        'bigint=2, double=1, string=2, timestamp_ntz=1' as types from $orders_gaps""",
+    """with c as (select case column_type when 'BIGINT' then 'bigint' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string'
+            when 'TIMESTAMP' then 'timestamp_ntz' else lower(column_type) end as t, count(*) as n
+        from (describe select * from $orders_gaps) group by 1),
+    g as (select count(*) as n, count(*) filter (where o_totalprice is null or o_orderpriority is null or o_orderkey is null
+        or o_custkey is null or o_orderstatus is null or o_orderdate is null) as missing from $orders_gaps)
+    select g.missing = 0 and g.n >= 10 as all_passed, g.n as "rows", (select sum(n) from c)::int as "columns",
+        (select string_agg(t || '=' || n, ', ' order by t) from c) as types from g""",
 )
 def summary(spark, sf_dir):
     return validation_summary(view(spark, sf_dir, "orders_gaps"), {"no_nulls": True, "min_rows": 10})
