@@ -21,12 +21,12 @@ from burnish.llm.common import components, keep, unused
 #: are looked at, so the bound changes speed, not results.
 FREQUENT = 2**18
 #: Shingles that are counted or listed together in a task, and words whose hash a worker remembers.
-TOGETHER = 3_000_000
+TOGETHER = 1_500_000
 REMEMBERED = 300_000
 #: Tokens that one bucket counts.
 COUNTED = 2_000_000
 #: Documents that are searched for, and searched through, in one cell.
-BLOCK = 512
+BLOCK = 256
 #: Bits of the filter that tells which documents may have candidates. A fixed size: 4 MB.
 FILTER_BITS = 2**25
 
