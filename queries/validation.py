@@ -122,3 +122,36 @@ def gate(spark, sf_dir):
         "target_column": "l_returnflag",
     }
     return quality_gate(table(spark, sf_dir, "lineitem"), lines, checks)
+
+
+@query(
+    "v12_quality_gate_pass",
+    """with p as (select count(*) as n, count(*) - count(distinct p_partkey) as copies,
+        count(*) filter (where isinf(p_retailprice)) as infinite, count(*) filter (where p_brand is null) as missing from part)
+    select case when copies + infinite + missing = 0 and n >= 10 then 'PASS' else 'FAIL' end as verdict,
+        ((copies > 0)::int + (infinite > 0)::int + (missing > 0)::int + (n < 10)::int) as failed, '' as issues from p""",
+)
+def gate_passes(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    return quality_gate(parts, parts, {"no_duplicates": True, "no_infinite": True, "min_rows": 10, "target_column": "p_brand"})
+
+
+@query(
+    "v12_quality_gate_issues",
+    """with b as (select count(*) as n from events),
+    a as (select count(*) as n, count(*) filter (where isinf(value)) as infinite,
+        count(*) filter (where event_type is null) as missing from
+        (select case when event_id % 9 = 0 then null else event_type end as event_type, value from $events_inf where event_id % 3 = 0)),
+    i as (select 'no_infinite: value=' || infinite as issue from a where infinite > 0
+        union all select 'no_nulls: event_type=' || missing from a where missing > 0
+        union all select 'row_loss: lost_pct=' || round((b.n - a.n)::double / b.n * 100, 2) from a, b where b.n - a.n > 0.2 * b.n
+        union all select 'target_column: nulls=' || missing from a where missing > 0
+        union all select 'min_rows: expected=1000000000, actual=' || n from a where n < 1000000000)
+    select 'FAIL' as verdict, count(*)::int as failed, string_agg(issue, '; ' order by issue) as issues from i""",
+)
+def gate_fails(spark, sf_dir):
+    after = view(spark, sf_dir, "events_inf").where("event_id % 3 = 0").selectExpr(
+        "event_id", "case when event_id % 9 = 0 then null else event_type end as event_type", "value"
+    )
+    checks = {"no_nulls": True, "no_infinite": True, "target_column": "event_type", "min_rows": 1_000_000_000}
+    return quality_gate(table(spark, sf_dir, "events"), after, checks)
