@@ -60,15 +60,19 @@ def test_duplicates_need_a_key_and_an_order(spark):
         remove_duplicates(keyed(spark), "keep_some")
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_duplicate_count_either_way(spark, monkeypatch, limit):
-    from burnish.operators import profile
-
-    monkeypatch.setattr(profile, "MAX_REPEATED", limit)
-    assert duplicate_count(keyed(spark), ["k", "v"]).first()[0] == 3
-    assert duplicate_count(keyed(spark)).first()[0] == 0
-    zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),)], "x double")
-    assert duplicate_count(zeros).first()[0] == 2
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_duplicate_count_with_and_without_a_broadcast(spark, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        assert duplicate_count(keyed(spark), ["k", "v"]).first()[0] == 3
+        assert duplicate_count(keyed(spark)).first()[0] == 0
+        zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),)], "x double")
+        assert duplicate_count(zeros).first()[0] == 2
+        hot = spark.range(3_000).selectExpr("if(id % 3 = 0, 'hot', concat('v', id)) as v")
+        assert duplicate_count(hot).first()[0] == 999
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def dirty(spark):
