@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +16,6 @@ from burnish.operators.quantiles import exact_quantiles, one_row, parallel
 from burnish.operators.values import cell_counts, local_frame, top_values
 
 QUARTILES = (0.25, 0.5, 0.75)
-PAIRS_PER_PASS = 300
 OUTLIER_REACH = 1.5
 HIGH_CORRELATION = 0.9
 DROP_CORRELATION = 0.95
@@ -156,49 +155,46 @@ def outlier_counts(
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col1, col2, correlation): absolute Pearson of every pair, over the rows where both have a value.
 
-    A first pass finds the means and which columns have gaps, a second one sums products of the centered values.
-    Two columns without gaps share their sums of squares with all other pairs, so a pair costs one sum then and six
-    otherwise. Plain sums stay inside generated code, which ``corr`` of many pairs does not, and a column without
-    spread gives NULL where ``corr`` divides by zero.
+    A first pass finds the means; a second one multiplies each batch of centered rows with itself, which gives the sums
+    of all pairs at once. Sums of tasks are added per pair by a shuffle, and the correlations stay distributed: the table
+    is read twice for any number of columns, and no pair passes through the driver. A column without spread gives NULL.
     """
     names = list(numeric_columns(df) if columns is None else columns)
-    pairs = list(combinations(names, 2))
-    first = {("n", n): F.count(c(n)) for n in names} | {("mean", n): F.mean(c(n).cast("double")) for n in names}
-    facts = one_row(df, {"rows": F.count("*"), **first}) if pairs else {}
-    centered = {n: c(n).cast("double") - F.lit(facts["mean", n]).cast("double") for n in names} if pairs else {}
-    full = {n for n in names if facts and facts["n", n] == facts["rows"]}
-    rows = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        some = pairs[start : start + PAIRS_PER_PASS]
-        values = one_row(df, {k: v for a, b in some for k, v in _pair_sums(a, b, centered, full).items()})
-        for a, b in some:
-            rows.append((a, b, _absolute_pearson(*[values[k] for k in _pair_sums(a, b, centered, full)])))
-    return local_frame(df.sparkSession, rows, "col1 string, col2 string, correlation double")
-
-
-def _pair_sums(a: str, b: str, centered: Mapping[str, Column], full: set[str]) -> dict[tuple, Column]:
-    """Sums over the rows that have both values: count, x, y, xx, yy, xy. Equal keys stand for equal sums."""
-    x, y = centered[a], centered[b]
-    both_x = x if b in full else F.when(y.isNotNull(), x)
-    both_y = y if a in full else F.when(x.isNotNull(), y)
-    x_key, y_key = (a, None if b in full else b), (b, None if a in full else a)
-    return {
-        ("count", x_key): F.count(both_x),
-        ("sum", x_key): F.sum(both_x),
-        ("sum", y_key): F.sum(both_y),
-        ("square", x_key): F.sum(both_x * both_x),
-        ("square", y_key): F.sum(both_y * both_y),
-        ("product", a, b): F.sum(x * y),
-    }
-
-
-def _absolute_pearson(n: int, x: float, y: float, xx: float, yy: float, xy: float) -> float | None:
-    if not n or n < 2:
-        return None
-    spread = (xx - x * x / n) * (yy - y * y / n)
-    if not math.isfinite(spread) or spread <= 0:
-        return None
-    return min(1.0, abs(xy - x * y / n) / math.sqrt(spread))
+    schema = "col1 string, col2 string, correlation double"
+    if len(names) < 2:
+        return local_frame(df.sparkSession, [], schema)
+    means = one_row(df, {n: F.mean(c(n).cast("double")) for n in names})
+    centered = df.select(*[(c(n).cast("double") - F.lit(means[n]).cast("double")).alias(f"x{i}") for i, n in enumerate(names)])
+    sums = centered.mapInArrow(pair_sums, PAIR_SUMS).groupBy("i", "j")
+    sums = sums.agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.when(F.col("n") >= 2, F.col("n"))
+    spread = (F.col("xx") - F.col("x") * F.col("x") / n) * (F.col("yy") - F.col("y") * F.col("y") / n)
+    spread = F.when((spread > 0) & (spread < float("inf")), spread)
+    share = F.abs(F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread)
+    value = F.when(share > 1, F.lit(1.0)).otherwise(share)
+    listed = local_frame(df.sparkSession, list(enumerate(names)), "i int, name string")
+    first, second = listed.withColumnRenamed("name", "col1"), listed.toDF("j", "col2")
+    named = sums.join(F.broadcast(first), "i").join(F.broadcast(second), "j")
+    return named.select("col1", "col2", value.alias("correlation"))
+
+
+PAIR_SUMS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the rows that have both values of a pair: count, x, y, xx, yy, xy. One row per pair and task."""
+    total = None
+    for batch in batches:
+        rows = np.column_stack([column.to_numpy(zero_copy_only=False).astype(float) for column in batch.columns])
+        there = (~np.isnan(rows)).astype(float)
+        rows = np.where(there > 0, rows, 0.0)
+        with np.errstate(invalid="ignore"):
+            parts = np.stack([there.T @ there, rows.T @ there, there.T @ rows, (rows * rows).T @ there, there.T @ (rows * rows), rows.T @ rows])
+        total = parts if total is None else total + parts
+    if total is not None:
+        i, j = np.triu_indices(total.shape[1], 1)
+        arrays = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None, above: float = HIGH_CORRELATION) -> DataFrame:
