@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ HEAD_BYTES, TAIL_BYTES, ID_BYTES = (struct.calcsize(x) for x in (HEAD, TAIL, ID)
 #: Bytes of records that are handed to Spark, or written, at once.
 BATCH_BYTES = 4 << 20
 #: White-space separated pieces of text whose ids a Python worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def masked(data: bytes) -> int:
@@ -82,7 +83,10 @@ class PieceEncoder:
         new = list({p for words in pieces for p in words if p not in known})
         if new:
             done = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            known.update((p, np.array(e.ids, f"<u{self.width}").tobytes()) for p, e in zip(new, done))
+            ids = [e.ids for e in done]
+            ends = (np.cumsum([len(x) for x in ids]) * self.width).tolist()
+            whole = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
+            known.update((p, whole[a:b]) for p, a, b in zip(new, [0, *ends], ends))
         return [b"".join([known[p] for p in words]) for words in pieces]
 
 
