@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnish.llm.common import keep, unused, word_count
 
-#: The golden ratio as a fraction of 2**32: slot i of the schedule stands at (i * GOLDEN mod 2**32) / 2**32.
+#: The golden ratio as a fraction of 2**32: source k starts at the point (k + 1) * GOLDEN mod 2**32 of the schedule.
 GOLDEN = 2_654_435_769
 POINTS = 2**32
-#: Slots of the schedule. The block of words that a slot takes grows with the table, the number of slots does not.
+#: Words that a slot takes at most, and slots that a table is cut into at least while they take a word or more. Large
+#: tables get more slots, not longer ones.
+BLOCK_WORDS = 256
 SLOTS = 2**18
-#: Slots that are ranked together, and parts in which the documents of a source are shuffled and summed.
-SLOT_CHUNK = 1_024
+#: Slots of a source that are made together, parts in which slots are numbered, and parts in which the documents of a
+#: source are shuffled and summed.
+SLOT_CHUNK = 4_096
+SLOT_PARTS = 4_096
 SHUFFLE_PARTS = 256
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -51,33 +55,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return totals.select("source", "source_no", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def schedule(spark, targets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Slots 0 to ``slots`` - 1, the source that each falls to, and its rank among that source's slots.
+def words_due(most: int = MOST_REPEATS) -> Column:
+    """The words that the mix takes of a source: its target as a whole number, at least 1 where the target is positive."""
+    due = F.least(F.greatest(F.round("target"), F.lit(1.0)), (F.col("source_size") * most).cast("double"))
+    return F.when(F.col("target") > 0, due).otherwise(0).cast("long")
 
-    The points of the golden ratio are spread so evenly that after any number of slots each source has had its part of
-    them, to within a few. Ranks are counted within chunks of slots and added to the counts of the chunks before.
+
+def schedule(targets: DataFrame, block: int, most: int = MOST_REPEATS) -> DataFrame:
+    """The slots in their order: rows (slot, source_no, block), one for each block of each source's words.
+
+    A source of n blocks has them at (j + f) / n for j from 0 to n - 1, with f from the points of the golden ratio, so
+    that sources are out of step and those of one block spread evenly. Up to any place each source has had its part of
+    its blocks, to within one. Slots are numbered within parts of the schedule, after those of the parts before.
     """
-    upto = Window.partitionBy(F.lit(0)).orderBy("source_no")
-    whole = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    high = F.sum("target").over(upto) / whole * POINTS
-    ranges = targets.where("target > 0").select("source_no", high.alias("high"))
-    ranges = ranges.groupBy().agg(F.sort_array(F.collect_list(F.struct("high", "source_no"))).alias("r"))
-    points = spark.range(slots).withColumn("point", F.col("id") * GOLDEN % POINTS)
-    # One row holds the sources' ranges; each point takes the first range that ends above it, the last one otherwise.
-    found = points.crossJoin(F.broadcast(ranges)).select(
-        "id",
-        F.coalesce(
-            F.get(F.filter("r", lambda x: x["high"] > F.col("point"))["source_no"], F.lit(0)),
-            F.element_at("r", -1)["source_no"],
-        ).alias("source_no"),
-    )
-    found = keep(found.withColumn("chunk", F.floor(F.col("id") / SLOT_CHUNK)), "slots")
-    counts = found.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source_no", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source_no", "chunk").orderBy("id")
-    ranked = found.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["source_no", "chunk"])
-    return ranked.select(F.col("id").alias("slot"), "source_no", (F.col("start") + F.col("rank")).alias("block"))
+    blocks = F.ceil(words_due(most) / block).cast("long")
+    first = (F.col("source_no") + 1) * GOLDEN % POINTS / F.lit(float(POINTS))
+    counts = targets.select("source_no", blocks.alias("blocks"), first.alias("first")).where("blocks > 0")
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / SLOT_CHUNK))
+    chunked = counts.withColumn("chunk", F.explode(chunks)).repartition("source_no", "chunk")
+    low = F.col("chunk") * SLOT_CHUNK
+    each = F.sequence(low, F.least(low + SLOT_CHUNK, F.col("blocks")) - 1)
+    slots = chunked.withColumn("block", F.explode(each))
+    slots = slots.withColumn("place", (F.col("block") + F.col("first")) / F.col("blocks"))
+    slots = slots.withColumn("part", F.floor(F.col("place") * SLOT_PARTS)).select("source_no", "block", "place", "part")
+    slots = keep(slots, "slots")
+    # One row for each part.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slots.groupBy("part").agg(F.count("*").alias("n"))
+    starts = starts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("part").orderBy("place", "source_no")
+    ranked = slots.withColumn("rank", F.row_number().over(within) - 1).join(starts, "part")
+    return ranked.select((F.col("start") + F.col("rank")).alias("slot"), "source_no", "block")
 
 
 def mix(
@@ -93,8 +101,10 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with what the mix takes of them, and the schedule itself.
 
-    The documents of each source, shuffled by hash, form a stream of words that repeats up to ``most`` times. It is
-    cut into blocks of equally many words, and the j-th slot of a source in the schedule takes its j-th block.
+    The documents of each source, shuffled by hash, form a stream of words that repeats up to ``most`` times. Its first
+    words, as many as the target says, are taken: rounded, and at least one where the target is positive. They are
+    cut into blocks of equally many words, the last one shorter, and the j-th slot of a source in the schedule takes
+    its j-th block. A block has BLOCK_WORDS words, or fewer in a table that would give less than ``slots`` blocks.
 
     First result, one row per row of ``df``: doc_id, source, size, source_size, target, row_no (tells equal ids
     apart), ``start`` (words before it in the stream) and taken. Second result: slot, source_no, block, row_no, words
@@ -104,7 +114,6 @@ def mix(
     source. Repeated rows are rows like any other. The same table gives the same mix. An empty table gives empty
     results. Other columns are not looked at.
     """
-    spark = df.sparkSession
     sized = df.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).alias("source"),
@@ -138,19 +147,19 @@ def mix(
     )
     placed = keep(placed, "placed")
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = max(1, -(-total // slots))
-    plan = schedule(spark, targets, -(-total // block))
-    # The blocks that each repeat of a document touches, as far as the source's slots reach.
-    reach = plan.groupBy("source_no").agg((F.count("*") * block).alias("reach"))
-    again = placed.where("size > 0").join(reach, "source_no")
+    block = max(1, min(BLOCK_WORDS, -(-total // slots)))
+    plan = schedule(targets, block, most)
+    # The blocks that each repeat of a document touches, as far as the source's words are due.
+    again = placed.where("size > 0").withColumn("due", words_due(most))
     again = again.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     first = F.col("start") + F.col("repeat") * F.col("source_size")
-    again = again.withColumn("first", first).where("first < reach")
+    again = again.withColumn("first", first).where("first < due")
+    again = again.withColumn("last", F.least(F.col("first") + F.col("size"), F.col("due")))
     touched = again.withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block)))
-    )
+        "block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("last") - 1) / block)))
+    )
     from_word = F.greatest(F.col("block") * block - F.col("first"), F.lit(0))
-    to_word = F.least((F.col("block") + 1) * block - F.col("first"), F.col("size"))
+    to_word = F.least((F.col("block") + 1) * block, F.col("last")) - F.col("first")
     pieces = touched.select(
         "source_no", "block", "row_no", "repeat", from_word.alias("from_word"), (to_word - from_word).alias("words")
     )
@@ -166,7 +175,8 @@ def mixed_documents(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """Whole documents in the amounts of the mix, with the columns of ``df``; a document comes up to ``most`` times.
 
     A repeat of a document is in when the mix takes more than half of its words in that repeat. As the mix takes a
-    source's stream from its start, that leaves each source within one document of what the mix takes. Documents
+    source's stream from its start, that leaves each source within one document of what the mix takes. The first
+    document of a source's stream is in whenever the mix takes words of it, so no source is lost by rounding. Documents
     without words have nothing to repeat and stay as they are.
     """
     row, count, copy = (unused(df, n) for n in ("_row", "_copies", "_copy"))
@@ -174,7 +184,8 @@ def mixed_documents(df: DataFrame, id_column: str = "doc_id", text_column: str =
     rows, _ = mix(marked, row, text_column, shuffle_by=(id_column, text_column), **options)
     most = options.get("most", MOST_REPEATS)
     half = F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest("size", F.lit(1)))
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.least(half, F.lit(most)))
+    least = ((F.col("start") == 0) & (F.col("taken") > 0)).cast("long")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.least(F.greatest(half, least), F.lit(most)))
     counted = rows.select(F.col("doc_id").alias(row), copies.cast("int").alias(count)).where(F.col(count) > 0)
     repeated = marked.join(counted, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
     return repeated.select(*df.columns)

@@ -54,6 +54,23 @@ def test_mix_comes_near_its_targets(spark):
     assert counts.max() < 1.1 * counts.min()
 
 
+def test_mix_takes_exactly_what_is_due_of_every_source(spark):
+    # Fewer slots than sources are asked for, one source is large, and shares are below half a document.
+    rows = [(k, prose(k, 90), f"s{k:03}") for k in range(60)] + [(k, prose(k, 300), "large") for k in range(100, 130)]
+    taken, pieces = mix(documents(spark, rows), slots=8)
+    got = taken.toPandas()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (by.taken == np.maximum(np.floor(by.target + 0.5), 1)).all()
+    plan = pieces.toPandas()
+    assert plan.words.sum() == got.taken.sum() and plan.groupby("slot").words.sum().max() <= 256
+    order = plan[["slot", "source_no", "block"]].drop_duplicates().sort_values("slot")
+    assert order.slot.tolist() == list(range(len(order)))
+    assert all(g.block.tolist() == list(range(len(g))) for _, g in order.groupby("source_no"))
+    few = [(k, prose(k, 90), f"s{k:03}") for k in range(60)]
+    out = mixed_documents(documents(spark, few), slots=8, weights=(50, 1)).toPandas()
+    assert set(out.source) == {s for _, _, s in few}
+
+
 def test_mix_takes_awkward_rows(spark):
     rows = awkward()
     got = mix(documents(spark, rows))[0].toPandas()
