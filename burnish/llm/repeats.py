@@ -24,10 +24,14 @@ BUCKET_BYTES = 6 << 20
 ROUNDS = 4
 #: Length of the strings by whose least hash suffixes are dealt into buckets.
 ANCHOR = 20
+#: A least hash whose runs would fill half a bucket is hot; its strings are dealt one by one. Hashes that a task sees
+#: less often than this in the texts it deals out at once are not counted for that.
+HOT_LEAST = 32
 #: Bytes of text that are hashed at once (small enough for the processor's cache), and that a task deals out at once.
 HASHED, DEALT = 512 << 10, 24 << 20
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+OTHER = np.uint64(0xD1B54A32D192ED03)
 LAST = np.iinfo(np.int64).max
 
 
@@ -121,9 +125,9 @@ def sorted_blocks(text: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[
         yield at, differs
 
 
-def rolling(text: np.ndarray, width: int) -> np.ndarray:
+def rolling(text: np.ndarray, width: int, base: np.uint64 = ODD) -> np.ndarray:
     """A 64-bit hash of the ``width`` bytes from each position; the last positions see zeros after the end."""
-    power, covered, out, done = ODD, 1, None, 0
+    power, covered, out, done = base, 1, None, 0
     run = text.astype(np.uint64) + np.uint64(1)
 
     def ahead(x: np.ndarray, by: int) -> np.ndarray:
@@ -192,10 +196,14 @@ REMOVALS = ("i8", "i8", "u4", "u4")  # document's order and key, start, length
 
 
 class Dealer:
-    """Deals the runs of a task's documents into buckets, one round's share of them."""
+    """Deals the runs of a task's documents into buckets, one round's share of them.
 
-    def __init__(self, depth: int, turn: int, rounds: int, buckets: int) -> None:
+    Runs whose hash is among ``hot``, a sorted array, are dealt string by string.
+    """
+
+    def __init__(self, depth: int, turn: int, rounds: int, buckets: int, hot: np.ndarray | None = None) -> None:
         self.depth, self.turn, self.rounds, self.buckets = depth, turn, rounds, buckets
+        self.hot = np.zeros(0, np.uint64) if hot is None else hot
         # Fixed odd multipliers: a run's digest is the sum of its bytes times these.
         self.multipliers = np.random.default_rng(1).integers(0, 2**64, 2 * depth, np.uint64) | np.uint64(1)
         self.clear()
@@ -234,7 +242,9 @@ class Dealer:
         self.size += len(text)
         if len(text) < self.depth:
             return
-        starts, counts, hashes = anchored(text, valid, self.depth)
+        self._take(pieces, text, begins, *anchored(text, valid, self.depth))
+
+    def _take(self, pieces, text, begins, starts, counts, hashes) -> None:
         mine = (hashes >> np.uint64(40)) % np.uint64(self.rounds) == np.uint64(self.turn)
         starts, counts, hashes = starts[mine], counts[mine], hashes[mine]
         piece = np.searchsorted(begins, starts, side="right") - 1
@@ -248,6 +258,17 @@ class Dealer:
             hashes, documents, offsets, counts, text = (np.concatenate(x) for x in zip(*self.parts))
             lengths = counts + self.depth - 1
             orders, keys = np.array(self.orders, np.int64), np.array(self.keys, np.int64)
+            hot = np.isin(hashes, self.hot)
+            if hot.any():
+                begins = np.cumsum(lengths) - lengths
+                rows = np.flatnonzero(hot)
+                hot_text = gathered(text, begins[rows], lengths[rows])
+                yield from self._deal_strings(documents[rows], offsets[rows], counts[rows], hot_text, orders, keys)
+                rows = np.flatnonzero(~hot)
+                text = gathered(text, begins[rows], lengths[rows])
+                hashes, documents, offsets, counts, lengths = (
+                    x[rows] for x in (hashes, documents, offsets, counts, lengths)
+                )
             copies = self._copies(hashes, orders[documents], lengths, text)
             at = np.flatnonzero(copies)
             if len(at):
@@ -270,6 +291,58 @@ class Dealer:
                 )
         self.clear()
 
+    def _deal_strings(
+        self, documents: np.ndarray, offsets: np.ndarray, counts: np.ndarray, text: np.ndarray,
+        orders: np.ndarray, keys: np.ndarray,
+    ) -> Iterator[tuple[int, bool, bytes]]:
+        """The strings of hot runs, each to the bucket of its own hash, so that equal ones still meet; as removals,
+        those that a smaller document of this task has as well."""
+        lengths = counts + self.depth - 1
+        ends = np.cumsum(lengths)
+        one, two, places = [], [], []
+        # As many runs at once as fit the processor's cache.
+        for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(ends // HASHED)) + 1):
+            low, high = ends[rows[0]] - lengths[rows[0]], ends[rows[-1]]
+            row = np.repeat(rows, counts[rows])
+            last = np.cumsum(counts[rows])
+            step = np.arange(last[-1]) - np.repeat(last - counts[rows], counts[rows])
+            at = ends[row] - lengths[row] + step
+            part = text[low:high]
+            one.append(rolling(part, self.depth)[at - low])
+            two.append(rolling(part, self.depth, OTHER)[at - low])
+            places.append(at)
+        one, two, places = np.concatenate(one), np.concatenate(two), np.concatenate(places)
+        row = np.repeat(np.arange(len(counts)), counts)
+        offset = offsets[row] + places - (ends - lengths)[row]
+        owner = documents[row]
+        sort = np.lexsort((orders[owner], two, one))
+        head = np.ones(len(sort), bool)
+        head[1:] = (one[sort][1:] != one[sort][:-1]) | (two[sort][1:] != two[sort][:-1])
+        least = orders[owner][sort][head][np.cumsum(head) - 1]
+        copies = np.zeros(len(sort), bool)
+        copies[sort] = orders[owner][sort] > least
+        at = np.flatnonzero(copies)
+        if len(at):
+            new = np.ones(len(at), bool)
+            new[1:] = (row[at][1:] != row[at][:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(at)))
+            d = owner[at[first]]
+            yield int(keys[d[0]] % self.buckets), True, packed(
+                orders[d], keys[d], offset[at[first]].astype("<u4"), (many + self.depth - 1).astype("<u4")
+            )
+        bucket = (one & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.buckets
+        order = np.lexsort((owner, bucket))
+        order = order[~copies[order]]
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if not len(rows):
+                continue
+            there, number = np.unique(owner[rows], return_inverse=True)
+            yield int(bucket[rows[0]]), False, packed(
+                one[rows], orders[there], keys[there], number.astype("<u4"), offset[rows].astype("<u4"),
+                np.ones(len(rows), np.uint8), gathered(text, places[rows], np.full(len(rows), self.depth)),
+            )
+
     def _copies(self, hashes: np.ndarray, order: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Which runs have the same hash, digest and length as a run of a smaller document. So a run that very many
         documents share leaves a task once."""
@@ -297,16 +370,42 @@ class Dealer:
         return out
 
 
-def _dealt(depth: int, turn: int, rounds: int, buckets: int):
+class Counter(Dealer):
+    """Counts a task's runs by hash."""
+
+    def __init__(self, depth: int, least: int) -> None:
+        super().__init__(depth, 0, 1, 1)
+        self.least = least
+
+    def _take(self, pieces, text, begins, starts, counts, hashes) -> None:
+        self.parts.append((hashes, counts))
+
+    def deal(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The hashes of at least ``least`` runs, how many, and the strings in these."""
+        if self.parts:
+            hashes, counts = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(hashes)
+            hashes, counts = hashes[order], counts[order]
+            head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(head, len(hashes)))
+            often = runs >= self.least
+            if often.any():
+                yield hashes[head][often], runs[often], np.add.reduceat(counts, head)[often]
+        self.clear()
+
+
+COUNTS = "hash long, runs long, strings long"
+
+
+def _dealer_pass(make, batch_of):
+    """Feeds a task's documents to what ``make`` makes, and gives what that deals as batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(depth, turn, rounds, buckets)
+        dealer = make()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for bucket, removal, data in dealer.deal():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket], pa.int64()), pa.array([removal]), pa.array([data], pa.binary())],
-                    names=["bucket", "removal", "data"],
-                )
+            for dealt in dealer.deal():
+                yield batch_of(*dealt)
 
         for batch in batches:
             for low in range(0, len(batch), 256):
@@ -320,6 +419,36 @@ def _dealt(depth: int, turn: int, rounds: int, buckets: int):
     return run
 
 
+def _counted(depth: int, least: int):
+    def batch_of(hashes, runs, strings) -> pa.RecordBatch:
+        columns = [pa.array(x) for x in (hashes.view(np.int64), runs.astype(np.int64), strings.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["hash", "runs", "strings"])
+
+    return _dealer_pass(lambda: Counter(depth, least), batch_of)
+
+
+def hot_anchors(texts: DataFrame, depth: int) -> tuple[np.ndarray, int]:
+    """The hashes whose runs have half a bucket's bytes or more, sorted, and the number of strings in these runs.
+
+    There is at most one such hash for each half bucket of text that is dealt.
+    """
+    counts = texts.mapInArrow(_counted(depth, HOT_LEAST), COUNTS)
+    counts = counts.groupBy("hash").agg(F.sum("runs").alias("runs"), F.sum("strings").alias("strings"))
+    size = F.col("runs") * (depth - 1) + F.col("strings")
+    found = counts.where(size >= BUCKET_BYTES // 2).select("hash", "strings").toPandas()
+    return np.sort(found["hash"].to_numpy(np.int64).view(np.uint64)), int(found["strings"].sum())
+
+
+def _dealt(depth: int, turn: int, rounds: int, buckets: int, hot: np.ndarray):
+    def batch_of(bucket: int, removal: bool, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int64()), pa.array([removal]), pa.array([data], pa.binary())],
+            names=["bucket", "removal", "data"],
+        )
+
+    return _dealer_pass(lambda: Dealer(depth, turn, rounds, buckets, hot), batch_of)
+
+
 FOUND = "order long, key long, start long, length long"
 
 
@@ -429,7 +558,9 @@ def remove_repeats(
 
     Suffixes are worth comparing for ``depth`` bytes only. They are dealt into buckets by the least hash of ANCHOR bytes
     among those bytes, which equal strings share; neighbouring suffixes with the same least hash travel as one stretch
-    of text. Buckets are dealt in ``rounds``, each a part of the hash space, so no more than that part of all suffixes is
+    of text. A hash that fills half a bucket, such as that of a line in very many rows with other text around it, would
+    bring all its stretches together; such hashes are counted first, and their strings are dealt one by one, by a hash
+    of all their bytes. Buckets are dealt in ``rounds``, each a part of the hash space, so no more than that part of all suffixes is
     in flight. A bucket sorts its suffixes block by block: by their first 16 bytes, and ties by the ranks of a
     difference cover of the bucket's text. Equal neighbours in that order are the repeats.
     """
@@ -440,11 +571,13 @@ def remove_repeats(
     # The content tells rows of one id apart; rows that it does not are the same row again.
     texts = texts.withColumn("key", F.xxhash64("data")).select("order", "key", "data")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    # A run brings its bytes and up to ``depth`` more: about four times the text in all.
-    buckets = max(1, -(-4 * total // (rounds * BUCKET_BYTES)))
+    hot, strings = hot_anchors(texts, depth)
+    # A run brings its bytes and up to ``depth`` more: about four times the text in all. A string dealt by itself
+    # brings ``depth`` bytes.
+    buckets = max(1, -(-(4 * total + strings * depth) // (rounds * BUCKET_BYTES)))
     found = []
     for turn in range(rounds):
-        dealt = texts.mapInArrow(_dealt(depth, turn, rounds, buckets), DEAL)
+        dealt = texts.mapInArrow(_dealt(depth, turn, rounds, buckets, hot), DEAL)
         dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
         found.append(keep(dealt.mapInArrow(_removed(depth), FOUND), "removals"))
         del dealt

@@ -62,6 +62,46 @@ def test_cuts_and_small_buckets_change_nothing(spark, monkeypatch):
     assert remove_repeats(documents(spark, [])).count() == 0
 
 
+def lines(count):
+    """Texts that share a line with other text around it, and some that share more."""
+    line = " the one line that very many of the documents have in common "
+    return [(k, prose(k, 8) + line + prose(2_000 + k % (count - 20), 8), "a") for k in range(count)]
+
+
+def test_a_line_of_many_documents_is_spread_over_buckets(spark, monkeypatch):
+    dealt, kept = [], repeats.keep
+
+    def sizes(depth):
+        def run(batches):
+            for batch in batches:
+                for bucket, removal, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    many = 0 if removal else repeats.unpacked(data, repeats.SEGMENTS)[-1].size
+                    yield repeats.found_batch([bucket], [0], [0], [many])
+
+        return run
+
+    def keep(df, name):
+        df = kept(df, name)
+        dealt.append(df.toPandas().groupby("order")["length"].sum())
+        return df
+
+    monkeypatch.setattr(repeats, "_removed", sizes)
+    monkeypatch.setattr(repeats, "keep", keep)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 12_000)
+    remove_repeats(documents(spark, lines(600)).repartition(3), 50)
+    # The runs of the line's hashes have some 30,000 bytes each.
+    assert dealt and max(d.max() for d in dealt) < 3 * 12_000
+
+
+def test_strings_dealt_one_by_one_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 6_000)
+    monkeypatch.setattr(repeats, "HOT_LEAST", 2)
+    rows = lines(120) + passages(4) + [(None, lines(120)[0][1], "a"), (7, lines(120)[9][1], "b")]
+    texts = documents(spark, rows).selectExpr("doc_id as order", "xxhash64(text) as key", "cast(text as binary) as data")
+    assert len(repeats.hot_anchors(texts, 50)[0])
+    compare(spark, rows)
+
+
 @pytest.mark.parametrize("alphabet", [2, 3, 200])
 def test_suffixes_come_in_order(alphabet, monkeypatch):
     monkeypatch.setattr(repeats, "SORTED", 500)
