@@ -191,7 +191,7 @@ def unpacked(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 
 DEAL = "bucket long, removal boolean, data binary"
-SEGMENTS = ("u8", "i8", "i8", "u4", "u4", "u1", "u1")  # hash; documents' order and key; document, start, starts; bytes
+SEGMENTS = ("u8", "i8", "i8", "u4", "u4", "u4", "u1")  # hash; documents' order and key; document, start, starts; bytes
 REMOVALS = ("i8", "i8", "u4", "u4")  # document's order and key, start, length
 
 
@@ -287,7 +287,7 @@ class Dealer:
                 there, number = np.unique(documents[rows], return_inverse=True)
                 yield int(bucket[rows[0]]), False, packed(
                     hashes[rows], orders[there], keys[there], number.astype("<u4"), offsets[rows].astype("<u4"),
-                    counts[rows].astype(np.uint8), gathered(text, ends[rows] - lengths[rows], lengths[rows]),
+                    counts[rows].astype("<u4"), gathered(text, ends[rows] - lengths[rows], lengths[rows]),
                 )
         self.clear()
 
@@ -340,7 +340,7 @@ class Dealer:
             there, number = np.unique(owner[rows], return_inverse=True)
             yield int(bucket[rows[0]]), False, packed(
                 one[rows], orders[there], keys[there], number.astype("<u4"), offset[rows].astype("<u4"),
-                np.ones(len(rows), np.uint8), gathered(text, places[rows], np.full(len(rows), self.depth)),
+                np.ones(len(rows), "<u4"), gathered(text, places[rows], np.full(len(rows), self.depth)),
             )
 
     def _copies(self, hashes: np.ndarray, order: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -554,7 +554,7 @@ def remove_repeats(
 
     A missing text is empty; texts shorter than ``depth`` lose nothing. Rows of the same id do not count as smaller
     than each other; rows without an id come after all others. An empty table gives an empty result. Other columns
-    are not looked at.
+    are not looked at. A ``depth`` below ANCHOR is refused.
 
     Suffixes are worth comparing for ``depth`` bytes only. They are dealt into buckets by the least hash of ANCHOR bytes
     among those bytes, which equal strings share; neighbouring suffixes with the same least hash travel as one stretch
@@ -564,6 +564,8 @@ def remove_repeats(
     in flight. A bucket sorts its suffixes block by block: by their first 16 bytes, and ties by the ranks of a
     difference cover of the bucket's text. Equal neighbours in that order are the repeats.
     """
+    if depth < ANCHOR:
+        raise ValueError(f"depth has to be {ANCHOR} or more")
     spark = df.sparkSession
     texts = df.select(
         F.col(id_column).cast("long").alias("order"), bytes_of(F.col(text_column).cast("string")).alias("data")

@@ -62,6 +62,13 @@ def test_cuts_and_small_buckets_change_nothing(spark, monkeypatch):
     assert remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_long_strings_are_found_and_short_ones_refused(spark):
+    shared = prose(77, 600)
+    compare(spark, [(k, prose(k, 30) + shared[200 * k :] + prose(100 + k, 30), "a") for k in range(4)], 600)
+    with pytest.raises(ValueError):
+        remove_repeats(documents(spark, []), 19)
+
+
 def lines(count):
     """Texts that share a line with other text around it, and some that share more."""
     line = " the one line that very many of the documents have in common "
