@@ -258,18 +258,15 @@ class Dealer:
             hashes, documents, offsets, counts, text = (np.concatenate(x) for x in zip(*self.parts))
             lengths = counts + self.depth - 1
             orders, keys = np.array(self.orders, np.int64), np.array(self.keys, np.int64)
+            begins = np.cumsum(lengths) - lengths
             hot = np.isin(hashes, self.hot)
             if hot.any():
-                begins = np.cumsum(lengths) - lengths
-                rows = np.flatnonzero(hot)
-                hot_text = gathered(text, begins[rows], lengths[rows])
-                yield from self._deal_strings(documents[rows], offsets[rows], counts[rows], hot_text, orders, keys)
-                rows = np.flatnonzero(~hot)
-                text = gathered(text, begins[rows], lengths[rows])
-                hashes, documents, offsets, counts, lengths = (
-                    x[rows] for x in (hashes, documents, offsets, counts, lengths)
+                own = (x[hot] for x in (documents, offsets, counts, begins))
+                yield from self._deal_strings(*own, text, orders, keys)
+                hashes, documents, offsets, counts, lengths, begins = (
+                    x[~hot] for x in (hashes, documents, offsets, counts, lengths, begins)
                 )
-            copies = self._copies(hashes, orders[documents], lengths, text)
+            copies = self._copies(hashes, orders[documents], begins, lengths, text)
             at = np.flatnonzero(copies)
             if len(at):
                 d = documents[at]
@@ -280,19 +277,18 @@ class Dealer:
             order = np.lexsort((documents, bucket))
             order = order[~copies[order]]
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            ends = np.cumsum(lengths)
             for rows in np.split(order, cuts):
                 if not len(rows):
                     continue
                 there, number = np.unique(documents[rows], return_inverse=True)
                 yield int(bucket[rows[0]]), False, packed(
                     hashes[rows], orders[there], keys[there], number.astype("<u4"), offsets[rows].astype("<u4"),
-                    counts[rows].astype("<u4"), gathered(text, ends[rows] - lengths[rows], lengths[rows]),
+                    counts[rows].astype("<u4"), gathered(text, begins[rows], lengths[rows]),
                 )
         self.clear()
 
     def _deal_strings(
-        self, documents: np.ndarray, offsets: np.ndarray, counts: np.ndarray, text: np.ndarray,
+        self, documents: np.ndarray, offsets: np.ndarray, counts: np.ndarray, begins: np.ndarray, text: np.ndarray,
         orders: np.ndarray, keys: np.ndarray,
     ) -> Iterator[tuple[int, bool, bytes]]:
         """The strings of hot runs, each to the bucket of its own hash, so that equal ones still meet; as removals,
@@ -302,18 +298,16 @@ class Dealer:
         one, two, places = [], [], []
         # As many runs at once as fit the processor's cache.
         for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(ends // HASHED)) + 1):
-            low, high = ends[rows[0]] - lengths[rows[0]], ends[rows[-1]]
-            row = np.repeat(rows, counts[rows])
+            part = gathered(text, begins[rows], lengths[rows])
             last = np.cumsum(counts[rows])
             step = np.arange(last[-1]) - np.repeat(last - counts[rows], counts[rows])
-            at = ends[row] - lengths[row] + step
-            part = text[low:high]
-            one.append(rolling(part, self.depth)[at - low])
-            two.append(rolling(part, self.depth, OTHER)[at - low])
-            places.append(at)
+            at = np.repeat(np.cumsum(lengths[rows]) - lengths[rows], counts[rows]) + step
+            one.append(rolling(part, self.depth)[at])
+            two.append(rolling(part, self.depth, OTHER)[at])
+            places.append(np.repeat(begins[rows], counts[rows]) + step)
         one, two, places = np.concatenate(one), np.concatenate(two), np.concatenate(places)
         row = np.repeat(np.arange(len(counts)), counts)
-        offset = offsets[row] + places - (ends - lengths)[row]
+        offset = offsets[row] + places - begins[row]
         owner = documents[row]
         sort = np.lexsort((orders[owner], two, one))
         head = np.ones(len(sort), bool)
@@ -343,10 +337,11 @@ class Dealer:
                 np.ones(len(rows), "<u4"), gathered(text, places[rows], np.full(len(rows), self.depth)),
             )
 
-    def _copies(self, hashes: np.ndarray, order: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> np.ndarray:
+    def _copies(
+        self, hashes: np.ndarray, order: np.ndarray, begins: np.ndarray, lengths: np.ndarray, text: np.ndarray
+    ) -> np.ndarray:
         """Which runs have the same hash, digest and length as a run of a smaller document. So a run that very many
         documents share leaves a task once."""
-        ends = np.cumsum(lengths)
         ranked = np.argsort(hashes, kind="stable")
         same = hashes[ranked][1:] == hashes[ranked][:-1]
         again = np.zeros(len(hashes), bool)
@@ -357,7 +352,7 @@ class Dealer:
             return out
         long = lengths[at]
         last = np.cumsum(long)
-        data = gathered(text, ends[at] - long, long).astype(np.uint64) + np.uint64(1)
+        data = gathered(text, begins[at], long).astype(np.uint64) + np.uint64(1)
         data *= self.multipliers[np.arange(last[-1]) - np.repeat(last - long, long)]
         digest = np.add.reduceat(data, last - long)
         sort = np.lexsort((order[at], long, digest, hashes[at]))
