@@ -13,19 +13,20 @@ from burnish.functions.columns import c, yeo_johnson
 ROUNDS = 7
 HALF_WIDTH = 10  # grid points on each side of the middle
 FIRST_STEP = 0.5
-LARGEST = 100  # beyond this the grid moves no further
 
 
 def fit_power(df: DataFrame, name: str, rounds: int = ROUNDS) -> dict[str, float]:
     """{power, mean, std} of one column. Every round is one aggregate over only this column.
 
     The likelihood has one peak, so the best of 21 grid points encloses it between its neighbours, and the next
-    round looks there with a tenth of the step. A best point on the rim moves the grid instead of shrinking it.
+    round looks there with a tenth of the step. Until a peak is enclosed, a best point on the rim moves the grid there
+    and doubles its step, however far that goes: far out the variance is not finite or zero, and no exponent wins there.
     """
     values = df.select(c(name).cast("double").alias("x")).where(F.col("x").isNotNull())
     rows, logs = values.agg(F.count("*"), F.sum(F.signum("x") * F.log1p(F.abs("x")))).first()
-    middle, step = 0.0, FIRST_STEP
-    while rounds and rows:
+    middle, step, enclosed = 0.0, FIRST_STEP, False
+    finest = 0.9 * FIRST_STEP / 10 ** (rounds - 1)
+    while step > finest and rows:
         grid = [middle + i * step for i in range(-HALF_WIDTH, HALF_WIDTH + 1)]
         scores = _scores(values, grid, rows, logs)
         best = max(grid, key=lambda power: scores.get(power, -math.inf))
@@ -33,9 +34,8 @@ def fit_power(df: DataFrame, name: str, rounds: int = ROUNDS) -> dict[str, float
             middle = 1.0
             break
         middle = best
-        if best not in (grid[0], grid[-1]) or abs(best) > LARGEST:
-            step /= 10
-            rounds -= 1
+        enclosed = enclosed or best not in (grid[0], grid[-1])
+        step = step / 10 if enclosed else step * 2
     fitted = yeo_johnson(F.col("x"), F.lit(middle))
     mean, std = values.agg(F.mean(fitted), F.stddev_pop(fitted)).first()
     return {"power": middle, "mean": mean, "std": std}

@@ -67,6 +67,16 @@ def test_power_beyond_the_first_grid(spark):
     assert fit_power(frame(spark, values), "v")["power"] > 6
 
 
+def test_power_far_from_zero(spark):
+    values = 0.01 * np.random.default_rng(3).beta(9, 0.6, 400)
+    grid = np.arange(100, 5_000, 0.5)
+    logs = np.log1p(values).sum()
+    scores = [-200 * np.log(yeo_johnson(values, p).var()) + (p - 1) * logs for p in grid]
+    best = grid[np.argmax(scores)]
+    assert 200 < best < 4_900
+    assert fit_power(frame(spark, values.tolist()), "v")["power"] == pytest.approx(best, abs=0.6)
+
+
 def test_power_of_nothing(spark):
     for values in ([None, None], [3.0, 3.0], []):
         assert scale(frame(spark, values), {"v": "power_yeo"}).df.count() == len(values)
