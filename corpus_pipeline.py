@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.bpe import encode_documents
+from burnish.llm.bpe import decode_documents, encode_documents
 from burnish.llm.common import keep, read
 from burnish.llm.exact import exact_dedup
 from burnish.llm.jaccard import near_dedup
@@ -42,9 +42,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the token ids, little-endian unsigned 32-bit numbers in one cell, and their number."""
-    encoded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return encoded.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long"))
+    """Add the token ids, little-endian unsigned 32-bit numbers in one cell, their number, and the digest of the text
+    that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = decode_documents(encode_documents(docs, path), path, text_column="decoded_sha256")
+    return decoded.withColumns(
+        {
+            "n_tokens": F.floor(F.octet_length("ids") / 4).cast("long"),
+            "decoded_sha256": F.sha2("decoded_sha256", 256),
+        }
+    )
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("tokens", tokens)]

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tests.llm.shared import documents, prose
 from tests.llm.test_near import expected
 
 SMALL = "/root/testdata/sf0.001"
@@ -30,3 +32,10 @@ def test_every_stage_keeps_the_columns_and_does_its_work(spark):
     for text, ids, n in zip(seen["tokens"].text, seen["tokens"].ids, seen["tokens"].n_tokens):
         want = library.encode(text, add_special_tokens=False).ids
         assert n == len(want) and bytes(ids) == b"".join(x.to_bytes(4, "little") for x in want)
+
+
+def test_tokens_are_decoded_again(spark):
+    texts = [prose(1, 50), "日本語    x\x1cy don't", "", None]
+    rows = corpus_pipeline.tokens(spark, documents(spark, [(k, t, "a") for k, t in enumerate(texts)]), SMALL).collect()
+    got = {r["doc_id"]: r["decoded_sha256"] for r in rows}
+    assert got == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in enumerate(texts)}
