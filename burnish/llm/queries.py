@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnish.llm.audit import filter_audit, flagged
 from burnish.llm.bpe import decode_documents, encode_documents
 from burnish.llm.chat import maximal_conversations
-from burnish.llm.common import read
+from burnish.llm.common import WORDS, read
 from burnish.llm.embeddings import near_vectors
 from burnish.llm.exact import exact_duplicates
 from burnish.llm.jaccard import jaccard_components
 from burnish.llm.mixing import mix
+from burnish.llm.packing import pack_best_fit, token_pieces
 from burnish.llm.quality import score_quality
 from burnish.llm.records import read_records, write_records
 from burnish.llm.repeats import remove_repeats
+from burnish.llm.runs import periodic_runs
 from burnish.llm.shards import shard_rows
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +142,100 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op11_filter_audit",
+    r"""
+    with cut as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+        from documents),
+    marked as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+    failing as (
+        select part, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b,
+            100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+            coalesce(cut.doc_id > min(cut.doc_id) over (partition by t), false) as e,
+            coalesce(good, false) as good, coalesce(toxic, false) as toxic
+        from cut left join marked using (doc_id)),
+    masks as (
+        select part, a, b, c, d, e, count(*) as n, count_if(good) as n_good, count_if(toxic) as n_toxic
+        from failing group by all),
+    letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    orders as (
+        select p.x || q.x || r.x || s.x || t.x as o
+        from letters p, letters q, letters r, letters s, letters t
+        where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+    removals as (
+        select *, least(if(a, strpos(o, 'A'), 6), if(b, strpos(o, 'B'), 6), if(c, strpos(o, 'C'), 6),
+            if(d, strpos(o, 'D'), 6), if(e, strpos(o, 'E'), 6)) as gone
+        from masks, orders),
+    steps as (
+        select *, case substr(o, step, 1) when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end as fails,
+            a::int + b::int + c::int + d::int + e::int as n_fails
+        from removals, (select unnest([1, 2, 3, 4, 5])::integer as step)),
+    audit as (
+        select part, o as filter_order, step,
+            coalesce(sum(n) filter (gone > step), 0)::bigint as kept,
+            coalesce(sum(n) filter (gone = step), 0)::bigint as removed,
+            coalesce(sum(n) filter (fails and gone < step), 0)::bigint as redundant,
+            coalesce(sum(n) filter (fails and n_fails = 1), 0)::bigint as unique_fails,
+            coalesce(sum(n_good) filter (gone = step), 0)::bigint as good_lost,
+            coalesce(sum(n_toxic) filter (gone = step), 0)::bigint as toxic_lost
+        from steps group by part, o, step)
+    select *, (sum(removed) over (partition by part, substr(filter_order, step, 1)))::bigint as shapley from audit
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(flagged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = token_pieces(read(spark, sf_dir, "documents"), path, 2048, end_id=0, with_ids=False)
+    return pack_best_fit(pieces, 2048)
+
+
+def looped(text: Column, doc_id: Column) -> Column:
+    """The text of op13's contract: every tenth document repeats a stretch of its words to its end."""
+    crc = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(crc / 10)
+
+    def rewritten(words: Column) -> Column:
+        n = F.size(words)
+        first = (g % n).cast("int")
+        period = (1 + F.floor((n - first) / (3 + g % 8))).cast("int")
+        again = F.transform(F.sequence(first, n - 1), lambda i: F.element_at(words, 1 + first + (i - first) % period))
+        return F.array_join(F.concat(F.slice(words, 1, first), again), " ")
+
+    # An array of one array, so that the words are cut once and not for each of them again.
+    whole = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))), rewritten)
+    return F.when((crc % 10 == 0) & (F.regexp_count(text, F.lit(WORDS)) > 0), F.get(whole, F.lit(0))).otherwise(text)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text"))
+    # The greatest run: the longest, then the leftmost, then that of the smallest period.
+    before = lambda x, y: F.when((x["length"] > y["length"]) | ((x["length"] == y["length"]) & (F.struct(x["start"], x["period"]) < F.struct(y["start"], y["period"]))), x).otherwise(y)
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))))
+    return periodic_runs(docs).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: before(x, y)).alias("best"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
