@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from burnish.functions.columns import INFINITY_SHAPE, MISSING_TOKENS, NUMBER_SHAPE, c, nan_to_null, parse_number
 from burnish.operators.quantiles import one_row
+from burnish.operators.values import local_frame
+from burnish.session import scratch_path
+from burnish.sources.ranges import DelimitedLines, JsonObjects, scan
 
+PREVIEW_LINES = 5
 WHOLE_SHAPE = r"^\s*[+-]?\d{1,18}\s*$"
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet", ".txt": "text"}
 
@@ -19,14 +27,12 @@ def read_csv(
     """Delimited text with a header. Missing tokens become NULL; types are found in one pass unless given.
 
     Types are those of the whole column: long, double, boolean or string. With a ``schema`` no pass is needed.
-    A file with line breaks inside quotes cannot be split among tasks. Whether there are any is looked up in one
-    pass over the lines, so that all other files are split; ``quoted_newlines`` tells it beforehand.
+    All files are split among tasks. Those with line breaks inside quotes take a scan of their ranges first; which they
+    are is looked up in one pass over the lines, or told by ``quoted_newlines`` for all files. A file whose last
+    quote is never closed is read whole by one task. Lines end with a line feed, with or without a carriage return.
     """
-    if quoted_newlines is None:
-        quoted_newlines = has_open_quotes(spark, path)
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", quoted_newlines)
-    raw = reader.option("escape", '"').option("quote", '"').csv(path)
-    tokens = raw.select(*[F.when(~c(n).isin(*MISSING_TOKENS), c(n)).alias(n) for n in raw.columns])
+    tokens = delimited_cells(spark, path, sep, quoted_newlines)
+    tokens = tokens.select(*[F.when(~c(n).isin(*MISSING_TOKENS), c(n)).alias(n) for n in tokens.columns])
     if schema is not None:
         fields = StructType.fromDDL(schema).fields
         return tokens.select(*[_typed(c(f.name), f.dataType.simpleString()).alias(f.name) for f in fields])
@@ -34,10 +40,57 @@ def read_csv(
     return tokens.select(*[_typed(c(n), kinds[n]).alias(n) for n in tokens.columns])
 
 
-def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes, as the first line of a broken-up cell does."""
+def delimited_cells(spark: SparkSession, path: str, sep: str = ",", quoted_newlines: bool | None = None) -> DataFrame:
+    """The cells of delimited text with a header, all as text. Columns are those of the first file, by position.
+
+    Where files need a scan, columns made from folder names are left out.
+    """
+    reader = lambda: spark.read.options(header=True, sep=sep, escape='"', quote='"')
+    if quoted_newlines is False:
+        return reader().csv(path)
+    files = odd_quotes(spark, path)
+    spanning = sorted(f for f, odd in files.items() if odd or quoted_newlines)
+    if not spanning:
+        return reader().csv(path)
+    names = reader().option("multiLine", True).csv(_as_path(min(files))).columns
+    ranges = scan(spark, [_as_path(f) for f in spanning], DelimitedLines(sep))
+    # A scan knows files by a hash of their path.
+    hashes = local_frame(spark, [(f,) for f in spanning], "path string").withColumn("file", F.xxhash64("path"))
+    left_open = ranges.starts.where("last and left_open").join(F.broadcast(hashes), "file")
+    unclosed = sorted(r["path"] for r in left_open.select("path").collect())
+    cells = ", ".join(f"_{k} string" for k in range(len(names)))
+    read = F.from_csv("value", cells, {"sep": sep, "escape": '"', "quote": '"'})
+    parts = []
+    if len(unclosed) < len(spanning):
+        skipped = ranges.starts.where("last and left_open").select("file")
+        records = ranges.records().join(F.broadcast(skipped), "file", "left_anti") if unclosed else ranges.records()
+        parts.append(records.where("not first").select(read.alias("read")).select("read.*"))
+    if plain := sorted(files.keys() - set(spanning)):
+        parts.append(_by_position(reader().csv([_as_path(f) for f in plain]), len(names)))
+    if unclosed:
+        parts.append(_by_position(reader().option("multiLine", True).csv([_as_path(f) for f in unclosed]), len(names)))
+    return reduce(DataFrame.unionAll, parts).toDF(*names)
+
+
+def _as_path(url: str) -> str:
+    """The path of a file, as a reader takes it, from the address that Spark gives: unquoted, and no pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(url))
+
+
+def _by_position(df: DataFrame, count: int) -> DataFrame:
+    """The first columns of a table; missing ones are NULL."""
+    have = [c(n) for n in df.columns[:count]]
+    return df.select(*have, *[F.lit(None).cast("string").alias(f"_{k}") for k in range(len(have), count)])
+
+
+def odd_quotes(spark: SparkSession, path: str) -> dict[str, bool]:
+    """{file: whether some line holds an odd number of quotes, as the first line of a broken-up cell does}.
+
+    One row for each file reaches the driver, as it does when Spark lists them.
+    """
     odd = F.regexp_count("value", F.lit('"')) % 2 == 1
-    return not spark.read.text(path).where(odd).isEmpty()
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(odd).alias("odd"))
+    return {r["file"]: r["odd"] for r in files.collect()}
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -78,9 +131,18 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A document that is a list of records. One file is one task, so large data belongs in JSON lines."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    return nan_to_null(reader.option("multiLine", True).json(path))
+    """Documents that are lists of objects, or an object each. A file of any size is cut into ranges for many tasks.
+
+    A given ``schema`` saves a copy of the data: to find one, the objects are written as JSON lines, which are then read.
+    Elements that are no objects, and an object that the end of a file cuts off, count as unreadable records.
+    """
+    records = scan(spark, path, JsonObjects()).records()
+    if schema is not None:
+        read = F.from_json("value", schema)
+        return nan_to_null(records.select(F.coalesce(read, F.struct(*[read[n] for n in StructType.fromDDL(schema).names])).alias("r")).select("r.*"))
+    lines = scratch_path(spark, "json-lines")
+    records.select(F.regexp_replace("value", r"[\r\n]+", " ").alias("value")).write.text(lines)
+    return read_json_lines(spark, lines)
 
 
 def read_parquet(spark: SparkSession, path: str, nan_as_null: bool = True) -> DataFrame:
@@ -106,7 +168,20 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return readers[FORMATS[extension]](spark, path)
 
 
+def text_preview(spark: SparkSession, path: str, lines: int = PREVIEW_LINES) -> DataFrame:
+    """(file, line, value): the first lines of each file, from 1, whatever the files hold.
+
+    Only lines from the start of a file are looked at, each task offers no more than ``lines`` of a file, and no file is loaded into a cell.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    first = raw.where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("file"), "value")
+    numbered = first.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id())))
+    return numbered.where(F.col("line") <= lines).select("file", "line", "value")
+
+
 def document_preview(spark: SparkSession, path: str, characters: int = 2_000) -> DataFrame:
-    """(preview): the start of a document that is not a table."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.substring("value", 1, characters).alias("preview"))
+    """(file, preview): the first characters of each document that is not a table, from its first lines."""
+    first = text_preview(spark, path, characters).withColumn("value", F.substring("value", 1, characters))
+    lines = F.array_sort(F.collect_list(F.struct("line", "value")))
+    text = F.array_join(F.transform(lines, lambda x: x["value"]), "\n")
+    return first.groupBy("file").agg(F.substring(text, 1, characters).alias("preview"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Delimited text with a header; inner quotes are doubled."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    """Delimited text with a header; inner quotes are doubled, blanks around a text are kept."""
+    options = {"header": True, "sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def write_output(df: DataFrame, path: str, fmt: str = "parquet") -> int:

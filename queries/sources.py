@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from burnish.session import scratch_path
 from burnish.sources.catalog import file_catalog, preview, preview_summary
-from burnish.sources.readers import read_csv, read_json_array, read_json_lines, read_parquet, read_text, read_tsv
+from burnish.sources.readers import read_csv, read_json_array, read_json_lines, read_parquet, read_text, read_tsv, text_preview
 from burnish.sources.sinks import write_csv, write_output
 from queries.registry import per_column, query, table, view
 
@@ -22,6 +23,19 @@ def csv_source(spark, sf_dir):
     return read_csv(spark, path)
 
 
+@query(
+    "s1_csv_line_breaks",
+    "select doc_id, lang, replace(text, ' ', case when doc_id % 3 = 0 then chr(10) when doc_id % 3 = 1 then '\", ' else ' ' end) as text"
+    " from documents",
+)
+def csv_line_breaks(spark, sf_dir):
+    """Cells with line breaks and quotes, in files that several tasks read in ranges."""
+    path = scratch_path(spark, "csv")
+    blank = F.when(F.col("doc_id") % 3 == 0, "\n").when(F.col("doc_id") % 3 == 1, '", ').otherwise(" ")
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "lang", F.replace("text", F.lit(" "), blank).alias("text")), path)
+    return read_csv(spark, path)
+
+
 @query("s2_tsv_source", "select c_custkey, nullif(acct_text, 'N/A') as acct_text, flag_text from $customer_dirty")
 def tsv_source(spark, sf_dir):
     path = scratch_path(spark, "tsv")
@@ -49,6 +63,31 @@ def json_array_source(spark, sf_dir):
     return read_json_array(spark, path).drop("document")
 
 
+LIST_ROWS = 1_000_000
+
+
+@query("s4_json_array_ranges", "select o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+def json_array_ranges(spark, sf_dir):
+    """Lists of up to a million objects in one file each, which is read in ranges."""
+    path = scratch_path(spark, "json")
+    orders = table(spark, sf_dir, "orders")
+    order = {"status": F.col("o_orderstatus"), "price": F.col("o_totalprice"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")}
+    value = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.struct(*[x.alias(n) for n, x in order.items()]).alias("order")))
+    lines = orders.select(F.floor(F.col("o_orderkey") / LIST_ROWS).alias("document"), "o_orderkey", value.alias("value"))
+    in_file = Window.partitionBy("document").orderBy("o_orderkey")
+    before = F.when(F.row_number().over(in_file) == 1, "[").otherwise(",")
+    after = F.when(F.lead("value").over(in_file).isNull(), "]").otherwise("")
+    lines = lines.select("document", F.concat(before, "value", after).alias("value"))
+    lines.write.partitionBy("document").text(path)
+    read = read_json_array(spark, path, "key long, order struct<status: string, price: double, day: string>")
+    return read.select(
+        F.col("key").alias("o_orderkey"),
+        F.col("order.status").alias("o_orderstatus"),
+        F.col("order.price").alias("o_totalprice"),
+        F.col("order.day").alias("day"),
+    )
+
+
 @query("s5_parquet_source", "select * from customer")
 def parquet_source(spark, sf_dir):
     return read_parquet(spark, f"{sf_dir}/customer.parquet")
@@ -61,6 +100,27 @@ def text_source(spark, sf_dir):
     return read_text(spark, path)
 
 
+@query(
+    "s6_text_preview",
+    """
+    with lines as (select regionkey, line, value from (
+        select n_regionkey as regionkey, row_number() over (partition by n_regionkey order by n_nationkey) as line,
+            n_nationkey || ' ' || n_name as value from nation))
+    select cast(regionkey as bigint) as regionkey, cast(line as integer) as line, value from lines where line <= 5
+    """,
+)
+def first_lines(spark, sf_dir):
+    """The first five lines of each of several files, one for each region."""
+    path = scratch_path(spark, "text")
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").alias("regionkey"), "n_nationkey", F.concat_ws(" ", "n_nationkey", "n_name").alias("value")
+    )
+    nations = nations.repartition("regionkey").sortWithinPartitions("regionkey", "n_nationkey")
+    nations.select("regionkey", "value").write.partitionBy("regionkey").text(path)
+    seen = text_preview(spark, path)
+    return seen.select(F.regexp_extract("file", r"regionkey=(\d+)", 1).cast("long").alias("regionkey"), "line", "value")
+
+
 @query("s7_file_catalog")
 def catalog(spark, sf_dir):
     return file_catalog(spark, sf_dir)

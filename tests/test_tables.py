@@ -11,7 +11,7 @@ from burnish.operators import compare as k
 from burnish.operators import profile as p
 from burnish.operators.validate import quality_gate, validate
 from burnish.sources.catalog import file_catalog, preview_summary
-from burnish.sources.readers import document_preview, has_open_quotes, read_any
+from burnish.sources.readers import document_preview, odd_quotes, read_any, text_preview
 
 
 def mixed(spark):
@@ -140,7 +140,7 @@ def test_comparison(spark):
 def test_csv_missing_tokens_types_and_line_breaks(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('id,v,w,b,t\n1,1.5,3,True,"a\nb, ""c"""\n2,NA,nan,False,N/A\n3,,,,null\n4,2e3,7,True,x\n')
-    assert has_open_quotes(spark, str(path))
+    assert list(odd_quotes(spark, str(path)).values()) == [True]
     df = read_any(spark, str(path))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     assert kinds == {"id": "bigint", "v": "double", "w": "bigint", "b": "boolean", "t": "string"}
@@ -154,7 +154,7 @@ def test_csv_missing_tokens_types_and_line_breaks(spark, tmp_path):
 def test_csv_without_line_breaks_stays_splittable(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text('id,t\n1,"a, b"\n2,"say ""hi"""\n')
-    assert not has_open_quotes(spark, str(path))
+    assert list(odd_quotes(spark, str(path)).values()) == [False]
     assert [r["t"] for r in burnish.read_csv(spark, str(path)).orderBy("id").collect()] == ["a, b", 'say "hi"']
     typed = burnish.read_csv(spark, str(path), schema="id double, t string", quoted_newlines=False)
     assert typed.orderBy("id").first()["id"] == 1.0
@@ -173,7 +173,11 @@ def test_json_tsv_text_and_parquet(spark, tmp_path):
     spark.createDataFrame([(float("nan"),), (1.0,)], "v double").write.parquet(str(tmp_path / "n.parquet"))
     assert read_any(spark, str(tmp_path / "n.parquet")).where("v is null").count() == 1
     (tmp_path / "d.json").write_text(json.dumps({"k": "v" * 5_000}))
-    assert len(document_preview(spark, str(tmp_path / "d.json")).first()[0]) == 2_000
+    assert len(document_preview(spark, str(tmp_path / "d.json")).first()["preview"]) == 2_000
+    (tmp_path / "d.md").write_text("".join(f"line {k}\n" for k in range(40)))
+    seen = text_preview(spark, str(tmp_path / "d.md")).orderBy("line").collect()
+    assert [(r["line"], r["value"]) for r in seen] == [(k + 1, f"line {k}") for k in range(5)]
+    assert document_preview(spark, str(tmp_path / "d.md"), 13).first()["preview"] == "line 0\nline 1"
     with pytest.raises(ValueError, match="unsupported"):
         read_any(spark, "x.xyz")
 
