@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import c, numeric_columns, parse_timestamp, percent, text_columns
+from burnish.operators.heavy import modes, top_texts
 from burnish.operators.quantiles import exact_quantiles, one_row, parallel
-from burnish.operators.values import cell_counts, local_frame, top_values
+from burnish.operators.values import cell_counts, local_frame
 
 QUARTILES = (0.25, 0.5, 0.75)
 OUTLIER_REACH = 1.5
 HIGH_CORRELATION = 0.9
 DROP_CORRELATION = 0.95
 TOP_VALUES = 10
-KEPT_TEXT = 32  # characters; an md5 digest has as many
+VALUE_BITS = 64
 SALTS = 16  # tasks over which the rows of one repeated key are spread
 
 
@@ -72,22 +73,48 @@ def null_percents(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """(column, distinct): distinct values, NULL not counted."""
+    """(column, distinct): distinct values, NULL not counted.
+
+    Whole numbers and dates that lie closely enough are bits of bitmaps, which every task sends instead of values. All
+    texts are counted by 128-bit digests; other values as they are.
+    """
     names = list(df.columns if columns is None else columns)
     if approximate:
         return long_form(df, names, {"distinct": (lambda n: F.approx_count_distinct(c(n)), "long")})
-    short = df.select(*[_short(df, n).alias(n) for n in names])
-    counted = cell_counts(short, names).groupBy("column").agg(F.count("*").alias("distinct"))
+    close = close_columns(df, names)
+    others = df.select(*[_digest(df, n).alias(n) for n in names if n not in close])
+    counted = cell_counts(others, others.columns).groupBy("column").agg(F.count("*").alias("distinct"))
+    if close:
+        counted = counted.unionByName(bitmap_counts(df, close))
     listed = local_frame(df.sparkSession, [(n,) for n in names], "column string")
     joined = listed.join(counted, "column", "left")
     return joined.select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
-def _short(df: DataFrame, name: str) -> Column:
-    """A long text as its digest, so that counting texts does not move them. Digests are longer than any kept text."""
-    if not isinstance(df.schema[name].dataType, T.StringType):
-        return c(name)
-    return F.when(F.length(c(name)) <= KEPT_TEXT, c(name)).otherwise(F.concat(F.lit("#"), F.md5(c(name).cast("binary"))))
+def _digest(df: DataFrame, name: str) -> Column:
+    """Texts as their digest, so that counting them does not move them."""
+    return F.unhex(F.md5(c(name).cast("binary"))) if isinstance(df.schema[name].dataType, T.StringType) else c(name)
+
+
+def _whole(df: DataFrame, name: str) -> Column:
+    day = isinstance(df.schema[name].dataType, T.DateType)
+    return F.unix_date(c(name)).cast("long") if day else c(name).cast("long")
+
+
+def close_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Columns of whole numbers or dates whose values take fewer bits as a bitmap than as values of 64 bits."""
+    kinds = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
+    whole = [n for n in names if isinstance(df.schema[n].dataType, kinds)]
+    found = one_row(df, {(n, f.__name__): f(_whole(df, n)) for n in whole for f in (F.count, F.min, F.max)})
+    return [n for n in whole if found[n, "count"] and found[n, "max"] - found[n, "min"] < VALUE_BITS * found[n, "count"]]
+
+
+def bitmap_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column, distinct) by bitmaps of 4 KB, each for 32,768 neighbouring values; those of all tasks are joined by OR."""
+    cells = df.select(*[_whole(df, n).alias(n) for n in names]).unpivot([], [c(n) for n in names], "column", "value")
+    buckets = cells.where(F.col("value").isNotNull()).groupBy("column", F.bitmap_bucket_number("value").alias("bucket"))
+    bits = buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("bits"))
+    return bits.groupBy("column").agg(F.sum(F.bitmap_count("bits")).alias("distinct"))
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
@@ -209,7 +236,7 @@ def cardinality(df: DataFrame) -> DataFrame:
 
 def top_categories(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     """(column, value, n, rank): the most frequent values per text column."""
-    return top_values(cell_counts(df, text_columns(df)), k)
+    return top_texts(df, text_columns(df), k)
 
 
 def average_lengths(df: DataFrame) -> DataFrame:
@@ -262,16 +289,14 @@ def inventory(df: DataFrame) -> DataFrame:
         "max": (number(F.max), "double"),
         "mean": (number(F.mean), "double"),
     }
-    counts = cell_counts(df, df.columns)
-    distinct = counts.groupBy("column").agg(F.count("*").alias("distinct"), F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
     others = [n for n in df.columns if n not in numeric]
+    common = local_frame(df.sparkSession, list(modes(df, others, as_text=True).items()), "column string, mode string")
     return (
         schema_table(df)
         .drop("position")
         .join(F.broadcast(long_form(df, df.columns, metrics)), "column")
-        .join(distinct, "column", "left")
-        .withColumn("distinct", F.coalesce("distinct", F.lit(0)))
-        .withColumn("mode", F.when(F.col("column").isin(*others), F.col("mode")))
+        .join(distinct_counts(df), "column", "left")
+        .join(common, "column", "left")
     )
 
 

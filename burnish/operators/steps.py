@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnish.functions.columns import c
+from burnish.operators.heavy import modes as most_frequent
 from burnish.operators.power import fit_power
 from burnish.operators.quantiles import exact_quantiles, one_row, parallel
 from burnish.operators.values import Categories, CategoryNeed, fetch_categories, local_frame
@@ -96,7 +97,7 @@ def run(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def fit(df: DataFrame, needs: Sequence[Needs]) -> Found:
-    """All parameters of a round: one aggregate, one search for quantiles, and one job per category column."""
+    """All parameters of a round: one aggregate, one search for quantiles, one for modes, and one job per category column."""
     aggs: dict[str, Column] = {}
     quantiles: dict[str, list[float]] = {}
     categories: dict[tuple, CategoryNeed] = {}
@@ -113,27 +114,21 @@ def fit(df: DataFrame, needs: Sequence[Needs]) -> Found:
     jobs: list[Callable[[], object]] = [
         lambda: one_row(df, aggs),
         lambda: exact_quantiles(df, quantiles),
+        lambda: most_frequent(df, list(modes)),
         *[lambda need=need: fetch_categories(df, need) for need in categories.values()],
-        *[lambda name=name: mode_of(df, name) for name in modes],
         *[lambda name=name: fit_power(df, name) for name in powers],
     ]
-    plain, cuts, *results = parallel(df.sparkSession, jobs)
+    plain, cuts, common, *results = parallel(df.sparkSession, jobs)
     rest = iter(results)
     return Found(
         aggs=plain,
         quantiles=cuts,
         categories={key: next(rest) for key in categories},
-        modes={name: next(rest) for name in modes},
+        modes=common,
         powers={name: next(rest) for name in powers},
     )
 
 
-def mode_of(df: DataFrame, name: str) -> object:
-    """The most frequent value, the smallest one on ties; None without values."""
-    counted = df.where(c(name).isNotNull()).groupBy(c(name).alias("v")).agg(F.count("*").alias("n"))
-    return counted.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v")))).first()[0]
-
-
 def _flush(df: DataFrame, pending: Sequence[Step]) -> DataFrame:
     needs = [step.needs(df) for step in pending if step.needs]
     found = fit(df, needs) if needs else Found({}, {}, {}, {}, {})

@@ -74,10 +74,23 @@ def test_correlations_with_gaps_on_either_side(spark):
 
 
 def test_distinct_counts_are_summed_before_the_shuffle(spark, plan_of):
-    text = plan_of(p.distinct_counts(spark.range(100).selectExpr("id % 3 as a", "id as b")))
+    text = plan_of(p.distinct_counts(spark.range(100).selectExpr("id % 3 / 2 as a", "string(id) as b")))
     assert "Expand" in text and "partial_count" in text
 
 
+def test_close_numbers_and_dates_are_counted_by_bitmaps(spark, plan_of):
+    df = spark.range(5_000, numPartitions=6).selectExpr(
+        "if(id % 9 = 0, null, id % 40001 - 2500) as a", "cast(id % 7 as tinyint) as b", "date_add(date'1969-12-01', cast(id % 90 as int)) as day",
+        "id * 1000003 as wide", "cast(null as int) as none", "id * 40 - 100000 as loose",
+    )
+    assert p.close_columns(df, df.columns) == ["a", "b", "day", "loose"]
+    pandas = df.toPandas()
+    assert {n: r["distinct"] for n, r in by_column(p.distinct_counts(df)).items()} == {n: pandas[n].nunique() for n in df.columns}
+    text = plan_of(p.bitmap_counts(df, ["a", "day"]))
+    exchange = text[text.index("Exchange hashpartitioning(column") :]
+    assert "partial_bitmap_construct_agg" in exchange and "value" not in exchange.split("\n")[0]
+
+
 def test_profile_without_texts_or_numbers(spark):
     numbers = burnish.profile(spark.range(5).selectExpr("id", "id * 2 as v"))
     assert "categories" not in numbers and numbers["dates"].count() == 0
