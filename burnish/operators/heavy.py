@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import FLOATING, c
+from burnish.operators.tree import merged_by_tree
 from burnish.operators.values import local_frame
-from burnish.session import cut
 
 KEPT = 1_024  # values in a summary
-FAN_IN = 32  # summaries that one task merges
 SHORT = 32  # characters; a longer text is known by its digest, which has one more with its mark
 TIED = 10_000  # values with equal counts and beginnings that are compared in full
 
@@ -98,12 +97,7 @@ def merged(key: tuple, rows: pa.Table) -> pa.Table:
 
 def summaries(cells: DataFrame) -> DataFrame:
     """(at, key, n): one summary for each column; a row without a key has its error."""
-    found = cut(cells.mapInArrow(summarised, SUMMARY_DDL))
-    last = found.agg(F.coalesce(F.max("grp"), F.lit(0))).first()[0]
-    while last > 0:
-        last //= FAN_IN
-        found = found.withColumn("grp", F.floor(F.col("grp") / FAN_IN)).groupBy("grp", "at").applyInArrow(merged, SUMMARY_DDL)
-    return found.select("at", "key", "n")
+    return merged_by_tree(cells.mapInArrow(summarised, SUMMARY_DDL), ["at"], merged, SUMMARY_DDL)
 
 
 def certain_counts(df: DataFrame, names: Sequence[str], k: int) -> tuple[dict[str, list[tuple[str, int]]], list[str]]:

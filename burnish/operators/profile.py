@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import c, numeric_columns, parse_timestamp, percent, text_columns
+from burnish.operators.gram import pair_correlations
 from burnish.operators.heavy import modes, top_texts
 from burnish.operators.quantiles import exact_quantiles, one_row, parallel
 from burnish.operators.values import cell_counts, local_frame
@@ -182,9 +181,8 @@ def outlier_counts(
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col1, col2, correlation): absolute Pearson of every pair, over the rows where both have a value.
 
-    A first pass finds the means; a second one multiplies each batch of centered rows with itself, which gives the sums
-    of all pairs at once. Sums of tasks are added per pair by a shuffle, and the correlations stay distributed: the table
-    is read twice for any number of columns, and no pair passes through the driver. A column without spread gives NULL.
+    A first pass finds the means; a second one multiplies each batch of centered rows with itself, block of columns by
+    block, and tasks send the blocks' sums. The correlations stay distributed. A column without spread gives NULL.
     """
     names = list(numeric_columns(df) if columns is None else columns)
     schema = "col1 string, col2 string, correlation double"
@@ -192,36 +190,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         return local_frame(df.sparkSession, [], schema)
     means = one_row(df, {n: F.mean(c(n).cast("double")) for n in names})
     centered = df.select(*[(c(n).cast("double") - F.lit(means[n]).cast("double")).alias(f"x{i}") for i, n in enumerate(names)])
-    sums = centered.mapInArrow(pair_sums, PAIR_SUMS).groupBy("i", "j")
-    sums = sums.agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
-    n = F.when(F.col("n") >= 2, F.col("n"))
-    spread = (F.col("xx") - F.col("x") * F.col("x") / n) * (F.col("yy") - F.col("y") * F.col("y") / n)
-    spread = F.when((spread > 0) & (spread < float("inf")), spread)
-    share = F.abs(F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread)
-    value = F.when(share > 1, F.lit(1.0)).otherwise(share)
+    found = pair_correlations(centered)
     listed = local_frame(df.sparkSession, list(enumerate(names)), "i int, name string")
     first, second = listed.withColumnRenamed("name", "col1"), listed.toDF("j", "col2")
-    named = sums.join(F.broadcast(first), "i").join(F.broadcast(second), "j")
-    return named.select("col1", "col2", value.alias("correlation"))
-
-
-PAIR_SUMS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
-
-
-def pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the rows that have both values of a pair: count, x, y, xx, yy, xy. One row per pair and task."""
-    total = None
-    for batch in batches:
-        rows = np.column_stack([column.to_numpy(zero_copy_only=False).astype(float) for column in batch.columns])
-        there = (~np.isnan(rows)).astype(float)
-        rows = np.where(there > 0, rows, 0.0)
-        with np.errstate(invalid="ignore"):
-            parts = np.stack([there.T @ there, rows.T @ there, there.T @ rows, (rows * rows).T @ there, there.T @ (rows * rows), rows.T @ rows])
-        total = parts if total is None else total + parts
-    if total is not None:
-        i, j = np.triu_indices(total.shape[1], 1)
-        arrays = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]]
-        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+    named = found.join(F.broadcast(first), "i").join(F.broadcast(second), "j")
+    return named.select("col1", "col2", "correlation")
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None, above: float = HIGH_CORRELATION) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 import burnish
 from burnish.operators import compare as k
+from burnish.operators import gram
 from burnish.operators import profile as p
 from burnish.operators.validate import quality_gate, validate
 from burnish.sources.catalog import file_catalog, preview_summary
@@ -214,14 +215,24 @@ def test_output(spark, tmp_path):
     assert [tuple(r) for r in back] == [(1, 'a,"b"\nc'), (2, None)]
 
 
-def test_correlations_of_many_columns_read_the_table_twice(spark, tmp_path):
-    names = [f"v{k}" for k in range(100)]
-    spark.range(400).selectExpr(*[f"sin(id * {k + 1}) + if({k} % 7 = 3, id, 0) as v{k}" for k in range(100)]).write.parquet(str(tmp_path / "t"))
+def test_correlations_of_many_columns_go_by_blocks(spark, tmp_path, monkeypatch):
+    names = [f"v{k}" for k in range(300)]
+    table = spark.range(400, numPartitions=5).selectExpr(*[f"if(id % 11 = {k} % 23, null, sin(id * {k + 1}) + if({k} % 7 = 3, id, 0)) as v{k}" for k in range(300)])
+    table.write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    found = p.correlations(df)
-    # The means were read before; what is left to do reads the table once.
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
-    got = {(r["col1"], r["col2"]): r["correlation"] for r in found.collect()}
-    want = df.toPandas()[names].corr().abs()
-    assert len(got) == 100 * 99 // 2
-    assert all(abs(v - want.loc[a, b]) < 1e-9 for (a, b), v in got.items())
+    sums = df.mapInArrow(gram.task_sums([(0, 0), (0, 4)]), gram.PARTS_DDL)
+    sizes = {(r["a"], r["b"]): len(r["sums"]) for r in sums.collect()}
+    assert sizes == {(0, 0): 8 * 6 * 64 * 64, (0, 4): 8 * 6 * 64 * 44}
+    want = df.toPandas()[names].corr(min_periods=2).abs()
+    for wave in (512, 4):
+        monkeypatch.setattr(gram, "WAVE", wave)
+        got = {(r["col1"], r["col2"]): r["correlation"] for r in p.correlations(df).collect()}
+        assert len(got) == 300 * 299 // 2
+        assert all(abs(v - want.loc[a, b]) < 1e-9 for (a, b), v in got.items())
+
+
+def test_sums_carry_what_rounding_loses():
+    total = gram.Sum()
+    for value in (1e16, 1.0, 1.0, -1e16, np.inf, 1.0):
+        total.add(np.array([value if np.isfinite(value) else 0.0, value]))
+    assert total.value()[0] == 3.0 and total.value()[1] == np.inf
