@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from burnish.functions.columns import c
 from burnish.operators.heavy import modes as most_frequent
-from burnish.operators.power import fit_power
+from burnish.operators.power import fit_powers
 from burnish.operators.quantiles import exact_quantiles, one_row, parallel
 from burnish.operators.values import Categories, CategoryNeed, fetch_categories, local_frame
 
@@ -97,7 +97,7 @@ def run(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def fit(df: DataFrame, needs: Sequence[Needs]) -> Found:
-    """All parameters of a round: one aggregate, one search for quantiles, one for modes, and one job per category column."""
+    """All parameters of a round: one aggregate, one search each for quantiles, modes and exponents, and one job per category column."""
     aggs: dict[str, Column] = {}
     quantiles: dict[str, list[float]] = {}
     categories: dict[tuple, CategoryNeed] = {}
@@ -114,18 +114,17 @@ def fit(df: DataFrame, needs: Sequence[Needs]) -> Found:
     jobs: list[Callable[[], object]] = [
         lambda: one_row(df, aggs),
         lambda: exact_quantiles(df, quantiles),
-        lambda: most_frequent(df, list(modes)),
+        lambda: most_frequent(df, list(modes)) if modes else {},
+        lambda: fit_powers(df, list(powers)) if powers else {},
         *[lambda need=need: fetch_categories(df, need) for need in categories.values()],
-        *[lambda name=name: fit_power(df, name) for name in powers],
     ]
-    plain, cuts, common, *results = parallel(df.sparkSession, jobs)
-    rest = iter(results)
+    plain, cuts, common, powered, *results = parallel(df.sparkSession, jobs)
     return Found(
         aggs=plain,
         quantiles=cuts,
-        categories={key: next(rest) for key in categories},
+        categories=dict(zip(categories, results)),
         modes=common,
-        powers={name: next(rest) for name in powers},
+        powers=powered,
     )
 
 

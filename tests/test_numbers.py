@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from burnish import outlier_report, scale, treat_outliers
-from burnish.operators.power import fit_power
+from burnish.operators import power
+from burnish.operators.power import fit_powers
 
 VALUES = [3.0, -1.0, None, 8.5, 100.0, 0.0, 4.0, 4.0, -20.0]
 
@@ -49,7 +50,7 @@ def yeo_johnson(x, power):
 def test_power_finds_the_best_exponent(spark, rows, seed):
     values = np.random.default_rng(seed).lognormal(1, 0.8, 300) - seed
     df = frame(spark, values.tolist())
-    fitted = fit_power(df, "v")
+    fitted = fit_powers(df, ["v"])["v"]
     grid = np.arange(-2, 3, 0.001)
 
     def score(power):
@@ -64,7 +65,7 @@ def test_power_finds_the_best_exponent(spark, rows, seed):
 
 def test_power_beyond_the_first_grid(spark):
     values = (10 + np.random.default_rng(3).beta(9, 0.6, 400)).tolist()
-    assert fit_power(frame(spark, values), "v")["power"] > 6
+    assert fit_powers(frame(spark, values), ["v"])["v"]["power"] > 6
 
 
 def test_power_far_from_zero(spark):
@@ -74,7 +75,7 @@ def test_power_far_from_zero(spark):
     scores = [-200 * np.log(yeo_johnson(values, p).var()) + (p - 1) * logs for p in grid]
     best = grid[np.argmax(scores)]
     assert 200 < best < 4_900
-    assert fit_power(frame(spark, values.tolist()), "v")["power"] == pytest.approx(best, abs=0.6)
+    assert fit_powers(frame(spark, values.tolist()), ["v"])["v"]["power"] == pytest.approx(best, abs=0.6)
 
 
 def test_power_of_nothing(spark):
@@ -166,3 +167,20 @@ def test_clip_twice_is_clip_once_and_minmax_stays_inside(spark, values):
     assert ((once >= limits[0] - 1e-6) & (once <= limits[1] + 1e-6)).all()
     inside = scale(df, {"v": "minmax"}).df.toPandas()["v"]
     assert inside.between(0, 1).all()
+
+
+def test_exponents_of_many_columns_take_as_many_jobs_as_of_one(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    values = np.column_stack([draw.lognormal(0, 0.3 + k / 20, 200) - k % 3 for k in range(12)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"v{k} double" for k in range(12))).repartition(3)
+    calls = []
+    inner = power.column_moments
+    monkeypatch.setattr(power, "column_moments", lambda *a: calls.append(sorted(a[2])) or inner(*a))
+    together = fit_powers(df, df.columns)
+    rounds = len(calls)
+    alone = {n: fit_powers(df, [n])[n] for n in ("v0", "v7")}
+    assert rounds <= 9 and calls[0] == list(range(12))
+    assert all(together[n] == pytest.approx(found, rel=1e-9) for n, found in alone.items())
+    for k, n in enumerate(df.columns):
+        fitted = yeo_johnson(values[:, k], together[n]["power"])
+        assert (together[n]["mean"], together[n]["std"]) == pytest.approx((fitted.mean(), fitted.std()), rel=1e-9)
