@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,8 @@ DATE_SHAPES = (
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
 )
-MONTH_FIRST = ((r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}$", "M/d/yyyy"),)
-DAY_FIRST = ((r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}$", "d/M/yyyy"),)
+SLASHED = r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}$"
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy", "d/M/yyyy"
 CLOCK_SHAPE = r"[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)? ?(Z|[+-]\d{2}:?\d{2})?$"
 
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -114,22 +116,63 @@ def parse_flag(value: Column) -> Column:
     return F.when(word.isin("true", "1", "yes", "1.0"), True).when(word.isin("false", "0", "no", "0.0"), False)
 
 
-def parse_timestamp(text: Column, day_first: bool = False) -> Column:
+LONGEST_DATE = 50  # characters
+# Bits of a mask of date shapes: one for each of DATE_SHAPES, then these.
+CLOCK, EITHER, ONLY_MONTH_FIRST, ONLY_DAY_FIRST = (1 << len(DATE_SHAPES) + k for k in range(4))
+SOME_DATE = ((1 << len(DATE_SHAPES)) - 1) | EITHER | ONLY_MONTH_FIRST | ONLY_DAY_FIRST
+ANY_DATE = CLOCK | SOME_DATE
+
+
+def _shape_bit(day: str) -> str:
+    """SQL for the bit of the shape of a date without a clock time; 0 if it has none."""
+    first, second = (f"try_cast(regexp_extract({day}, r'{SLASHED}', {k}) as int)" for k in (1, 2))
+    tests = [f"when {day} rlike r'{pattern}' then {1 << k}" for k, (pattern, _) in enumerate(DATE_SHAPES)]
+    return f"""case {" ".join(tests)}
+        when not {day} rlike r'{SLASHED}' or least({first}, {second}) > 12 or greatest({first}, {second}) > 31 then 0
+        when {first} > 12 then {ONLY_DAY_FIRST} when {second} > 12 then {ONLY_MONTH_FIRST} else {EITHER} end"""
+
+
+def date_mask(name: str) -> Column:
+    """Which shapes of a date the texts of a column have, as bits; 0 for none. The shape alone is looked at, not whether
+    there is such a day.
+
+    A date of two numbers and a year has one of three bits: the month must come first, the day must, or it may be either.
+    """
+    # Most texts end at one of the first tests: they are plain dates, hold no digit, or are no date. Within a function of
+    # an array's elements a test is made only when those before it have failed; elsewhere Spark works out beforehand
+    # what several branches share.
+    text = "`" + name.replace("`", "``") + "`"
+    timed = f"get(transform(array(regexp_replace(t, r'{CLOCK_SHAPE}', '')), d -> {_shape_bit('d')}), 0)"
+    return F.expr(f"""coalesce(get(transform(array(trim({text})), t -> case
+        when t rlike r'{DATE_SHAPES[0][0]}' then 1 when not t rlike r'[0-9]' or length(t) > {LONGEST_DATE} then 0
+        when not t rlike r'{CLOCK_SHAPE}' then {_shape_bit('t')}
+        else get(transform(array({timed}), b -> if(b > 0, b + {CLOCK}, 0)), 0) end), 0), 0)""")
+
+
+def date_shapes(name: str) -> Column:
+    """An aggregate: all shapes of dates that a text column holds, as bits."""
+    return F.coalesce(F.bit_or(date_mask(name)), F.lit(0))
+
+
+def day_comes_first(shapes: int) -> bool:
+    """Whether 1/2/2023 is the first of February: some date can be read in no other way, and none only the other way."""
+    return bool(shapes & ONLY_DAY_FIRST) and not shapes & ONLY_MONTH_FIRST
+
+
+def parse_timestamp(text: Column, shapes: int = ANY_DATE) -> Column:
     """Text to timestamp without time zone. The shape is tested first, so that a bad text costs no exception.
 
     A date may be followed by hours and minutes, seconds, up to nine digits of a fraction (six are kept), and ``Z`` or
-    an offset; a time with either is given in UTC. ``day_first`` reads 1/2/2023 as the first of February.
+    an offset; a time with either is given in UTC. ``shapes`` tells which shapes the column holds, as ``date_shapes`` finds
+    them; only these are tried. Where it does not settle which number is the month, 1/2/2023 is the second of January,
+    and a date that can be read one way only is read that way.
     """
     text = F.trim(text)
+    if not shapes & CLOCK:
+        return _date(text, shapes)
     clock = text.rlike(CLOCK_SHAPE)
     day = F.when(clock, F.regexp_replace(text, CLOCK_SHAPE, "")).otherwise(text)
-    # Month names in any case.
-    day = F.initcap(day)
-    slashed = F.regexp_replace(day, "-", "/")
-    tries = [F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(fmt))) for shape, fmt in DATE_SHAPES]
-    for shape, fmt in DAY_FIRST if day_first else MONTH_FIRST:
-        tries.append(F.when(day.rlike(shape), F.try_to_timestamp(slashed, F.lit(fmt))))
-    date = F.coalesce(*tries).cast("timestamp_ntz")
+    date = _date(day, shapes)
 
     def part(group: int) -> Column:
         return F.coalesce(F.regexp_extract(text, CLOCK_SHAPE, group).try_cast("int"), F.lit(0))
@@ -145,10 +188,39 @@ def parse_timestamp(text: Column, day_first: bool = False) -> Column:
     return F.when(~clock, date).when(told, moved)
 
 
-def as_timestamp(df: DataFrame, name: str) -> Column:
+def _date(day: Column, shapes: int) -> Column:
+    """A text without a clock time to the start of its day."""
+    tries = []
+    for k, (shape, fmt) in enumerate(DATE_SHAPES):
+        if shapes >> k & 1:
+            if fmt == "yyyy-M-d":
+                read = day.try_cast("timestamp_ntz")
+            else:
+                # Month names in any case.
+                read = F.try_to_timestamp(F.initcap(day) if "MMM" in fmt else day, F.lit(fmt)).cast("timestamp_ntz")
+            tries.append(F.when(day.rlike(shape), read))
+    if shapes & (EITHER | ONLY_MONTH_FIRST | ONLY_DAY_FIRST):
+        slashed = F.regexp_replace(day, "-", "/")
+        if day_comes_first(shapes):
+            read = F.try_to_timestamp(slashed, F.lit(DAY_FIRST))
+        elif shapes & ONLY_DAY_FIRST:
+            turned = F.regexp_extract(day, SLASHED, 1).try_cast("int") > 12
+            read = F.when(turned, F.try_to_timestamp(slashed, F.lit(DAY_FIRST))).otherwise(F.try_to_timestamp(slashed, F.lit(MONTH_FIRST)))
+        else:
+            read = F.try_to_timestamp(slashed, F.lit(MONTH_FIRST))
+        tries.append(F.when(day.rlike(SLASHED), read.cast("timestamp_ntz")))
+    return F.coalesce(*tries) if tries else F.lit(None).cast("timestamp_ntz")
+
+
+def shapes_of(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """{column: aggregate of its date shapes}, for those of the columns that are text."""
+    return {n: date_shapes(n) for n in names if isinstance(type_of(df, n), T.StringType)}
+
+
+def as_timestamp(df: DataFrame, name: str, shapes: int = ANY_DATE) -> Column:
     kind = type_of(df, name)
     if isinstance(kind, T.StringType):
-        return parse_timestamp(c(name))
+        return parse_timestamp(c(name), shapes)
     if isinstance(kind, TEMPORAL):
         return c(name).cast("timestamp_ntz")
     return F.lit(None).cast("timestamp_ntz")

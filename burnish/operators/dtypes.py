@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.columns import as_number, as_timestamp, c, is_numeric, parse_flag, type_of
+from burnish.functions.columns import ANY_DATE, as_number, as_timestamp, c, is_numeric, parse_flag, shapes_of, type_of
 from burnish.operators.profile import null_counts
 from burnish.operators.steps import Found, Needs, Note, Outcome, Step, run
 from burnish.operators.values import local_frame
@@ -57,18 +57,21 @@ def _step(name: str, target: str, late: list[Note]) -> Step:
     def project(df: DataFrame, found: Found) -> dict[str, Column]:
         before = type_of(df, name).simpleString()
         late.append(Note("types", name, "converted", f"{before} to {target}"))
-        return {name: _cast(df, name, target)}
+        return {name: _cast(df, name, target, found.aggs.get(f"shapes|{name}", ANY_DATE))}
 
+    if target == "datetime":
+        needs = lambda df: Needs(aggs={f"shapes|{n}": shapes for n, shapes in shapes_of(df, [name]).items()})
+        return Step(fit_reads=one, reads=one, writes=one, needs=needs, project=project)
     return Step(reads=one, writes=one, project=project)
 
 
-def _cast(df: DataFrame, name: str, target: str) -> Column:
+def _cast(df: DataFrame, name: str, target: str, shapes: int) -> Column:
     if target == "float":
         return as_number(df, name)
     if target == "bool":
         return parse_flag(c(name))
     if target == "datetime":
-        return as_timestamp(df, name)
+        return as_timestamp(df, name, shapes)
     return c(name).cast("string")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.columns import c, numeric_columns, parse_timestamp, percent, text_columns
+from burnish.functions.columns import c, date_mask, date_shapes, numeric_columns, parse_timestamp, percent, text_columns
 from burnish.operators.gram import pair_correlations
 from burnish.operators.heavy import modes, top_texts
 from burnish.operators.quantiles import exact_quantiles, one_row, parallel
@@ -239,12 +239,22 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def date_candidates(df: DataFrame) -> DataFrame:
-    """(column, filled, parsed): text columns whose values all read as dates."""
+    """(column, filled, parsed): text columns whose values all read as dates.
+
+    A first pass looks at the shapes; only columns whose values all have that of a date are parsed, as their shapes say.
+    """
+    names = text_columns(df)
+    seen: dict[tuple[str, str], Column] = {}
+    for n in names:
+        seen[n, "filled"], seen[n, "shapes"] = F.count(c(n)), date_shapes(n)
+        seen[n, "dated"] = F.count_if(date_mask(n) > 0)
+    found = one_row(df, seen)
+    names = [n for n in names if found[n, "filled"] and found[n, "filled"] == found[n, "dated"]]
     metrics = {
         "filled": (lambda n: F.count(c(n)), "long"),
-        "parsed": (lambda n: F.count(parse_timestamp(c(n))), "long"),
+        "parsed": (lambda n: F.count(parse_timestamp(c(n), found[n, "shapes"])), "long"),
     }
-    return long_form(df, text_columns(df), metrics).where("filled > 0 and filled = parsed")
+    return long_form(df, names, metrics).where("filled > 0 and filled = parsed")
 
 
 def inventory(df: DataFrame) -> DataFrame:

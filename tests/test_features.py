@@ -7,8 +7,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from burnish import add_features, date_features, text_features
+from burnish import add_features, date_features, repair_types, text_features
 from burnish.functions.formula import column_of
+from burnish.operators.dates import parse_dates, unparsed_dates
 from burnish.operators.features import feature_report
 from burnish.operators.text import term_weights, top_terms
 
@@ -35,8 +36,47 @@ def test_calendar_like_pandas(spark, rows):
     assert "d" not in out.columns
     for name, values in wanted.items():
         np.testing.assert_equal(out[f"d_{name}"].astype("float64").tolist(), values.astype("float64").tolist(), err_msg=name)
-    bands = pd.cut(stamp.hour, [-1, 6, 12, 18, 24], labels=["night", "morning", "afternoon", "evening"])
-    assert [v or None for v in out["d_time_of_day"]] == [None if pd.isna(v) else v for v in bands]
+    # The band of each of the stamps above, written out.
+    assert [v or None for v in out["d_time_of_day"]] == ["night", "night", "morning", None, "afternoon", "evening", None]
+
+
+def test_hours_and_their_bands(spark):
+    df = spark.range(24).selectExpr("id", "concat('2024-05-01 ', id, ':59:59') as d")
+    out = {r["id"]: r["d_time_of_day"] for r in date_features(df, {"d": "time_of_day"}).df.collect()}
+    spans = {"night": range(7), "morning": range(7, 13), "afternoon": range(13, 19), "evening": range(19, 24)}
+    assert out == {hour: name for name, hours in spans.items() for hour in hours}
+
+
+@pytest.mark.parametrize(
+    "texts, days",
+    [
+        (["1/2/2023", "13/2/2023", "x"], ["2023-02-01", "2023-02-13", None]),
+        (["1/2/2023", "2/13/2023", None], ["2023-01-02", "2023-02-13", None]),
+        (["1/2/2023", "3-4-2023"], ["2023-01-02", "2023-03-04"]),
+        (["1/2/2023", "13/2/2023", "2/13/2023", "31/4/2023", "13/14/2023"], ["2023-01-02", "2023-02-13", "2023-02-13", None, None]),
+        (["25-12-2023 10:00", "1/2/2023"], ["2023-12-25", "2023-02-01"]),
+        (["2023-1-5", "2023/1/6", "20230107", "8 jan 2023", "9 JANUARY 2023", "Jan 10, 2023", "january 11, 2023"], [f"2023-01-{d:02d}" for d in range(5, 12)]),
+        (["2023-02-30", "2023-1-5T01:02:03Z", "2023", ""], [None, "2023-01-05", None, None]),
+        ([None, None], [None, None]),
+    ],
+)
+def test_how_dates_are_written_is_found_in_the_column(spark, texts, days):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, d string").repartition(2)
+    got = {r["id"]: r["d"] for r in parse_dates(df, ["d"]).collect()}
+    assert [v and str(v.date()) for _, v in sorted(got.items())] == days
+    assert unparsed_dates(df, ["d"]).first()["null_dates"] == days.count(None)
+    repaired = {r["id"]: r["d"] for r in repair_types(df, {"d": "datetime"}).df.collect()}
+    assert repaired == got
+    since = {r["id"]: r["d_days_since_earliest"] for r in date_features(df, {"d": "days_since_earliest"}).df.collect()}
+    known = [pd.Timestamp(d) for d in days if d]
+    assert [since[k] for k in range(len(days))] == [None if d is None else (got[k] - min(v for v in got.values() if v)).days for k, d in enumerate(days)]
+    assert known or set(since.values()) == {None}
+
+
+def test_only_shapes_that_occur_are_tried(spark, plan_of):
+    df = spark.createDataFrame([("2024-01-05",), ("no date",)], "d string")
+    text = plan_of(parse_dates(df, ["d"]))
+    assert "MMM" not in text and text.count("RLIKE") + text.count("rlike") <= 2
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
@@ -59,26 +99,26 @@ def test_unknown_date_feature(spark):
     assert [n.status for n in date_features(dates(spark), {"e": "year"}).notes] == ["skipped"]
 
 
-def videos(spark):
+def parcels(spark):
     data = [(1, 10.0, 2.0, "A b  c"), (2, 0.0, 0.0, ""), (3, None, 4.0, None), (4, 7.0, -1.0, " ünï\tcode ")]
-    return spark.createDataFrame(data, "id int, likes double, views double, title string")
+    return spark.createDataFrame(data, "id int, load double, toll double, label string")
 
 
 def test_features_like_pandas(spark, rows):
     features = {
-        "len": "str_len:title", "words": "word_count:title", "log": "log:views", "rate": "ratio:likes,views",
-        "up": "threshold_above:likes,5", "down": "threshold_below:likes,5", "mul": "multiply:likes,views",
-        "sum": "add:likes,views", "dif": "subtract:likes,views", "twice": "formula:sum * 2",
+        "len": "str_len:label", "words": "word_count:label", "log": "log:toll", "rate": "ratio:load,toll",
+        "up": "threshold_above:load,5", "down": "threshold_below:load,5", "mul": "multiply:load,toll",
+        "sum": "add:load,toll", "dif": "subtract:load,toll", "twice": "formula:sum * 2",
     }
-    out = rows(add_features(videos(spark), features).df)
-    likes, views = out["likes"], out["views"]
-    titles = ["A b  c", "", None, " ünï\tcode "]
+    out = rows(add_features(parcels(spark), features).df)
+    load, toll = out["load"], out["toll"]
+    labels = ["A b  c", "", None, " ünï\tcode "]
     wanted = {
-        "len": [None if t is None else len(t) for t in titles],
-        "words": [None if t is None else len(t.split()) for t in titles],
-        "log": np.log1p(views.clip(lower=0)), "rate": likes / views.replace(0, np.nan),
-        "up": (likes > 5).astype(int), "down": (likes < 5).astype(int), "mul": likes * views, "sum": likes + views,
-        "dif": likes - views, "twice": (likes + views) * 2,
+        "len": [None if t is None else len(t) for t in labels],
+        "words": [None if t is None else len(t.split()) for t in labels],
+        "log": np.log1p(toll.clip(lower=0)), "rate": load / toll.replace(0, np.nan),
+        "up": (load > 5).astype(int), "down": (load < 5).astype(int), "mul": load * toll, "sum": load + toll,
+        "dif": load - toll, "twice": (load + toll) * 2,
     }
     for name, values in wanted.items():
         np.testing.assert_allclose(out[name].astype("float64"), pd.Series(values, dtype="float64"), err_msg=name)
@@ -101,29 +141,29 @@ def test_bins_like_pandas(spark, rows, values, bins):
 
 @pytest.mark.parametrize(
     "formula",
-    ["(likes + 2) / views", "likes ** 2 - -views", "likes > 5 and not views == 2", "0 <= likes < 8 or views != 4", "likes // 3 + likes % 4"],
+    ["(load + 2) / toll", "load ** 2 - -toll", "load > 5 and not toll == 2", "0 <= load < 8 or toll != 4", "load // 3 + load % 4"],
 )
 def test_formulas_like_pandas(spark, rows, formula):
-    out = rows(add_features(videos(spark), {"f": f"formula:{formula}"}).df)
-    pandas = videos(spark).toPandas()
-    known = pandas["likes"].notna() & (pandas["views"] != 0)
+    out = rows(add_features(parcels(spark), {"f": f"formula:{formula}"}).df)
+    pandas = parcels(spark).toPandas()
+    known = pandas["load"].notna() & (pandas["toll"] != 0)
     wanted = pandas.eval(formula)[known]
     np.testing.assert_allclose(out["f"][known].astype("float64"), wanted.astype("float64"))
 
 
-@pytest.mark.parametrize("formula", ["__import__('os')", "likes.mean()", "likes[0]", "lambda: 1", "likes +"])
+@pytest.mark.parametrize("formula", ["__import__('os')", "load.mean()", "load[0]", "lambda: 1", "load +"])
 def test_formulas_are_arithmetic_only(spark, formula):
     with pytest.raises(ValueError):
         column_of(formula)
 
 
 def test_feature_errors_do_not_stop_the_rest(spark):
-    outcome = add_features(videos(spark), {"a": "log:nothing", "b": "log:likes"})
-    report = {r["column"]: r for r in feature_report(videos(spark), outcome).collect()}
+    outcome = add_features(parcels(spark), {"a": "log:nothing", "b": "log:load"})
+    report = {r["column"]: r for r in feature_report(parcels(spark), outcome).collect()}
     assert report["a"]["status"] == "error" and "nothing" in report["a"]["reason"]
     assert (report["b"]["type"], report["b"]["nulls"]) == ("double", 1)
     with pytest.raises(ValueError, match="unknown"):
-        add_features(videos(spark), {"a": "cube:likes"})
+        add_features(parcels(spark), {"a": "cube:load"})
 
 
 TEXTS = ["The cat sat.", "the DOG sat on the cat", None, "x 3.5 y 7", "a.b.c|d", "  Ünïcode Straße_1 cat ", ""]

@@ -4,16 +4,16 @@ import pytest
 from burnish import fill_missing, missing_report
 
 
-def people(spark):
-    data = [(1, 20.0, "rome", 5), (2, None, "oslo", None), (3, 40.0, None, 7), (4, 90.0, "oslo", 8), (5, None, "rome", 9)]
-    return spark.createDataFrame(data, "id long, age double, city string, n long")
+def parcels(spark):
+    data = [(1, 20.0, "quay", 5), (2, None, "mill", None), (3, 40.0, None, 7), (4, 90.0, "mill", 8), (5, None, "quay", 9)]
+    return spark.createDataFrame(data, "id long, load double, depot string, n long")
 
 
 def test_statistics(spark, rows):
-    out = rows(fill_missing(people(spark), {"age": "fill_median", "city": "fill_mode", "n": "fill_mean"}).df)
-    pandas = people(spark).toPandas()
-    assert out["age"].tolist() == pandas["age"].fillna(pandas["age"].median()).tolist()
-    assert out["city"].tolist() == ["rome", "oslo", "oslo", "oslo", "rome"]
+    out = rows(fill_missing(parcels(spark), {"load": "fill_median", "depot": "fill_mode", "n": "fill_mean"}).df)
+    pandas = parcels(spark).toPandas()
+    assert out["load"].tolist() == pandas["load"].fillna(pandas["load"].median()).tolist()
+    assert out["depot"].tolist() == ["quay", "mill", "mill", "mill", "quay"]
     assert out["n"].tolist() == pandas["n"].fillna(pandas["n"].mean()).tolist()
 
 
@@ -23,20 +23,20 @@ def test_mode_takes_the_smallest_on_ties(spark, rows):
 
 
 def test_rows_dropped_first_change_later_fits(spark, rows):
-    out = rows(fill_missing(people(spark), {"city": "drop_rows", "age": "fill_mean"}).df)
+    out = rows(fill_missing(parcels(spark), {"depot": "drop_rows", "load": "fill_mean"}).df)
     assert out["id"].tolist() == [1, 2, 4, 5]
-    assert out["age"].tolist() == [20.0, 55.0, 90.0, 55.0]
-    out = rows(fill_missing(people(spark), {"age": "fill_mean", "city": "drop_rows"}).df)
-    assert out["age"].tolist() == [20.0, 50.0, 90.0, 50.0]
+    assert out["load"].tolist() == [20.0, 55.0, 90.0, 55.0]
+    out = rows(fill_missing(parcels(spark), {"load": "fill_mean", "depot": "drop_rows"}).df)
+    assert out["load"].tolist() == [20.0, 50.0, 90.0, 50.0]
 
 
 def test_literals_keep_the_type(spark):
-    out = fill_missing(people(spark), {"age": "fill_zero", "city": "fill_zero", "n": "fill_custom:3"}).df
+    out = fill_missing(parcels(spark), {"load": "fill_zero", "depot": "fill_zero", "n": "fill_custom:3"}).df
     assert [f.dataType.simpleString() for f in out.schema.fields] == ["bigint", "double", "string", "bigint"]
-    assert out.where("age = 0").count() == 2
-    assert out.where("city = '0'").count() == 1
+    assert out.where("load = 0").count() == 2
+    assert out.where("depot = '0'").count() == 1
     assert out.where("n = 3").count() == 1
-    assert fill_missing(people(spark), {"n": "fill_custom:2.5"}).df.where("n = 2.5").count() == 1
+    assert fill_missing(parcels(spark), {"n": "fill_custom:2.5"}).df.where("n = 2.5").count() == 1
 
 
 @pytest.mark.parametrize("strategy", ["fill_mean", "fill_median", "fill_mode"])
@@ -48,29 +48,29 @@ def test_nothing_to_learn_from(spark, strategy):
 
 
 def test_unknown_names(spark):
-    outcome = fill_missing(people(spark), {"height": "fill_mean", "age": "keep"})
+    outcome = fill_missing(parcels(spark), {"height": "fill_mean", "load": "keep"})
     assert [(n.column, n.status) for n in outcome.notes] == [("height", "skipped")]
     assert outcome.notes_frame().count() == 1
     with pytest.raises(ValueError, match="unknown"):
-        fill_missing(people(spark), {"age": "fill_guess"})
+        fill_missing(parcels(spark), {"load": "fill_guess"})
     with pytest.raises(ValueError, match="order_by"):
-        fill_missing(people(spark), {"age": "fill_ffill"})
+        fill_missing(parcels(spark), {"load": "fill_ffill"})
 
 
 def test_ordered_fills_between_other_strategies(spark, rows):
-    strategies = {"age": "fill_ffill", "city": "drop_rows", "n": "fill_interpolate"}
-    out = rows(fill_missing(people(spark), strategies, order_by="id", ranges=2).df)
-    pandas = people(spark).toPandas()
-    pandas["age"] = pandas["age"].ffill()
-    pandas = pandas.dropna(subset=["city"])
+    strategies = {"load": "fill_ffill", "depot": "drop_rows", "n": "fill_interpolate"}
+    out = rows(fill_missing(parcels(spark), strategies, order_by="id", ranges=2).df)
+    pandas = parcels(spark).toPandas()
+    pandas["load"] = pandas["load"].ffill()
+    pandas = pandas.dropna(subset=["depot"])
     pandas["n"] = pandas["n"].interpolate()
     pd.testing.assert_frame_equal(out, pandas.reset_index(drop=True), check_dtype=False)
 
 
 def test_report(spark):
-    after = fill_missing(people(spark), {"age": "fill_mean", "city": "drop_rows"}).df
-    report = {r["column"]: (r["before"], r["after"]) for r in missing_report(people(spark), after).collect()}
-    assert report == {"age": (2, 0), "city": (1, 0), "n": (1, 1), "(rows)": (5, 4)}
+    after = fill_missing(parcels(spark), {"load": "fill_mean", "depot": "drop_rows"}).df
+    report = {r["column"]: (r["before"], r["after"]) for r in missing_report(parcels(spark), after).collect()}
+    assert report == {"load": (2, 0), "depot": (1, 0), "n": (1, 1), "(rows)": (5, 4)}
 
 
 def test_fits_share_one_pass(spark, monkeypatch):
@@ -79,5 +79,5 @@ def test_fits_share_one_pass(spark, monkeypatch):
     calls = []
     plain = steps.one_row
     monkeypatch.setattr(steps, "one_row", lambda df, aggs: calls.append(len(aggs)) or plain(df, aggs))
-    fill_missing(people(spark), {"age": "fill_mean", "n": "fill_mean"})
+    fill_missing(parcels(spark), {"load": "fill_mean", "n": "fill_mean"})
     assert calls == [2]

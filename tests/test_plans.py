@@ -5,21 +5,21 @@ from burnish.operators import steps
 from burnish.plans.prepare import custom_batches, custom_step
 
 
-def people(spark):
-    data = [(1, 20.0, "rome", "x 1", 1), (2, None, "oslo", "y", 0), (3, 40.0, None, "z z", 1), (4, 900.0, "oslo", None, 0), (4, 900.0, "oslo", None, 0)]
-    return spark.createDataFrame(data, "id int, age double, city string, note string, target int").repartition(3)
+def parcels(spark):
+    data = [(1, 20.0, "quay", "x 1", 1), (2, None, "mill", "y", 0), (3, 40.0, None, "z z", 1), (4, 900.0, "mill", None, 0), (4, 900.0, "mill", None, 0)]
+    return spark.createDataFrame(data, "id int, load double, depot string, note string, target int").repartition(3)
 
 
 CONFIG = {
     "target": "target",
     "duplicates": "drop_keep_first",
     "duplicate_key": "id",
-    "missing": {"age": "fill_median", "city": "fill_mode", "note": "fill_custom:none"},
+    "missing": {"load": "fill_median", "depot": "fill_mode", "note": "fill_custom:none"},
     "text": {"note": "length_feature"},
-    "outliers": {"age": "winsorize:0,90"},
-    "encode": {"city": "onehot_encode"},
-    "features": {"age_twice": "formula:age * 2"},
-    "scale": {"age": "minmax", "age_twice": "standard"},
+    "outliers": {"load": "winsorize:0,90"},
+    "encode": {"depot": "onehot_encode"},
+    "features": {"load_twice": "formula:load * 2"},
+    "scale": {"load": "minmax", "load_twice": "standard"},
     "checks": {"no_nulls": True, "target_column": "target"},
     "order_by": "id",
 }
@@ -46,11 +46,11 @@ def test_bad_plans_raise_before_any_job(config):
 @pytest.mark.parametrize("metrics", [False, True])
 @pytest.mark.parametrize("materialize", [False, True])
 def test_end_to_end(spark, rows, metrics, materialize):
-    done = prepare(people(spark), Plan.from_dict(CONFIG), metrics, materialize)
+    done = prepare(parcels(spark), Plan.from_dict(CONFIG), metrics, materialize)
     out = rows(done.df)
-    assert sorted(out.columns) == ["age", "age_twice", "city_rome", "id", "note", "note_length", "target"]
-    assert out["city_rome"].tolist() == [1, 0, 0, 0]
-    assert out["age"].tolist() == pytest.approx([0, 20 / 622, 20 / 622, 1])
+    assert sorted(out.columns) == ["depot_quay", "id", "load", "load_twice", "note", "note_length", "target"]
+    assert out["depot_quay"].tolist() == [1, 0, 0, 0]
+    assert out["load"].tolist() == pytest.approx([0, 20 / 622, 20 / 622, 1])
     assert out["note_length"].tolist() == [3, 1, 3, 4]
     assert all(c.passed for c in done.checks)
     if metrics:
@@ -64,26 +64,26 @@ def test_independent_fits_share_a_round(spark, monkeypatch):
     plain = steps.fit
     monkeypatch.setattr(steps, "fit", lambda df, needs: rounds.append(len(needs)) or plain(df, needs))
     plan = Plan.from_dict(
-        {"missing": {"age": "fill_mean", "city": "fill_mode"}, "encode": {"note": "label_encode"}, "outliers": {"target": "clip_iqr"}}
+        {"missing": {"load": "fill_mean", "depot": "fill_mode"}, "encode": {"note": "label_encode"}, "outliers": {"target": "clip_iqr"}}
     )
-    prepare(people(spark), plan)
+    prepare(parcels(spark), plan)
     assert rounds == [4]
     rounds.clear()
-    prepare(people(spark), Plan.from_dict({"missing": {"age": "fill_mean"}, "outliers": {"age": "clip_zscore"}}))
+    prepare(parcels(spark), Plan.from_dict({"missing": {"load": "fill_mean"}, "outliers": {"load": "clip_zscore"}}))
     assert rounds == [1, 1]
 
 
 def test_same_result_for_any_partitioning_and_input_order(spark, rows):
-    first = rows(prepare(people(spark).coalesce(1), Plan.from_dict(CONFIG)).df)
-    second = rows(prepare(people(spark).orderBy("age").repartition(7), Plan.from_dict(CONFIG)).df)
+    first = rows(prepare(parcels(spark).coalesce(1), Plan.from_dict(CONFIG)).df)
+    second = rows(prepare(parcels(spark).orderBy("load").repartition(7), Plan.from_dict(CONFIG)).df)
     assert first.equals(second[first.columns])
 
 
 def test_custom_steps(spark, rows):
-    assert custom_step(people(spark), lambda df: df.where("id > 2")).count() == 3
+    assert custom_step(parcels(spark), lambda df: df.where("id > 2")).count() == 3
 
     def double(batch):
-        return batch.assign(age=batch["age"] * 2)[["id", "age"]]
+        return batch.assign(load=batch["load"] * 2)[["id", "load"]]
 
-    out = rows(custom_batches(people(spark).select("id", "age"), double, "id int, age double"))
-    assert out["age"].tolist()[:1] == [40.0]
+    out = rows(custom_batches(parcels(spark).select("id", "load"), double, "id int, load double"))
+    assert out["load"].tolist()[:1] == [40.0]
