@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +22,18 @@ from burnish.operators.values import (
     number_sorted,
 )
 
-METHODS = ("label", "onehot", "frequency", "binary", "ordinal", "target")
+METHODS = ("label", "onehot", "sparse", "frequency", "binary", "ordinal", "target")
 CODE = "__code"
+WIDEST = 10_000  # values that onehot makes a column for each of
 
 
 def encode(df: DataFrame, encodings: Mapping[str, str], order_by: str | Sequence[str] | None = None) -> Outcome:
-    """Encode columns by label, onehot, frequency, ordinal:<v1,v2,...>, binary or target:<column>.
+    """Encode columns by label, onehot, sparse, frequency, ordinal:<v1,v2,...>, binary or target:<column>.
 
-    Label, frequency and target take their codes from a distributed table with one row per value, however many there
-    are; it is in ``mappings`` of the outcome. ``onehot`` makes a column for each value but the first; for columns of very many
-    values ``onehot_long`` gives the same as rows. ``binary`` needs ``order_by``: the value seen second becomes 1.
+    Label, sparse, frequency and target take their codes from a distributed table with one row per value, however many there
+    are; it is in ``mappings`` of the outcome. ``onehot`` makes a column for each value but the first, for at most ``WIDEST``
+    values; ``sparse`` puts the same ones and zeros into one sparse vector column, ``<column>_onehot``, for any number of
+    values, and ``onehot_long`` gives them as rows. ``binary`` needs ``order_by``: the value seen second becomes 1.
     """
     late: list[Note] = []
     mappings: dict[str, DataFrame] = {}
@@ -64,6 +67,8 @@ def encode_steps(
             raise ValueError(f"binary encoding of {name} needs order_by: which value comes first depends on it")
         elif word in ("onehot", "binary"):
             steps.append(_fitted_step(name, word, order_by, late, mappings))
+        elif word == "sparse":
+            steps.append(_sparse_step(name, late, mappings))
         else:
             steps.append(_looked_up_step(name, word, arg, late, mappings))
     return steps, notes
@@ -84,6 +89,29 @@ def _looked_up_step(name: str, word: str, arg: str, late: list[Note], mappings:
     return Step(fit_reads=reads, reads=reads, writes=frozenset({name}), needs=lambda df: Needs(), transform=transform)
 
 
+def _sparse_step(name: str, late: list[Note], mappings: dict[str, DataFrame]) -> Step:
+    one, made = frozenset({name}), f"{name}_onehot"
+
+    def transform(df: DataFrame, found: Found) -> DataFrame:
+        table = number_sorted(grouped_values(df, name, {}), VALUE, CODE)
+        size = max(0, table.count() - 1)  # all that the driver learns of the values
+        mappings[name] = table.where(F.col(CODE) > 0).select(
+            F.col(VALUE).cast("string").alias("value"), (F.col(CODE) - 1).cast("double").alias("code")
+        )
+        late.append(Note("encode", name, "done", f"sparse: {made} of size {size}"))
+        if not size:
+            return df.drop(name)
+        # The smallest value and missing ones have the place that the encoder leaves out.
+        place = F.when(F.col(name_of_place) > 0, F.col(name_of_place) - 1).otherwise(size).cast("double")
+        placed = looked_up(df.withColumn(name_of_place, c(name)), name_of_place, table, CODE).withColumn(name_of_place, place)
+        encoder = OneHotEncoder(inputCols=[name_of_place], outputCols=[made], dropLast=True)
+        model = encoder.fit(local_frame(df.sparkSession, [(float(size),)], f"{name_of_place} double"))
+        return model.transform(placed).drop(c(name), name_of_place)
+
+    name_of_place = f"__place_{made}".replace("`", "_").replace(".", "_")
+    return Step(fit_reads=one, reads=one, writes=frozenset({name, made}), needs=lambda df: Needs(), transform=transform, opens_columns=True)
+
+
 def dictionary(df: DataFrame, name: str, word: str, arg: str = "") -> DataFrame:
     """(value, code) of a column: one row per value that is not missing."""
     if word == "ordinal":
@@ -101,7 +129,7 @@ def dictionary(df: DataFrame, name: str, word: str, arg: str = "") -> DataFrame:
 def _need(name: str, word: str, order_by: str | Sequence[str] | None) -> CategoryNeed:
     if word == "binary":
         return CategoryNeed(name, {"__first": F.min(F.struct(*[c(n) for n in order_keys(order_by)]))}, 2)
-    return CategoryNeed(name)
+    return CategoryNeed(name, limit=WIDEST)
 
 
 def _fitted_step(
@@ -129,6 +157,8 @@ def _text(value: object) -> str:
 
 
 def _onehot(df: DataFrame, name: str, categories: Categories, late: list[Note], mappings: dict) -> DataFrame:
+    if categories.too_many:
+        raise ValueError(f"{name} has more than {WIDEST} values, too many for a column each; use sparse instead of onehot")
     values = sorted(r[VALUE] for r in categories.rows)[1:]
     columns = {f"{name}_{_text(v)}": F.coalesce((c(name) == F.lit(v)).cast("int"), F.lit(0)) for v in values}
     late.append(Note("encode", name, "done", f"onehot: {', '.join(columns)}"))

@@ -114,6 +114,21 @@ def long(spark, sf_dir):
     return onehot_long(view(spark, sf_dir, "orders_gaps"), "o_orderpriority", ["o_orderkey"])
 
 
+@query(
+    "e2_onehot_sparse",
+    """with codes as (select c_name as v, row_number() over (order by c_name) - 2 as place,
+        (select count(distinct c_name) - 1 from customer) as size from (select distinct c_name from customer))
+    select o_orderkey, '(' || size || ',' || case when place < 0 then '[],[]' else '[' || place || '],[1.0]' end || ')' as ones
+    from orders join customer on c_custkey = o_custkey join codes on v = c_name""",
+)
+def sparse(spark, sf_dir):
+    """The names of the customers of all orders as sparse vectors, shown as text."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    coded = encode(orders.join(customers, "c_custkey").select("o_orderkey", "c_name"), {"c_name": "sparse"}).df
+    return coded.select("o_orderkey", F.col("c_name_onehot").cast("string").alias("ones"))
+
+
 REPORTED = """select '{c}' as "column", 'done' as status, '{m}' as detail, v::varchar as value, code::double as code from ({s})"""
 
 query(

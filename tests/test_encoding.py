@@ -29,6 +29,31 @@ def test_onehot_like_pandas(spark, rows):
     assert "size" not in out.columns
 
 
+def test_sparse_is_onehot_in_one_column(spark, rows):
+    wide = rows(encode(shirts(spark), {"size": "onehot"}).df)
+    outcome = encode(shirts(spark), {"size": "sparse"})
+    out = rows(outcome.df)
+    assert list(out.columns) == ["id", "price", "size_onehot"]
+    assert [v.toArray().tolist() for v in out["size_onehot"]] == wide[["size_S", "size_XL"]].to_numpy().tolist()
+    assert all(v.numNonzeros() <= 1 and type(v).__name__ == "SparseVector" for v in out["size_onehot"])
+    assert {r["value"]: r["code"] for r in outcome.mappings["size"].collect()} == {"S": 0.0, "XL": 1.0}
+    one = spark.createDataFrame([(1, "x"), (2, None)], "id int, t string")
+    assert encode(one, {"t": "sparse"}).df.columns == ["id"] and encode(one.limit(0), {"t": "sparse"}).df.columns == ["id"]
+    numbers = encode(spark.range(30).selectExpr("id", "id % 12 as n"), {"n": "sparse"}).df
+    assert {r["id"] % 12: list(r["n_onehot"].indices) for r in numbers.collect()} == {k: [k - 1] if k else [] for k in range(12)}
+
+
+def test_a_hundred_thousand_values(spark):
+    """Nothing but the number of values reaches the driver; a column each is refused."""
+    df = spark.range(120_000).selectExpr("id", "concat('v', lpad(string(id % 100000), 6, '0')) as t")
+    with pytest.raises(ValueError, match="too many for a column each"):
+        encode(df, {"t": "onehot"})
+    out = encode(df, {"t": "sparse"}).df
+    picked = {r["id"]: r["t_onehot"] for r in out.where("id in (0, 1, 99999, 100001)").collect()}
+    assert all(v.size == 99_999 for v in picked.values())
+    assert {k: v.indices.tolist() for k, v in picked.items()} == {0: [], 1: [0], 99_999: [99_998], 100_001: [0]}
+
+
 def test_frequency_and_target_like_pandas(spark, rows):
     pandas = shirts(spark).toPandas().sort_values("id", ignore_index=True)
     shares = pandas["size"].map(pandas["size"].value_counts(normalize=True)).tolist()
