@@ -1,9 +1,10 @@
 """Fills that follow the row order, without sorting the table in one task.
 
-One range shuffle deals the rows by their order key, and the result is written once with the number of each row's range.
-Each range is sorted and filled by itself; what crosses a range border (the last value before it, the first one after
-it, the number of rows before it) is found by one small aggregate per range and joined to the rows. There are as many
-ranges as Spark makes of the shuffle, so their size is that of any other partition.
+One range shuffle deals the rows by their order key. Each range is sorted once, and the result is written with the place
+of each row: its range and how many rows of the range come before it. Rows of equal keys are neighbours in that order, so
+they are counted in the same pass. What crosses a range border (the last value before it, the first one after it, the
+number of rows before it) is found by one small aggregate per range. There are as many ranges as Spark makes of the
+shuffle, so their size is that of any other partition.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from burnish.functions.columns import c
 from burnish.session import cut
 
 FILLS = ("ffill", "bfill", "interpolate")
-RANGE, PLACE, START = "__range", "__place", "__start"
+RANGE, PLACE, START, SAME = "__range", "__place", "__start", "__same"
 
 
 def order_keys(order_by: str | Sequence[str]) -> list[str]:
@@ -25,23 +26,26 @@ def order_keys(order_by: str | Sequence[str]) -> list[str]:
 
 
 def with_ranges(df: DataFrame, order_by: str | Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Add the range number of each row, and refuse an order that has gaps or ties.
+    """Add the range of each row, its place there, from 0, and how many rows share its key.
 
-    Rows of equal keys always fall into one range. The numbers are written with the rows, so a repeated task sees the
-    same ranges. Ties are counted over all rows, whatever the number of rows or ranges.
+    Rows of equal keys always fall into one range, so counting them needs no other shuffle than the one by range, and
+    the sort that it needs is the order itself. The numbers are written with the rows, so a repeated task sees the same.
     """
-    keys = [c(n) for n in order_keys(order_by)]
+    placed = cut(_dealt(df, [c(n) for n in order_keys(order_by)], ranges).withColumn(PLACE, F.monotonically_increasing_id()))
+    # monotonically_increasing_id() is the number of the part times 2^33, plus the place of the row in it.
+    part, within = F.shiftright(PLACE, 33).cast("int"), F.col(PLACE).bitwiseAND(F.lit(2**33 - 1))
+    return placed.withColumn(RANGE, part).withColumn(PLACE, within)
+
+
+def _dealt(df: DataFrame, keys: Sequence[Column], ranges: int | None) -> DataFrame:
+    """Rows in ranges, in order, with the number of rows that share their key."""
     dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
-    ranged = cut(dealt.withColumn(RANGE, F.spark_partition_id()))
-    gap = F.lit(False)
-    for key in keys:
-        gap = gap | key.isNull()
-    groups = ranged.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(gap).alias("__gap"))
-    facts = groups.agg(
-        F.sum(F.when(F.col("__gap"), F.col("__n"))).alias("gaps"),
-        F.sum("__n").alias("rows"),
-        F.max(F.when(~F.col("__gap"), F.col("__n"))).alias("most"),
-    ).first()
+    return dealt.withColumn(SAME, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def _checked(edges: DataFrame, order_by: str | Sequence[str]) -> None:
+    """Refuse an order that has gaps or ties, at any number of rows or ranges."""
+    facts = edges.agg(F.sum("__gaps").alias("gaps"), F.sum("__rows").alias("rows"), F.max("__most").alias("most")).first()
     if facts["gaps"]:
         raise ValueError(f"order_by must be filled in every row: {facts['gaps']} values of {order_by} are missing")
     if (facts["most"] or 0) > 1:
@@ -49,13 +53,12 @@ def with_ranges(df: DataFrame, order_by: str | Sequence[str], ranges: int | None
             f"order_by must tell rows apart: {facts['most']} of {facts['rows']} rows share one value of {order_by};"
             " name further columns to break the tie"
         )
-    return ranged
 
 
 def ordered_fill(
     df: DataFrame, fills: Mapping[str, str], order_by: str | Sequence[str], ranges: int | None = None
 ) -> DataFrame:
-    """Fill several columns in one pass over the order: one shuffle by range, then sorts within the ranges.
+    """Fill several columns in one pass over the order: one shuffle by range, then the ranges by themselves.
 
     ``order_by`` is a column of any type that can be sorted, or several, the first one first. Together they have to be
     filled and to tell rows apart.
@@ -63,15 +66,14 @@ def ordered_fill(
     for how in fills.values():
         if how not in FILLS:
             raise ValueError(f"unknown ordered fill: {how}")
-    placed = "interpolate" in fills.values()
     ranged = with_ranges(df, order_by, ranges)
-    keys = [c(n) for n in order_keys(order_by)]
-    key = keys[0] if len(keys) == 1 else F.struct(*keys)
-    up = Window.partitionBy(RANGE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(RANGE).orderBy(*[k.desc() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
+    # One row per range; as it is written, Spark knows its size and how to join it.
+    edges = cut(_edges(ranged, fills, [c(n) for n in order_keys(order_by)]))
+    _checked(edges, order_by)
+    up = Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(RANGE).orderBy(F.desc(PLACE)).rowsBetween(Window.unboundedPreceding, 0)
 
     # Within the ranges; what comes from other ranges is joined afterwards, so that it is not shuffled.
-    rows = ranged.withColumn(PLACE, F.row_number().over(up)) if placed else ranged
     inside: dict[str, Column] = {}
     for i, (name, how) in enumerate(fills.items()):
         value = c(name)
@@ -81,7 +83,7 @@ def ordered_fill(
             inside[f"__earlier{i}"] = F.last(value, True).over(up)
         if how != "ffill":
             inside[f"__later{i}"] = F.last(value, True).over(down)
-    rows = rows.withColumns(inside).join(F.broadcast(_handed_over(ranged, fills, key)), RANGE, "left")
+    rows = ranged.withColumns(inside).join(_handed_over(edges, fills), RANGE, "left")
 
     filled: dict[str, Column] = {}
     for i, (name, how) in enumerate(fills.items()):
@@ -117,35 +119,33 @@ def _on_line(place: Column, earlier: Column, later: Column) -> Column:
     )
 
 
-def _handed_over(ranged: DataFrame, fills: Mapping[str, str], key: Column) -> DataFrame:
-    """Per range: rows before it, the last value before it and the first value after it. One row per range."""
-    fillings = list(enumerate(fills.items()))
-    present = {name: F.when(c(name).isNotNull(), key) for name in fills}
-    lines = [(i, name) for i, (name, how) in fillings if how == "interpolate"]
-    if lines:
-        # A value's place in its range is the number of rows up to it: counted, not sorted for.
-        ends = ranged.groupBy(RANGE).agg(
-            *[F.min(present[n]).alias(f"__low{i}") for i, n in lines],
-            *[F.max(present[n]).alias(f"__high{i}") for i, n in lines],
-        )
-        ranged = ranged.join(F.broadcast(ends), RANGE, "left")
-    aggs = [F.count("*").alias("__rows")]
-    for i, (name, how) in fillings:
-        first, last = F.min_by(c(name), present[name]), F.max_by(c(name), present[name])
-        if how == "interpolate":
-            first = F.when(first.isNotNull(), _point(F.count_if(key <= F.col(f"__low{i}")), first))
-            last = F.when(last.isNotNull(), _point(F.count_if(key <= F.col(f"__high{i}")), last))
-        aggs += [first.alias(f"__first{i}"), last.alias(f"__last{i}")]
-    edges = ranged.groupBy(RANGE).agg(*aggs)
+def _edges(ranged: DataFrame, fills: Mapping[str, str], keys: Sequence[Column]) -> DataFrame:
+    """Per range: its rows, those without a key, the most that share one, and the first and last value of each column."""
+    gap = F.lit(False)
+    for key in keys:
+        gap = gap | key.isNull()
+    aggs = [F.count("*").alias("__rows"), F.count_if(gap).alias("__gaps"), F.max(F.when(~gap, F.col(SAME))).alias("__most")]
+    for i, (name, how) in enumerate(fills.items()):
+        value = c(name).cast("double") if how == "interpolate" else c(name)
+        present = F.when(c(name).isNotNull(), F.col(PLACE))
+        aggs += [F.min(present).alias(f"__low{i}"), F.min_by(value, present).alias(f"__first{i}")]
+        aggs += [F.max(present).alias(f"__high{i}"), F.max_by(value, present).alias(f"__last{i}")]
+    return ranged.groupBy(RANGE).agg(*aggs)
+
 
+def _handed_over(edges: DataFrame, fills: Mapping[str, str]) -> DataFrame:
+    """Per range: rows before it, the last value before it and the first value after it. One row per range."""
     before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn(START, F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-    for i, _ in lines:
-        edges = edges.withColumns({side: _moved(side) for side in (f"__first{i}", f"__last{i}")})
+    for i, how in enumerate(fills.values()):
+        if how == "interpolate":
+            for side, place in ((f"__first{i}", f"__low{i}"), (f"__last{i}", f"__high{i}")):
+                point = _point(F.col(START) + F.col(place), F.col(side))
+                edges = edges.withColumn(side, F.when(F.col(place).isNotNull(), point))
     return edges.select(
         RANGE,
         START,
-        *[F.last(f"__last{i}", True).over(before).alias(f"__before{i}") for i, _ in fillings],
-        *[F.last(f"__first{i}", True).over(after).alias(f"__after{i}") for i, _ in fillings],
+        *[F.last(f"__last{i}", True).over(before).alias(f"__before{i}") for i in range(len(fills))],
+        *[F.last(f"__first{i}", True).over(after).alias(f"__after{i}") for i in range(len(fills))],
     )

@@ -4,6 +4,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from burnish.operators import ordered
 from burnish.operators.ordered import ordered_fill
 
 HOW = {"ffill": lambda s: s.ffill(), "bfill": lambda s: s.bfill(), "interpolate": lambda s: s.interpolate("linear")}
@@ -71,9 +74,16 @@ def test_a_missing_key_is_refused(spark):
         ordered_fill(df, {"v": "ffill"}, "id")
 
 
-def test_edges_of_ranges_are_hashed_not_sorted(spark, plan_of):
-    df = spark.range(5_000).selectExpr("id", "case when id % 3 = 0 then cast(id as double) end as v")
-    assert "SortAggregate" not in plan_of(ordered_fill(df, {"v": "interpolate"}, "id", 8))
+def test_ties_are_counted_in_the_pass_that_sorts(spark, plan_of):
+    df = spark.range(5_000).selectExpr("id", "id % 7 as k", "case when id % 3 = 0 then cast(id as double) end as v")
+    text = plan_of(ordered._dealt(df, [F.col("id"), F.col("k")], 8))
+    assert text[: text.index("Initial Plan")].count("Exchange") == 1 and "rangepartitioning" in text
+    assert text[: text.index("Initial Plan")].count("Sort [") == 1
+    ranged = ordered.with_ranges(df, "id", 8)
+    edges = plan_of(ordered._edges(ranged, {"v": "interpolate"}, [F.col("id")]))
+    assert "SortAggregate" not in edges and "hashpartitioning(__range" in edges
+    places = ranged.groupBy("__range").agg(F.count("*").alias("n"), F.max("__place").alias("last"), F.max("__same").alias("same")).collect()
+    assert len(places) == 8 and all(r["last"] == r["n"] - 1 and r["same"] == 1 for r in places)
 
 
 def test_no_task_sorts_the_whole_table(spark, plan_of):
