@@ -8,9 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.session import cut
-
-FAN_IN = 32  # parts of one key that one task merges
+FAN_IN = 64  # parts of one key that one task merges
+LEVELS = 3  # the last one merges what is left: 250 parts for each key, of a million tasks
 
 
 def merged_by_tree(
@@ -19,11 +18,9 @@ def merged_by_tree(
     """Merge rows (grp, keys..., values...), where ``grp`` is the number of the task that made them.
 
     ``merge`` gets the rows of ``fan_in`` groups for one key, with (grp, *keys) as its own key, and returns rows of the
-    same schema. What tasks have found is written once; with few tasks one level does.
+    same schema. All levels are one job, and only parts are shuffled.
     """
-    found = cut(parts)
-    last = found.agg(F.coalesce(F.max("grp"), F.lit(0))).first()[0]
-    while last > 0:
-        last //= fan_in
-        found = found.withColumn("grp", F.floor(F.col("grp") / fan_in)).groupBy("grp", *keys).applyInArrow(merge, ddl)
-    return found.drop("grp")
+    for level in range(LEVELS):
+        above = F.floor(F.col("grp") / fan_in) if level < LEVELS - 1 else F.lit(0).cast("long")
+        parts = parts.withColumn("grp", above).groupBy("grp", *keys).applyInArrow(merge, ddl)
+    return parts.drop("grp")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -42,7 +42,8 @@ def prepare(df: DataFrame, plan: Plan, metrics: bool = False, materialize: bool
 
     Steps are collected as long as their fits do not depend on each other and are then fitted together, so the table
     is read once per such round, not once per step. The result stays lazy. ``materialize`` writes the table to the
-    shared checkpoint folder after deduplication, for when reading the source again costs more than writing it.
+    shared checkpoint folder after deduplication, for when reading the source again costs more than writing it, and
+    after steps that join or shuffle if a later fit and the checks, or the result, would each do that work again.
     ``metrics`` counts rows after every step that may change them, each a job of its own.
     """
     plan.check()
@@ -53,15 +54,17 @@ def prepare(df: DataFrame, plan: Plan, metrics: bool = False, materialize: bool
     names = list(df.columns)
     checks: list[Check] = []
 
-    def settle() -> None:
+    def settle(readings: int = 0) -> None:
         nonlocal df, names
         df = run(df, pending)
         names = list(df.columns)
+        if materialize and readings > 1 and any(s.transform for s in pending):
+            df = cut(df)
         pending.clear()
 
-    for kind in plan.order:
+    for at, kind in enumerate(plan.order):
         if kind in ("duplicates", "scale", "validate") or any(s.opens_columns for s in pending):
-            settle()
+            settle(_readings(plan, plan.order[at:]))
         if kind == "duplicates":
             df = _deduplicated(df, plan, notes, materialize)
             names = list(df.columns)
@@ -76,6 +79,12 @@ def prepare(df: DataFrame, plan: Plan, metrics: bool = False, materialize: bool
     return Prepared(df, tuple(notes), tuple(checks))
 
 
+def _readings(plan: Plan, kinds: Sequence[str]) -> int:
+    """How often the table is read from here on, at least: by fits of scaling, by checks, and for the result."""
+    fitted = [how for how in plan.scale.values() if how not in ("log", "none")]
+    return 1 + ("scale" in kinds and bool(fitted)) + ("validate" in kinds and bool(plan.checks))
+
+
 def _deduplicated(df: DataFrame, plan: Plan, notes: list[Note], materialize: bool) -> DataFrame:
     if plan.duplicates in (None, "keep"):
         return df
