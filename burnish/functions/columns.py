@@ -144,7 +144,7 @@ def date_mask(name: str) -> Column:
     text = "`" + name.replace("`", "``") + "`"
     timed = f"get(transform(array(regexp_replace(t, r'{CLOCK_SHAPE}', '')), d -> {_shape_bit('d')}), 0)"
     return F.expr(f"""coalesce(get(transform(array(trim({text})), t -> case
-        when t rlike r'{DATE_SHAPES[0][0]}' then 1 when not t rlike r'[0-9]' or length(t) > {LONGEST_DATE} then 0
+        when t is null then 0 when t rlike r'{DATE_SHAPES[0][0]}' then 1 when not t rlike r'[0-9]' or length(t) > {LONGEST_DATE} then 0
         when not t rlike r'{CLOCK_SHAPE}' then {_shape_bit('t')}
         else get(transform(array({timed}), b -> if(b > 0, b + {CLOCK}, 0)), 0) end), 0), 0)""")
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from burnish import add_features, date_features, repair_types, text_features
+from burnish.functions.columns import CLOCK, EITHER, date_mask
 from burnish.functions.formula import column_of
 from burnish.operators.dates import parse_dates, unparsed_dates
 from burnish.operators.features import feature_report
@@ -73,6 +74,12 @@ def test_how_dates_are_written_is_found_in_the_column(spark, texts, days):
     assert known or set(since.values()) == {None}
 
 
+def test_missing_texts_have_no_shape(spark):
+    df = spark.createDataFrame([("2024-01-05", None), (None, None), ("1/2/2024 10:00", "x")], "`a``b` string, t string")
+    masks = [tuple(r) for r in df.select(date_mask("a`b"), date_mask("t")).collect()]
+    assert masks == [(1, 0), (0, 0), (CLOCK + EITHER, 0)]
+
+
 def test_only_shapes_that_occur_are_tried(spark, plan_of):
     df = spark.createDataFrame([("2024-01-05",), ("no date",)], "d string")
     text = plan_of(parse_dates(df, ["d"]))
