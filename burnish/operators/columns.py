@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -22,10 +22,14 @@ def drop_columns(df: DataFrame, columns: str | Sequence[str]) -> Outcome:
     return Outcome(df.drop(*[n for n in wanted if n in df.columns]), tuple(notes))
 
 
-def drop_steps(names: Sequence[str], columns: str | Sequence[str]) -> tuple[list[Step], list[Note]]:
+def drop_steps(
+    names: Sequence[str], columns: str | Sequence[str], reasons: Mapping[str, str] | None = None
+) -> tuple[list[Step], list[Note]]:
     wanted = split_names(columns)
-    return [Step(drops=(n,)) for n in wanted if n in names], drop_notes(names, wanted)
+    return [Step(drops=(n,)) for n in wanted if n in names], drop_notes(names, wanted, reasons or {})
 
 
-def drop_notes(names: Sequence[str], wanted: Sequence[str]) -> list[Note]:
-    return [Note("drop", n, "done" if n in names else "skipped", "" if n in names else "column not found") for n in wanted]
+def drop_notes(names: Sequence[str], wanted: Sequence[str], reasons: Mapping[str, str] | None = None) -> list[Note]:
+    """What became of each column, with the reason for dropping it if one is known."""
+    why = reasons or {}
+    return [Note("drop", n, "done", why.get(n, "")) if n in names else Note("drop", n, "skipped", "column not found") for n in wanted]

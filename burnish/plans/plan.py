@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from burnish.plans.texts import from_texts
+
 STEPS = ("drop", "duplicates", "types", "missing", "dates", "text", "outliers", "encode", "features", "scale", "validate")
 
 # Words a plan may use for a strategy that the operators call otherwise.
@@ -26,6 +28,7 @@ class Plan:
     summary: str = ""
     target: str | None = None
     drop: Sequence[str] = ()
+    reasons: Mapping[str, str] = field(default_factory=dict)  # by dropped column, for the notes
     duplicates: str | None = None
     duplicate_key: str | Sequence[str] = "all"
     types: Mapping[str, str] = field(default_factory=dict)
@@ -44,11 +47,15 @@ class Plan:
 
     @classmethod
     def from_dict(cls, config: Mapping[str, object]) -> Plan:
-        """Read a plan, translating its words; a plan that scales or encodes its target raises before any job."""
-        unknown = set(config) - set(cls.__dataclass_fields__)
+        """Read a plan, translating its words; a plan that scales or encodes its target raises before any job.
+
+        Parts may be texts, ``"col:strategy,col:strategy"``, under their own names or those of a plan record: ``all:method``
+        scales every numeric column, columns to drop may have a reason, ``col:reason``, and checks a value, ``min_rows:10``.
+        """
+        values = from_texts(config)
+        unknown = set(values) - set(cls.__dataclass_fields__)
         if unknown:
             raise ValueError(f"unknown plan fields: {sorted(unknown)}")
-        values = dict(config)
         if values.get("target") in ("none", ""):
             values["target"] = None
         moved_drops, moved_features = [], {}
@@ -61,6 +68,8 @@ class Plan:
             for name, strategy in dict(values.get(kind, {})).items():
                 if strategy == "drop":
                     moved_drops.append(name)
+                elif strategy in ("keep", "none"):
+                    continue
                 elif strategy == "length_feature":
                     moved_features[f"{name}_length"] = f"str_len:{name}"
                 elif kind == "text" and strategy == "word_count":

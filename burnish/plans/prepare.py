@@ -95,7 +95,7 @@ def _deduplicated(df: DataFrame, plan: Plan, notes: list[Note], materialize: boo
 
 def _steps(df: DataFrame, names: list[str], plan: Plan, kind: str, late: list[Note]) -> tuple[list[Step], list[Note]]:
     if kind == "drop":
-        return drop_steps(names, plan.drop)
+        return drop_steps(names, plan.drop, plan.reasons)
     if kind == "types":
         return type_steps(df, names, plan.types, late)
     if kind == "missing":

@@ -90,6 +90,30 @@ def end_to_end_checks(spark, sf_dir):
     return results_frame(prepared.df, prepared.checks)
 
 
+RECORD = {
+    "plan_summary": PLAN["summary"],
+    "target_column": "o_totalprice",
+    "columns_to_drop": "o_orderstatus:known only after the order, when it is too late",
+    "missing_value_strategy": "o_totalprice:drop_rows,balance_text:fill_median,o_orderpriority:fill_mode",
+    "encoding_strategy": "o_orderpriority:label_encode,c_mktsegment:frequency_encode",
+    "scaling_strategy": "balance_text:standard,per_letter:minmax",
+    "outlier_strategy": "balance_text:clip_iqr:0.5",
+    "feature_engineering": "per_letter:ratio:balance_text,c_name_length,rich:threshold_above:balance_text,5000",
+    "text_processing": "c_name:length_and_words",
+    "datetime_processing": "date_text:year,month,dayofweek,is_weekend",
+    "duplicate_strategy": "drop_keep_first",
+    "final_validation_checks": "min_rows:10,target_column:o_totalprice,numeric_only,no_infinite",
+    "step_by_step_order": "drop_columns,drop_duplicates,fix_types,handle_missing,datetime,text,outliers,encode,feature_engineering,scaling,validation",
+}
+
+
+@query("g1_plan_of_texts", PLAN_SQL)
+def plan_of_texts(spark, sf_dir):
+    """The same plan as a record of texts."""
+    plan = Plan.from_dict({**RECORD, "duplicate_key": "o_orderkey", "types": "balance_text:float", "order_by": "o_orderkey"})
+    return rounded(prepare(raw_orders(spark, sf_dir), plan, materialize=True).df, MEASURES)
+
+
 def metrics_sql() -> str:
     widths = [
         ("drop", "a", 8, "a", 7), ("duplicates", "a", 7, "k", 7), ("types", "k", 7, "k", 7), ("missing", "k", 7, "c", 7),

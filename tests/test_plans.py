@@ -87,3 +87,36 @@ def test_custom_steps(spark, rows):
 
     out = rows(custom_batches(parcels(spark).select("id", "load"), double, "id int, load double"))
     assert out["load"].tolist()[:1] == [40.0]
+
+
+def test_plans_of_texts():
+    texts = {
+        "plan_summary": "a, b: c", "target_column": "none", "columns_to_drop": "id:a key, no feature,note:free text",
+        "missing_value_strategy": "load:fill_median,depot:fill_custom:x, y,lane:drop", "encoding_strategy": "size:ordinal_encode:S,M,L,depot:onehot_encode",
+        "scaling_strategy": "all:minmax", "outlier_strategy": "load:winsorize:5,95,toll:keep", "feature_engineering": "rate:ratio:load,toll,sum:formula:load + toll",
+        "text_processing": "memo:tfidf,label:word_count", "datetime_processing": "day:year,time_since", "duplicate_strategy": "drop_keep_last",
+        "final_validation_checks": "no_nulls,min_rows:10,max_null_pct:2.5,target_column:load", "step_by_step_order": "drop_columns,handle_missing,encode,validate",
+    }
+    plan = Plan.from_dict(texts)
+    assert plan.target is None and plan.drop == ["id", "note", "lane"]
+    assert plan.reasons == {"id": "a key, no feature", "note": "free text"}
+    assert plan.missing == {"load": "fill_median", "depot": "fill_custom:x, y"}
+    assert plan.encode == {"size": "ordinal:S,M,L", "depot": "onehot"} and plan.scale == {"__all_numeric__": "minmax"}
+    assert plan.outliers == {"load": "winsorize:5,95"} and plan.duplicates == "keep_last"
+    assert plan.features == {"label_word_count": "word_count:label", "rate": "ratio:load,toll", "sum": "formula:load + toll"}
+    assert plan.text == {"memo": "tfidf:50"} and plan.dates == {"day": "year,days_since_earliest"}
+    assert plan.checks == {"no_nulls": True, "min_rows": 10, "max_null_pct": 2.5, "target_column": "load"}
+    assert plan.order == ["drop", "missing", "encode", "validate"]
+    empty = Plan.from_dict({"columns_to_drop": "none", "scaling_strategy": "", "duplicate_strategy": "keep", "step_by_step_order": ""})
+    assert empty.drop == [] and empty.scale == {} and empty.order == Plan().order
+    assert Plan.from_dict({"columns_to_drop": "a, b"}).drop == ["a", "b"]
+    for wrong in ({"step_by_step_order": "drop,bake"}, {"drop": ["a"], "columns_to_drop": "b"}, {"colour": "x:y"}):
+        with pytest.raises(ValueError):
+            Plan.from_dict(wrong)
+
+
+def test_reasons_are_noted(spark):
+    done = prepare(parcels(spark), Plan.from_dict({"drop": "note:free text,gone", "order": "drop"}))
+    assert [(n.column, n.status, n.detail) for n in done.notes] == [("note", "done", "free text,gone")]
+    done = prepare(parcels(spark), Plan.from_dict({"drop": "gone,note:free text", "order": "drop"}))
+    assert [(n.column, n.status, n.detail) for n in done.notes] == [("gone", "skipped", "column not found"), ("note", "done", "free text")]
