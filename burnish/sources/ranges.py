@@ -156,9 +156,10 @@ class DelimitedLines:
 Kind = JsonObjects | DelimitedLines
 
 
-def pieces(spark: SparkSession, paths: str | list[str], kind: Kind) -> DataFrame:
+def pieces(spark: SparkSession, paths: str | list[str], kind: Kind, names: str = "*") -> DataFrame:
     """(file, block, size, value): a file's text between separators, with the byte its range starts from."""
-    raw = spark.read.option("lineSep", kind.separator).option("recursiveFileLookup", True).text(paths)
+    reader = spark.read.options(lineSep=kind.separator, recursiveFileLookup=True, pathGlobFilter=names)
+    raw = reader.text(paths)
     return raw.select(
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -343,8 +344,8 @@ class Ranges:
         return whole.unionByName(joined.select("file", "first", value.alias("value")).where(F.trim("value") != ""))
 
 
-def scan(spark: SparkSession, paths: str | list[str], kind: Kind) -> Ranges:
-    """The first pass. Its result is one row for each range."""
-    found = pieces(spark, paths, kind)
+def scan(spark: SparkSession, paths: str | list[str], kind: Kind, names: str = "*") -> Ranges:
+    """The first pass, over the files whose names fit a pattern. Its result is one row for each range."""
+    found = pieces(spark, paths, kind, names)
     summaries = found.mapInArrow(summarise(kind), SUMMARY_DDL)
     return Ranges(found, cut(summaries.groupBy("file").applyInArrow(compose, STARTS)), kind)

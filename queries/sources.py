@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from burnish.session import scratch_path
 from burnish.sources.catalog import file_catalog, preview, preview_summary
+from burnish.sources.folder import scan_columns, scan_folder
 from burnish.sources.readers import read_csv, read_json_array, read_json_lines, read_parquet, read_text, read_tsv, text_preview
 from burnish.sources.sinks import write_csv, write_output
 from queries.registry import per_column, query, table, view
@@ -126,6 +127,44 @@ def catalog(spark, sf_dir):
     return file_catalog(spark, sf_dir)
 
 
+def scanned_tables(spark, sf_dir) -> str:
+    """A folder with tables in four formats, one file each."""
+    path = scratch_path(spark, "folder")
+    gaps = view(spark, sf_dir, "orders_gaps").select(*ORDER_PLAIN)
+    write_csv(gaps.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey"), f"{path}/csv")
+    nations = table(spark, sf_dir, "nation").repartitionByRange(1, "n_nationkey").sortWithinPartitions("n_nationkey")
+    nations.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("n_name")).write.option(
+        "ignoreNullFields", False
+    ).json(f"{path}/json-written")
+    supplier = table(spark, sf_dir, "supplier").repartitionByRange(1, "s_suppkey").sortWithinPartitions("s_suppkey")
+    supplier.write.parquet(f"{path}/parquet")
+    regions = table(spark, sf_dir, "region").repartitionByRange(1, "r_regionkey").sortWithinPartitions("r_regionkey")
+    regions.select("r_name").write.text(f"{path}/txt")
+    return path
+
+
+@query(
+    "s7_folder_scan",
+    """
+    with few as (select * from $orders_gaps order by o_orderkey limit 5), first_nations as (select * from nation order by n_nationkey limit 5),
+    files("type", "rows") as (values ('csv', (select count(*) from orders)), ('json', (select count(*) from nation)),
+        ('parquet', (select count(*) from supplier)), ('txt', (select count(*) from region))),
+    listed("type", "column", missing) as (
+        values ('csv', 'o_orderkey', 0), ('csv', 'o_custkey', 0), ('csv', 'o_orderstatus', 0),
+            ('csv', 'o_totalprice', (select count(*) from few where o_totalprice is null)),
+            ('csv', 'o_orderpriority', (select count(*) from few where o_orderpriority is null)),
+            ('json', 'n_nationkey', 0), ('json', 'n_name', (select count(*) from first_nations where n_nationkey % 2 = 1)),
+            ('parquet', 's_suppkey', 0), ('parquet', 's_name', 0), ('parquet', 's_nationkey', 0), ('parquet', 's_acctbal', 0))
+    select "type", "rows", "column", cast(missing as bigint) as missing from files left join listed using ("type")
+    """,
+)
+def folder_scan(spark, sf_dir):
+    """Rows and columns of files in several formats, from one scan of their folder."""
+    scanned = scan_folder(spark, scanned_tables(spark, sf_dir))
+    columns = scan_columns(scanned).drop("position")
+    return scanned.select("path", "type", "rows").join(columns, "path", "left").drop("path")
+
+
 @query("s8_preview", "select * from orders order by o_orderkey limit 5")
 def first_rows(spark, sf_dir):
     return preview(table(spark, sf_dir, "orders"), "o_orderkey")

@@ -12,6 +12,7 @@ from burnish.operators import gram
 from burnish.operators import profile as p
 from burnish.operators.validate import quality_gate, validate
 from burnish.sources.catalog import file_catalog, preview_summary
+from burnish.sources.folder import scan_columns, scan_folder
 from burnish.sources.readers import document_preview, odd_quotes, read_any, text_preview
 
 
@@ -207,6 +208,36 @@ def test_catalog_and_preview(spark, tmp_path):
     assert (seen["n"]["nulls"], seen["x"]["nulls"], seen["x"]["rows"]) == (2, 0, 5)
 
 
+def test_folder_scan(spark, tmp_path):
+    for name in ("a", "b/c"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "a" / "x.csv").write_text('k,"t, u"\n1,NA\n2,"p, q"\n3\n')
+    (tmp_path / "a" / "y.TSV").write_text("k\tv\n" + "".join(f"{k}\t\n" for k in range(9)))
+    (tmp_path / "b" / "z.jsonl").write_text('{"a": 1, "b": null}\n{"a": 2, "c": "}"}\n')
+    (tmp_path / "b" / "list.json").write_text(json.dumps([{"a": k, "b": {"c": "}{"}} for k in range(300)], indent=1))
+    (tmp_path / "b" / "one.json").write_text(json.dumps({"k": "v" * 5_000}))
+    (tmp_path / "b" / "none.json").write_text("[]")
+    (tmp_path / "b" / "n.txt").write_text("".join(f"line {k}\n" for k in range(40)))
+    (tmp_path / "b" / "p.png").write_text("?")
+    for name in ("a", "b/c"):
+        spark.range(7 if name == "a" else 3).selectExpr("id", "if(id < 2, null, id) as v").coalesce(1).write.parquet(str(tmp_path / name / "w"))
+    scanned = scan_folder(spark, str(tmp_path))
+    found = {r["path"].split(str(tmp_path) + "/")[1]: r for r in scanned.collect()}
+    found = {k if "part-" not in k else k.rsplit("/", 1)[0]: r for k, r in found.items()}
+    got = {k: (r["type"], r["rows"], [tuple(x) for x in r["columns"]]) for k, r in found.items()}
+    assert got == {
+        "a/x.csv": ("csv", 3, [("k", 0), ("t, u", 2)]), "a/y.TSV": ("tsv", 9, [("k", 0), ("v", 5)]),
+        "b/z.jsonl": ("jsonl", 2, [("a", 0), ("b", 2), ("c", 1)]), "b/list.json": ("json", 300, [("a", 0), ("b", 0)]),
+        "b/one.json": ("json", 1, [("k", 0)]), "b/none.json": ("json", 0, []),
+        "b/n.txt": ("txt", 40, []), "a/w": ("parquet", 7, [("id", 0), ("v", 2)]), "b/c/w": ("parquet", 3, [("id", 0), ("v", 2)]),
+    }
+    assert found["b/n.txt"]["preview"] == "\n".join(f"line {k}" for k in range(5)) and len(found["b/one.json"]["preview"]) == 2_000
+    assert found["a/w"]["preview"].startswith('{"id":0}\n{"id":1}\n{"id":2,"v":2}') and found["a/x.csv"]["size_kb"] == 0.02
+    assert scan_columns(scanned).count() == 14
+    (tmp_path / "empty").mkdir()
+    assert scan_folder(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_output(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"\nc'), (2, None)], "id long, t string")
     assert burnish.write_output(df, str(tmp_path / "p")) == 2
