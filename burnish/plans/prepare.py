@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from burnish.operators.columns import drop_steps
 from burnish.operators.dates import date_steps
@@ -44,7 +45,7 @@ def prepare(df: DataFrame, plan: Plan, metrics: bool = False, materialize: bool
     is read once per such round, not once per step. The result stays lazy. ``materialize`` writes the table to the
     shared checkpoint folder after deduplication, for when reading the source again costs more than writing it, and
     after steps that join or shuffle if a later fit and the checks, or the result, would each do that work again.
-    ``metrics`` counts rows after every step that may change them, each a job of its own.
+    ``metrics`` counts rows after every step that may change them, within jobs that run anyway, and writes the result.
     """
     plan.check()
     if metrics:
@@ -123,11 +124,18 @@ def _names_after(names: list[str], steps: list[Step]) -> list[str]:
     return out
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The table, and the number of its rows once a job has run over it."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def _prepare_counted(df: DataFrame, plan: Plan, materialize: bool) -> Prepared:
+    """As ``prepare``, step by step. Rows are counted on the way, by the jobs that fit a later step or write the result."""
     notes: list[Note] = []
     lines: list[tuple] = []
     checks: list[Check] = []
-    rows = df.count()
+    df, rows = _counted(df)
     for kind in plan.order:
         before, width, seen = rows, len(df.columns), len(notes)
         may_lose = kind in ("duplicates", "missing", "outliers")
@@ -140,12 +148,16 @@ def _prepare_counted(df: DataFrame, plan: Plan, materialize: bool) -> Prepared:
             notes.extend(made)
             df = run(df, steps)
             may_lose = may_lose and any(s.changes_rows for s in steps)
-        rows = df.count() if may_lose else before
+        if may_lose:
+            df, rows = _counted(df)
         detail = "; ".join(f"{n.column}: {n.detail or n.status}" for n in notes[seen:])
         if kind == "validate":
             detail = "; ".join(f"{k.name}: {'passed' if k.passed else 'failed'}" for k in checks)
         lines.append((kind, before, width, rows, len(df.columns), detail))
-    return Prepared(df, tuple(notes), tuple(checks), local_frame(df.sparkSession, lines, METRICS))
+    # The last barrier: whatever no fit has counted yet is counted by this write.
+    df = cut(df)
+    told = [(kind, before.get["rows"], width, after.get["rows"], now, detail) for kind, before, width, after, now, detail in lines]
+    return Prepared(df, tuple(notes), tuple(checks), local_frame(df.sparkSession, told, METRICS))
 
 
 def custom_step(df: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -120,3 +120,14 @@ def test_reasons_are_noted(spark):
     assert [(n.column, n.status, n.detail) for n in done.notes] == [("note", "done", "free text,gone")]
     done = prepare(parcels(spark), Plan.from_dict({"drop": "gone,note:free text", "order": "drop"}))
     assert [(n.column, n.status, n.detail) for n in done.notes] == [("gone", "skipped", "column not found"), ("note", "done", "free text")]
+
+
+def test_metrics_count_within_other_jobs(spark, monkeypatch):
+    """No job is run for a count: rows are observed where fits and the last write pass over them."""
+    counts = []
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda self: counts.append(self) or 0)
+    config = {"missing": "load:drop_rows,depot:drop_rows", "outliers": {"load": "remove_iqr"}, "duplicates": "drop_keep_first", "order_by": "id"}
+    done = prepare(parcels(spark), Plan.from_dict({**config, "duplicate_key": "id"}), metrics=True)
+    lines = {r["step"]: (r["rows_before"], r["rows_after"]) for r in done.metrics.collect()}
+    assert not counts and lines["duplicates"] == (5, 4) and lines["missing"] == (4, 2) and lines["outliers"][0] == 2
+    assert len(done.df.collect()) == lines["validate"][1]
