@@ -8,6 +8,9 @@ starts.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,14 +24,23 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from burnish.llm.bpe import byte_letters
 from burnish.llm.common import fresh_path, keep
 
 HEAD, TAIL, ID = "<QI", "<I", "<Bq"
 HEAD_BYTES, TAIL_BYTES, ID_BYTES = (struct.calcsize(x) for x in (HEAD, TAIL, ID))
 #: Bytes of records that are handed to Spark, or written, at once.
 BATCH_BYTES = 4 << 20
-#: White-space separated pieces of text whose ids a Python worker remembers; then it starts afresh.
-REMEMBERED = 800_000
+#: Bytes of pieces, their ids and what holds them that a Python worker remembers before it starts afresh; it keeps the
+#: pieces from before that until then, so those that come again are not lost.
+REMEMBERED_BYTES = 96 << 20
+
+# Fixed value: the pattern by which a vocabulary of words with end marks cuts a text in lower case.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for printable ASCII, and a byte that no printable text holds, which stands for the end of a word.
+WORDS_OF = re.compile(WORD_PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+PRINTABLE = re.compile(rb"[!-~]+").fullmatch
+WORD_END = b"\0"
 
 
 def masked(data: bytes) -> int:
@@ -61,12 +73,17 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class PieceEncoder:
-    """A vocabulary file of the tokenizers library, for vocabularies whose tokens never reach across white space.
+    """Token ids of texts under a vocabulary file of the tokenizers library.
 
-    Each text is split at ASCII white space and every distinct piece goes through the library once, alone.
+    If the file is of the kind whose tokens never reach across white space (words cut by ``WORD_PATTERN``, lower case, with
+    a mark at each word's end), texts are split at ASCII white space and only pieces that the worker has not seen lately
+    are encoded: those of printable ASCII by merge ranks, all of a batch together, others by the library. A file of any other kind goes
+    through the library text by text.
     """
 
     def __init__(self, path: str) -> None:
+        # Spark runs a worker on each core; threads of the library would only wait for one another.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,19 +92,76 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 2**16 else 4
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+        with open(path, encoding="utf-8") as file:
+            self._prepare(json.load(file))
+
+    def _prepare(self, spec: dict) -> None:
+        model, splits = spec["model"], spec.get("pre_tokenizer") or {}
+        steps = [(x.get("type"), x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("use_regex")) for x in splits.get("pretokenizers", [])]
+        words = steps == [("Split", {"Regex": WORD_PATTERN}, "Removed", True, None), ("ByteLevel", None, None, None, False)]
+        normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        marks = spec.get("added_tokens", [])
+        plain = not any(t[k] for t in marks for k in ("single_word", "lstrip", "rstrip", "normalized")) and all("<|" in t["content"] for t in marks)
+        self.by_pieces = model["type"] == "BPE" and words and normal == ["NFC", "Replace", "Lowercase"] and plain
+        end, vocabulary, letters = model.get("end_of_word_suffix"), model["vocab"], byte_letters()
+        merges = [m.split(" ") if isinstance(m, str) else list(m) for m in model.get("merges", [])]
+        made = [vocabulary.get(a + b, -1) for a, b in merges]
+        self.ranked = None
+        if not (self.by_pieces and end and made == sorted(set(made)) and len(vocabulary) == 512 + len(made) and made[0] >= 512):
+            return
+        ranks = {}
+        for token, i in vocabulary.items():
+            inner = token.removesuffix(end)
+            ranks[bytes(letters[x] for x in inner) + WORD_END * (inner != token)] = i
+        import tiktoken
+
+        self.ends_word = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends_word[[i for token, i in ranks.items() if token.endswith(WORD_END)]] = True
+        self.ranked = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces, known = [text.split() for text in texts], self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for words in pieces for p in words if p not in known})
-        if new:
-            done = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            ids = [e.ids for e in done]
-            ends = (np.cumsum([len(x) for x in ids]) * self.width).tolist()
-            whole = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
-            known.update((p, whole[a:b]) for p, a, b in zip(new, [0, *ends], ends))
-        return [b"".join([known[p] for p in words]) for words in pieces]
+        if not self.by_pieces:
+            done = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, f"<u{self.width}").tobytes() for e in done]
+        pieces = [text.split() for text in texts]
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older = self.known, self.older
+        new = [p for p in set(chain.from_iterable(pieces)) if p not in known]
+        ready = {p: older[p] for p in new if p in older}
+        if len(ready) < len(new):
+            ready |= self._new([p for p in new if p not in ready])
+        known.update(ready)
+        self.held += sum(map(len, ready)) + sum(map(len, ready.values())) + 120 * len(ready)
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in pieces]
+
+    def _new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        if self.ranked is None:
+            return self._by_library(pieces)
+        plain, others = [], []
+        for p in pieces:
+            (plain if PRINTABLE(p) and b"<|" not in p else others).append(p)
+        out = self._by_library(others)
+        words = [WORDS_OF(p.lower().decode()) for p in plain]
+        if words:
+            ids = np.asarray(self.ranked.encode_to_numpy("\0".join(chain.from_iterable(words)) + "\0"))
+            # The last token of each word, and so of each piece.
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1)[np.cumsum([len(w) for w in words]) - 1]
+            cuts = (ends * self.width).tolist()
+            whole = ids.astype(f"<u{self.width}").tobytes()
+            out.update((p, whole[a:b]) for p, a, b in zip(plain, [0, *cuts], cuts))
+        return out
+
+    def _by_library(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        if not pieces:
+            return {}
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        ends = (np.cumsum([len(x) for x in ids]) * self.width).tolist()
+        whole = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
+        return {p: whole[a:b] for p, a, b in zip(pieces, [0, *ends], ends)}
 
 
 @lru_cache(maxsize=4)
