@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +19,10 @@ from pyspark.sql import functions as F
 # Fixed value: the pattern by which this kind of vocabulary splits text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words whose ids a Python worker remembers; when there are more it starts afresh. This bounds memory, not results.
-REMEMBERED = 500_000
+#: Words whose ids a Python worker remembers before it starts afresh; it keeps those from before until then. Only words of
+#: at most LONG characters are remembered, so that this bounds memory. Results do not depend on it.
+REMEMBERED = 300_000
+LONG = 200
 NEVER = 2**40
 #: Bytes by which the lengths to try are looked up, and the longest word whose pairs are searched without a queue.
 START = 3
@@ -32,6 +37,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def rank_encoder(spec: dict, pattern: str):
+    """An encoder by merge ranks that cuts texts by ``pattern``; None for a vocabulary whose ids do not stand in the order of
+    its merges, or that changes texts before or other than by that."""
+    model, letters = spec["model"], byte_letters()
+    marks = {t["content"]: t for t in spec.get("added_tokens", [])}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in marks}
+    splits = spec.get("pre_tokenizer") or {}
+    merges = [m.split(" ") if isinstance(m, str) else list(m) for m in model.get("merges", [])]
+    made = [vocabulary.get(a + b, -1) for a, b in merges]
+    fits = (
+        model.get("type") == "BPE"
+        and splits.get("type") == "ByteLevel"
+        and not splits.get("add_prefix_space")
+        and splits.get("use_regex", True)
+        and not spec.get("normalizer")
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and not any(m[k] for m in marks.values() for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        and made == sorted(set(made))
+        and len(vocabulary) == 256 + len(made)
+        and all(x in letters for token in vocabulary for x in token)
+    )
+    if not fits:
+        return None
+    import tiktoken
+
+    ranks = {bytes(letters[x] for x in token): i for token, i in vocabulary.items()}
+    special = {content: t["id"] for content, t in marks.items()}
+    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+
 class ByteBpe:
     """The tables of a vocabulary, and encoding with them.
 
@@ -67,12 +102,17 @@ class ByteBpe:
         for token in self.tokens:
             start = token[:START]
             self.longest[start] = max(self.longest.get(start, 0), len(token))
-        self.bytes_by_id = {int(self.ids[k]): as_bytes(x) for k, x in enumerate(texts)}
-        self.bytes_by_id |= {i: t.encode() for t, i in self.special.items()}
+        by_id = {int(self.ids[k]): as_bytes(x) for k, x in enumerate(texts)} | {i: t.encode() for t, i in self.special.items()}
+        self.table = np.frombuffer(b"".join(by_id.values()), np.uint8)
+        self.starts, self.lengths = np.zeros(max(by_id) + 1, np.int64), np.full(max(by_id) + 1, -1)
+        self.lengths[list(by_id)] = [len(x) for x in by_id.values()]
+        self.starts[list(by_id)] = np.cumsum(self.lengths[list(by_id)]) - self.lengths[list(by_id)]
         self.split = regex.compile(PATTERN)
+        self.ranked = rank_encoder(spec, r"[^\x00]+|\x00")  # words of any kind, a zero character between them
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _made_by(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What the merge of each pair makes; NEVER where the two do not merge."""
@@ -110,6 +150,15 @@ class ByteBpe:
             own[k] &= own[self.left[k]] and own[self.right[k]]
         return own
 
+    def exact_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are merged exactly: by merge ranks, all words in one text with a zero character between
+        them, where the vocabulary's ids stand in merge order; words with such a character go one by one."""
+        if self.ranked is None or any("\0" in w for w in words):
+            return [self.ids[self.exact(w.encode())].astype("<u4").tobytes() for w in words]
+        ids = np.asarray(self.ranked.encode_to_numpy("\0".join(words) + "\0", disallowed_special=()), "<u4")
+        cuts = np.flatnonzero(ids == self.ids[0]).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *(k + 1 for k in cuts)], cuts)]
+
     def propose(self, word: bytes) -> list[int]:
         """The longest token at each place."""
         out, at, tokens, longest = [], 0, self.tokens, self.longest
@@ -168,11 +217,14 @@ class ByteBpe:
         fails = at[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]]
         whole, cuts = self.ids[flat].astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
         out = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
-        for k in np.unique(np.searchsorted(ends, fails, side="right")):
-            out[k] = self.ids[self.exact(data[k])].astype("<u4").tobytes()
+        failed = np.unique(np.searchsorted(ends, fails, side="right")).tolist()
+        for k, ids in zip(failed, self.exact_ids([words[k] for k in failed])):
+            out[k] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         pieces: list[list[str]] = []
         for text in texts:
             if self.marks and "<" in text:
@@ -180,11 +232,16 @@ class ByteBpe:
                 pieces.append([x for k, p in enumerate(parts) for x in ([p] if k % 2 else self.split.findall(p))])
             else:
                 pieces.append(self.split.findall(text))
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        self._learn(list({w for words in pieces for w in words if w not in known}))
-        return [b"".join([known[w] for w in words]) for words in pieces]
+        known, older = self.known, self.older
+        new = [w for w in set(chain.from_iterable(pieces)) if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        self._learn([w for w in new if w not in known])
+        get = known.__getitem__
+        out = [b"".join(map(get, words)) for words in pieces]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
 
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if w not in self.special]
@@ -195,8 +252,33 @@ class ByteBpe:
                 self.known[w] = int(self.special[w]).to_bytes(4, "little")
 
     def decode(self, ids: bytes) -> str:
-        table = self.bytes_by_id
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        return self._bytes(np.frombuffer(ids, "<u4"))[0].tobytes().decode("utf-8", "replace")
+
+    def _bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of tokens, and where each token's end."""
+        lengths = self.lengths[ids]
+        if len(lengths) and lengths.min() < 0:
+            raise ValueError("an id that the vocabulary does not have")
+        ends = np.cumsum(lengths)
+        # Of each byte its place within its token, and from there its place in the table of all tokens' bytes.
+        from_table = np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.table[from_table + np.arange(len(from_table))], ends
+
+    def decode_cells(self, cells: list[bytes]) -> pa.Array:
+        """The texts of cells of ids, decoded together; bytes that are no UTF-8 become replacement characters."""
+        ids = np.frombuffer(b"".join(cells), "<u4")
+        data, ends = self._bytes(ids)
+        cuts = np.cumsum([0, *(len(x) // 4 for x in cells)])
+        offsets = np.r_[0, ends][cuts]
+        inner = offsets[:-1][offsets[:-1] < len(data)]
+        try:
+            # If all is UTF-8 and no text begins within a character, every text is.
+            if ((data[inner] & 0xC0) == 0x80).any():
+                raise ValueError
+            data.tobytes().decode("utf-8")
+        except ValueError:
+            return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in itertools.pairwise(offsets)], pa.string())
+        return pa.StringArray.from_buffers(len(cells), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
 
 
 @lru_cache(maxsize=4)
@@ -204,8 +286,18 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-#: Texts that are encoded together.
-TOGETHER = 64
+#: Bytes of texts that are encoded together; a longer text is encoded by itself.
+TOGETHER = 2 << 20
+
+
+def _together(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of cells of at most TOGETHER bytes, of which ``sizes`` has the sums; a larger cell by itself."""
+    low = 0
+    while low < len(sizes):
+        before = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, before + TOGETHER, "right")))
+        yield low, high
+        low = high
 
 
 def encode_column(text: Column, path: str) -> Column:
@@ -214,8 +306,9 @@ def encode_column(text: Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def encode(cells: pa.Array) -> pa.Array:
         bpe, out = vocabulary(path), []
-        for at in range(0, len(cells), TOGETHER):
-            out += bpe.encode([x or "" for x in cells.slice(at, TOGETHER).to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(cells), 0).to_numpy(zero_copy_only=False))
+        for low, high in _together(sizes):
+            out += bpe.encode([x or "" for x in cells.slice(low, high - low).to_pylist()])
         return pa.array(out, pa.binary())
 
     return encode(text)
@@ -226,8 +319,11 @@ def decode_column(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(cells: pa.Array) -> pa.Array:
-        bpe = vocabulary(path)
-        return pa.array((bpe.decode(x.as_py() or b"") for x in cells), pa.string())
+        bpe, parts = vocabulary(path), [pa.array([], pa.string())]
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(cells), 0).to_numpy(zero_copy_only=False))
+        for low, high in _together(sizes):
+            parts.append(bpe.decode_cells([x or b"" for x in cells.slice(low, high - low).to_pylist()]))
+        return pa.concat_arrays(parts)
 
     return decode(ids)
 

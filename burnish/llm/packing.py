@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.llm.bpe import PATTERN, byte_letters
+from burnish.llm.bpe import PATTERN, rank_encoder
 from burnish.llm.common import keep, unused
 
 #: Bins that stay open at once, and rows that a task looks at together, longest first. Looking further ahead than there are
@@ -83,37 +83,8 @@ class Ids:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ranked = self._ranked(path)
-
-    @staticmethod
-    def _ranked(path: str):
-        import tiktoken
-
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model, letters = spec["model"], byte_letters()
-        marks = {t["content"]: t for t in spec.get("added_tokens", [])}
-        vocabulary = {t: i for t, i in model["vocab"].items() if t not in marks}
-        splits = spec.get("pre_tokenizer") or {}
-        merges = [m.split(" ") if isinstance(m, str) else list(m) for m in model.get("merges", [])]
-        made = [vocabulary.get(a + b, -1) for a, b in merges]
-        fits = (
-            model.get("type") == "BPE"
-            and splits.get("type") == "ByteLevel"
-            and not splits.get("add_prefix_space")
-            and splits.get("use_regex", True)
-            and not spec.get("normalizer")
-            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
-            and not any(m[k] for m in marks.values() for k in ("single_word", "lstrip", "rstrip", "normalized"))
-            and made == sorted(set(made))
-            and len(vocabulary) == 256 + len(made)
-            and all(x in letters for token in vocabulary for x in token)
-        )
-        if not fits:
-            return None
-        ranks = {bytes(letters[x] for x in token): i for token, i in vocabulary.items()}
-        special = {content: t["id"] for content, t in marks.items()}
-        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self.ranked = rank_encoder(json.load(file), PATTERN)
 
     def encode(self, text: str) -> np.ndarray:
         if self.ranked is not None:

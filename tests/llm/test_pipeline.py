@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tests.llm.shared import documents, prose
+from tests.llm.shared import awkward, documents, prose
 from tests.llm.test_near import expected
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,3 +39,20 @@ def test_tokens_are_decoded_again(spark):
     rows = corpus_pipeline.tokens(spark, documents(spark, [(k, t, "a") for k, t in enumerate(texts)]), SMALL).collect()
     got = {r["doc_id"]: r["decoded_sha256"] for r in rows}
     assert got == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in enumerate(texts)}
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    """Rows without ids, texts or sources, empty and repeated ones, a very long one, and columns of clashing names."""
+    rows = awkward()
+    odd = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SMALL)
+        more = [] if name != "tokens" else ["ids", "decoded_sha256", "n_tokens"]
+        assert got.columns == [*odd.columns, *more], name
+        kept = [(r["doc_id"], r["text"], r["source"]) for r in got.collect()]
+        assert set(kept) <= set(rows), name
+        assert name not in ("exact", "near") or sum(t is None or not t.split() for _, t, _ in kept) >= 1
+        assert stage(spark, odd.limit(0), SMALL).count() == 0, name
+    exact = [r["doc_id"] for r in corpus_pipeline.exact(spark, odd, SMALL).collect()]
+    assert 9 not in exact and 5 in exact and exact.count(18) == 1 and exact.count(None) == 1 and sorted(exact, key=str).count(11) == 1
+    assert len(corpus_pipeline.tokens(spark, odd, SMALL).collect()) == len(rows)

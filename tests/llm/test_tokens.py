@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from burnish.llm import bpe, records
 from burnish.llm.bpe import ByteBpe, decode_documents, encode_documents
 from burnish.llm.records import PieceEncoder, framed, read_record, read_records, read_shuffled, write_records
 from tests.llm.shared import awkward, documents
@@ -33,6 +35,42 @@ def test_bpe_agrees_with_the_library(texts):
     assert [own.decode(x) for x in got] == [library.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_memory_of_words_is_bounded_and_changes_nothing(texts, monkeypatch):
+    library = Tokenizer.from_file(BYTES)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    own = ByteBpe(BYTES)
+    for text in [*texts[:80], "q" * 500, "q" * 500, "nul\0 and\0\0 nul"]:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.older and not any(len(w) > bpe.LONG for w in [*own.known, *own.older])
+    monkeypatch.setattr(records, "REMEMBERED_BYTES", 2_000)
+    library, pieces = Tokenizer.from_file(WORDS), PieceEncoder(WORDS)
+    for text in texts[:80]:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(pieces.encode([text.encode()])[0], f"<u{pieces.width}").tolist() == want
+    assert pieces.older
+
+
+def test_other_vocabularies_go_through_the_library(texts, tmp_path):
+    """One whose tokens may reach across white space is not cut there, and one without merge order is merged by its pairs."""
+    spec = json.loads(open(WORDS, encoding="utf-8").read())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"[^.]+|\."}
+    (tmp_path / "w.json").write_text(json.dumps(spec))
+    own, library = PieceEncoder(str(tmp_path / "w.json")), Tokenizer.from_file(str(tmp_path / "w.json"))
+    assert not own.by_pieces
+    some = ["two words. and  more", "", "x y"]
+    assert [np.frombuffer(x, f"<u{own.width}").tolist() for x in own.encode([t.encode() for t in some])] == [
+        library.encode(t, add_special_tokens=False).ids for t in some
+    ]
+    spec = json.loads(open(BYTES, encoding="utf-8").read())
+    vocabulary = spec["model"]["vocab"]
+    vocabulary["he"], vocabulary["in"] = vocabulary["in"], vocabulary["he"]
+    (tmp_path / "b.json").write_text(json.dumps(spec))
+    own, library = ByteBpe(str(tmp_path / "b.json")), Tokenizer.from_file(str(tmp_path / "b.json"))
+    assert own.ranked is None
+    want = [e.ids for e in library.encode_batch(texts[:60], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts[:60])] == want
+
+
 def test_speculation_and_exact_merging_agree():
     own = ByteBpe(BYTES)
     words = [w for k in range(200) for w in own.split.findall(wild(k))] + ["the", " understandable", "zzzzzzzz", "a" * 200]
