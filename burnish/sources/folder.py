@@ -111,13 +111,13 @@ def _line_files(spark: SparkSession, root: str, kind: Column, size: Column) -> D
 
 
 def _json_files(spark: SparkSession, root: str, kind: Column, size: Column) -> DataFrame:
-    names = _reader(spark, ["json"]).format("binaryFile").load(root).select(_file(), size)
+    names = _reader(spark, ["json"]).format("binaryFile").load(root).select(_file(), size, F.xxhash64(F.input_file_name()).alias("file"))
     ranges = scan(spark, root, JsonObjects(), _pattern(["json"]))
     records = ranges.records().groupBy("file").agg(F.count("*").alias("rows"))
     starts = ranges.pieces.where("block = 0").select(F.col("file").alias("path"), F.col("value").cast("string"), F.monotonically_increasing_id().alias("at"))
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"])
     first = _first(starts, FIRST_PIECES).groupBy(F.col("path").alias("file")).agg(pieces.alias("first"))
-    files = names.withColumn("file", F.xxhash64("path")).join(records, "file", "left").join(first, "file", "left")
+    files = names.join(records, "file", "left").join(first, "file", "left")
     files = files.withColumns({"type": kind, "first": F.coalesce("first", F.array().cast("array<string>"))})
     lines = F.split(F.concat(F.array_join("first", "}"), F.lit("}")), "\n")
     return files.select(

@@ -162,3 +162,24 @@ def test_single_objects_and_unreadable_ones(spark, tmp_path):
     assert sorted((tuple(r) for r in got), key=str) == [(1, "x"), (2, "y"), (None, None)]
     assert read_json_array(spark, str(tmp_path)).where("id is not null").count() == 2
     assert pieces(spark, str(tmp_path / "c.json"), JsonObjects()).count() == 1
+
+
+def test_records_are_cut_once(small_ranges, tmp_path):
+    """One pass gives whole records and fragments; later passes read what it wrote, not the lines."""
+    rows = [[str(k), "a\nb" * (k % 9), 'c",' * (k % 5), "\r\n"] for k in range(400)]
+    with open(tmp_path / "part.csv", "w", newline="") as file:
+        csv.writer(file).writerows(rows)
+    records = scan(small_ranges, str(tmp_path), DelimitedLines(",")).records()
+    plan = records._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+    assert sorted(next(csv.reader([r["value"]]))[0] for r in records.collect()) == sorted(r[0] for r in rows)
+
+
+@pytest.mark.parametrize("sep", [",", "||"])
+def test_quotes_in_a_row(sep):
+    """Whether lines end in quotes, by their cells and without pairs of quotes."""
+    draw, kind = random.Random(5), DelimitedLines(sep)
+    for _ in range(3000):
+        line = "".join(draw.choice(['"', '"', '""', sep, "a", "|"]) for _ in range(draw.randint(0, 12))).encode()
+        for quoted in (False, True):
+            assert kind._line(line, quoted) == kind._line_by_cells(line, quoted), (line, quoted)
