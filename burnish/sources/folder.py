@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions.columns import MISSING_TOKENS, c
-from burnish.sources.ranges import JsonObjects, scan
+from burnish.sources.ranges import JsonObjects, first_lines, leading, scan
 
 FIRST_ROWS = 5
 FIRST_PIECES = 100  # stretches up to a closing brace, among which the first objects of a JSON file are looked for
@@ -32,10 +32,9 @@ def _file() -> Column:
     return F.col("_metadata.file_path").alias("path")
 
 
-def _first(rows: DataFrame, n: int) -> DataFrame:
-    """The first rows of each file in the order of the file; tasks offer no more than ``n`` of a file."""
-    order = Window.partitionBy("path").orderBy("at")
-    return rows.withColumn("line", F.row_number().over(order)).where(F.col("line") <= n)
+def _in_order() -> Column:
+    """The values of a file's first rows, by line."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"])
 
 
 def columns_of_lines(kind: str, lines: Sequence[str]) -> list[tuple[str, int]]:
@@ -93,11 +92,10 @@ def _reader(spark: SparkSession, kinds: Sequence[str]):
 
 def _line_files(spark: SparkSession, root: str, kind: Column, size: Column) -> DataFrame:
     raw = _reader(spark, LINES).text(root)
-    counted = raw.select(_file(), size).groupBy("path", "size_kb").agg(F.count("*").alias("lines"))
-    starts = raw.where(F.col("_metadata.file_block_start") == 0)
-    first = _first(starts.select(_file(), "value", F.monotonically_increasing_id().alias("at")), FIRST_ROWS + 1)
-    first = first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]).alias("first"))
-    files = counted.join(first, "path").withColumn("type", kind)
+    counted = raw.select(F.xxhash64(F.input_file_name()).alias("file")).groupBy("file").agg(F.count("*").alias("lines"))
+    names = _reader(spark, LINES).format("binaryFile").load(root).select(_file(), size, F.xxhash64(F.input_file_name()).alias("file"))
+    first = first_lines(raw, FIRST_ROWS + 1).groupBy("file").agg(_in_order().alias("first"))
+    files = names.join(counted, "file").join(first, "file").withColumn("type", kind)
     has_header = F.col("type").isin(*SEPARATORS)
     shown = F.slice("first", 1, FIRST_ROWS)
     return files.select(
@@ -114,9 +112,8 @@ def _json_files(spark: SparkSession, root: str, kind: Column, size: Column) -> D
     names = _reader(spark, ["json"]).format("binaryFile").load(root).select(_file(), size, F.xxhash64(F.input_file_name()).alias("file"))
     ranges = scan(spark, root, JsonObjects(), _pattern(["json"]))
     records = ranges.records().groupBy("file").agg(F.count("*").alias("rows"))
-    starts = ranges.pieces.where("block = 0").select(F.col("file").alias("path"), F.col("value").cast("string"), F.monotonically_increasing_id().alias("at"))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"])
-    first = _first(starts, FIRST_PIECES).groupBy(F.col("path").alias("file")).agg(pieces.alias("first"))
+    starts = ranges.pieces.select("file", "block", F.col("value").cast("string"))
+    first = leading(starts, FIRST_PIECES).groupBy("file").agg(_in_order().alias("first"))
     files = names.join(records, "file", "left").join(first, "file", "left")
     files = files.withColumns({"type": kind, "first": F.coalesce("first", F.array().cast("array<string>"))})
     lines = F.split(F.concat(F.array_join("first", "}"), F.lit("}")), "\n")
@@ -141,9 +138,8 @@ def _parquet_folder(spark: SparkSession, folder: str, size: Column) -> DataFrame
     df = spark.read.option("pathGlobFilter", _pattern(["parquet"])).parquet(folder)
     names = [f.name for f in df.schema.fields]
     counted = df.select(_file(), size).groupBy("path", "size_kb").agg(F.count("*").alias("rows"))
-    starts = df.where(F.col("_metadata.file_block_start") == 0)
-    cells = F.struct(*[c(n) for n in names])
-    first = _first(starts.select(_file(), cells.alias("value"), F.monotonically_increasing_id().alias("at")), FIRST_ROWS)
+    cells, line = F.struct(*[c(n) for n in names]), F.col("_metadata.row_index")
+    first = df.where(line < FIRST_ROWS).select(_file(), cells.alias("value"), line.alias("line"))
     missing = [F.struct(F.lit(n).alias("column"), F.count_if(F.col("value").getField(n).isNull()).alias("missing")) for n in names]
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.to_json("value").alias("text")))), lambda x: x["text"]), "\n")
     first = first.groupBy("path").agg(F.array(*missing).alias("columns"), shown.alias("preview"))

@@ -6,7 +6,7 @@ import re
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,7 +14,7 @@ from burnish.functions.columns import INFINITY_SHAPE, MISSING_TOKENS, NUMBER_SHA
 from burnish.operators.quantiles import one_row
 from burnish.operators.values import local_frame
 from burnish.session import scratch_path
-from burnish.sources.ranges import DelimitedLines, JsonObjects, scan
+from burnish.sources.ranges import DelimitedLines, JsonObjects, first_lines, scan
 
 PREVIEW_LINES = 5
 WHOLE_SHAPE = r"^\s*[+-]?\d{1,18}\s*$"
@@ -175,10 +175,10 @@ def text_preview(spark: SparkSession, path: str, lines: int = PREVIEW_LINES) ->
 
     Only lines from the start of a file are looked at, each task offers no more than ``lines`` of a file, and no file is loaded into a cell.
     """
-    raw = spark.read.option("recursiveFileLookup", True).text(path)
-    first = raw.where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("file"), "value")
-    numbered = first.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id())))
-    return numbered.where(F.col("line") <= lines).select("file", "line", "value")
+    reader = lambda: spark.read.option("recursiveFileLookup", True)
+    names = reader().format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("name"), F.xxhash64(F.input_file_name()).alias("file"))
+    found = first_lines(reader().text(path), lines).join(names, "file")
+    return found.select(F.col("name").alias("file"), "line", "value")
 
 
 def document_preview(spark: SparkSession, path: str, characters: int = 2_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from burnish.session import scratch_path
+from burnish.session import cut, scratch_path
 from burnish.sources.catalog import file_catalog, preview, preview_summary
 from burnish.sources.folder import scan_columns, scan_folder
 from burnish.sources.readers import read_csv, read_json_array, read_json_lines, read_parquet, read_text, read_tsv, text_preview
@@ -127,17 +127,28 @@ def catalog(spark, sf_dir):
     return file_catalog(spark, sf_dir)
 
 
+SHOWN_ROWS = 5
+
+
+def key_ranges(df, key):
+    """Rows in key ranges, one for each file that is written of them, so that no task sorts or writes a whole table.
+
+    The first rows of all share a range key, so the first file holds them all, however small the ranges are.
+    """
+    last = df.select(key).orderBy(key).limit(SHOWN_ROWS).agg(F.max(key)).first()[0]
+    return df.repartitionByRange(F.greatest(key, F.lit(last))).sortWithinPartitions(key)
+
+
 def scanned_tables(spark, sf_dir) -> str:
-    """A folder with tables in four formats, one file each."""
+    """A folder with tables in four formats; those that grow are in several files."""
     path = scratch_path(spark, "folder")
     gaps = view(spark, sf_dir, "orders_gaps").select(*ORDER_PLAIN)
-    write_csv(gaps.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey"), f"{path}/csv")
+    write_csv(key_ranges(gaps, "o_orderkey"), f"{path}/csv")
     nations = table(spark, sf_dir, "nation").repartitionByRange(1, "n_nationkey").sortWithinPartitions("n_nationkey")
     nations.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("n_name")).write.option(
         "ignoreNullFields", False
     ).json(f"{path}/json-written")
-    supplier = table(spark, sf_dir, "supplier").repartitionByRange(1, "s_suppkey").sortWithinPartitions("s_suppkey")
-    supplier.write.parquet(f"{path}/parquet")
+    key_ranges(table(spark, sf_dir, "supplier"), "s_suppkey").write.parquet(f"{path}/parquet")
     regions = table(spark, sf_dir, "region").repartitionByRange(1, "r_regionkey").sortWithinPartitions("r_regionkey")
     regions.select("r_name").write.text(f"{path}/txt")
     return path
@@ -159,10 +170,12 @@ def scanned_tables(spark, sf_dir) -> str:
     """,
 )
 def folder_scan(spark, sf_dir):
-    """Rows and columns of files in several formats, from one scan of their folder."""
-    scanned = scan_folder(spark, scanned_tables(spark, sf_dir))
+    """Rows and columns of files in several formats, from one scan of their folder: the rows of all files of a format,
+    and the columns of its first file."""
+    scanned = cut(scan_folder(spark, scanned_tables(spark, sf_dir)))
     columns = scan_columns(scanned).drop("position")
-    return scanned.select("path", "type", "rows").join(columns, "path", "left").drop("path")
+    formats = scanned.groupBy("type").agg(F.min("path").alias("path"), F.sum("rows").alias("rows"))
+    return formats.select("path", "type", "rows").join(columns, "path", "left").drop("path")
 
 
 @query("s8_preview", "select * from orders order by o_orderkey limit 5")

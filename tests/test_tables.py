@@ -267,3 +267,33 @@ def test_sums_carry_what_rounding_loses():
     for value in (1e16, 1.0, 1.0, -1e16, np.inf, 1.0):
         total.add(np.array([value if np.isfinite(value) else 0.0, value]))
     assert total.value()[0] == 3.0 and total.value()[1] == np.inf
+
+
+def test_folder_scan_of_tables_in_many_files(spark, tmp_path, plan_of):
+    """Growing tables are in several files, none written by one task; the first rows of all stand in the first file."""
+    from queries import registered
+    from queries.sources import ORDER_PLAIN, scanned_tables
+
+    (tmp_path / "in").mkdir()
+    made = {"orders": "id + 1 as o_orderkey, id as o_custkey, 'O' as o_orderstatus, double(id) as o_totalprice, timestamp_ntz'2024-01-01' as o_orderdate, 'p' as o_orderpriority",
+            "supplier": "id as s_suppkey, 's' as s_name, int(id) as s_nationkey, 1.5D as s_acctbal",
+            "nation": "id as n_nationkey, 'n' as n_name", "region": "id as r_regionkey, 'r' as r_name"}
+    for name, columns in made.items():
+        spark.range(40 if name in ("orders", "supplier") else 4).selectExpr(*columns.split(", ")).write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scanned = scan_folder(spark, scanned_tables(spark, str(tmp_path / "in")))
+        files = scanned.groupBy("type").count().collect()
+        got = registered()["s7_folder_scan"](spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    count = {r["type"]: r["count"] for r in files}
+    assert count["csv"] > 8 and count["parquet"] > 8 and (count["json"], count["txt"]) == (1, 1)
+    csv = {r["column"]: (r["rows"], r["missing"]) for r in got if r["type"] == "csv"}
+    assert csv == {n: (40, 0) for n in ORDER_PLAIN} and len(got) == 5 + 2 + 4 + 1
+    assert {r["rows"] for r in got if r["type"] == "parquet"} == {40}
+    assert scanned.where("type = 'csv'").orderBy("path").first()["rows"] >= 5
+    # First lines are found without sorting lines.
+    assert "row_number" not in plan_of(scanned) and "WindowGroupLimit" not in plan_of(scanned)
