@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.llm.common import alone
+
 # Fixed value: the pattern by which this kind of vocabulary splits text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -305,6 +307,7 @@ def encode_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def encode(cells: pa.Array) -> pa.Array:
+        alone("bpe", vocabulary.cache_clear)
         bpe, out = vocabulary(path), []
         sizes = np.cumsum(pc.fill_null(pc.binary_length(cells), 0).to_numpy(zero_copy_only=False))
         for low, high in _together(sizes):
@@ -319,6 +322,7 @@ def decode_column(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(cells: pa.Array) -> pa.Array:
+        alone("bpe", vocabulary.cache_clear)
         bpe, parts = vocabulary(path), [pa.array([], pa.string())]
         sizes = np.cumsum(pc.fill_null(pc.binary_length(cells), 0).to_numpy(zero_copy_only=False))
         for low, high in _together(sizes):

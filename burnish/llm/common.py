@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,26 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def alone(name: str, forget: Callable[[], None]) -> None:
+    """Begin work whose words a Python worker remembers, and forget what other work remembered in it.
+
+    Spark uses a worker for one stage after the other. Each operator bounds what it remembers, but not what those before
+    it left behind, and an executor holds several workers. Results do not depend on it.
+    """
+    others = [_memories.pop(k) for k in list(_memories) if k != name]
+    _memories[name] = forget
+    for other in others:
+        other()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, TypeError, AttributeError):  # only some C libraries can give memory back
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

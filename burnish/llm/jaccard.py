@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import components, keep, unused
+from burnish.llm.common import alone, components, keep, unused
 
 #: Shingles that are known to be frequent, the most frequent first. They are only put last in the order in which lists
 #: are looked at, so the bound changes speed, not results.
@@ -102,6 +102,7 @@ def _documents(width: int):
             )
 
         kind = pa.int64()
+        alone("jaccard", _known.clear)
         for batch in batches:
             kind = batch.schema.field(0).type
             sizes, classes = [], []
@@ -169,6 +170,7 @@ def _spread(width: int, share: int, frequent, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
+        alone("jaccard", _known.clear)
         held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
         size = 0
@@ -365,6 +367,7 @@ SETS = "class long, tokens binary"
 
 def _sets(width: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("jaccard", _known.clear)
         for batch in batches:
             classes, sets = [], []
             for cell in batch.column(0):

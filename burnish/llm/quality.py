@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import keep
+from burnish.llm.common import alone, keep
 
 #: Buckets that words are hashed to, numbers in a word vector, and the places of a bucket's index vector that are not
 #: zero. These bound the model: it has BUCKETS * DIMENSIONS numbers whatever the size of the corpus.
@@ -81,6 +81,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add(seen, np.bincount(words, minlength=BUCKETS), out=seen)
         held, size = [], 0
 
+    alone("quality", _known.clear)
     for batch in batches:
         for cell in batch.column(0):
             words = buckets(cell.as_py() or "")
@@ -224,6 +225,7 @@ def fitted_score(
     drawn = texts.join(F.broadcast(marks), "id").select("id", "label", "text")
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("quality", _known.clear)
         for batch in batches:
             rows = [pooled(x.as_py() or "", vectors.value).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
@@ -240,6 +242,7 @@ def fitted_score(
 
     @F.arrow_udf("double")
     def score(cells: pa.Array) -> pa.Array:
+        alone("quality", _known.clear)
         out = []
         for at in range(0, len(cells), 1_000):
             rows = [pooled(x.as_py() or "", vectors.value) for x in cells.slice(at, 1_000)]

@@ -147,3 +147,17 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert (got.kept == (got.vec_id == got.component_id)).all()
     assert near_vectors(vectors(spark, [])).count() == 0
     assert near_vectors(vectors(spark, [(1, None, 1)])).toPandas().n_links.tolist() == [0]
+
+
+def test_a_worker_forgets_what_other_operators_remembered():
+    from burnish.llm import common, jaccard, quality
+
+    common.alone("quality", quality._known.clear)
+    quality.buckets("some words")
+    common.alone("quality", quality._known.clear)
+    assert quality._known
+    common.alone("jaccard", jaccard._known.clear)
+    assert not quality._known
+    jaccard.shingles("some more words of a text", 2)
+    common.alone("quality", quality._known.clear)
+    assert not jaccard._known
