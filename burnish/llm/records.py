@@ -34,6 +34,10 @@ BATCH_BYTES = 4 << 20
 #: Bytes of pieces, their ids and what holds them that a Python worker remembers before it starts afresh; it keeps the
 #: pieces from before that until then, so those that come again are not lost.
 REMEMBERED_BYTES = 96 << 20
+#: A word that stands after each piece where many are encoded in one text, and pieces in such a text.
+MARK = b"\x01"
+BETWEEN = b" \x01 "
+PIECES = 256
 
 # Fixed value: the pattern by which a vocabulary of words with end marks cuts a text in lower case.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -108,6 +112,9 @@ class PieceEncoder:
         end, vocabulary, letters = model.get("end_of_word_suffix"), model["vocab"], byte_letters()
         merges = [m.split(" ") if isinstance(m, str) else list(m) for m in model.get("merges", [])]
         made = [vocabulary.get(a + b, -1) for a, b in merges]
+        # A mark is one token, and other texts do not have it.
+        told = self._library([MARK])[0]
+        self.mark = told[0] if len(told) == 1 and model["vocab"].get(self.tokenizer.id_to_token(told[0])) == told[0] else None
         self.ranked = None
         if not (self.by_pieces and end and made == sorted(set(made)) and len(vocabulary) == 512 + len(made) and made[0] >= 512):
             return
@@ -117,8 +124,7 @@ class PieceEncoder:
             ranks[bytes(letters[x] for x in inner) + WORD_END * (inner != token)] = i
         import tiktoken
 
-        self.ends_word = np.zeros(max(ranks.values()) + 1, bool)
-        self.ends_word[[i for token, i in ranks.items() if token.endswith(WORD_END)]] = True
+        self.ranked_mark = ranks[MARK + WORD_END]
         self.ranked = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -129,7 +135,7 @@ class PieceEncoder:
         if self.held > REMEMBERED_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
         known, older = self.known, self.older
-        new = [p for p in set(chain.from_iterable(pieces)) if p not in known]
+        new = set(chain.from_iterable(pieces)).difference(known)
         ready = {p: older[p] for p in new if p in older}
         if len(ready) < len(new):
             ready |= self._new([p for p in new if p not in ready])
@@ -145,23 +151,37 @@ class PieceEncoder:
         for p in pieces:
             (plain if PRINTABLE(p) and b"<|" not in p else others).append(p)
         out = self._by_library(others)
-        words = [WORDS_OF(p.lower().decode()) for p in plain]
-        if words:
-            ids = np.asarray(self.ranked.encode_to_numpy("\0".join(chain.from_iterable(words)) + "\0"))
-            # The last token of each word, and so of each piece.
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1)[np.cumsum([len(w) for w in words]) - 1]
-            cuts = (ends * self.width).tolist()
-            whole = ids.astype(f"<u{self.width}").tobytes()
-            out.update((p, whole[a:b]) for p, a, b in zip(plain, [0, *cuts], cuts))
+        if plain:
+            # All pieces in one text, the mark as a word of its own after each.
+            text = BETWEEN.join([*plain, b""]).lower().decode()
+            ids = np.asarray(self.ranked.encode_to_numpy("\0".join(WORDS_OF(text)) + "\0"))
+            out.update(self._cut(plain, ids, self.ranked_mark))
         return out
 
+    def _cut(self, pieces: list[bytes], ids: np.ndarray, mark: int) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of each piece, after which a mark stands."""
+        ends = np.flatnonzero(ids == mark)
+        if len(ends) != len(pieces):
+            raise RuntimeError("a mark between pieces was lost")
+        whole, width = ids.astype(f"<u{self.width}").tobytes(), self.width
+        cuts = (ends * width).tolist()
+        return ((p, whole[a:b]) for p, a, b in zip(pieces, [0, *(x + width for x in cuts)], cuts))
+
     def _by_library(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        if not pieces:
-            return {}
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        ends = (np.cumsum([len(x) for x in ids]) * self.width).tolist()
-        whole = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
-        return {p: whole[a:b] for p, a, b in zip(pieces, [0, *ends], ends)}
+        """Many pieces to a text, as tokens do not reach across the white space between; those that hold the mark by themselves."""
+        out, together = {}, []
+        for p in pieces:
+            if self.mark is None or MARK in p:
+                out[p] = np.array(self._library([p])[0], f"<u{self.width}").tobytes()
+            else:
+                together.append(p)
+        groups = [together[k : k + PIECES] for k in range(0, len(together), PIECES)]
+        for group, ids in zip(groups, self._library([BETWEEN.join([*group, b""]) for group in groups])):
+            out.update(self._cut(group, np.array(ids), self.mark))
+        return out
+
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
 @lru_cache(maxsize=4)

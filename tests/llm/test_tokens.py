@@ -135,3 +135,14 @@ def test_damage_is_found():
             read_record(io.BytesIO(bytes(broken)))
     with pytest.raises(ValueError):
         read_record(io.BytesIO(record[:-2]))
+
+
+def test_new_pieces_are_encoded_many_to_a_text(monkeypatch):
+    encoder = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = [f"{a}é{k}{b}" for k in range(300) for a, b in (("Wor", "ß!"), ("<|endoftext|>", "x"))] + ["a\x01b", "\x01", "ﬁ\x01", "plain", "It's", " é"]
+    want = [np.array(encoder.tokenizer.encode(p, add_special_tokens=False).ids, "<u2").tobytes() for p in pieces]
+    sent, library = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda texts: sent.extend(texts) or library(texts))
+    assert encoder.encode([p.encode() for p in pieces]) == want
+    alone = sum(records.MARK in p.encode() for p in pieces)
+    assert len(sent) <= alone + len(pieces) // records.PIECES + 1
