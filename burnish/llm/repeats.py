@@ -9,6 +9,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,15 @@ ANCHOR = 20
 #: A least hash whose runs would fill half a bucket is hot; its strings are dealt one by one. Hashes that a task sees
 #: less often than this in the texts it deals out at once are not counted for that.
 HOT_LEAST = 32
-#: Bytes of text that are hashed at once (small enough for the processor's cache), and that a task deals out at once.
+#: Bytes of text that are hashed at once, and that a task deals out at once; stretches that are compared at once.
 HASHED, DEALT = 512 << 10, 24 << 20
+COMPARED = 2**15
+#: Starts whose least hashes are sought at once (small enough for the processor's cache). Places within them and the hash
+#: share 32 bits.
+SOUGHT = 2**15
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-OTHER = np.uint64(0xD1B54A32D192ED03)
+ODD_32 = 0x9E3779B1
 LAST = np.iinfo(np.int64).max
 
 
@@ -48,12 +53,21 @@ def shifts() -> np.ndarray:
 def cover_ranks(words: np.ndarray, size: int, depth: int) -> np.ndarray:
     """The rank, among the positions in the cover, of the string of at least ``depth`` bytes that starts there."""
     at = np.flatnonzero(np.isin(np.arange(size) % MODULUS, COVER))
-    keys = [words[at + 8 * k] for k in range(-(-depth // 8))]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(at), bool)
-    for key in keys:
-        key = key[order]
-        new[1:] |= key[1:] != key[:-1]
+    one, two = words[at], words[at + 8]
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    # Only what ties so far is sorted by the next word.
+    for k in range(2, -(-depth // 8)):
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
+            break
+        own = order[tied]
+        word = words[at[own] + 8 * k]
+        sort = np.lexsort((word, np.cumsum(new)[tied]))
+        order[tied], word = own[sort], word[sort]
+        new[tied[1:]] |= word[1:] != word[:-1]
     ranks = np.zeros(size + MODULUS, np.int32)
     ranks[at[order]] = np.cumsum(new)
     return ranks
@@ -125,55 +139,141 @@ def sorted_blocks(text: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[
         yield at, differs
 
 
-def rolling(text: np.ndarray, width: int, base: np.uint64 = ODD) -> np.ndarray:
-    """A 64-bit hash of the ``width`` bytes from each position; the last positions see zeros after the end."""
-    power, covered, out, done = base, 1, None, 0
-    run = text.astype(np.uint64) + np.uint64(1)
-
-    def ahead(x: np.ndarray, by: int) -> np.ndarray:
-        return np.concatenate([x[by:], np.zeros(min(by, len(x)), np.uint64)])
-
-    left = width
+def rolling(text: np.ndarray, width: int) -> np.ndarray:
+    """A 32-bit hash of the ``width`` bytes from each position that has as many. Its upper half is well mixed."""
+    run = text.astype(np.uint32)
+    run += np.uint32(1)
+    out, done, covered, left = None, 0, 1, width
     while left:
         if left & 1:
-            out = run.copy() if out is None else out * power + ahead(run, done)
+            if out is None:
+                out = run
+            else:
+                out = out[: len(run) - done] * np.uint32(pow(ODD_32, covered, 2**32))
+                out += run[done:]
             done += covered
         left >>= 1
         if left:
-            run = run * power + ahead(run, covered)
-            power = np.uint64(int(power) ** 2 % 2**64)
+            ahead = run[covered:]
+            run = run[:-covered] * np.uint32(pow(ODD_32, covered, 2**32))
+            run += ahead
             covered *= 2
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ out >> np.uint64(32)
+    out = out ^ out >> np.uint32(15)
+    out *= np.uint32(0x85EBCA6B)
+    return out
+
+
+def least_places(text: np.ndarray, depth: int) -> np.ndarray:
+    """For each string of ``depth`` bytes, the place of its least hash of ANCHOR bytes, the leftmost of equal ones."""
+    out = np.empty(len(text) - depth + 1, np.int32)
+    # The hash's upper half, then the place, so that one minimum gives both.
+    kind, bits = (np.uint32, 16) if SOUGHT + depth <= 2**16 else (np.uint64, 32)
+    numbers, wide = np.arange(SOUGHT + depth, dtype=kind), depth - ANCHOR + 1
+    for low in range(0, len(out), SOUGHT):
+        least = (rolling(text[low : low + SOUGHT + depth - 1], ANCHOR) >> np.uint32(16)).astype(kind, copy=False)
+        least <<= kind(bits)
+        least |= numbers[: len(least)]
+        have = 1
+        while have * 2 <= wide:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if have < wide:
+            least = np.minimum(least[: len(least) - (wide - have)], least[wide - have :])
+        np.add(least & kind(2**bits - 1), low, out=out[low : low + SOUGHT], casting="unsafe")
+    return out
 
 
 def anchored(text: np.ndarray, valid: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings of ``depth`` bytes that share the place of their least hash of ANCHOR bytes.
 
-    ``valid`` marks where a string may start. Gives each run's first start, its number of starts and that hash. What is
-    least depends on the string's bytes alone, so equal strings always have the same hash.
+    ``valid`` marks where a string may start. Gives each run's first start, its number of starts and a 64-bit hash of the
+    bytes at that place. The place depends on the string's bytes alone, so equal strings always have the same hash.
     """
-    hashes = rolling(text, ANCHOR)
-    # The upper half decides; then the place, so that the leftmost of equal hashes counts.
-    least = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(text), dtype=np.uint64)
-    wide, have = depth - ANCHOR + 1, 1
-    while have * 2 <= wide:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < wide:
-        least = np.minimum(least[: len(least) - (wide - have)], least[wide - have :])
-    starts = np.flatnonzero(valid[: len(least)])
-    place = (least[starts] & np.uint64(0xFFFFFF)).astype(np.int64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
-    at = np.flatnonzero(new)
-    return starts[at], np.diff(np.append(at, len(starts))), hashes[place[at]]
+    place = least_places(text, depth)
+    first, last = valid[: len(place)].copy(), valid[: len(place)].copy()
+    moved = place[1:] != place[:-1]
+    first[1:] &= moved | ~valid[: len(place) - 1]
+    last[:-1] &= moved | ~valid[1 : len(place)]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) - starts + 1, mixed(sliding_window_view(text, ANCHOR)[place[starts]].view("<u4"))
+
+
+def mixed(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of words."""
+    out = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        out ^= words[:, k]
+        out *= ODD
+        out ^= out >> np.uint64(32)
+    return out
 
 
 def gathered(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    return text[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    """The stretches one after the other. The text must go on after the last start for the longest of them."""
+    if not len(starts):
+        return np.zeros(0, np.uint8)
+    width = int(lengths.max())
+    windows, inside = sliding_window_view(text, width), np.arange(width)
+    many = max(1, HASHED // width)
+    parts = []
+    for low in range(0, len(starts), many):
+        block = windows[starts[low : low + many]]
+        parts.append(block[inside < lengths[low : low + many, None]])
+    return np.concatenate(parts)
+
+
+def run_words(text: np.ndarray, begins: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """Words of 8 bytes that cover each run: two runs are equal if their lengths and words are."""
+    # From the front as many as every run has, and from the end those for what a run may have beyond.
+    front = depth // 8 * 8
+    back = -(-(2 * depth - ANCHOR - front) // 8) * 8
+    words = sliding_window_view(text, front)[begins].view("<u8")
+    return np.hstack([words, sliding_window_view(text, back)[begins + lengths - back].view("<u8")])
+
+
+def run_hashes(text: np.ndarray, begins: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """A 64-bit hash of all of each run's bytes."""
+    out = np.zeros(len(begins), np.uint64)
+    for low in range(0, len(begins), COMPARED):
+        rows = slice(low, low + COMPARED)
+        out[rows] = mixed(run_words(text, begins[rows], lengths[rows], depth))
+    return out
+
+
+def shared(hashes: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """The rows whose hash several documents have, in their order."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    rank = np.argsort(hashes)
+    new = np.ones(len(rank), bool)
+    new[1:] = hashes[rank][1:] != hashes[rank][:-1]
+    head, group = np.flatnonzero(new), np.cumsum(new) - 1
+    several = np.minimum.reduceat(orders[rank], head) < np.maximum.reduceat(orders[rank], head)
+    return np.sort(rank[several[group]])
+
+
+def copied(
+    text: np.ndarray, begins: np.ndarray, lengths: np.ndarray, orders: np.ndarray, depth: int, whole: np.ndarray | None = None
+) -> np.ndarray:
+    """Which runs are byte for byte those of a smaller document. ``whole`` are their hashes of all bytes, if known.
+
+    A run that is not found here is still compared with others when suffixes are sorted.
+    """
+    out = np.zeros(len(begins), bool)
+    if whole is None:
+        whole = run_hashes(text, begins, lengths, depth)
+    sort = np.lexsort((orders, whole))
+    new = np.ones(len(sort), bool)
+    new[1:] = whole[sort][1:] != whole[sort][:-1]
+    first = sort[new][np.cumsum(new) - 1] if len(sort) else sort
+    larger = orders[sort] > orders[first]
+    larger &= lengths[sort] == lengths[first]
+    sort, first = sort[larger], first[larger]
+    for low in range(0, len(sort), COMPARED):
+        a, b = sort[low : low + COMPARED], first[low : low + COMPARED]
+        same = run_words(text, begins[a], lengths[a], depth) == run_words(text, begins[b], lengths[b], depth)
+        out[a[same.all(axis=1)]] = True
+    return out
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -204,12 +304,11 @@ class Dealer:
     def __init__(self, depth: int, turn: int, rounds: int, buckets: int, hot: np.ndarray | None = None) -> None:
         self.depth, self.turn, self.rounds, self.buckets = depth, turn, rounds, buckets
         self.hot = np.zeros(0, np.uint64) if hot is None else hot
-        # Fixed odd multipliers: a run's digest is the sum of its bytes times these.
-        self.multipliers = np.random.default_rng(1).integers(0, 2**64, 2 * depth, np.uint64) | np.uint64(1)
         self.clear()
 
     def clear(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[np.ndarray] = []
         self.orders: list[int] = []
         self.keys: list[int] = []
         self.size = 0
@@ -239,26 +338,30 @@ class Dealer:
         for begin, length in zip(begins.tolist(), lengths.tolist()):
             valid[max(begin, begin + length - self.depth + 1) : begin + length] = False
         valid = valid[:-1]
-        self.size += len(text)
+        base, self.size = self.size, self.size + len(text)
+        self._hold(text)
         if len(text) < self.depth:
             return
-        self._take(pieces, text, begins, *anchored(text, valid, self.depth))
+        self._take(pieces, base, begins, *anchored(text, valid, self.depth))
+
+    def _hold(self, text: np.ndarray) -> None:
+        self.texts.append(text)
 
-    def _take(self, pieces, text, begins, starts, counts, hashes) -> None:
+    def _take(self, pieces, base, begins, starts, counts, hashes) -> None:
         mine = (hashes >> np.uint64(40)) % np.uint64(self.rounds) == np.uint64(self.turn)
         starts, counts, hashes = starts[mine], counts[mine], hashes[mine]
         piece = np.searchsorted(begins, starts, side="right") - 1
         documents = np.array([d for d, _, _ in pieces])[piece]
         offsets = np.array([a for _, a, _ in pieces])[piece] + starts - begins[piece]
-        self.parts.append((hashes, documents, offsets, counts, gathered(text, starts, counts + self.depth - 1)))
+        self.parts.append((hashes, documents, offsets, counts, base + starts))
 
     def deal(self) -> Iterator[tuple[int, bool, bytes]]:
         """Rows for the buckets; then, as removals, runs that a smaller document of this task has as well."""
         if self.parts:
-            hashes, documents, offsets, counts, text = (np.concatenate(x) for x in zip(*self.parts))
+            hashes, documents, offsets, counts, begins = (np.concatenate(x) for x in zip(*self.parts))
+            text = np.concatenate([*self.texts, np.zeros(2 * self.depth, np.uint8)])
             lengths = counts + self.depth - 1
             orders, keys = np.array(self.orders, np.int64), np.array(self.keys, np.int64)
-            begins = np.cumsum(lengths) - lengths
             hot = np.isin(hashes, self.hot)
             if hot.any():
                 own = (x[hot] for x in (documents, offsets, counts, begins))
@@ -266,7 +369,10 @@ class Dealer:
                 hashes, documents, offsets, counts, lengths, begins = (
                     x[~hot] for x in (hashes, documents, offsets, counts, lengths, begins)
                 )
-            copies = self._copies(hashes, orders[documents], begins, lengths, text)
+            copies = np.zeros(len(hashes), bool)
+            rows = shared(hashes, orders[documents])
+            # So a run that very many documents share leaves a task once.
+            copies[rows] = copied(text, begins[rows], lengths[rows], orders[documents[rows]], self.depth)
             at = np.flatnonzero(copies)
             if len(at):
                 d = documents[at]
@@ -274,7 +380,8 @@ class Dealer:
                     orders[d], keys[d], offsets[at].astype("<u4"), lengths[at].astype("<u4")
                 )
             bucket = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.buckets
-            order = np.lexsort((documents, bucket))
+            # Runs come by documents.
+            order = np.argsort(bucket.astype(np.uint16) if self.buckets <= 2**16 else bucket, kind="stable")
             order = order[~copies[order]]
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for rows in np.split(order, cuts):
@@ -293,28 +400,12 @@ class Dealer:
     ) -> Iterator[tuple[int, bool, bytes]]:
         """The strings of hot runs, each to the bucket of its own hash, so that equal ones still meet; as removals,
         those that a smaller document of this task has as well."""
-        lengths = counts + self.depth - 1
-        ends = np.cumsum(lengths)
-        one, two, places = [], [], []
-        # As many runs at once as fit the processor's cache.
-        for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(ends // HASHED)) + 1):
-            part = gathered(text, begins[rows], lengths[rows])
-            last = np.cumsum(counts[rows])
-            step = np.arange(last[-1]) - np.repeat(last - counts[rows], counts[rows])
-            at = np.repeat(np.cumsum(lengths[rows]) - lengths[rows], counts[rows]) + step
-            one.append(rolling(part, self.depth)[at])
-            two.append(rolling(part, self.depth, OTHER)[at])
-            places.append(np.repeat(begins[rows], counts[rows]) + step)
-        one, two, places = np.concatenate(one), np.concatenate(two), np.concatenate(places)
         row = np.repeat(np.arange(len(counts)), counts)
-        offset = offsets[row] + places - begins[row]
-        owner = documents[row]
-        sort = np.lexsort((orders[owner], two, one))
-        head = np.ones(len(sort), bool)
-        head[1:] = (one[sort][1:] != one[sort][:-1]) | (two[sort][1:] != two[sort][:-1])
-        least = orders[owner][sort][head][np.cumsum(head) - 1]
-        copies = np.zeros(len(sort), bool)
-        copies[sort] = orders[owner][sort] > least
+        step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        places, offset, owner = begins[row] + step, offsets[row] + step, documents[row]
+        long = np.full(len(row), self.depth)
+        one = run_hashes(text, places, long, self.depth)
+        copies = copied(text, places, long, orders[owner], self.depth, one)
         at = np.flatnonzero(copies)
         if len(at):
             new = np.ones(len(at), bool)
@@ -334,36 +425,9 @@ class Dealer:
             there, number = np.unique(owner[rows], return_inverse=True)
             yield int(bucket[rows[0]]), False, packed(
                 one[rows], orders[there], keys[there], number.astype("<u4"), offset[rows].astype("<u4"),
-                np.ones(len(rows), "<u4"), gathered(text, places[rows], np.full(len(rows), self.depth)),
+                np.ones(len(rows), "<u4"), gathered(text, places[rows], long[rows]),
             )
 
-    def _copies(
-        self, hashes: np.ndarray, order: np.ndarray, begins: np.ndarray, lengths: np.ndarray, text: np.ndarray
-    ) -> np.ndarray:
-        """Which runs have the same hash, digest and length as a run of a smaller document. So a run that very many
-        documents share leaves a task once."""
-        ranked = np.argsort(hashes, kind="stable")
-        same = hashes[ranked][1:] == hashes[ranked][:-1]
-        again = np.zeros(len(hashes), bool)
-        again[ranked[1:][same]] = again[ranked[:-1][same]] = True
-        at = np.flatnonzero(again)
-        out = np.zeros(len(hashes), bool)
-        if not len(at):
-            return out
-        long = lengths[at]
-        last = np.cumsum(long)
-        data = gathered(text, begins[at], long).astype(np.uint64) + np.uint64(1)
-        data *= self.multipliers[np.arange(last[-1]) - np.repeat(last - long, long)]
-        digest = np.add.reduceat(data, last - long)
-        sort = np.lexsort((order[at], long, digest, hashes[at]))
-        head = np.zeros(len(at), bool)
-        head[0] = True
-        for key in (hashes[at][sort], digest[sort], long[sort]):
-            head[1:] |= key[1:] != key[:-1]
-        least = order[at][sort][head][np.cumsum(head) - 1]
-        out[at[sort]] = order[at][sort] > least
-        return out
-
 
 class Counter(Dealer):
     """Counts a task's runs by hash."""
@@ -372,7 +436,10 @@ class Counter(Dealer):
         super().__init__(depth, 0, 1, 1)
         self.least = least
 
-    def _take(self, pieces, text, begins, starts, counts, hashes) -> None:
+    def _hold(self, text: np.ndarray) -> None:
+        """Counts need no text."""
+
+    def _take(self, pieces, base, begins, starts, counts, hashes) -> None:
         self.parts.append((hashes, counts))
 
     def deal(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -452,7 +519,7 @@ def found_batch(orders, keys, starts, lengths) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["order", "key", "start", "length"])
 
 
-def bucket_removals(blobs: list[bytes], depth: int) -> pa.RecordBatch | None:
+def bucket_removals(blobs: list[bytes], depth: int) -> Iterator[pa.RecordBatch]:
     """What a bucket's documents lose: strings that a smaller document of the bucket has."""
     parts = []
     for blob in blobs:
@@ -461,16 +528,18 @@ def bucket_removals(blobs: list[bytes], depth: int) -> pa.RecordBatch | None:
     hashes, orders, keys, offsets, counts, text = (np.concatenate(x) for x in zip(*parts))
     lengths = counts + depth - 1
     begins = np.cumsum(lengths) - lengths
-    # Runs whose hash only one document has cannot meet another.
-    rank = np.argsort(hashes, kind="stable")
-    new = np.ones(len(rank), bool)
-    new[1:] = hashes[rank][1:] != hashes[rank][:-1]
-    head, group = np.flatnonzero(new), np.cumsum(new) - 1
-    several = np.minimum.reduceat(orders[rank], head) < np.maximum.reduceat(orders[rank], head)
-    rows = np.sort(rank[several[group]])
+    # Runs whose hash only one document has cannot meet another. Of equal runs, that of the smallest document stands for
+    # those of larger ones, which lose all their strings.
+    rows = shared(hashes, orders)
+    copies = copied(text, begins[rows], lengths[rows], orders[rows], depth)
+    gone, rows = rows[copies], rows[~copies]
+    if len(gone):
+        yield found_batch(orders[gone], keys[gone], offsets[gone], lengths[gone])
+    rows = rows[shared(hashes[rows], orders[rows])]
     if not len(rows):
-        return None
+        return
     own, many = lengths[rows], counts[rows]
+    text = np.concatenate([text, np.zeros(2 * depth, np.uint8)])
     text = np.concatenate([gathered(text, begins[rows], own), np.zeros(depth + 32, np.uint8)])
     first = np.cumsum(own) - own
     ends = np.cumsum(many)
@@ -488,13 +557,13 @@ def bucket_removals(blobs: list[bytes], depth: int) -> pa.RecordBatch | None:
     hit = removed[starts]
     row, step = row[hit], step[hit]
     if not len(row):
-        return None
+        return
     begin = np.ones(len(row), bool)
     begin[1:] = (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)
     at = np.flatnonzero(begin)
     run = np.diff(np.append(at, len(row)))
     which = rows[row[at]]
-    return found_batch(orders[which], keys[which], offsets[which] + step[at], run + depth - 1)
+    yield found_batch(orders[which], keys[which], offsets[which] + step[at], run + depth - 1)
 
 
 def _removed(depth: int):
@@ -507,8 +576,8 @@ def _removed(depth: int):
                     yield found_batch(*unpacked(r["data"], REMOVALS))
                 else:
                     blobs.append(r["data"])
-            if blobs and (done := bucket_removals(blobs, depth)) is not None:
-                yield done
+            if blobs:
+                yield from bucket_removals(blobs, depth)
 
     return run
 
@@ -556,8 +625,9 @@ def remove_repeats(
     of text. A hash that fills half a bucket, such as that of a line in very many rows with other text around it, would
     bring all its stretches together; such hashes are counted first, and their strings are dealt one by one, by a hash
     of all their bytes. Buckets are dealt in ``rounds``, each a part of the hash space, so no more than that part of all suffixes is
-    in flight. A bucket sorts its suffixes block by block: by their first 16 bytes, and ties by the ranks of a
-    difference cover of the bucket's text. Equal neighbours in that order are the repeats.
+    in flight. Of stretches that are byte for byte equal, that of the smallest row stands for those of larger ones, in a
+    task before it deals and in a bucket again. A bucket sorts its suffixes block by block: by their first 16 bytes, and
+    ties by the ranks of a difference cover of the bucket's text. Equal neighbours in that order are the repeats.
     """
     if depth < ANCHOR:
         raise ValueError(f"depth has to be {ANCHOR} or more")

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from burnish.llm import repeats
@@ -109,6 +110,68 @@ def test_strings_dealt_one_by_one_change_nothing(spark, monkeypatch):
     compare(spark, rows)
 
 
+def dealt(texts, depth, tasks, hot=None):
+    """What several tasks deal into one bucket."""
+    rows = []
+    for task in range(tasks):
+        dealer = repeats.Dealer(depth, 0, 1, 1, hot)
+        dealer.add([(k, k, text) for k, text in enumerate(texts) if k % tasks == task])
+        rows += dealer.deal()
+    names = {"bucket": pa.int64(), "removal": pa.bool_(), "data": pa.binary()}
+    return pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], pa.schema(names))
+
+
+def test_runs_that_are_equal_are_sorted_once(monkeypatch):
+    sorted_ = []
+
+    def blocks(text, starts, depth):
+        sorted_.append(len(starts))
+        yield from sorted_blocks(text, starts, depth)
+
+    monkeypatch.setattr(repeats, "sorted_blocks", blocks)
+    passage = prose(5, 200)
+    texts = [(prose(600 + k, 4) + passage + prose(700 + k, 4)).encode() for k in range(40)]
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for batch in repeats._removed(50)(iter([dealt(texts, 50, len(texts))])):
+        for k, _, start, length in zip(*(c.to_pylist() for c in batch.columns)):
+            gone[k][start : start + length] = True
+    want = marked([(k, t.decode(), "a") for k, t in enumerate(texts)], 50)
+    assert [int(g.sum()) for g in gone] == [m[1] for m in want] and sum(m[1] for m in want) >= 39 * len(passage)
+    # The passage's inner runs are the same in all texts; only those at its ends differ.
+    assert sum(sorted_) < sum(len(t) - 49 for t in texts) / 4
+
+
+def test_strings_of_equal_hashes_stay_apart():
+    # The Thue-Morse word and its complement: any polynomial hash modulo 2**64 with an odd base takes them for equal.
+    word = bytes(97 + k.bit_count() % 2 for k in range(1024))
+    texts = [word, bytes(195 - c for c in word)]
+    valid = np.ones(1024, bool)
+    hot = np.sort(np.concatenate([repeats.anchored(np.frombuffer(t, np.uint8), valid, 1024)[2] for t in texts]))
+    for known in (None, np.unique(hot)):
+        assert not any(dealt(texts, 1024, 1, known).column(1).to_pylist())
+        assert dealt([texts[0], texts[0]], 1024, 1, known).column(1).to_pylist().count(True) == 1
+
+
+def test_equal_hashes_are_compared_byte_by_byte(monkeypatch):
+    monkeypatch.setattr(repeats, "mixed", lambda words: np.zeros(len(words), np.uint64))
+    texts = [prose(k % 3, 12).encode() for k in range(9)] + [prose(1, 12).encode() + b"x", prose(3, 3).encode()]
+    rows = [(k, t.decode(), "a") for k, t in enumerate(texts)]
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for batch in repeats._removed(50)(iter([dealt(texts, 50, 2)])):
+        for k, _, start, length in zip(*(c.to_pylist() for c in batch.columns)):
+            gone[k][start : start + length] = True
+    assert [int(g.sum()) for g in gone] == [m[1] for m in marked(rows, 50)]
+
+
+@pytest.mark.parametrize("sought", [64, 2**15, 2**16])
+def test_least_places_do_not_depend_on_what_is_sought_at_once(sought, monkeypatch):
+    monkeypatch.setattr(repeats, "SOUGHT", sought)
+    text = np.frombuffer(("ab" * 60 + "c" * 90 + prose(9, 60)).encode(), np.uint8)
+    hashes = repeats.rolling(text, repeats.ANCHOR) >> 16
+    want = [k + int(np.argmin(hashes[k : k + 31])) for k in range(len(text) - 49)]
+    assert repeats.least_places(text, 50).tolist() == want
+
+
 @pytest.mark.parametrize("alphabet", [2, 3, 200])
 def test_suffixes_come_in_order(alphabet, monkeypatch):
     monkeypatch.setattr(repeats, "SORTED", 500)
