@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -31,6 +32,8 @@ HOT_LEAST = 32
 #: Bytes of text that are hashed at once, and that a task deals out at once; stretches that are compared at once.
 HASHED, DEALT = 512 << 10, 24 << 20
 COMPARED = 2**15
+#: Bytes of stretches that are brought together at once.
+GATHERED = 2 << 20
 #: Starts whose least hashes are sought at once (small enough for the processor's cache). Places within them and the hash
 #: share 32 bits.
 SOUGHT = 2**15
@@ -276,13 +279,18 @@ def copied(
     return out
 
 
+#: A new one for each of many small blobs would take longer than the work.
+compressor = cache(lambda: zstandard.ZstdCompressor(1))
+decompressor = cache(zstandard.ZstdDecompressor)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     head = np.array([a.nbytes for a in arrays], "<u4").tobytes()
-    return zstandard.ZstdCompressor(1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return compressor().compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def unpacked(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(data)
+    data = decompressor().decompress(data)
     at, out = 4 * len(kinds), []
     for size, kind in zip(np.frombuffer(data, "<u4", len(kinds)).tolist(), kinds):
         out.append(np.frombuffer(data[at : at + size], kind))
@@ -379,19 +387,10 @@ class Dealer:
                 yield int(keys[d[0]] % self.buckets), True, packed(
                     orders[d], keys[d], offsets[at].astype("<u4"), lengths[at].astype("<u4")
                 )
-            bucket = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.buckets
-            # Runs come by documents.
-            order = np.argsort(bucket.astype(np.uint16) if self.buckets <= 2**16 else bucket, kind="stable")
-            order = order[~copies[order]]
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for rows in np.split(order, cuts):
-                if not len(rows):
-                    continue
-                there, number = np.unique(documents[rows], return_inverse=True)
-                yield int(bucket[rows[0]]), False, packed(
-                    hashes[rows], orders[there], keys[there], number.astype("<u4"), offsets[rows].astype("<u4"),
-                    counts[rows].astype("<u4"), gathered(text, begins[rows], lengths[rows]),
-                )
+            rows = np.flatnonzero(~copies)
+            yield from self._rows(
+                hashes[rows], documents[rows], offsets[rows], counts[rows], begins[rows], text, orders, keys
+            )
         self.clear()
 
     def _deal_strings(
@@ -416,17 +415,46 @@ class Dealer:
             yield int(keys[d[0]] % self.buckets), True, packed(
                 orders[d], keys[d], offset[at[first]].astype("<u4"), (many + self.depth - 1).astype("<u4")
             )
-        bucket = (one & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.buckets
-        order = np.lexsort((owner, bucket))
-        order = order[~copies[order]]
-        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            if not len(rows):
-                continue
-            there, number = np.unique(owner[rows], return_inverse=True)
-            yield int(bucket[rows[0]]), False, packed(
-                one[rows], orders[there], keys[there], number.astype("<u4"), offset[rows].astype("<u4"),
-                np.ones(len(rows), "<u4"), gathered(text, places[rows], long[rows]),
-            )
+        rows = np.flatnonzero(~copies)
+        single = np.ones(len(rows), np.int64)
+        yield from self._rows(one[rows], owner[rows], offset[rows], single, places[rows], text, orders, keys)
+
+    def _rows(
+        self, hashes: np.ndarray, documents: np.ndarray, offsets: np.ndarray, counts: np.ndarray, begins: np.ndarray,
+        text: np.ndarray, orders: np.ndarray, keys: np.ndarray,
+    ) -> Iterator[tuple[int, bool, bytes]]:
+        """One row for each bucket. Runs come by documents.
+
+        What a row holds is put in order for all buckets at once: a large table has thousands of them, with few runs each.
+        """
+        if not len(hashes):
+            return
+        bucket = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.buckets
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets <= 2**16 else bucket, kind="stable")
+        hashes, documents, bucket = hashes[order], documents[order], bucket[order]
+        offsets, begins, counts = offsets[order].astype("<u4"), begins[order], counts[order]
+        lengths = counts + self.depth - 1
+        head = np.ones(len(order), bool)
+        head[1:] = bucket[1:] != bucket[:-1]
+        fresh = head.copy()
+        fresh[1:] |= documents[1:] != documents[:-1]
+        cuts = np.append(np.flatnonzero(head), len(order))
+        # For each row, the documents before those of its bucket, and the bytes before it.
+        nth = np.append(np.cumsum(fresh) - 1, fresh.sum())
+        there = documents[fresh]
+        number = (nth[:-1] - np.repeat(nth[cuts[:-1]], np.diff(cuts))).astype("<u4")
+        sizes = np.append(0, np.cumsum(lengths))
+        order_of, key_of, counts = orders[there], keys[there], counts.astype("<u4")
+        # The bytes of some buckets at a time.
+        for some in np.split(np.arange(len(cuts) - 1), np.flatnonzero(np.diff(sizes[cuts[:-1]] // GATHERED)) + 1):
+            low, high = cuts[some[0]], cuts[some[-1] + 1]
+            data = gathered(text, begins[low:high], lengths[low:high])
+            for a, b in zip(cuts[some].tolist(), cuts[some + 1].tolist()):
+                documents_ = slice(nth[a], nth[b])
+                yield int(bucket[a]), False, packed(
+                    hashes[a:b], order_of[documents_], key_of[documents_], number[a:b], offsets[a:b], counts[a:b],
+                    data[sizes[a] - sizes[low] : sizes[b] - sizes[low]],
+                )
 
 
 class Counter(Dealer):
@@ -459,34 +487,31 @@ class Counter(Dealer):
 COUNTS = "hash long, runs long, strings long"
 
 
-def _dealer_pass(make, batch_of):
+def _dealer_pass(make, batches_of):
     """Feeds a task's documents to what ``make`` makes, and gives what that deals as batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = make()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for dealt in dealer.deal():
-                yield batch_of(*dealt)
-
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
                 rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())
                 dealer.add([(LAST if order is None else order, key, data or b"") for order, key, data in rows])
                 if dealer.size > DEALT:
-                    yield from flush()
-        yield from flush()
+                    yield from batches_of(dealer.deal())
+        yield from batches_of(dealer.deal())
 
     return run
 
 
 def _counted(depth: int, least: int):
-    def batch_of(hashes, runs, strings) -> pa.RecordBatch:
-        columns = [pa.array(x) for x in (hashes.view(np.int64), runs.astype(np.int64), strings.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["hash", "runs", "strings"])
+    def batches_of(dealt) -> Iterator[pa.RecordBatch]:
+        for hashes, runs, strings in dealt:
+            columns = [pa.array(x) for x in (hashes.view(np.int64), runs.astype(np.int64), strings.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "runs", "strings"])
 
-    return _dealer_pass(lambda: Counter(depth, least), batch_of)
+    return _dealer_pass(lambda: Counter(depth, least), batches_of)
 
 
 def hot_anchors(texts: DataFrame, depth: int) -> tuple[np.ndarray, int]:
@@ -502,13 +527,22 @@ def hot_anchors(texts: DataFrame, depth: int) -> tuple[np.ndarray, int]:
 
 
 def _dealt(depth: int, turn: int, rounds: int, buckets: int, hot: np.ndarray):
-    def batch_of(bucket: int, removal: bool, data: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int64()), pa.array([removal]), pa.array([data], pa.binary())],
-            names=["bucket", "removal", "data"],
-        )
+    def batch_of(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "removal", "data"])
+
+    def batches_of(dealt) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in dealt:
+            rows.append(row)
+            size += len(row[2])
+            if size > GATHERED:
+                yield batch_of(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
-    return _dealer_pass(lambda: Dealer(depth, turn, rounds, buckets, hot), batch_of)
+    return _dealer_pass(lambda: Dealer(depth, turn, rounds, buckets, hot), batches_of)
 
 
 FOUND = "order long, key long, start long, length long"
@@ -568,14 +602,14 @@ def bucket_removals(blobs: list[bytes], depth: int) -> Iterator[pa.RecordBatch]:
 
 def _removed(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for k in range(len(batch)) for r in batch.slice(k, 1).to_pylist())
-        for _, bucket in groupby(rows, key=lambda r: r["bucket"]):
+        rows = ([c[k].as_py() for c in batch.columns] for batch in batches for k in range(len(batch)))
+        for _, bucket in groupby(rows, key=lambda r: r[0]):
             blobs = []
-            for r in bucket:
-                if r["removal"]:
-                    yield found_batch(*unpacked(r["data"], REMOVALS))
+            for _, removal, data in bucket:
+                if removal:
+                    yield found_batch(*unpacked(data, REMOVALS))
                 else:
-                    blobs.append(r["data"])
+                    blobs.append(data)
             if blobs:
                 yield from bucket_removals(blobs, depth)
 

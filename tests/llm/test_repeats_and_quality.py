@@ -121,6 +121,35 @@ def dealt(texts, depth, tasks, hot=None):
     return pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], pa.schema(names))
 
 
+def test_many_buckets_hold_what_one_holds_and_are_filled_together(monkeypatch):
+    calls, gathered = [], repeats.gathered
+    monkeypatch.setattr(repeats, "gathered", lambda *a: calls.append(1) or gathered(*a))
+    texts = [(k, k + 100, prose(k, 300).encode()) for k in range(40)]
+
+    def held(buckets, hot=None):
+        out = []
+        dealer = repeats.Dealer(50, 0, 1, buckets, hot)
+        dealer.add(texts)
+        for bucket, removal, data in dealer.deal():
+            assert not removal
+            hashes, orders, keys, number, offsets, counts, text = repeats.unpacked(data, repeats.SEGMENTS)
+            assert set((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)) == {bucket} and len(set(orders)) == len(orders)
+            at = 0
+            for h, n, o, c in zip(hashes.tolist(), number.tolist(), offsets.tolist(), counts.tolist()):
+                out.append((h, orders[n], keys[n], o, c, text[at : at + c + 49].tobytes()))
+                at += c + 49
+            assert at == len(text)
+        return sorted(out)
+
+    one = held(1)
+    assert all(t == texts[d][2][o : o + c + 49] and key == d + 100 for _, d, key, o, c, t in one)
+    calls.clear()
+    assert held(700) == one and len(calls) < 10
+    monkeypatch.setattr(repeats, "GATHERED", 3_000)
+    hot = np.array(sorted({h for h, *_ in one})[::2], np.uint64)
+    assert held(700) == one and held(700, hot) == held(1, hot) and len(held(3, hot)) > len(one)
+
+
 def test_runs_that_are_equal_are_sorted_once(monkeypatch):
     sorted_ = []
 
